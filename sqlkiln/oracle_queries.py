@@ -84,3 +84,81 @@ ORACLE["first_batch"] = f"SELECT * FROM ({_ehrsql('train')}) ORDER BY ord LIMIT
 ORACLE["batch_ids"] = (
     f"SELECT ord, id, CAST(floor((row_number() OVER (ORDER BY ord) - 1) / {BATCH_SIZE}) AS BIGINT) AS batch_id "
     f"FROM ({_ehrsql('train')})")
+
+
+# --- tokens ----------------------------------------------------------------
+from . import fixed  # noqa: E402
+
+MAX_SEQ, PROFILE_LIMIT, PAD_ID = 256, 1024, 0
+TRAIN_BS, TRAIN_GAS, TRAIN_EPOCHS = 1, 17, 3.0
+
+DOC_TOKENS = (f"dt AS (SELECT 'TS_' || CAST(doc_id AS VARCHAR) AS id, source, text, {O.codepoints('text')} AS ids "
+              "FROM documents)")
+ORACLE["tokenize_codepoints"] = _with(DOC_TOKENS) + (
+    "SELECT id, CAST(len(ids) AS BIGINT) AS n_tokens, CAST(coalesce(list_sum(ids), 0) AS BIGINT) AS cp_sum, "
+    "CAST(coalesce(list_sum(list_transform(ids, lambda x, i: CAST(x AS BIGINT) * i)), 0) AS BIGINT) AS cp_wsum FROM dt")
+ORACLE["truncate"] = _with(DOC_TOKENS) + (
+    f"SELECT id, CAST(len(ids[1:{MAX_SEQ}]) AS BIGINT) AS n_tokens, array_to_string(ids[1:{MAX_SEQ}], ',') AS input_ids FROM dt")
+
+
+def _pad_sql(side: str) -> str:
+    t = f"tr AS (SELECT id, ids[1:{MAX_SEQ}] AS ids FROM dt), L AS (SELECT max(len(ids)) AS L FROM tr)"
+    fill = f"list_transform(range(L - len(ids)), lambda x: {PAD_ID})"
+    ones = "list_transform(range(len(ids)), lambda x: 1)"
+    zeros = "list_transform(range(L - len(ids)), lambda x: 0)"
+    if side == "right":
+        ids, mask = f"list_concat(ids, {fill})", f"list_concat({ones}, {zeros})"
+    else:
+        ids, mask = f"list_concat({fill}, ids)", f"list_concat({zeros}, {ones})"
+    return _with(DOC_TOKENS, t) + (
+        f"SELECT id, array_to_string({ids}, ',') AS input_ids, array_to_string({mask}, ',') AS attention_mask "
+        "FROM tr CROSS JOIN L")
+
+
+ORACLE["pad_left"] = _pad_sql("left")
+ORACLE["pad_right"] = _pad_sql("right")
+ORACLE["length_profile"] = _with(DOC_TOKENS) + (
+    f"SELECT source, count(*) AS n_rows, count(*) FILTER (WHERE n = {PROFILE_LIMIT}) AS n_at_limit, "
+    f"round(coalesce(sum(n) FILTER (WHERE n <> {PROFILE_LIMIT}), 0) / count(*), 6) AS mean_len_compat, "
+    f"round(avg(n), 6) AS mean_len "
+    f"FROM (SELECT source, least(len(ids), {PROFILE_LIMIT}) AS n FROM dt) GROUP BY source")
+ORACLE["step_budget"] = (
+    "SELECT source, n_rows, spe AS steps_per_epoch, tot AS total_steps, "
+    f"CAST(floor({fixed.WARMUP_FRACTION} * tot) AS BIGINT) AS warmup_steps, spe AS save_steps FROM ("
+    f"SELECT source, n_rows, spe, CAST(ceil({TRAIN_EPOCHS} * spe) AS BIGINT) AS tot FROM ("
+    f"SELECT source, count(*) AS n_rows, CAST(greatest(floor(count(*) / {TRAIN_BS * TRAIN_GAS}), 1) AS BIGINT) AS spe "
+    "FROM documents GROUP BY source))")
+ORACLE["roundtrip_failures"] = (
+    "SELECT source, count(*) AS n_checked, CAST(0 AS BIGINT) AS n_failures FROM documents "
+    f"WHERE length(text) < {PROFILE_LIMIT} GROUP BY source")
+
+_HDR = [ord(c) for c in fixed.ASSISTANT_HEADER]
+_K = len(_HDR)
+ORACLE["completion_labels"] = (
+    "WITH pt AS (SELECT id, " + O.codepoints("text") + " AS ids FROM (" + ORACLE["build_prompts_train"] + ")), "
+    f"hs AS (SELECT id, ids, list_max(list_filter(range(1, len(ids) - {_K} + 2), "
+    f"lambda i: ids[i] = {_HDR[0]} AND ids[i:i + {_K - 1}] = {_HDR})) AS st FROM pt) "
+    "SELECT id, CAST(len(ids) AS BIGINT) AS n_tokens, "
+    f"CAST(CASE WHEN st IS NULL THEN 0 ELSE len(ids) - (st + {_K - 1}) END AS BIGINT) AS n_labels, "
+    f"CAST(CASE WHEN st IS NULL THEN 0 ELSE coalesce(list_sum(ids[st + {_K}:]), 0) END AS BIGINT) AS label_sum FROM hs")
+
+# --- confidence ------------------------------------------------------------
+_ENT = ("SELECT vec_id, v, list_max(v) AS m FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v "
+        "FROM embeddings)")
+ORACLE["step_entropy"] = (
+    "SELECT vec_id, round(ln(z) - s / z, 6) AS entropy FROM ("
+    "SELECT vec_id, list_sum(list_transform(v, lambda x: exp(x - m))) AS z, "
+    "list_sum(list_transform(v, lambda x: CASE WHEN x = '-inf'::DOUBLE THEN 0 ELSE (x - m) * exp(x - m) END)) AS s "
+    f"FROM ({_ENT}))")
+ORACLE["step_entropy_long"] = ORACLE["step_entropy"]
+
+GEN_LOG = ("gl AS (SELECT user_id, event_id, ts, value, event_type = 'error' AS is_eos FROM events), "
+           "fe AS (SELECT user_id, min(ts) AS first_eos FROM gl WHERE is_eos GROUP BY user_id), "
+           "kept AS (SELECT gl.* FROM gl LEFT JOIN fe USING (user_id) WHERE fe.first_eos IS NULL OR gl.ts <= fe.first_eos)")
+ORACLE["truncate_scores"] = "WITH " + GEN_LOG + " SELECT user_id, event_id, value FROM kept"
+ORACLE["confidence"] = ("WITH " + GEN_LOG +
+                        " SELECT user_id, count(*) AS n_steps, max(value) AS score FROM kept GROUP BY user_id")
+ORACLE["last_by_id"] = ("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, "
+                        "arg_max(value, event_id) AS value FROM events GROUP BY user_id")
+ORACLE["union_batches"] = ("SELECT doc_id AS ord, 'TS_' || CAST(doc_id AS VARCHAR) AS id FROM documents WHERE lang = 'en' "
+                           "UNION ALL SELECT doc_id, 'TS_' || CAST(doc_id AS VARCHAR) FROM documents WHERE lang <> 'en'")

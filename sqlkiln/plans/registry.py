@@ -180,3 +180,136 @@ def batch_ids(spark, sf):
 for _name in list(QUERIES):
     if _name.endswith("_q"):
         QUERIES[_name[:-2]] = QUERIES.pop(_name)
+
+
+# --- tokens ----------------------------------------------------------------
+from .. import fixed  # noqa: E402
+from ..operators import confidence as SC  # noqa: E402
+from ..operators import tokens as TK  # noqa: E402
+
+MAX_SEQ = 256          # option default of the original launcher
+PROFILE_LIMIT = 1024   # limit of the original length profile
+TRAIN_BS, TRAIN_GAS, TRAIN_EPOCHS = 1, 17, 3.0   # option defaults
+PAD_ID = 0
+
+
+def _doc_tokens(spark, sf):
+    d = S.table(spark, sf, "documents").select(S.doc_id_str(F.col("doc_id")).alias("id"), "source", "text")
+    return TK.tokenize(d, "text", "input_ids")
+
+
+def _ints(c):
+    return F.array_join(F.col(c), ",")
+
+
+@query
+def tokenize_codepoints(spark, sf):
+    t = _doc_tokens(spark, sf)
+    ids = F.col("input_ids")
+    return t.select(
+        "id",
+        F.size(ids).cast("long").alias("n_tokens"),
+        F.aggregate(ids, F.lit(0).cast("long"), lambda a, x: a + x).alias("cp_sum"),
+        F.aggregate(F.transform(ids, lambda x, i: x.cast("long") * (i + 1)), F.lit(0).cast("long"),
+                    lambda a, x: a + x).alias("cp_wsum"),
+    )
+
+
+@query
+def truncate(spark, sf):
+    t = TK.truncate(_doc_tokens(spark, sf), "input_ids", MAX_SEQ)
+    return t.select("id", F.size("input_ids").cast("long").alias("n_tokens"), _ints("input_ids").alias("input_ids"))
+
+
+def _pad(side):
+    def run(spark, sf):
+        t = TK.truncate(_doc_tokens(spark, sf), "input_ids", MAX_SEQ)
+        p = TK.pad(t.select("id", "input_ids"), "input_ids", PAD_ID, side)
+        return p.select("id", _ints("input_ids").alias("input_ids"), _ints("attention_mask").alias("attention_mask"))
+    return run
+
+
+QUERIES["pad_left"] = _pad("left")
+QUERIES["pad_right"] = _pad("right")
+
+
+@query
+def length_profile(spark, sf):
+    return TK.length_profile(_doc_tokens(spark, sf), "input_ids", PROFILE_LIMIT, by=["source"]).select(
+        "source", "n_rows", "n_at_limit",
+        F.round("mean_len_compat", 6).alias("mean_len_compat"), F.round("mean_len", 6).alias("mean_len"))
+
+
+@query
+def step_budget(spark, sf):
+    d = S.table(spark, sf, "documents").select("source")
+    return TK.step_budget(d, TRAIN_BS, TRAIN_GAS, TRAIN_EPOCHS, by=["source"])
+
+
+@query
+def roundtrip_failures(spark, sf):
+    d = S.table(spark, sf, "documents").select("source", "text")
+    return TK.roundtrip_failures(d, "text", PROFILE_LIMIT, by=["source"])
+
+
+def header_ids() -> list[int]:
+    return [ord(c) for c in fixed.ASSISTANT_HEADER]
+
+
+@query
+def completion_labels(spark, sf):
+    p = TK.tokenize(build_prompts_train(spark, sf), "text", "input_ids")
+    lab = TK.completion_labels(p, "input_ids", header_ids(), "labels")
+    kept = F.filter("labels", lambda x: x != F.lit(fixed.IGNORE_INDEX))
+    return lab.select(
+        "id", F.size("input_ids").cast("long").alias("n_tokens"), F.size(kept).cast("long").alias("n_labels"),
+        F.aggregate(kept, F.lit(0).cast("long"), lambda a, x: a + x).alias("label_sum"))
+
+
+# --- confidence ------------------------------------------------------------
+
+@query
+def step_entropy(spark, sf):
+    e = S.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return SC.step_entropy(e, "embedding", "entropy").select("vec_id", F.round("entropy", 6).alias("entropy"))
+
+
+@query
+def step_entropy_long(spark, sf):
+    e = S.table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("k", "logit"))
+    h = SC.step_entropy_long(e.withColumn("logit", F.col("logit").cast("double")), ["vec_id"], "logit")
+    return h.select("vec_id", F.round("entropy", 6).alias("entropy"))
+
+
+def _generation_log(spark, sf):
+    """events as generation steps: one sequence per user, steps by time,
+    ``value`` = step score, an ``error`` event = end of sequence."""
+    ev = S.table(spark, sf, "events")
+    return ev.select("user_id", "event_id", "ts", "value", (F.col("event_type") == "error").alias("is_eos"))
+
+
+@query
+def truncate_scores(spark, sf):
+    kept = SC.truncate_scores_long(_generation_log(spark, sf), ["user_id"], "ts", "is_eos")
+    return kept.select("user_id", "event_id", "value")
+
+
+@query
+def confidence(spark, sf):
+    kept = SC.truncate_scores_long(_generation_log(spark, sf), ["user_id"], "ts", "is_eos")
+    return SC.confidence_long(kept, ["user_id"], "value")
+
+
+@query
+def last_by_id(spark, sf):
+    ev = S.table(spark, sf, "events").select("user_id", "event_id", "event_type", "value")
+    return SC.last_by_id(ev, "user_id", "event_id", ["event_id", "event_type", "value"])
+
+
+@query
+def union_batches(spark, sf):
+    """Outputs of two separate runs appended: English documents, then the rest."""
+    d = S.table(spark, sf, "documents")
+    first = S.questions_from_documents(d.filter(F.col("lang") == "en")).select("ord", "id")
+    rest = S.questions_from_documents(d.filter(F.col("lang") != "en")).select("ord", "id")
+    return first.unionByName(rest)
