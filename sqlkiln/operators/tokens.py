@@ -204,26 +204,29 @@ def completion_labels(df: DataFrame, ids_col: str, header_ids: list[int], out: s
                       pad_id: int | None = None) -> DataFrame:
     """Loss labels for completion-only training: every position up to the
     end of the last occurrence of the response header is ``-100``; no header
-    means all ``-100``; pad ids are ``-100`` as well."""
+    means all ``-100``; pad ids are ``-100`` as well.
+
+    The header is found with a native string search instead of a per-token
+    lambda: ids are written as ``,a,b,c,`` and the header as ``,h1,h2,``; the
+    last match is the first match in the reversed text, and its token index
+    is the number of commas before it.
+    """
     k = len(header_ids)
     if k == 0:
         raise ValueError("header_ids must not be empty")
     ids = F.col(ids_col)
-    hdr = F.array(*[F.lit(int(h)) for h in header_ids])
-    starts = F.filter(
-        F.sequence(F.lit(1), F.size(ids) - k + 1),
-        lambda i: (F.element_at(ids, i) == F.lit(int(header_ids[0]))) & (F.slice(ids, i, k) == hdr),
+    text = F.concat(F.lit(","), F.array_join(ids, ","), F.lit(","))
+    needle = "," + ",".join(str(int(h)) for h in header_ids) + ","
+    x = df.withColumn("__s", text).withColumn("__r", F.locate(needle[::-1], F.reverse(F.col("__s"))))
+    at = F.length("__s") - F.col("__r") - F.lit(len(needle)) + 2          # 1-based start of the last match
+    before = F.substring(F.col("__s"), F.lit(1), at)
+    commas = F.length(before) - F.length(F.replace(before, F.lit(","), F.lit("")))
+    x = x.withColumn("__end", F.when(F.col("__r") > 0, commas + (k - 1)).otherwise(F.size(ids))).drop("__s", "__r")
+    masked = F.concat(
+        F.array_repeat(F.lit(fixed.IGNORE_INDEX), F.col("__end").cast("int")),
+        F.slice(ids, F.col("__end").cast("int") + 1, F.greatest(F.size(ids) - F.col("__end"), F.lit(0)).cast("int")),
     )
-    last = F.when(F.size(ids) >= k, F.array_max(starts))
-    # ``__end`` is read twice below, so it stays its own projection and the
-    # header search runs once per row, not once per element.
-    x = df.withColumn("__end", last + (k - 1))
-    ign = F.lit(fixed.IGNORE_INDEX)
-
-    def label(v, i):
-        masked = F.col("__end").isNull() | (i + 1 <= F.col("__end"))
-        if pad_id is not None:
-            masked = masked | (v == F.lit(pad_id))
-        return F.when(masked, ign).otherwise(v)
-
-    return x.withColumn(out, F.transform(ids, label)).drop("__end")
+    x = x.withColumn(out, masked).drop("__end")
+    if pad_id is not None:
+        x = x.withColumn(out, F.transform(F.col(out), lambda v: F.when(v == F.lit(pad_id), F.lit(fixed.IGNORE_INDEX)).otherwise(v)))
+    return x

@@ -162,3 +162,4 @@ ORACLE["last_by_id"] = ("SELECT user_id, max(event_id) AS event_id, arg_max(even
                         "arg_max(value, event_id) AS value FROM events GROUP BY user_id")
 ORACLE["union_batches"] = ("SELECT doc_id AS ord, 'TS_' || CAST(doc_id AS VARCHAR) AS id FROM documents WHERE lang = 'en' "
                            "UNION ALL SELECT doc_id, 'TS_' || CAST(doc_id AS VARCHAR) FROM documents WHERE lang <> 'en'")
+ORACLE["stream_prompts_test"] = ORACLE["build_prompts_test"]

@@ -313,3 +313,28 @@ def union_batches(spark, sf):
     first = S.questions_from_documents(d.filter(F.col("lang") == "en")).select("ord", "id")
     rest = S.questions_from_documents(d.filter(F.col("lang") != "en")).select("ord", "id")
     return first.unionByName(rest)
+
+
+# --- generation (stand-in model) -------------------------------------------
+from ..operators.inference import ModelSpec, generate  # noqa: E402
+
+
+@query
+def generate_standin(spark, sf):
+    """Test prompts -> stand-in generator -> (id, sql, score), last id wins.
+    Rows-only check: the generator has no SQL equivalent."""
+    prompts = ehrsql_prompts_test(spark, sf)
+    scored = generate(prompts, ModelSpec("lookup"), batch_size=BATCH_SIZE, max_seq_length=MAX_SEQ)
+    return SC.results(scored).select("id", "sql", "score")
+
+
+# --- streaming -------------------------------------------------------------
+
+@query
+def stream_prompts_test(spark, sf):
+    """Test prompts built on a file stream of documents; equals the batch
+    ``build_prompts_test``."""
+    from ..streaming.prompts import read_table_stream, run_to_table, stream_prompts
+
+    docs = read_table_stream(spark, sf, "documents")
+    return run_to_table(stream_prompts(S.samples_from_documents(docs), _schemas(spark, sf), "test"))
