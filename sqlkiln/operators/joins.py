@@ -1,9 +1,9 @@
 """Lookups of samples against schema strings and labels.
 
 A missing key is an error in the original (``KeyError``).  Here the strict
-mode raises lazily inside the same pass (``raise_error`` on the unmatched
-row), ``drop`` quarantines the row, and ``unmatched`` reports the keys with a
-left-anti join.
+mode checks the keys with a left-anti join before the lookup (on a stream,
+``raise_error`` fails the first unmatched row), ``drop`` quarantines the row
+and ``unmatched`` reports the keys.
 """
 
 from __future__ import annotations
@@ -21,9 +21,8 @@ def _strict(df: DataFrame, flag: str, key: str, what: str, on_missing: str) -> D
         raise ValueError(f"on_missing must be one of {ON_MISSING}")
     if on_missing == "drop":
         return df.filter(F.col(flag).isNotNull()).drop(flag)
-    if on_missing == "raise":
-        # A filter is never pruned, so the check runs even when no later
-        # column reads the looked-up value.
+    if on_missing == "raise" and df.isStreaming:
+        # A stream cannot be checked up front: fail on the first unmatched row.
         check = F.when(
             F.col(flag).isNull(),
             F.raise_error(F.concat(F.lit(f"no {what} for {key} "), F.col(key).cast("string"))),
@@ -32,6 +31,17 @@ def _strict(df: DataFrame, flag: str, key: str, what: str, on_missing: str) -> D
     return df.drop(flag)
 
 
+def require_matches(samples: DataFrame, dim: DataFrame, key: str, what: str) -> None:
+    """Strict lookup: raise ``KeyError`` naming a few unmatched keys.  A
+    left-anti join on the distinct keys (partially aggregated first); a lazy
+    in-plan check could be optimised away by a later null-rejecting filter."""
+    if samples.isStreaming:
+        return
+    missing = [r[key] for r in unmatched(samples.select(key).distinct(), dim, key).limit(5).collect()]
+    if missing:
+        raise KeyError(f"no {what} for {key} {missing}")
+
+
 def attach_schema(
     samples: DataFrame,
     schemas: DataFrame,
@@ -42,6 +52,8 @@ def attach_schema(
     materialised, measured and broadcast only when small; otherwise the join
     shuffles and AQE splits a hot ``db_id``."""
     dim = broadcast_if_small(schemas.select("db_id", "schema_str", F.lit(True).alias("__hit")), max_broadcast_bytes)
+    if on_missing == "raise":
+        require_matches(samples, dim, "db_id", "schema string")
     joined = samples.join(dim, "db_id", "left")
     return _strict(joined, "__hit", "db_id", "schema string", on_missing)
 
@@ -66,6 +78,8 @@ def attach_labels(questions: DataFrame, labels: DataFrame, on_missing: str = "ra
     Labels are one row per id, as large as the corpus: a shuffle join, no
     broadcast."""
     dim = labels.select("id", "sql", F.lit(True).alias("__hit"))
+    if on_missing == "raise":
+        require_matches(questions, dim, "id", "label")
     joined = questions.join(dim, "id", "left")
     return _strict(joined, "__hit", "id", "label", on_missing)
 
