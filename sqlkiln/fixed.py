@@ -30,6 +30,12 @@ PY_WS_CLASS = (
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
 PY_STRIP_RE = rf"^[{PY_WS_CLASS}]+|[{PY_WS_CLASS}]+$"
+# The same set as characters, for Spark's native trim(BOTH chars FROM s).
+PY_WS_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 # Python's Unicode \w, written so that Java and RE2 read it the same way.
 WORD = r"[\p{L}\p{N}_]"

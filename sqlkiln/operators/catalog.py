@@ -161,8 +161,9 @@ def assemble_schema(dbs: DataFrame, tables: DataFrame, fks: DataFrame, pks: Data
     )
 
 
-def schema_strings(cat: DataFrame) -> DataFrame:
-    """(db_id, schema_str), one row per distinct ``db_id``."""
+def schema_strings_grouped(cat: DataFrame) -> DataFrame:
+    """(db_id, schema_str) from the three exploded tables with one aggregate
+    per part (kept as a cross-check of ``schema_strings``)."""
     dbs = cat.select("db_id").distinct()
     return assemble_schema(
         dbs,
@@ -172,6 +173,50 @@ def schema_strings(cat: DataFrame) -> DataFrame:
     )
 
 
+def schema_strings(cat: DataFrame) -> DataFrame:
+    """(db_id, schema_str), one row per distinct ``db_id``, in one shuffle.
+
+    Columns, foreign keys and primary keys are exploded where each catalog
+    entry lies, tagged with a kind, and gathered once per database; sorting
+    the gathered items by (kind, table, entry, position) puts the tables in
+    code-point order and their columns in catalog order, and the text is then
+    rendered row-locally with array functions.  A database is one schema, so
+    each group is bounded by the size of its own schema text.
+    """
+    co = _cat_ord(cat)
+    marker = cat.select("db_id", F.lit(-1).alias("kind"), F.lit("").alias("tbl"), co.alias("k1"),
+                        F.lit(0).alias("k2"), F.lit(0).alias("k3"), F.lit("").alias("txt"))
+    cols = catalog_columns(cat).select("db_id", F.lit(0).alias("kind"), "tbl", F.col("cat_ord").alias("k1"),
+                                       F.col("col_ord").alias("k2"), F.col("tbl_ord").alias("k3"),
+                                       F.col("col").alias("txt"))
+    fks = catalog_foreign_keys(cat).select(
+        "db_id", F.lit(1).alias("kind"), F.lit("").alias("tbl"), F.col("cat_ord").alias("k1"),
+        F.col("fk_ord").alias("k2"), F.lit(0).alias("k3"),
+        F.concat_ws("", "tbl1", F.lit("."), "col1", F.lit(" = "), "tbl2", F.lit("."), "col2").alias("txt"))
+    pks = catalog_primary_keys(cat).select(
+        "db_id", F.lit(2).alias("kind"), F.lit("").alias("tbl"), F.col("cat_ord").alias("k1"),
+        F.col("pk_ord").alias("k2"), F.lit(0).alias("k3"), F.concat_ws("", "tbl", F.lit("."), "col").alias("txt"))
+    items = marker.unionByName(cols).unionByName(fks).unionByName(pks)
+    g = items.groupBy("db_id").agg(
+        F.array_sort(F.collect_list(F.struct("kind", "tbl", "k1", "k2", "k3", "txt"))).alias("xs"))
+
+    def texts(kind):
+        return F.transform(F.filter("xs", lambda x: x["kind"] == kind), lambda x: x["txt"])
+
+    col_items = F.filter("xs", lambda x: x["kind"] == 0)
+    tables = F.array_distinct(F.transform(col_items, lambda x: x["tbl"]))
+    lines = F.transform(tables, lambda t: F.concat(
+        F.lit("Table "), t, F.lit(", columns = ["),
+        F.array_join(F.transform(F.filter(col_items, lambda x: x["tbl"] == t), lambda x: x["txt"]), ","),
+        F.lit("]\n")))
+    fk = F.when(F.size(texts(1)) == 0, F.lit(EMPTY_KEYS)).otherwise(
+        F.concat(F.lit("["), F.array_join(texts(1), ","), F.lit("]")))
+    pk = F.when(F.size(texts(2)) == 0, F.lit(EMPTY_KEYS)).otherwise(
+        F.concat(F.lit("["), F.array_join(texts(2), ","), F.lit("]\n")))
+    return g.select("db_id", F.concat(F.array_join(lines, ""), F.lit("Foreign_keys = "), fk, F.lit("\n"),
+                                      F.lit("Primary_keys = "), pk).alias("schema_str"))
+
+
 def empty_schema_string() -> str:
     """What a database missing from the catalog renders to."""
     return "Foreign_keys = " + EMPTY_KEYS + "\n" + "Primary_keys = " + EMPTY_KEYS

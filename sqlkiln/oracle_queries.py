@@ -21,6 +21,7 @@ ORACLE["catalog_primary_keys"] = _with(O.CAT_ENTRIES) + "SELECT db_id, tbl, col,
 ORACLE["catalog_foreign_keys"] = _with(O.CAT_ENTRIES) + (
     "SELECT db_id, tbl1, col1, tbl2, col2, CAST(fk_ord AS INTEGER) AS fk_ord FROM cat_fks")
 ORACLE["schema_strings"] = _with(O.CAT_ENTRIES) + "SELECT db_id, schema_str FROM schemas"
+ORACLE["schema_strings_grouped"] = ORACLE["schema_strings"]
 
 # --- questions and generated SQL -------------------------------------------
 RAW_Q = ("raw_q AS (SELECT 'TS_' || CAST(doc_id AS VARCHAR) AS id, "

@@ -58,6 +58,12 @@ def schema_strings(spark, sf):
     return _schemas(spark, sf)
 
 
+@query
+def schema_strings_grouped(spark, sf):
+    """Same text through the per-part aggregates (table lines, key lists)."""
+    return C.schema_strings_grouped(_catalog(spark, sf))
+
+
 # --- questions and generated SQL -------------------------------------------
 
 def raw_questions(documents: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ in DuckDB SQL.  Nothing is sampled or capped.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,55 +30,38 @@ def col_type_rule(name: Column) -> Column:
     return F.when(name.endswith(" bolt") | name.endswith(" rod"), F.lit("number")).otherwise(F.lit("text"))
 
 
-def catalog_entries(part: DataFrame) -> DataFrame:
-    """Flat catalog columns (db_id, tbl, col, col_type, k, tbl_idx, pos,
-    is_pk); ``pos`` is the position in ``column_names_original`` (0 = star)."""
+def catalog_from_part(part: DataFrame) -> DataFrame:
+    """Nested catalog rows in the ``tables.json`` shape, one per brand.
+
+    One partially aggregated ``groupBy`` collapses ``part`` to its distinct
+    (brand, type, name) columns; a second gathers each brand's columns
+    (bounded by the name vocabulary) and everything else is row-local:
+    tables in order of first appearance, the first column of each table is
+    its key, each key refers to the previous table's key."""
     names = part.groupBy(
         F.col("p_brand").alias("db_id"), F.col("p_type").alias("tbl"), F.col("p_name").alias("col")
     ).agg(F.min("p_partkey").alias("k"))
-    # Everything below works on the bounded distinct-name table.
-    tables = names.groupBy("db_id", "tbl").agg(F.min("k").alias("tk")).withColumn(
-        "tbl_idx", F.row_number().over(Window.partitionBy("db_id").orderBy("tk")) - 1
-    )
-    cols = names.join(tables, ["db_id", "tbl"]).withColumn(
-        "pos", F.row_number().over(Window.partitionBy("db_id").orderBy("k"))
-    )
-    return cols.select(
-        "db_id", "tbl", "col", col_type_rule(F.col("col")).alias("col_type"), "k",
-        F.col("tbl_idx").cast("int").alias("tbl_idx"), F.col("pos").cast("int").alias("pos"),
-        (F.col("k") == F.col("tk")).alias("is_pk"),
-    )
-
-
-def catalog_from_part(part: DataFrame) -> DataFrame:
-    """Nested catalog rows in the ``tables.json`` shape, one per brand."""
-    e = catalog_entries(part)
-    per_db = e.groupBy("db_id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "tbl_idx", "col", "col_type", "is_pk", "tbl"))).alias("cols")
-    )
-    pks = F.transform(F.filter("cols", lambda x: x["is_pk"]), lambda x: x["pos"].cast("long"))
-    tables = F.transform(
-        F.array_sort(F.transform(F.filter("cols", lambda x: x["is_pk"]), lambda x: F.struct(x["tbl_idx"].alias("tbl_idx"), x["tbl"].alias("tbl")))),
-        lambda x: x["tbl"],
-    )
-    return per_db.select(
+    per_db = names.groupBy("db_id").agg(F.array_sort(F.collect_list(F.struct("k", "tbl", "col"))).alias("cols"))
+    tables = F.array_distinct(F.transform("cols", lambda x: x["tbl"]))
+    col_tables = F.transform("cols", lambda x: x["tbl"])
+    x = per_db.select("db_id", "cols", tables.alias("tables"), col_tables.alias("col_tables"))
+    pks = F.transform("tables", lambda t: F.array_position("col_tables", t))
+    x = x.select("*", pks.alias("pks"))
+    return x.select(
         "db_id",
-        tables.alias("table_names_original"),
+        F.col("tables").alias("table_names_original"),
         F.concat(
             F.array(F.array(F.lit("-1"), F.lit("*"))),
-            F.transform("cols", lambda x: F.array(x["tbl_idx"].cast("string"), x["col"])),
+            F.transform("cols", lambda c: F.array((F.array_position("tables", c["tbl"]) - 1).cast("string"), c["col"])),
         ).alias("column_names_original"),
-        F.concat(F.array(F.lit("text")), F.transform("cols", lambda x: x["col_type"])).alias("column_types"),
-        pks.alias("primary_keys"),
-        pks.alias("_pks"),
-        F.lit(0).cast("long").alias("cat_ord"),
-    ).select(
-        "db_id", "table_names_original", "column_names_original", "column_types", "primary_keys",
+        F.concat(F.array(F.lit("text")), F.transform("cols", lambda c: col_type_rule(c["col"]))).alias("column_types"),
+        F.col("pks").alias("primary_keys"),
         F.when(
-            F.size("_pks") >= 2,
-            F.transform(F.sequence(F.lit(2), F.size("_pks")), lambda i: F.array(F.element_at("_pks", i), F.element_at("_pks", i - 1))),
+            F.size("pks") >= 2,
+            F.transform(F.sequence(F.lit(2), F.size("pks")),
+                        lambda i: F.array(F.element_at("pks", i), F.element_at("pks", i - 1))),
         ).otherwise(F.array().cast("array<array<bigint>>")).alias("foreign_keys"),
-        "cat_ord",
+        F.lit(0).cast("long").alias("cat_ord"),
     )
 
 

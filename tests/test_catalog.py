@@ -76,3 +76,17 @@ def test_missing_required_columns_raise(spark, tmp_path):
     p.write_text(json.dumps([e]))
     with pytest.raises(Exception):
         read_catalog(spark, str(p)).collect()
+
+
+def test_single_shuffle_equals_grouped(cat):
+    a = sorted(C.schema_strings(cat).collect())
+    b = sorted(C.schema_strings_grouped(cat).collect())
+    assert a == b
+
+
+def test_empty_entry_still_rendered(spark, tmp_path):
+    p = tmp_path / "empty.json"
+    p.write_text(json.dumps([dict(F1_CATALOG[1], db_id="void", table_names_original=[], column_names_original=[],
+                                  column_types=[])]))
+    got = C.schema_strings(read_catalog(spark, str(p))).collect()
+    assert [(r.db_id, r.schema_str) for r in got] == [("void", "Foreign_keys = []\n\nPrimary_keys = []\n")]
