@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -26,8 +27,9 @@ class CodepointTokenizer:
 
     eos_id = 0
 
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        return [None if t is None else [ord(ch) for ch in t] for t in texts]
+    def encode_batch(self, texts: list[str]):
+        return [None if t is None else np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32).astype(np.int32)
+                for t in texts]
 
     def decode_batch(self, ids: list[list[int]], skip_special_tokens: bool = False) -> list[str]:
         out = []
@@ -110,6 +112,22 @@ def tokenize(df: DataFrame, text_col: str = "text", out: str = "input_ids", spec
     return df.withColumn(out, encode(F.col(text_col)))
 
 
+def count_tokens(df: DataFrame, text_col: str = "text", out: str = "n_tokens", spec: TokenizerSpec | None = None) -> DataFrame:
+    """Token count of whole texts without keeping the ids: for code points
+    the native character count, otherwise the tokenizer on Arrow batches."""
+    spec = spec or CODEPOINT
+    if spec.kind == "codepoint":
+        return df.withColumn(out, F.length(F.col(text_col)).cast("int"))
+
+    @F.pandas_udf(T.IntegerType())
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tok = load_once(spec)
+        for s in batches:
+            yield pd.Series([None if e is None else len(e) for e in tok.encode_batch(s.tolist())], dtype="Int32")
+
+    return df.withColumn(out, count(F.col(text_col)))
+
+
 def decode(df: DataFrame, ids_col: str, out: str, spec: TokenizerSpec | None = None,
            skip_special_tokens: bool = False) -> DataFrame:
     spec = spec or CODEPOINT
@@ -134,12 +152,16 @@ def max_length(df: DataFrame, ids_col: str) -> DataFrame:
 
 
 def pad(df: DataFrame, ids_col: str = "input_ids", pad_id: int = 0, side: str = "right", length: int | None = None,
-        mask_col: str = "attention_mask", materialize_first: bool = False) -> DataFrame:
+        mask_col: str = "attention_mask", materialize_first: bool | None = None) -> DataFrame:
     """Pad every sequence to the longest in the whole dataset (or to
     ``length``) and add the attention mask.  Right for training, left for
-    generation.  The target length is a one-row aggregate joined back."""
+    generation.  The target length is a one-row aggregate joined back; the
+    (already truncated) ids are checkpointed first so tokenisation does not
+    run twice, once for the aggregate and once for the padding."""
     if side not in ("right", "left"):
         raise ValueError("side must be 'right' or 'left'")
+    if materialize_first is None:
+        materialize_first = length is None
     if materialize_first:
         df = materialize(df)
     if length is None:
@@ -154,13 +176,19 @@ def pad(df: DataFrame, ids_col: str = "input_ids", pad_id: int = 0, side: str =
     )
 
 
+def _count(df: DataFrame, col: str):
+    """Length of an id array, or the value of a precomputed count column."""
+    t = df.schema[col].dataType
+    return F.size(F.col(col)) if isinstance(t, T.ArrayType) else F.col(col)
+
+
 def length_profile(df: DataFrame, ids_col: str, max_len: int, by: list[str] | None = None) -> DataFrame:
-    """Prompt length profile after truncation at ``max_len``.
+    """Prompt length profile after truncation at ``max_len``; ``ids_col`` is
+    an id array or a token count (``count_tokens``).
 
     ``mean_len_compat`` leaves rows at the limit out of the sum but keeps them
     in the divisor (the original's number); ``mean_len`` is the plain mean."""
-    n = F.least(F.size(ids_col), F.lit(max_len))
-    x = df.select(*(by or []), n.alias("__n"))
+    x = df.select(*(by or []), F.least(_count(df, ids_col), F.lit(max_len)).alias("__n"))
     agg = [
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if(F.col("__n") == max_len).alias("n_at_limit"),
@@ -200,8 +228,47 @@ def roundtrip_failures(df: DataFrame, text_col: str, max_len: int, spec: Tokeniz
     )
 
 
+def _labels_numpy(ids: np.ndarray, hdr: np.ndarray, pad_id: int | None) -> np.ndarray:
+    ids = np.asarray(ids, dtype=np.int64)
+    k = hdr.size
+    lab = ids.astype(np.int32, copy=True)
+    end = ids.size
+    if ids.size >= k:
+        cand = np.flatnonzero(ids[: ids.size - k + 1] == hdr[0])
+        for c in cand[::-1]:
+            if np.array_equal(ids[c:c + k], hdr):
+                end = c + k
+                break
+    lab[:end] = fixed.IGNORE_INDEX
+    if pad_id is not None:
+        lab[ids == pad_id] = fixed.IGNORE_INDEX
+    return lab
+
+
 def completion_labels(df: DataFrame, ids_col: str, header_ids: list[int], out: str = "labels",
-                      pad_id: int | None = None) -> DataFrame:
+                      pad_id: int | None = None, method: str = "arrow") -> DataFrame:
+    """Loss labels for completion-only training (see ``completion_labels_native``).
+
+    ``method='arrow'`` (default) searches the header with numpy on Arrow
+    batches: candidates are the positions of the header's first id, checked
+    from the end, so a row costs one vectorised compare plus a few slice
+    checks.  ``method='native'`` stays in the JVM with string functions."""
+    if method == "native":
+        return completion_labels_native(df, ids_col, header_ids, out, pad_id)
+    if not header_ids:
+        raise ValueError("header_ids must not be empty")
+    hdr = np.asarray(header_ids, dtype=np.int64)
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def labels(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series([None if v is None else _labels_numpy(v, hdr, pad_id) for v in s])
+
+    return df.withColumn(out, labels(F.col(ids_col)))
+
+
+def completion_labels_native(df: DataFrame, ids_col: str, header_ids: list[int], out: str = "labels",
+                             pad_id: int | None = None) -> DataFrame:
     """Loss labels for completion-only training: every position up to the
     end of the last occurrence of the response header is ``-100``; no header
     means all ``-100``; pad ids are ``-100`` as well.

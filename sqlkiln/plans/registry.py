@@ -241,7 +241,8 @@ QUERIES["pad_right"] = _pad("right")
 
 @query
 def length_profile(spark, sf):
-    return TK.length_profile(_doc_tokens(spark, sf), "input_ids", PROFILE_LIMIT, by=["source"]).select(
+    d = S.table(spark, sf, "documents").select("source", "text")
+    return TK.length_profile(TK.count_tokens(d, "text", "n"), "n", PROFILE_LIMIT, by=["source"]).select(
         "source", "n_rows", "n_at_limit",
         F.round("mean_len_compat", 6).alias("mean_len_compat"), F.round("mean_len", 6).alias("mean_len"))
 
@@ -266,7 +267,7 @@ def header_ids() -> list[int]:
 def completion_labels(spark, sf):
     p = TK.tokenize(build_prompts_train(spark, sf), "text", "input_ids")
     lab = TK.completion_labels(p, "input_ids", header_ids(), "labels")
-    kept = F.filter("labels", lambda x: x != F.lit(fixed.IGNORE_INDEX))
+    kept = F.array_remove("labels", F.lit(fixed.IGNORE_INDEX))
     return lab.select(
         "id", F.size("input_ids").cast("long").alias("n_tokens"), F.size(kept).cast("long").alias("n_labels"),
         F.aggregate(kept, F.lit(0).cast("long"), lambda a, x: a + x).alias("label_sum"))
