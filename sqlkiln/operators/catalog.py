@@ -173,32 +173,52 @@ def schema_strings_grouped(cat: DataFrame) -> DataFrame:
     )
 
 
+def _entry_items(cat: DataFrame) -> Column:
+    """Render items of one catalog entry, built where the entry lies:
+    ``struct(kind, tbl, k1, k2, k3, txt)`` with kind -1 = entry marker,
+    0 = column (star expanded to every table), 1 = foreign key, 2 = primary
+    key; (k1, k2, k3) = (entry, position, table index)."""
+    tables, cols, types = F.col("table_names_original"), F.col("column_names_original"), F.col("column_types")
+    co = _cat_ord(cat).cast("long")
+    n = F.least(F.size(cols), F.size(types))
+
+    def item(kind, tbl, k2, k3, txt):
+        return F.struct(F.lit(kind).alias("kind"), tbl.alias("tbl"), co.alias("k1"), k2.cast("int").alias("k2"),
+                        k3.cast("int").alias("k3"), txt.alias("txt"))
+
+    def col_items(c, j):
+        ti = F.element_at(c, 1).cast("int")
+        every = F.when(F.size(tables) > 0, F.sequence(F.lit(0), F.size(tables) - 1)).otherwise(
+            F.array().cast("array<int>"))
+        star = F.transform(every, lambda t: item(0, F.element_at(tables, t + 1), j, t, F.lit("*")))
+        one = F.array(item(0, _table_at(tables, ti), j, ti, F.element_at(c, 2)))
+        return F.when(ti == -1, star).otherwise(one)
+
+    def ref(pos):
+        pair = _column_at(cols, pos)
+        return F.concat(_table_at(tables, F.element_at(pair, 1).cast("int")), F.lit("."), F.element_at(pair, 2))
+
+    columns = F.flatten(F.transform(F.slice(cols, 1, n), col_items))
+    fks = F.transform("foreign_keys", lambda f, j: item(
+        1, F.lit(""), j, F.lit(0), F.concat(ref(F.element_at(f, 1)), F.lit(" = "), ref(F.element_at(f, 2)))))
+    pks = F.transform("primary_keys", lambda p, j: item(2, F.lit(""), j, F.lit(0), ref(p)))
+    marker = F.array(item(-1, F.lit(""), F.lit(0), F.lit(0), F.lit("")))
+    return F.concat(marker, columns, fks, pks)
+
+
 def schema_strings(cat: DataFrame) -> DataFrame:
-    """(db_id, schema_str), one row per distinct ``db_id``, in one shuffle.
-
-    Columns, foreign keys and primary keys are exploded where each catalog
-    entry lies, tagged with a kind, and gathered once per database; sorting
-    the gathered items by (kind, table, entry, position) puts the tables in
-    code-point order and their columns in catalog order, and the text is then
-    rendered row-locally with array functions.  A database is one schema, so
-    each group is bounded by the size of its own schema text.
+    """(db_id, schema_str), one row per distinct ``db_id``: one scan of the
+    catalog and one shuffle.
+
+    Each entry's columns, foreign keys and primary keys become render items
+    in a single projection; the items are gathered once per database (entries
+    sharing a ``db_id`` merge here) and sorted by (kind, table, entry,
+    position), which puts tables in code-point order and their columns in
+    catalog order; the text is then rendered row-locally with array
+    functions.  A group is one database's schema, bounded by its own text.
     """
-    co = _cat_ord(cat)
-    marker = cat.select("db_id", F.lit(-1).alias("kind"), F.lit("").alias("tbl"), co.alias("k1"),
-                        F.lit(0).alias("k2"), F.lit(0).alias("k3"), F.lit("").alias("txt"))
-    cols = catalog_columns(cat).select("db_id", F.lit(0).alias("kind"), "tbl", F.col("cat_ord").alias("k1"),
-                                       F.col("col_ord").alias("k2"), F.col("tbl_ord").alias("k3"),
-                                       F.col("col").alias("txt"))
-    fks = catalog_foreign_keys(cat).select(
-        "db_id", F.lit(1).alias("kind"), F.lit("").alias("tbl"), F.col("cat_ord").alias("k1"),
-        F.col("fk_ord").alias("k2"), F.lit(0).alias("k3"),
-        F.concat_ws("", "tbl1", F.lit("."), "col1", F.lit(" = "), "tbl2", F.lit("."), "col2").alias("txt"))
-    pks = catalog_primary_keys(cat).select(
-        "db_id", F.lit(2).alias("kind"), F.lit("").alias("tbl"), F.col("cat_ord").alias("k1"),
-        F.col("pk_ord").alias("k2"), F.lit(0).alias("k3"), F.concat_ws("", "tbl", F.lit("."), "col").alias("txt"))
-    items = marker.unionByName(cols).unionByName(fks).unionByName(pks)
-    g = items.groupBy("db_id").agg(
-        F.array_sort(F.collect_list(F.struct("kind", "tbl", "k1", "k2", "k3", "txt"))).alias("xs"))
+    g = cat.select("db_id", _entry_items(cat).alias("items")).groupBy("db_id").agg(
+        F.array_sort(F.flatten(F.collect_list("items"))).alias("xs"))
 
     def texts(kind):
         return F.transform(F.filter("xs", lambda x: x["kind"] == kind), lambda x: x["txt"])
