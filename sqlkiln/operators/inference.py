@@ -137,7 +137,7 @@ def _terminators(tok, eos_id: int) -> list[int]:
     ids = [eos_id]
     for t in fixed.TERMINATOR_TOKENS:
         enc = tok.encode_batch([t])[0]
-        if enc and len(enc) == 1:
+        if enc is not None and len(enc) == 1:
             ids.append(int(enc[0]))
     return sorted(set(ids))
 
@@ -172,7 +172,7 @@ def generate(df: DataFrame, model: ModelSpec, tokenizer: TokenizerSpec = CODEPOI
             ids = np.full((len(enc), width), eos, dtype=np.int64)
             mask = np.zeros((len(enc), width), dtype=np.int64)
             for i, e in enumerate(enc):
-                if e:
+                if len(e):
                     ids[i, width - len(e):] = e
                     mask[i, width - len(e):] = 1
             seqs, logits = lm.generate(ids, mask, max_new_tokens, stops, eos, tok.decode_batch)

@@ -74,7 +74,8 @@ class TokenizerSpec:
     eos_token: str | None = None
 
     def load(self):
-        if self.kind == "codepoint":
+        if self.kind in ("codepoint", "codepoint_arrow"):
+            # "codepoint_arrow" runs the same tokenizer on the Arrow path.
             return CodepointTokenizer()
         if self.kind == "file":
             return _FileTokenizer(self.path, self.eos_token)
@@ -297,3 +298,48 @@ def completion_labels_native(df: DataFrame, ids_col: str, header_ids: list[int],
     if pad_id is not None:
         x = x.withColumn(out, F.transform(F.col(out), lambda v: F.when(v == F.lit(pad_id), F.lit(fixed.IGNORE_INDEX)).otherwise(v)))
     return x
+
+
+def tokenize_with_labels(df: DataFrame, text_col: str, header_text: str, spec: TokenizerSpec | None = None,
+                         ids_out: str = "input_ids", labels_out: str = "labels",
+                         pad_id: int | None = None) -> DataFrame:
+    """Tokenise and derive the completion-only labels in the same place.
+
+    Code points: a token index is a character index, so the last header is a
+    native reverse ``locate`` in the text and the labels are
+    ``array_repeat(-100, end) ++ ids[end:]`` (no per-token lambda, no
+    Python).  Other tokenizers: one Arrow UDF returns ids and labels together,
+    so the ids cross into Python once."""
+    spec = spec or CODEPOINT
+    if not header_text:
+        raise ValueError("header_text must not be empty")
+    if spec.kind == "codepoint":
+        text = F.col(text_col)
+        x = df.withColumn(ids_out, codepoints(text)).withColumn(
+            "__r", F.locate(header_text[::-1], F.reverse(text)))
+        end = F.when(F.col("__r") > 0, F.length(text) - F.col("__r") + 1).otherwise(F.size(ids_out)).cast("int")
+        x = x.withColumn("__end", end)
+        lab = F.concat(F.array_repeat(F.lit(fixed.IGNORE_INDEX), F.col("__end")),
+                       F.slice(ids_out, F.col("__end") + 1, F.greatest(F.size(ids_out) - F.col("__end"), F.lit(0))))
+        x = x.withColumn(labels_out, lab).drop("__r", "__end")
+        if pad_id is not None:
+            x = x.withColumn(labels_out, F.transform(labels_out, lambda v: F.when(
+                v == F.lit(pad_id), F.lit(fixed.IGNORE_INDEX)).otherwise(v)))
+        return x
+
+    out_type = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())),
+                             T.StructField("labels", T.ArrayType(T.IntegerType()))])
+
+    @F.pandas_udf(out_type)
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        tok = load_once(spec)
+        hdr = np.asarray(tok.encode_batch([header_text])[0], dtype=np.int64)
+        for s in batches:
+            enc = tok.encode_batch(s.tolist())
+            yield pd.DataFrame({
+                "ids": [None if e is None else np.asarray(e, dtype=np.int32) for e in enc],
+                "labels": [None if e is None else _labels_numpy(np.asarray(e), hdr, pad_id) for e in enc],
+            })
+
+    x = df.withColumn("__tl", both(F.col(text_col)))
+    return x.withColumn(ids_out, F.col("__tl.ids")).withColumn(labels_out, F.col("__tl.labels")).drop("__tl")

@@ -265,8 +265,7 @@ def header_ids() -> list[int]:
 
 @query
 def completion_labels(spark, sf):
-    p = TK.tokenize(build_prompts_train(spark, sf), "text", "input_ids")
-    lab = TK.completion_labels(p, "input_ids", header_ids(), "labels")
+    lab = TK.tokenize_with_labels(build_prompts_train(spark, sf), "text", fixed.ASSISTANT_HEADER)
     kept = F.array_remove("labels", F.lit(fixed.IGNORE_INDEX))
     return lab.select(
         "id", F.size("input_ids").cast("long").alias("n_tokens"), F.size(kept).cast("long").alias("n_labels"),

@@ -162,3 +162,23 @@ def test_truncate_scores_long(spark):
     kept = SC.truncate_scores_long(df, ["k"], "t", "eos")
     got = {r.k: (r.n_steps, r.score) for r in SC.confidence_long(kept, ["k"], "s").collect()}
     assert got == {"u": (2, 0.9), "v": (1, 0.4)}
+
+
+def test_completion_label_methods_agree(spark):
+    from sqlkiln import fixed
+
+    texts = ["<|start_header_id|>assistant<|end_header_id|>\n\nselect 1 ;<|eot_id|>",
+             "a<b <c <|start_header_id|>assistant<|end_header_id|>\n\nx<|start_header_id|>assistant<|end_header_id|>\n\ny",
+             "no header here", ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    hdr = [ord(c) for c in fixed.ASSISTANT_HEADER]
+    native = TK.tokenize_with_labels(df, "text", fixed.ASSISTANT_HEADER).orderBy("i").collect()
+    arrow = TK.tokenize_with_labels(df, "text", fixed.ASSISTANT_HEADER,
+                                    spec=TK.TokenizerSpec("codepoint_arrow")).orderBy("i").collect()
+    tok = TK.tokenize(df, "text", "input_ids")
+    a = TK.completion_labels(tok, "input_ids", hdr).orderBy("i").collect()
+    b = TK.completion_labels(tok, "input_ids", hdr, method="native").orderBy("i").collect()
+    assert [r.labels for r in native] == [r.labels for r in a] == [r.labels for r in b] == [r.labels for r in arrow]
+    assert [r.input_ids for r in native] == [r.input_ids for r in arrow]
+    assert native[1].labels[-1] == ord("y") and sum(x != -100 for x in native[1].labels) == 1
+    assert all(x == -100 for x in native[2].labels)
