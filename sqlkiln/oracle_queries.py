@@ -164,3 +164,44 @@ ORACLE["last_by_id"] = ("SELECT user_id, max(event_id) AS event_id, arg_max(even
 ORACLE["union_batches"] = ("SELECT doc_id AS ord, 'TS_' || CAST(doc_id AS VARCHAR) AS id FROM documents WHERE lang = 'en' "
                            "UNION ALL SELECT doc_id, 'TS_' || CAST(doc_id AS VARCHAR) FROM documents WHERE lang <> 'en'")
 ORACLE["stream_prompts_test"] = ORACLE["build_prompts_test"]
+
+
+# --- rendering parts, counts, array-form scoring ------------------------------
+ORACLE["table_lines"] = _with(O.CAT_ENTRIES) + (
+    "SELECT db_id, string_agg(line, '' ORDER BY tbl) AS tables_str FROM tab_lines GROUP BY db_id")
+ORACLE["fk_strings"] = _with(O.CAT_ENTRIES) + (
+    "SELECT db_id, '[' || string_agg(tbl1 || '.' || col1 || ' = ' || tbl2 || '.' || col2, ',' ORDER BY fk_ord) || ']' "
+    "AS fk_str FROM cat_fks GROUP BY db_id")
+ORACLE["pk_strings"] = _with(O.CAT_ENTRIES) + (
+    "SELECT db_id, '[' || string_agg(tbl || '.' || col, ',' ORDER BY pk_ord) || ']' || chr(10) AS pk_str "
+    "FROM cat_pks GROUP BY db_id")
+ORACLE["max_len"] = _with(DOC_TOKENS) + f"SELECT max(least(len(ids), {MAX_SEQ})) AS max_len FROM dt"
+ORACLE["prompt_counts"] = _with(O.LABELS) + (
+    "SELECT 'train' AS split, count(*) AS n_rows FROM questions q JOIN lbl l USING (id) "
+    "WHERE l.sql IS NOT NULL AND l.sql <> 'null' "
+    "UNION ALL SELECT 'test', count(*) FROM questions q JOIN lbl l USING (id)")
+
+_STEPS = ("vs AS (SELECT vec_id, list_transform(range(8), lambda s: list_transform(embedding[s * 8 + 1: s * 8 + 8], "
+          "lambda x: CAST(x AS DOUBLE))) AS st FROM embeddings), "
+          "ve AS (SELECT vec_id, st, list_transform(st, lambda l: ln(list_sum(list_transform(l, lambda x: exp(x - list_max(l))))) "
+          "- list_sum(list_transform(l, lambda x: (x - list_max(l)) * exp(x - list_max(l)))) "
+          "/ list_sum(list_transform(l, lambda x: exp(x - list_max(l))))) AS ent, "
+          "list_concat([0, 0, 7], list_transform(st, lambda l: list_position(l, list_max(l)) - 1)) AS seq FROM vs)")
+ORACLE["step_entropies"] = (
+    f"WITH {_STEPS} SELECT vec_id, array_to_string(list_transform(ent, lambda h: printf('%.6f', h)), ',') AS entropies FROM ve")
+
+
+def _array_scores_sql(start: int) -> str:
+    tail = f"seq[{start}:]"
+    return (f"WITH {_STEPS}, cut AS (SELECT vec_id, ent, coalesce(list_position({tail}, 0), 0) AS p FROM ve) "
+            "SELECT vec_id, CAST(CASE WHEN p = 0 THEN len(ent) ELSE least(p, len(ent)) END AS BIGINT) AS n_steps, "
+            "round(list_max(CASE WHEN p = 0 THEN ent ELSE ent[1:p] END), 6) AS score FROM cut")
+
+
+ORACLE["truncate_scores_array"] = _array_scores_sql(4)
+ORACLE["truncate_scores_compat"] = _array_scores_sql(2)
+ORACLE["strip_prompt"] = (
+    "WITH u AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'), "
+    "a AS (SELECT conv_id, turn - 1 AS turn, text FROM conversations WHERE role = 'assistant') "
+    f"SELECT conv_id, turn, CAST(len({O.codepoints('a.text')}) AS BIGINT) AS n_gen, "
+    f"CAST(coalesce(list_sum({O.codepoints('a.text')}), 0) AS BIGINT) AS gen_sum FROM u JOIN a USING (conv_id, turn)")

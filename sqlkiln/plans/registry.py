@@ -344,3 +344,94 @@ def stream_prompts_test(spark, sf):
 
     docs = read_table_stream(spark, sf, "documents")
     return run_to_table(stream_prompts(S.samples_from_documents(docs), _schemas(spark, sf), "test"))
+
+
+# --- rendering parts, counts, array-form scoring ------------------------------
+
+@query
+def table_lines(spark, sf):
+    """CAT-7 alone: the table lines of each database."""
+    return C.render_tables(C.catalog_columns(_catalog(spark, sf)))
+
+
+@query
+def fk_strings(spark, sf):
+    """CAT-8 alone (databases with keys; the rest render as ``[]``)."""
+    return C.render_foreign_keys(C.catalog_foreign_keys(_catalog(spark, sf)))
+
+
+@query
+def pk_strings(spark, sf):
+    """CAT-9 alone."""
+    return C.render_primary_keys(C.catalog_primary_keys(_catalog(spark, sf)))
+
+
+@query
+def max_len(spark, sf):
+    """AGG-3: the padding target of the truncated document tokens."""
+    return TK.max_length(TK.truncate(_doc_tokens(spark, sf), "input_ids", MAX_SEQ), "input_ids")
+
+
+@query
+def prompt_counts(spark, sf):
+    """AGG-5: rows per phase of the labelled corpus."""
+    tr = ehrsql_prompts_train(spark, sf).groupBy().count().select(F.lit("train").alias("split"), F.col("count").alias("n_rows"))
+    te = ehrsql_prompts_test(spark, sf).groupBy().count().select(F.lit("test").alias("split"), F.col("count").alias("n_rows"))
+    return tr.unionByName(te)
+
+
+EOS_STANDIN = 0
+STEPS, VOCAB = 8, 8
+
+
+def _vec_steps(spark, sf):
+    """embeddings as generation records: the 64 values are 8 steps x 8
+    logits; the emitted id of a step is its arg-max, EOS when that is 0;
+    the sequence is a 3-token prompt followed by the emitted ids."""
+    e = S.table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    steps = F.transform(F.sequence(F.lit(0), F.lit(STEPS - 1)), lambda s: F.slice("v", s * VOCAB + 1, VOCAB))
+    e = e.select("vec_id", steps.alias("step_logits"))
+    argmax = F.transform("step_logits", lambda l_: F.array_position(l_, F.array_max(l_)) - 1)
+    # The prompt part is left-padded with EOS, as generation pads it.
+    prompt = F.array(F.lit(EOS_STANDIN), F.lit(EOS_STANDIN), F.lit(7))
+    return e.select("vec_id", "step_logits", F.concat(prompt, argmax.cast("array<int>")).alias("seq"),
+                    F.lit(3).alias("input_len"))
+
+
+@query
+def step_entropies(spark, sf):
+    """SCR-1 over the steps of each record (nested arrays)."""
+    x = SC.step_entropies(_vec_steps(spark, sf), "step_logits", "ent")
+    return x.select("vec_id", F.array_join(F.transform("ent", lambda h: F.format_number(h, 6)), ",").alias("entropies"))
+
+
+def _array_scores(mode):
+    def run(spark, sf):
+        x = SC.step_entropies(_vec_steps(spark, sf), "step_logits", "scores")
+        x = SC.confidence(SC.truncate_scores(x, "seq", "scores", EOS_STANDIN, mode), "scores", "score")
+        return x.select("vec_id", F.size("scores").cast("long").alias("n_steps"), F.round("score", 6).alias("score"))
+    return run
+
+
+QUERIES["truncate_scores_array"] = _array_scores("aligned")
+QUERIES["truncate_scores_compat"] = _array_scores("compat")
+
+
+@query
+def strip_prompt_q(spark, sf):
+    """INF-2: a user turn is the prompt, the next assistant turn the output;
+    the output ids are cut back off the concatenated sequence."""
+    from ..operators.inference import strip_prompt
+
+    c = S.table(spark, sf, "conversations")
+    u = c.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("prompt"))
+    a = c.filter(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    pairs = u.join(a, ["conv_id", "turn"])
+    p = TK.tokenize(TK.tokenize(pairs, "prompt", "p_ids"), "answer", "a_ids")
+    seq = p.select("conv_id", "turn", F.concat("p_ids", "a_ids").alias("seq"), F.size("p_ids").alias("input_len"))
+    g = strip_prompt(seq, "seq", "input_len", "gen_ids")
+    return g.select("conv_id", "turn", F.size("gen_ids").cast("long").alias("n_gen"),
+                    F.aggregate("gen_ids", F.lit(0).cast("long"), lambda s, x: s + x).alias("gen_sum"))
+
+
+QUERIES["strip_prompt"] = QUERIES.pop("strip_prompt_q")
