@@ -8,7 +8,7 @@ and ``unmatched`` reports the keys.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..session import DEFAULT_BROADCAST_BYTES, broadcast_if_small
 from .catalog import empty_schema_string
@@ -58,19 +58,15 @@ def attach_schema(
     return _strict(joined, "__hit", "db_id", "schema string", on_missing)
 
 
-def attach_schema_const(samples: DataFrame, schemas: DataFrame, db_id: str) -> DataFrame:
-    """One fixed database's schema string on every sample.  A database absent
-    from the catalog renders as empty key lists, as in the original."""
-    spark: SparkSession = samples.sparkSession
-    one = (
-        spark.range(1)
-        .select(F.lit(db_id).alias("db_id"))
-        .join(schemas.filter(F.col("db_id") == F.lit(db_id)).select("db_id", "schema_str"), "db_id", "left")
-        .select(F.coalesce("schema_str", F.lit(empty_schema_string())).alias("schema_str"))
-        # schema_strings is keyed by db_id, so this is exactly one row.
-        .limit(1)
-    )
-    return samples.crossJoin(F.broadcast(one))
+def attach_schema_const(samples: DataFrame, schemas: DataFrame, db_id: str,
+                        max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+    """One fixed database's schema string on every sample: the same
+    size-checked lookup as ``attach_schema`` with a constant key.  A database
+    absent from the catalog renders as empty key lists, as in the original."""
+    dim = broadcast_if_small(schemas.filter(F.col("db_id") == F.lit(db_id)).select(
+        F.col("db_id").alias("__db"), "schema_str"), max_broadcast_bytes)
+    joined = samples.withColumn("__db", F.lit(db_id)).join(dim, "__db", "left").drop("__db")
+    return joined.withColumn("schema_str", F.coalesce("schema_str", F.lit(empty_schema_string())))
 
 
 def attach_labels(questions: DataFrame, labels: DataFrame, on_missing: str = "raise") -> DataFrame:

@@ -156,9 +156,9 @@ def pad(df: DataFrame, ids_col: str = "input_ids", pad_id: int = 0, side: str =
         mask_col: str = "attention_mask", materialize_first: bool | None = None) -> DataFrame:
     """Pad every sequence to the longest in the whole dataset (or to
     ``length``) and add the attention mask.  Right for training, left for
-    generation.  The target length is a one-row aggregate joined back; the
-    (already truncated) ids are checkpointed first so tokenisation does not
-    run twice, once for the aggregate and once for the padding."""
+    generation.  The target length is one aggregate read back as a number;
+    the (already truncated) ids are checkpointed first so tokenisation does
+    not run twice, once for the aggregate and once for the padding."""
     if side not in ("right", "left"):
         raise ValueError("side must be 'right' or 'left'")
     if materialize_first is None:
@@ -166,10 +166,9 @@ def pad(df: DataFrame, ids_col: str = "input_ids", pad_id: int = 0, side: str =
     if materialize_first:
         df = materialize(df)
     if length is None:
-        target = F.broadcast(max_length(df, ids_col).select(F.coalesce("max_len", F.lit(0)).alias("__L")))
-        df = df.crossJoin(target)
-    else:
-        df = df.withColumn("__L", F.lit(length))
+        # One number: the longest sequence of the whole dataset.
+        length = max_length(df, ids_col).first()["max_len"] or 0
+    df = df.withColumn("__L", F.lit(int(length)))
     return (
         df.withColumn(mask_col, pad_mask(ids_col, "__L", side))
         .withColumn(ids_col, pad_ids(ids_col, "__L", pad_id, side))
