@@ -175,7 +175,7 @@ ORACLE["fk_strings"] = _with(O.CAT_ENTRIES) + (
 ORACLE["pk_strings"] = _with(O.CAT_ENTRIES) + (
     "SELECT db_id, '[' || string_agg(tbl || '.' || col, ',' ORDER BY pk_ord) || ']' || chr(10) AS pk_str "
     "FROM cat_pks GROUP BY db_id")
-ORACLE["max_len"] = _with(DOC_TOKENS) + f"SELECT max(least(len(ids), {MAX_SEQ})) AS max_len FROM dt"
+ORACLE["max_len"] = _with(DOC_TOKENS) + f"SELECT CAST(max(least(len(ids), {MAX_SEQ})) AS INTEGER) AS max_len FROM dt"
 ORACLE["prompt_counts"] = _with(O.LABELS) + (
     "SELECT 'train' AS split, count(*) AS n_rows FROM questions q JOIN lbl l USING (id) "
     "WHERE l.sql IS NOT NULL AND l.sql <> 'null' "
