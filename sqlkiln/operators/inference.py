@@ -48,9 +48,11 @@ def cut_at_eos(seq: np.ndarray, scores: np.ndarray, eos_ids: set[int], start: in
 class LookupModel:
     """Deterministic stand-in generator (for tests and benches).
 
-    Answers with ``SELECT count(*) FROM <first table in the prompt>;`` (or
-    ``SELECT 1;``), one code point per step, and emits logits over a small
-    vocabulary that peak on the emitted token, so entropies vary by step."""
+    Answers ``SELECT count(*) FROM <name>;`` where the name is the first
+    ``Table <name>,`` of the (truncated) prompt, else the first word after
+    ``QUESTION: ``; with neither, ``SELECT 1;``.  One code point per step;
+    the logits of a step over a 32-entry vocabulary are
+    ``-|k - tok % 32| * (0.5 + (tok % 7) / 4)``, so entropies vary by token."""
 
     vocab = 32
 
@@ -68,6 +70,14 @@ class LookupModel:
             end = prompt.find(",", at)
             if end > at:
                 return f"SELECT count(*) FROM {prompt[at + 6:end]};"
+        q = prompt.find("QUESTION: ")
+        if q >= 0:
+            rest = prompt[q + 10:]
+            n = 0
+            while n < len(rest) and rest[n].isalpha():
+                n += 1
+            if n:
+                return f"SELECT count(*) FROM {rest[:n]};"
         return "SELECT 1;"
 
     def generate(self, input_ids: np.ndarray, attention_mask: np.ndarray, max_new_tokens: int, eos_ids: list[int],

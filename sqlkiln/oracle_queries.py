@@ -205,3 +205,27 @@ ORACLE["strip_prompt"] = (
     "a AS (SELECT conv_id, turn - 1 AS turn, text FROM conversations WHERE role = 'assistant') "
     f"SELECT conv_id, turn, CAST(len({O.codepoints('a.text')}) AS BIGINT) AS n_gen, "
     f"CAST(coalesce(list_sum({O.codepoints('a.text')}), 0) AS BIGINT) AS gen_sum FROM u JOIN a USING (conv_id, turn)")
+
+
+# --- generation with the stand-in model ----------------------------------------
+def _tok_entropy(tok: str) -> str:
+    v = f"(-abs(k - {tok} % 32) * (0.5 + ({tok} % 7) / 4.0))"
+    z = f"list_sum(list_transform(range(32), lambda k: exp({v})))"
+    return f"(ln({z}) - list_sum(list_transform(range(32), lambda k: {v} * exp({v}))) / {z})"
+
+
+_PT = "substr(text, 1, 256)"
+_AT = f"position('Table ' IN {_PT})"
+_OFF = f"position(',' IN substr({_PT}, {_AT}))"
+_WORD = "regexp_extract(" + _PT + ", 'QUESTION: (" + r"\p{L}" + "+)', 1)"
+ORACLE["generate_standin"] = (
+    "WITH p AS (" + _ehrsql("test") + "), "
+    f"b AS (SELECT ord, id, text, floor((row_number() OVER (ORDER BY ord) - 1) / {BATCH_SIZE}) AS batch_id FROM p), "
+    f"a AS (SELECT ord, id, batch_id, CASE WHEN {_AT} > 0 AND {_OFF} > 0 "
+    f"THEN 'SELECT count(*) FROM ' || substr({_PT}, {_AT} + 6, {_OFF} - 7) || ';' "
+    f"WHEN {_WORD} <> '' THEN 'SELECT count(*) FROM ' || {_WORD} || ';' ELSE 'SELECT 1;' END AS ans FROM b), "
+    "s AS (SELECT *, length(ans) AS n, max(length(ans)) OVER (PARTITION BY batch_id) AS n_max, "
+    f"list_transform(string_split(ans, ''), lambda c: {_tok_entropy('unicode(c)')}) AS ent FROM a) "
+    "SELECT id, split_part(ans, ';', 1) AS sql, "
+    f"round(CASE WHEN n < n_max THEN greatest(list_max(ent), {_tok_entropy('0')}) ELSE list_max(ent) END, 6) AS score "
+    "FROM s")

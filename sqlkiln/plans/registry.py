@@ -13,6 +13,10 @@ from ..operators.corpus import clean_questions, normalize_sql, postprocess_sql
 from ..operators.joins import attach_labels, attach_schema, attach_schema_const, unmatched
 from ..operators.ordering import with_batch_id
 from ..operators.prompts import drop_unanswerable, first_batch, render_conversations
+from .. import fixed
+from ..operators import confidence as SC
+from ..operators import tokens as TK
+from ..operators.inference import ModelSpec, generate
 from . import standins as S
 from .prompts import ehrsql_prompts, pauq_prompts
 
@@ -24,7 +28,10 @@ ONE_BATCH = 4         # default evaluation batch in one-batch mode
 
 
 def query(fn):
-    QUERIES[fn.__name__] = fn
+    """Register under the function name; a trailing ``_q`` (used where the
+    name would shadow an imported operator) is dropped."""
+    name = fn.__name__[:-2] if fn.__name__.endswith("_q") else fn.__name__
+    QUERIES[name] = fn
     return fn
 
 
@@ -182,16 +189,7 @@ def batch_ids(spark, sf):
     return with_batch_id(ehrsql_prompts_train(spark, sf).select("ord", "id"), BATCH_SIZE)
 
 
-# Public names without the "_q" suffix used to avoid clashing with imports.
-for _name in list(QUERIES):
-    if _name.endswith("_q"):
-        QUERIES[_name[:-2]] = QUERIES.pop(_name)
-
-
 # --- tokens ----------------------------------------------------------------
-from .. import fixed  # noqa: E402
-from ..operators import confidence as SC  # noqa: E402
-from ..operators import tokens as TK  # noqa: E402
 
 MAX_SEQ = 256          # option default of the original launcher
 PROFILE_LIMIT = 1024   # limit of the original length profile
@@ -322,16 +320,15 @@ def union_batches(spark, sf):
 
 
 # --- generation (stand-in model) -------------------------------------------
-from ..operators.inference import ModelSpec, generate  # noqa: E402
 
 
 @query
 def generate_standin(spark, sf):
-    """Test prompts -> stand-in generator -> (id, sql, score), last id wins.
-    Rows-only check: the generator has no SQL equivalent."""
+    """Test prompts -> stand-in generator -> (id, sql, score), last id wins:
+    batching, truncation, in-worker entropy, EOS cut and post-processing."""
     prompts = ehrsql_prompts_test(spark, sf)
     scored = generate(prompts, ModelSpec("lookup"), batch_size=BATCH_SIZE, max_seq_length=MAX_SEQ)
-    return SC.results(scored).select("id", "sql", "score")
+    return SC.results(scored).select("id", "sql", F.round("score", 6).alias("score"))
 
 
 # --- streaming -------------------------------------------------------------
@@ -433,5 +430,3 @@ def strip_prompt_q(spark, sf):
     return g.select("conv_id", "turn", F.size("gen_ids").cast("long").alias("n_gen"),
                     F.aggregate("gen_ids", F.lit(0).cast("long"), lambda s, x: s + x).alias("gen_sum"))
 
-
-QUERIES["strip_prompt"] = QUERIES.pop("strip_prompt_q")
