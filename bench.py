@@ -1,8 +1,9 @@
 """Bench: run the registered queries at $BENCH_SF_DIR on local[$BENCH_CPUS]
 and print one JSON line with per-query seconds.
 
-Each query is executed in full with the ``noop`` sink (no collect); the
-time includes planning and any eager materialisation the query does.
+Each query is executed in full with the ``noop`` sink (no collect), once,
+after a warm-up pass over the smallest tables; the time includes planning
+and any eager materialisation (checkpoints, size checks) the query does.
 """
 
 from __future__ import annotations
@@ -31,9 +32,10 @@ def main() -> None:
     from sqlkiln.session import local_session
 
     spark = local_session(cores=cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8, app="sqlkiln-bench")
-    # Warm the JVM and the Python workers on the smallest tables.
+    # Warm the JVM (code generation, JIT) and the Python workers by running
+    # every timed query once on the smallest tables.
     warm_dir = "/root/testdata/sf0.001" if os.path.isdir("/root/testdata/sf0.001") else sf_dir
-    for name in ("build_prompts_train", "step_entropy"):
+    for name in names:
         QUERIES[name](spark, warm_dir).write.format("noop").mode("overwrite").save()
     times = {}
     for name in names:
