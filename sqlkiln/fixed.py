@@ -48,11 +48,25 @@ TOKEN_RE = (
     rf"'[^']*'|{WORD}+(?:\.(?:{WORD}+|\*))*|<>|!=|>=|<=|==|\|\||{NOT_WS}"
 )
 
-# --- fixed values: ORDER BY key pattern that receives " asc" --------------
-# order by <key>( <op> <key>)* with key = fn ( arg ) | a.b | a and
-# op one of + - < <= > >=.
-_KEY = rf"(?:{WORD}+ \( {NOT_WS}+ \)|{WORD}+\.{WORD}+|{WORD}+)"
-ORDER_BY_RE = rf"order by {_KEY}(?: (?:\+|-|<|<=|>|>=) {_KEY})*"
+# --- fixed values: ORDER BY key pattern that receives " asc" (Python re
+# syntax, where \w and \S are Unicode-aware) -----------------------------
+ORDER_BY_PATTERN = (
+    r"order by (?:\w+ \( \S+ \)|\w+\.\w+|\w+)"
+    r"(?: (?:\+|\-|\<|\<\=|\>|\>\=) (?:\w+ \( \S+ \)|\w+\.\w+|\w+))*"
+)
+
+
+def portable(pattern: str) -> str:
+    r"""Python-syntax pattern -> one that Java and RE2 read the same way:
+    Unicode ``\w`` / ``\S`` become explicit classes, and escaped operator
+    characters lose the backslash RE2 does not accept."""
+    out = pattern.replace(r"\w", WORD).replace(r"\S", NOT_WS)
+    for ch in "<>=-":
+        out = out.replace("\\" + ch, ch)
+    return out
+
+
+ORDER_BY_RE = portable(ORDER_BY_PATTERN)
 
 # --- fixed values: table alias binding (FROM / JOIN / comma list) --------
 # group 1 = table, group 2 = alias t1..t10; the trailing class replaces \b.
