@@ -35,10 +35,17 @@ def _explode_array(files: DataFrame, json_col, element_ddl: str) -> DataFrame:
     return parsed.select((F.shiftleft(F.col("file_rank").cast("long"), 32) + F.col("pos")).alias("ord"), "r.*")
 
 
-def read_catalog(spark: SparkSession, path: str) -> DataFrame:
+CATALOG_COLUMNS = ["db_id", "table_names_original", "column_names_original", "column_types", "primary_keys",
+                   "foreign_keys", "cat_ord"]
+
+
+def read_catalog(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     """Schema catalog (``tables.json``).  ``table_names`` and
     ``column_names`` must be present (as in the original reader) and are
-    dropped; ``db_id`` stays a string even when it looks numeric."""
+    dropped; ``db_id`` stays a string even when it looks numeric.
+    ``fmt='parquet'`` reads a copy written by ``ingest_json_array``."""
+    if fmt == "parquet":
+        return spark.read.parquet(path).select(*CATALOG_COLUMNS)
     df = _explode_array(_whole_files(spark, path), F.col("value"), CATALOG_FIELDS)
     checked = df.withColumn(
         "db_id",
@@ -53,8 +60,11 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_pauq(spark: SparkSession, path: str) -> DataFrame:
-    """PAUQ samples: (ord, id, db_id, question, query)."""
+def read_pauq(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
+    """PAUQ samples: (ord, id, db_id, question, query).  ``fmt='parquet'``
+    reads a splittable copy written by ``ingest_json_array``."""
+    if fmt == "parquet":
+        return spark.read.parquet(path).select(*CORPUS_COLUMNS)
     return _explode_array(_whole_files(spark, path), F.col("value"), PAUQ_FIELDS).select(*CORPUS_COLUMNS)
 
 

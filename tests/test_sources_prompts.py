@@ -128,3 +128,12 @@ def test_result_invariant_under_repartition(spark, files):
     a = sorted(r.text for r in pauq_prompts(samples, schemas, "train").collect())
     b = sorted(r.text for r in pauq_prompts(samples.repartition(5), schemas.repartition(3), "train").collect())
     assert a == b
+
+
+def test_parquet_copies_give_same_prompts(spark, files, tmp_path):
+    src.ingest_json_array(spark, str(files / "train.json"), str(tmp_path / "train.parquet"))
+    src.ingest_json_array(spark, str(files / "tables.json"), str(tmp_path / "tables.parquet"), kind="catalog")
+    a = sorted(read_corpus(spark, "pauq", str(files / "train.json"), str(files / "tables.json"), "train").collect())
+    b = sorted(read_corpus(spark, "pauq", str(tmp_path / "train.parquet"), str(tmp_path / "tables.parquet"), "train",
+                           fmt="parquet").collect())
+    assert a == b
