@@ -32,6 +32,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -93,3 +94,31 @@ def broadcast_if_small(df: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES)
     if measured_bytes(small) <= max_bytes:
         return F.broadcast(small)
     return small
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``sqlkiln`` importable in Python workers (pandas UDFs and
+    ``mapInPandas`` pickle its functions by reference): zip the package once
+    per application and register it with ``addPyFile``, which ships it to
+    every executor.  Clusters that install the package, or pass it with
+    ``--py-files``, do not need this."""
+    import zipfile
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    import sqlkiln
+
+    pkg_dir = os.path.dirname(os.path.abspath(sqlkiln.__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="sqlkiln-pkg-"), "sqlkiln.zip")
+    with zipfile.ZipFile(out, "w") as z:
+        for root, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    sc.addPyFile(out)
+    _SHIPPED.add(sc.applicationId)
