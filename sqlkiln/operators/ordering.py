@@ -18,11 +18,9 @@ _LOW_BITS = (1 << 33) - 1
 
 
 def dense_positions(df: DataFrame, ord_col: str = "ord", out: str = "pos", num_partitions: int | None = None) -> DataFrame:
-    parts = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tagged = materialize(
-        df.repartitionByRange(parts, ord_col).sortWithinPartitions(ord_col)
-        .withColumn("__mid", F.monotonically_increasing_id())
-    )
+    # Without an explicit count AQE sizes the range partitions from the data.
+    ranged = df.repartitionByRange(num_partitions, ord_col) if num_partitions else df.repartitionByRange(ord_col)
+    tagged = materialize(ranged.sortWithinPartitions(ord_col).withColumn("__mid", F.monotonically_increasing_id()))
     pid = F.shiftright("__mid", 33)
     counts = tagged.groupBy(pid.alias("__pid")).agg(F.count(F.lit(1)).alias("__n"))
     # One row per partition: the prefix sum is over a bounded, tiny table.
