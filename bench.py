@@ -2,7 +2,7 @@
 and print one JSON line with per-query seconds.
 
 Each query is executed in full with the ``noop`` sink (no collect), once,
-after a warm-up pass over the smallest tables; the time includes planning
+after a warm-up pass over the sf0.01 tables ($BENCH_WARM_DIR); the time includes planning
 and any eager materialisation (checkpoints, size checks) the query does.
 """
 
@@ -33,8 +33,10 @@ def main() -> None:
 
     spark = local_session(cores=cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8, app="sqlkiln-bench")
     # Warm the JVM (code generation, JIT) and the Python workers by running
-    # every timed query once on the smallest tables.
-    warm_dir = "/root/testdata/sf0.001" if os.path.isdir("/root/testdata/sf0.001") else sf_dir
+    # every timed query once on small tables.
+    warm_dir = os.environ.get("BENCH_WARM_DIR", "/root/testdata/sf0.01")
+    if not os.path.isdir(warm_dir):
+        warm_dir = sf_dir
     for name in names:
         QUERIES[name](spark, warm_dir).write.format("noop").mode("overwrite").save()
     times = {}
