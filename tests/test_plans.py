@@ -54,3 +54,22 @@ def test_batch_ids_no_global_window(spark):
     # runs over the per-partition count table (one row per partition).
     assert p.count("Window [") == 1
     assert "row_number" not in p
+
+
+def test_filters_reach_the_scan(spark):
+    p = plan(QUERIES["union_batches"](spark, SF))
+    assert "PushedFilters: [IsNotNull(lang), EqualTo(lang,en)]" in p
+    assert "ReadSchema: struct<doc_id:bigint,lang:string>" in p
+
+
+def test_constant_schema_filter_pushed_into_part_scan(spark):
+    # attach_schema_const materialises this filtered side; its plan pushes
+    # the database filter through the catalog aggregation into the scan.
+    from pyspark.sql import functions as F
+
+    from sqlkiln.operators import catalog as C
+    from sqlkiln.plans import standins as S
+
+    schemas = C.schema_strings(S.catalog_from_part(S.table(spark, SF, "part")))
+    p = plan(schemas.filter(F.col("db_id") == "Brand#1"))
+    assert "EqualTo(p_brand,Brand#1)" in p
