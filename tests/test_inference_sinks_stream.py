@@ -67,3 +67,25 @@ def test_stream_matches_batch(spark):
     s = sorted((r.id, r.text) for r in QUERIES["stream_prompts_test"](spark, SF).collect())
     b = sorted((r.id, r.text) for r in QUERIES["build_prompts_test"](spark, SF).collect())
     assert s == b and len(s) > 0
+
+
+def test_stream_strict_lookup_fails_on_unknown_db(spark, tmp_path):
+    import json as _json
+
+    from conftest import F1_CATALOG
+    from sqlkiln.operators import catalog as C
+    from sqlkiln.sources.json_sources import read_catalog
+    from sqlkiln.streaming.prompts import run_to_table, stream_prompts
+
+    (tmp_path / "t.json").write_text(_json.dumps(F1_CATALOG))
+    schemas = C.schema_strings(read_catalog(spark, str(tmp_path / "t.json")))
+    rows = [(0, "a", "flat", "q", "SELECT a FROM t"), (1, "b", "nowhere", "q", "SELECT 1")]
+    src = spark.createDataFrame(rows, "ord long, id string, db_id string, question string, query string")
+    src.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(src.schema).parquet(str(tmp_path / "in"))
+    with pytest.raises(Exception, match="no schema string"):
+        run_to_table(stream_prompts(stream, schemas, "train"), str(tmp_path / "out"), str(tmp_path / "ck"))
+    ok = stream_prompts(spark.readStream.schema(src.schema).parquet(str(tmp_path / "in")), schemas, "train",
+                        on_missing="drop")
+    got = run_to_table(ok, str(tmp_path / "out2"), str(tmp_path / "ck2")).collect()
+    assert [r.id for r in got] == ["a"]
