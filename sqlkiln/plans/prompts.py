@@ -60,14 +60,15 @@ def read_corpus(spark: SparkSession, name: str, data_path: str, tables_path: str
                 one_batch: int | None = None, on_missing: str = "raise",
                 template: ChatTemplate = DEFAULT_TEMPLATE, fmt: str = "json") -> DataFrame:
     """Dataset dispatch by name; an unknown name is an error (the original
-    silently returns an empty dataset).  ``fmt='parquet'`` reads the PAUQ
-    samples and the catalog from copies written by ``ingest_json_array``."""
+    silently returns an empty dataset).  ``fmt='parquet'`` reads the corpus
+    and the catalog from copies written by ``ingest_json_array``."""
     schemas = cat_ops.schema_strings(src.read_catalog(spark, tables_path, fmt=fmt))
     if name == "pauq":
         return pauq_prompts(src.read_pauq(spark, data_path, fmt=fmt), schemas, phase, on_missing=on_missing,
                             template=template, one_batch=one_batch)
     if name == "ehrsql":
-        return ehrsql_prompts(src.read_ehrsql_questions(spark, data_path), src.read_ehrsql_labels(spark, data_path),
+        return ehrsql_prompts(src.read_ehrsql_questions(spark, data_path, fmt=fmt),
+                              src.read_ehrsql_labels(spark, data_path, fmt=fmt),
                               schemas, phase, on_missing=on_missing, template=template, one_batch=one_batch)
     raise ValueError(f"unknown dataset name {name!r}; expected 'pauq' or 'ehrsql'")
 

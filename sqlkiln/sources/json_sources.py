@@ -68,17 +68,23 @@ def read_pauq(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     return _explode_array(_whole_files(spark, path), F.col("value"), PAUQ_FIELDS).select(*CORPUS_COLUMNS)
 
 
-def read_ehrsql_questions(spark: SparkSession, directory: str) -> DataFrame:
-    """``data.json``: a bare list or an object whose ``data`` key holds it."""
+def read_ehrsql_questions(spark: SparkSession, directory: str, fmt: str = "json") -> DataFrame:
+    """``data.json``: a bare list or an object whose ``data`` key holds it.
+    ``fmt='parquet'``: ``directory`` holds the ``questions`` copy written by
+    ``ingest_json_array(kind='ehrsql')``."""
+    if fmt == "parquet":
+        return spark.read.parquet(f"{directory.rstrip('/')}/questions").select("ord", "id", "question")
     files = _whole_files(spark, f"{directory.rstrip('/')}/data.json")
     body = F.coalesce(F.get_json_object("value", "$.data"), F.col("value"))
     return _explode_array(files, body, QUESTION_FIELDS).select("ord", "id", "question")
 
 
-def read_ehrsql_labels(spark: SparkSession, directory: str) -> DataFrame:
+def read_ehrsql_labels(spark: SparkSession, directory: str, fmt: str = "json") -> DataFrame:
     """``label.json``: one object id -> SQL; (id, sql).  A repeated key keeps
     its last value; a JSON ``null`` stays NULL (the string ``'null'`` marks an
-    unanswerable question)."""
+    unanswerable question).  ``fmt='parquet'`` reads the ``labels`` copy."""
+    if fmt == "parquet":
+        return spark.read.parquet(f"{directory.rstrip('/')}/labels").select("id", "sql")
     files = _whole_files(spark, f"{directory.rstrip('/')}/label.json")
     pairs = files.select(
         "file_rank", F.posexplode(F.map_entries(F.from_json("value", "MAP<STRING,STRING>"))).alias("pos", "kv")
@@ -88,6 +94,12 @@ def read_ehrsql_labels(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def ingest_json_array(spark: SparkSession, path: str, out: str, kind: str = "pauq") -> None:
-    """Parse a JSON-array file once and write a splittable parquet copy."""
+    """Parse a JSON input once and write a splittable parquet copy.  For
+    ``kind='ehrsql'``, ``path`` is the directory with ``data.json`` and
+    ``label.json`` and ``out`` receives ``questions`` and ``labels``."""
+    if kind == "ehrsql":
+        read_ehrsql_questions(spark, path).write.mode("overwrite").parquet(f"{out.rstrip('/')}/questions")
+        read_ehrsql_labels(spark, path).write.mode("overwrite").parquet(f"{out.rstrip('/')}/labels")
+        return
     readers = {"pauq": read_pauq, "catalog": read_catalog}
     readers[kind](spark, path).write.mode("overwrite").parquet(out)

@@ -137,3 +137,13 @@ def test_parquet_copies_give_same_prompts(spark, files, tmp_path):
     b = sorted(read_corpus(spark, "pauq", str(tmp_path / "train.parquet"), str(tmp_path / "tables.parquet"), "train",
                            fmt="parquet").collect())
     assert a == b
+
+
+def test_ehrsql_parquet_copies_give_same_prompts(spark, files, tmp_path):
+    src.ingest_json_array(spark, str(files / "ehr_obj"), str(tmp_path / "ehr"), kind="ehrsql")
+    src.ingest_json_array(spark, str(files / "tables.json"), str(tmp_path / "tables.parquet"), kind="catalog")
+    for phase in ("train", "test"):
+        a = sorted(read_corpus(spark, "ehrsql", str(files / "ehr_obj"), str(files / "tables.json"), phase).collect())
+        b = sorted(read_corpus(spark, "ehrsql", str(tmp_path / "ehr"), str(tmp_path / "tables.parquet"), phase,
+                               fmt="parquet").collect())
+        assert a == b and len(a) > 0
