@@ -1,9 +1,10 @@
 """Batch generation over a prompt table, with confidence scoring done inside
 the worker so raw logits (steps x vocab per sample) never leave it.
 
-Rows are numbered densely in ``ord`` order and cut into sequential batches;
-the table is range-partitioned on the batch id so a batch never straddles
-two tasks, and each task loads the model once (per Python worker process).
+Rows are numbered densely in ``ord`` order and cut into sequential batches.
+Batches are scored where the ord-range partitions put them; only the few
+batches cut by a partition boundary move (a bounded range shuffle), so a
+batch never straddles two tasks.  Each worker process loads the model once.
 """
 
 from __future__ import annotations
@@ -154,7 +155,7 @@ def _terminators(tok, eos_id: int) -> list[int]:
 
 def generate(df: DataFrame, model: ModelSpec, tokenizer: TokenizerSpec = CODEPOINT, *, batch_size: int = 12,
              max_seq_length: int = 256, max_new_tokens: int = 256, num_beams: int = 1, mode: str = "aligned",
-             text_col: str = "text") -> DataFrame:
+             text_col: str = "text", num_partitions: int | None = None) -> DataFrame:
     """(ord, id, text) -> (ord, id, batch_id, sql, entropies, score).
 
     Prompts are truncated to ``max_seq_length`` tokens and left-padded with
@@ -165,9 +166,21 @@ def generate(df: DataFrame, model: ModelSpec, tokenizer: TokenizerSpec = CODEPOI
         raise ValueError("confidence scoring needs num_beams == 1 (rows would be batch x beams)")
     if mode not in ("aligned", "compat"):
         raise ValueError("mode must be 'aligned' or 'compat'")
-    batched = with_batch_id(df.select("ord", "id", text_col), batch_size)
-    # A batch must not straddle two tasks: range-partition on the batch id.
-    placed = batched.repartitionByRange("batch_id").sortWithinPartitions("batch_id", "ord")
+    batched = with_batch_id(df.select("ord", "id", text_col), batch_size, num_partitions=num_partitions)
+    # Rows sit in ord-range partitions, sorted.  A batch must not straddle two
+    # tasks: only batches cut by a partition boundary (at most one per
+    # boundary, so fewer than partitions x batch_size rows) are moved with a
+    # range shuffle; every other batch is scored where it lies.
+    bounds = batched.groupBy(F.spark_partition_id().alias("p")).agg(
+        F.min("batch_id").alias("lo"), F.max("batch_id").alias("hi")).collect()
+    seen, cut = set(), set()
+    for r in bounds:
+        for b in {r["lo"], r["hi"]}:
+            (cut if b in seen else seen).add(b)
+    cut = sorted(cut)
+    in_place = batched.filter(~F.col("batch_id").isin(cut)) if cut else batched
+    moved = batched.filter(F.col("batch_id").isin(cut)).repartitionByRange("batch_id").sortWithinPartitions(
+        "batch_id", "ord") if cut else None
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tok = load_once(tokenizer)
@@ -208,7 +221,9 @@ def generate(df: DataFrame, model: ModelSpec, tokenizer: TokenizerSpec = CODEPOI
         if pending:
             yield score_batch(pd.concat(pending, ignore_index=True))
 
-    out = placed.mapInPandas(run, OUTPUT_SCHEMA)
+    out = in_place.mapInPandas(run, OUTPUT_SCHEMA)
+    if moved is not None:
+        out = out.unionByName(moved.mapInPandas(run, OUTPUT_SCHEMA))
     return out.select("ord", "id", "batch_id", postprocess_generated_sql("raw_sql").alias("sql"), "entropies",
                       "score")
 

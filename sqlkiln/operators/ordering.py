@@ -31,9 +31,10 @@ def dense_positions(df: DataFrame, ord_col: str = "ord", out: str = "pos", num_p
     )
 
 
-def with_batch_id(df: DataFrame, batch_size: int, ord_col: str = "ord", out: str = "batch_id") -> DataFrame:
+def with_batch_id(df: DataFrame, batch_size: int, ord_col: str = "ord", out: str = "batch_id",
+                  num_partitions: int | None = None) -> DataFrame:
     """Sequential batches in ``ord`` order; the last batch may be short."""
     if batch_size < 1:
         raise ValueError("batch_size must be >= 1")
-    pos = dense_positions(df, ord_col, "__pos")
+    pos = dense_positions(df, ord_col, "__pos", num_partitions)
     return pos.withColumn(out, F.floor(F.col("__pos") / F.lit(batch_size)).cast("long")).drop("__pos")

@@ -89,3 +89,15 @@ def test_stream_strict_lookup_fails_on_unknown_db(spark, tmp_path):
                         on_missing="drop")
     got = run_to_table(ok, str(tmp_path / "out2"), str(tmp_path / "ck2")).collect()
     assert [r.id for r in got] == ["a"]
+
+
+def test_generate_batches_cut_by_partitions(spark):
+    rows = [(i * 3, f"id{i}", f"QUESTION: w{'x' * (i % 5)} q\\nDATABASE SCHEMA: Table t{i % 4}, columns = [*,a]\\n")
+            for i in range(100)]
+    df = spark.createDataFrame(rows, "ord long, id string, text string")
+    one = generate(df, ModelSpec("lookup"), batch_size=4, max_seq_length=40, num_partitions=1)
+    many = generate(df, ModelSpec("lookup"), batch_size=4, max_seq_length=40, num_partitions=7)
+    a = sorted(one.collect())
+    b = sorted(many.collect())
+    assert a == b
+    assert sorted(r.batch_id for r in b) == [i // 4 for i in range(100)]
