@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sqlkiln.llm import simhash
-from sqlkiln.llm.common import table
+from sqlkiln.llm import langid, simhash
+from sqlkiln.llm.common import fold, table
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,8 +18,17 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("component").alias("component_id"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(fold(F.col("doc_id"), 3) != 1))
+    found = langid.predict(docs, model)
+    return found.select(F.col("id").alias("doc_id"), (fold(F.col("id"), 3) == 1).alias("held_out"), "lang_pred",
+                        "score", "n_letter_words", "n_switches")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op7_language_id": op7_language_id,
 }
 
 ORACLE: dict[str, str] = {}
