@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sqlkiln.llm import langid, simhash
+from sqlkiln.llm import langid, sharding, simhash
 from sqlkiln.llm.common import fold, table
 
 
@@ -26,9 +26,16 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "score", "n_letter_words", "n_switches")
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.assign(table(spark, sf_dir, "documents"), shards=16, slots=sharding.SLOTS)
+    return found.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                        F.lit(None).cast("int").alias("grown_shard"), "vslot")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op7_language_id": op7_language_id,
+    "op8_sharding": op8_sharding,
 }
 
 ORACLE: dict[str, str] = {}
