@@ -52,3 +52,18 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, li
 
 def spark_type(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
+
+
+def unused_name(df: DataFrame, name: str) -> str:
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
+def row_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """The id of a row; a null id is replaced by a stand-in made from the
+    text, which sorts after all real ids."""
+    spare = F.lit(1 << 62) + F.xxhash64(F.col(text_col)).bitwiseAND((1 << 61) - 1)
+    if spark_type(docs, id_col) in ("tinyint", "smallint", "int", "bigint"):
+        return F.coalesce(F.col(id_col).cast("long"), spare)
+    return F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("￿"), spare.cast("string")))

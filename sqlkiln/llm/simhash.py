@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from sqlkiln.llm.common import spark_type
+from sqlkiln.llm.common import row_key, spark_type, unused_name
 from sqlkiln.llm.components import components
 from sqlkiln.session import materialize
 
@@ -116,21 +116,13 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     the one with the smallest id, and one row only if that id repeats. A row
     with a null id stands after all rows with ids. Columns are unchanged,
     whatever they are called."""
-    spare = F.lit(1 << 62) + F.xxhash64(F.col(text_col)).bitwiseAND((1 << 61) - 1)
-    row_id = F.coalesce(F.col(id_col), spare) if spark_type(docs, id_col) in ("bigint", "int") else \
-        F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("￿"), spare.cast("string")))
-    mine = _free_name(docs, "row_id")
-    keyed = docs.withColumn(mine, row_id)
+    mine = unused_name(docs, "row_id")
+    keyed = docs.withColumn(mine, row_key(docs, id_col, text_col))
     groups = near_duplicates(keyed.select(F.col(mine).alias("doc"), F.col(text_col).alias("body")), "doc", "body",
                              shingle_words, radius)
     stay = groups.where("id = component").select(F.col("id").alias("stay")).distinct()
     kept = keyed.join(materialize(stay), F.col(mine) == F.col("stay"), "left_semi")
-    first = _free_name(docs, "nth_row")
+    first = unused_name(docs, "nth_row")
     kept = kept.withColumn(first, F.row_number().over(Window.partitionBy(mine).orderBy(mine)))
     return kept.where(F.col(first) == 1).select(*[kept[f"`{c}`"] for c in docs.columns])
 
-
-def _free_name(df: DataFrame, name: str) -> str:
-    while name in df.columns:
-        name = f"_{name}"
-    return name
