@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sqlkiln.llm import decontam, langid, sharding, simhash
+from sqlkiln.llm import decontam, langid, mixing, sharding, simhash
 from sqlkiln.llm.common import fold, table
 
 
@@ -24,6 +24,20 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "last_word", "passage")
 
 
+# Token shares of the label domains; the good documents stay as they are.
+MIX_TARGETS = {"good": 0.94, "low": 0.04, "toxic": 0.02}
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, fit = mixing.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), MIX_TARGETS,
+                              keep_whole="good")
+    at = {n: i for i, n in enumerate(fit.domains)} if fit else {}
+    shares = [(F.get("member", F.lit(at[n])) if n in at else F.lit(None).cast("double")).alias(f"p_{n}")
+              for n in MIX_TARGETS]
+    return found.select(F.col("id").alias("doc_id"), F.col("tokens").cast("long").alias("tokens"), *shares, "rate",
+                        "copies")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(fold(F.col("doc_id"), 3) != 1))
@@ -41,6 +55,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op3_decontamination": op3_decontamination,
+    "op5_mixing": op5_mixing,
     "op7_language_id": op7_language_id,
     "op8_sharding": op8_sharding,
 }

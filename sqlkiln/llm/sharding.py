@@ -114,9 +114,13 @@ def plan(records: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> dict[i
     return balance(weights, shards, slots)
 
 
-def with_shard(docs: DataFrame, owner: dict[int, int], id_col: str = "doc_id", shard_name: str = "shard") -> DataFrame:
-    """``docs`` with its shard; no shuffle."""
-    return docs.withColumn(shard_name, shard_column(slot_of(F.col(id_col), len(owner)), owner))
+def sharded(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, id_col: str = "doc_id",
+            text_col: str = "text", slot_name: str = "vslot", shard_name: str = "shard") -> DataFrame:
+    """``docs`` with its virtual slot and shard; only the slot sums shuffle.
+    A column of ``docs`` with one of those names is replaced."""
+    slot = slot_of(F.col(id_col), slots)
+    owner = plan(docs.select(slot.alias("vslot"), record_size(F.col(text_col)).alias("size")), shards, slots)
+    return docs.withColumns({slot_name: slot, shard_name: shard_column(slot, owner)})
 
 
 def assign(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, id_col: str = "doc_id",
@@ -162,5 +166,5 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, slots: int =
     name = "shard"
     while name in docs.columns:
         name = f"_{name}"
-    with_shard(docs, owner, id_col, name).write.partitionBy(name).parquet(f"{path}/data")
+    docs.withColumn(name, shard_column(slot_of(F.col(id_col), slots), owner)).write.partitionBy(name).parquet(f"{path}/data")
     return owner
