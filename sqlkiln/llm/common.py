@@ -31,7 +31,9 @@ def ascii_lower(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """The white-space separated words of a text (null or blank: none)."""
-    spaced = F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     ")
+    spaced = F.coalesce(text, F.lit(""))
+    for c in "\t\n\x0b\x0c\r":
+        spaced = F.replace(spaced, F.lit(c), F.lit(" "))
     return F.array_remove(F.split(spaced, " "), "")
 
 

@@ -10,18 +10,18 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sqlkiln.llm.common import ascii_lower, unused_name, words
+from sqlkiln.llm.common import unused_name, words
 from sqlkiln.session import broadcast_if_small, materialize
 
 # Words hash into so many buckets.
 BUCKETS = 1 << 16
 # The classifier is fitted on about so many labelled documents at most.
 SAMPLE_DOCS = 20_000
-# A bucket counts when its rates in two domains differ by so many standard
-# errors; all other buckets are one.
-EVIDENCE = 4.5
+# A bucket counts when its log rates in two domains differ by so many standard
+# errors and by so much; all other buckets are one.
+EVIDENCE, EFFECT = 4.5, 1.5
 TEMPERATURES = tuple(2.0 ** -k for k in range(0, 9))
-STEPS, TOLERANCE, STEP_SIZE = 60, 1e-3, 0.9
+STEPS, TOLERANCE, STEP_SIZE = 60, 2e-3, 0.9
 SYMBOLS = "#*$%&|<>"
 # Levels of the three shape features: symbols a word, exclamation marks a
 # word, and length by share of distinct words.
@@ -31,7 +31,7 @@ LEVELS = (9, 9, 16 * 6)
 @dataclass
 class Domains:
     """Naive Bayes against the first domain: log odds of distinct word
-    buckets, of shape levels, and a temperature that flattens them."""
+    buckets and of shape levels, flattened by a temperature, over a prior."""
 
     names: list[str]
     prior: list[float]
@@ -55,9 +55,9 @@ def _dropped(text: Column, symbols: str) -> Column:
 
 def features(docs: DataFrame, text_col: str, tokens: str, found: str, shape: str) -> DataFrame:
     """``docs`` with its token count (words plus one, a double), the distinct
-    buckets of its words (ASCII-lower-cased) and its three shape levels."""
+    buckets of its words (case kept) and its three shape levels."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    raw = docs.withColumn(found, words(ascii_lower(text)))
+    raw = docs.withColumn(found, words(text))
     size = F.greatest(F.size(found), F.lit(1))
     signs = [F.least(F.lit(8), F.floor(4 * _dropped(text, s) / size)).cast("int") for s in (SYMBOLS, "!")]
     raw = raw.withColumn(tokens, (F.size(found) + 1).cast("double")).withColumn(shape, F.array(*signs))
@@ -77,19 +77,19 @@ def _total(found: Column, table: Column) -> Column:
     return F.aggregate(found, F.lit(0.0), lambda acc, b: acc + F.get(table, b))
 
 
-def logits(found: Column, shape: Column, model: Domains) -> list[Column]:
-    """Per domain, the log odds against the first one."""
+def evidence(found: Column, shape: Column, model: Domains) -> list[Column]:
+    """Per domain, the log likelihood ratio against the first one."""
     out = [F.lit(0.0)]
     for d in range(1, len(model.names)):
-        odds = F.lit(float(model.prior[d])) + _total(found, _numbers(model.weights[d]))
+        odds = _total(found, _numbers(model.weights[d]))
         for j, levels in enumerate(model.shapes[d]):
             odds = odds + F.get(_numbers(levels), F.get(shape, F.lit(j)))
         out.append(odds)
     return out
 
 
-def posterior(odds: list[Column], temperature: float) -> list[Column]:
-    scaled = [o * F.lit(temperature) for o in odds]
+def posterior(odds: list[Column], prior: list[float], temperature: float) -> list[Column]:
+    scaled = [o * F.lit(temperature) + F.lit(float(p)) for o, p in zip(odds, prior)]
     top = F.greatest(*scaled) if len(scaled) > 1 else scaled[0]
     weight = [F.exp(s - top) for s in scaled]
     total = sum(weight[1:], weight[0])
@@ -130,12 +130,12 @@ def fit_domains(sample: DataFrame) -> Domains | None:
     levels = levels.groupBy("domain", "part", "nth", "level").count().collect()
     half = _naive_bayes(names, sizes, counted, levels, (0,))
     model = _naive_bayes(names, sizes, counted, levels, (0, 1))
-    odds = logits(F.col("found"), F.col("shape"), half)
+    odds = evidence(F.col("found"), F.col("shape"), half)
     right = rows.where("part = 1").select("domain", F.array(*odds).alias("odds"))
     own = [F.get(F.col("odds"), F.lit(i)) for i in range(len(names))]
     losses = []
     for t in TEMPERATURES:
-        p = posterior(own, t)
+        p = posterior(own, half.prior, t)
         true = F.coalesce(*[F.when(F.col("domain") == n, p[i]) for i, n in enumerate(names)])
         losses.append(F.avg(-F.log(F.greatest(true, F.lit(1e-12)))).alias(f"t{len(losses)}"))
     loss = right.agg(*losses).collect()[0]
@@ -152,8 +152,8 @@ def _naive_bayes(names: list[str], sizes: list, counted: DataFrame, levels: list
             docs[names.index(r["domain"])] += r["docs"]
             total[names.index(r["domain"])] += r["words"]
     n = [sum(F.col(f"n{i}_{p}") for p in parts) + 0.5 for i in range(k)]
-    far = [F.abs(F.log(n[i] / total[i]) - F.log(n[0] / total[0])) > EVIDENCE * F.sqrt(1 / n[i] + 1 / n[0])
-           for i in range(1, k)]
+    far = [F.abs(F.log(n[i] / total[i]) - F.log(n[0] / total[0])) > F.greatest(
+        F.lit(EFFECT), EVIDENCE * F.sqrt(1 / n[i] + 1 / n[0])) for i in range(1, k)]
     kept = counted.select("bucket", *[c.alias(f"n{i}") for i, c in enumerate(n)], F.greatest(F.lit(False), F.lit(False), *far)
                           .alias("far")).where("far").collect() if far else []
     rest = [max(1e-9, 1 - sum(r[f"n{i}"] for r in kept) / total[i]) for i in range(k)]
@@ -180,9 +180,9 @@ def with_membership(docs: DataFrame, model: Domains, text_col: str, tokens: str,
     words."""
     found, shape = unused_name(docs, "found"), unused_name(docs, "shape")
     scored = features(docs, text_col, tokens, found, shape)
-    scored = scored.withColumn(found, F.array(*logits(F.col(found), F.col(shape), model)))
+    scored = scored.withColumn(found, F.array(*evidence(F.col(found), F.col(shape), model)))
     odds = [F.get(F.col(found), F.lit(i)) for i in range(len(model.names))]
-    return scored.withColumn(member, F.array(*posterior(odds, model.temperature))).drop(found, shape)
+    return scored.withColumn(member, F.array(*posterior(odds, model.prior, model.temperature))).drop(found, shape)
 
 
 @dataclass
@@ -219,7 +219,9 @@ def fit_rates(members: DataFrame, domains: list[str], weights: dict[str, float],
     metric in which a token of any document costs the same. A domain that no
     document belongs to has no say, and the other weights are scaled to it.
 
-    ``members`` holds ``tokens`` and ``member``. Every step is one aggregate
+    It ends at the targets, or when a step no longer lowers the squared error
+    (targets that the posteriors cannot express are met as nearly as they
+    can). ``members`` holds ``tokens`` and ``member``. Every step is one aggregate
     with one number per domain to the driver; the rates follow from the
     history of those numbers, so nothing per document is ever stored."""
     k = len(domains)
@@ -237,7 +239,12 @@ def fit_rates(members: DataFrame, domains: list[str], weights: dict[str, float],
     target = [budget * a / scale for a in asked]
     state, fit = members.withColumn("rate", F.lit(1.0)), Fit([], lower, domains, target, natural, natural)
     reached = natural
+    before = math.inf
     for n in range(steps):
+        error = sum((reached[d] - target[d]) ** 2 / natural[d] for d in range(k) if live[d])
+        if error > (1 - TOLERANCE) * before:
+            break
+        before = error
         miss = [(reached[d] - target[d]) / natural[d] if live[d] else 0.0 for d in range(k)]
         if max(abs(reached[d] - target[d]) for d in range(k)) <= TOLERANCE * budget:
             break
