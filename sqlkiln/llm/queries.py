@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sqlkiln.llm import decontam, langid, mixing, sharding, simhash
+from sqlkiln.llm import decontam, langid, mixing, sharding, simhash, toxicity
 from sqlkiln.llm.common import fold, table
 
 
@@ -38,6 +38,14 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "copies")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs.where(fold(F.col("doc_id"), 5) != 0), table(spark, sf_dir, "labels"))
+    found = toxicity.score(docs, model)
+    return found.select(F.col("id").alias("doc_id"), (fold(F.col("id"), 5) == 0).alias("held_out"), "score",
+                        (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(fold(F.col("doc_id"), 3) != 1))
@@ -56,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op3_decontamination": op3_decontamination,
     "op5_mixing": op5_mixing,
+    "op6_toxicity": op6_toxicity,
     "op7_language_id": op7_language_id,
     "op8_sharding": op8_sharding,
 }
