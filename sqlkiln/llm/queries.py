@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sqlkiln.llm import decontam, langid, mixing, sharding, simhash, toxicity
+from sqlkiln.llm import decontam, langid, mixing, ppm, sharding, simhash, toxicity
 from sqlkiln.llm.common import fold, table
 
 
@@ -60,6 +60,12 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.lit(None).cast("int").alias("grown_shard"), "vslot")
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ppm.score(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 10) != 0)
+    return found.select(F.col("id").alias("doc_id"), (fold(F.col("id"), 10) == 0).alias("held_out"), "n_tokens",
+                        "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op3_decontamination": op3_decontamination,
@@ -67,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_language_id": op7_language_id,
     "op8_sharding": op8_sharding,
+    "op9_lm_scoring": op9_lm_scoring,
 }
 
 ORACLE: dict[str, str] = {}
