@@ -1,5 +1,5 @@
 """Language-model scoring by prediction by partial matching over bytes: a
-context trie with escape estimation (method C) and symbol exclusion.
+context trie with escape estimation (method D) and symbol exclusion.
 
 A text is its sequence of tokens: words of lower-cased (A-Z) bytes, one space
 between them, and one end symbol. Contexts are the last ``ORDER`` symbols; the
@@ -20,13 +20,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.taskcontext import TaskContext
 
 from sqlkiln.llm.common import chunks, spark_type
-from sqlkiln.session import materialize
+from sqlkiln.session import materialize, shared_dir
 
-ORDER = 4
+ORDER = 5
 END, START, ALPHABET = 256, 257, 257  # bytes and the end can be predicted
 BITS = 9
-# Entries of each table that goes to every worker (16 bytes each).
-MOST_SHARED = 1_000_000
+# Entries of each table that goes to every worker (under 36 MB each).
+MOST_SHARED = 1_300_000
 PIECE_BYTES = 2 * 1024 * 1024
 SMOOTHING = 0.1
 _BLANKS = re.compile(rb"[\x20\x09-\x0d]+")
@@ -60,10 +60,10 @@ class Trie:
                 continue
             fresh = {s: n for s, n in seen.items() if s not in excluded}
             if fresh:
-                whole = sum(fresh.values()) + len(fresh)
+                whole = sum(fresh.values())
                 if symbol in fresh:
-                    return total + math.log10(fresh[symbol] / whole)
-                total += math.log10(len(fresh) / whole)
+                    return total + math.log10((fresh[symbol] - 0.5) / whole)
+                total += math.log10(0.5 * len(fresh) / whole)
             excluded = frozenset(seen)
         return total - math.log10(ALPHABET - len(excluded))
 
@@ -150,7 +150,7 @@ class Shared:
 
     @staticmethod
     def of(keys: np.ndarray, values: np.ndarray) -> Shared:
-        size = 1 << max(4, int(2 * len(keys)).bit_length())
+        size = 1 << max(4, int(1.5 * len(keys)).bit_length())
         table = Shared(np.zeros(size, np.int64), np.zeros(size), np.zeros(size, bool))
         left, slot = np.arange(len(keys)), table._slot(keys)
         while len(left):
@@ -230,8 +230,8 @@ def gram_scores(counts: DataFrame, order: int) -> DataFrame:
     ones escape from context to shorter context, each time leaving out the
     symbols of the longer one: with T the occurrences and D the distinct
     symbols of a context, and O the occurrences there of the symbols of the
-    longer context (D' of them), a symbol seen n times has n / (T - O + D - D')
-    and the escape (D - D') over the same. What no context knows is uniform
+    longer context (D' of them), a symbol seen n times has (n - 1/2) / (T - O)
+    and the escape (D - D') / 2 over the same. What no context knows is uniform
     over the symbols left. Every level is one aggregate of the level above;
     contexts of up to one symbol are broadcast, their number is fixed by the
     alphabet."""
@@ -253,7 +253,7 @@ def gram_scores(counts: DataFrame, order: int) -> DataFrame:
             F.sum("here").alias("t"), F.count(F.lit(1)).alias("d"), F.sum("there").alias("o")))
     seen = known.join(counts.select(F.col("gram").alias("g"), "seen"), F.col("gram") == F.col("g"))
     seen = seen.withColumn("at", _context(F.col("gram"))).join(stats[order], F.col("at") == F.col("context"))
-    seen = seen.select("gram", "seen", F.log10(F.col("n") / (F.col("t") + F.col("d"))).alias("p"))
+    seen = seen.select("gram", "seen", F.log10((F.col("n") - 0.5) / F.col("t")).alias("p"))
     new = counts.where("gram is not null and n = 0").select(
         "gram", "seen", F.lit(0.0).alias("p"), F.lit(0).cast("long").alias("up_o"), F.lit(0).cast("long").alias("up_d"),
         F.lit(False).alias("done"))
@@ -263,10 +263,10 @@ def gram_scores(counts: DataFrame, order: int) -> DataFrame:
         new = new.join(F.broadcast(here) if k <= 1 else here, F.col("at") == F.col("context"), "left")
         counted = level[k].select(F.col("gram").alias("known"), "n")
         new = new.join(F.broadcast(counted) if k <= 1 else counted, F.col("short") == F.col("known"), "left")
-        whole = F.col("t") - F.col("up_o") + F.col("d") - F.col("up_d")
-        fresh = F.col("d") - F.col("up_d")
+        whole = F.col("t") - F.col("up_o")
+        fresh = (F.col("d") - F.col("up_d")) / 2
         open_ = ~F.col("done") & F.col("t").isNotNull()
-        step = F.when(~open_, 0.0).when(F.col("n").isNotNull(), F.log10(F.col("n") / whole)).when(
+        step = F.when(~open_, 0.0).when(F.col("n").isNotNull(), F.log10((F.col("n") - 0.5) / whole)).when(
             fresh > 0, F.log10(fresh / whole)).otherwise(0.0)
         new = materialize(new.select(
             "gram", "seen", (F.col("p") + step).alias("p"), F.when(open_, F.col("o")).otherwise(F.col("up_o")).alias("up_o"),
@@ -345,7 +345,10 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
                         yield _rare(ids[owner], keys, what, batch.column(0).type)
 
     schema = (f"row long, id {kind}, size long, known long, base double, model double, gram long, token long, n long")
-    out = materialize(narrow.mapInArrow(run, schema))
+    # A written table: mostly nulls and repeated values, which Parquet packs.
+    path = shared_dir(spark, "ppm")
+    narrow.mapInArrow(run, schema).write.parquet(path)
+    out = spark.read.parquet(path)
     whole = out.where("size is not null").select("row", "id", "size", "known", "base", "model")
     left = out.where("gram is not null").select("row", F.col("gram").alias("key"), F.col("n").alias("times"))
     by_gram = left.join(scored.select("gram", "p"), F.col("key") == F.col("gram")).select(
