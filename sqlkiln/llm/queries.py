@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sqlkiln.llm import decontam, langid, mixing, ppm, sharding, simhash, toxicity
+from sqlkiln.llm import decontam, langid, mixing, ppm, quality_rules, sharding, simhash, toxicity
 from sqlkiln.llm.common import fold, table
 
 
@@ -66,6 +66,13 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "n_known", "train_tokens", "base_score", "score")
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines",
+                        "n_repeat_words", "base_failed", "kept", "stratum",
+                        *[f"over_{r.name}" for r in quality_rules.RULES])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op3_decontamination": op3_decontamination,
@@ -74,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language_id": op7_language_id,
     "op8_sharding": op8_sharding,
     "op9_lm_scoring": op9_lm_scoring,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE: dict[str, str] = {}
