@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sqlkiln.llm import decontam, langid, mixing, ppm, quality_rules, sharding, simhash, toxicity
+from sqlkiln.llm import chat, decontam, langid, mixing, ppm, quality_rules, sharding, simhash, toxicity, weak_quality
 from sqlkiln.llm.common import fold, table
 
 
@@ -18,12 +18,24 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("component").alias("component_id"))
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chat.rotate(table(spark, sf_dir, "conversations"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
+    return found.select("conv_id", "segment", "speaker", "n_turns", "text", spans.alias("mask_spans"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "score", "ratio", "first_word",
                         "last_word", "passage")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = weak_quality.score(docs, weak_quality.fit(docs))
+    return found.select(F.col("id").alias("doc_id"), "score", "weak", "ballot", (F.col("score") >= 0.5).alias("kept"))
+
+
 # Token shares of the label domains; the good documents stay as they are.
 MIX_TARGETS = {"good": 0.90, "low": 0.05, "toxic": 0.05}
 
@@ -75,7 +87,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_chat_formatting": op2_chat_formatting,
     "op3_decontamination": op3_decontamination,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_mixing": op5_mixing,
     "op6_toxicity": op6_toxicity,
     "op7_language_id": op7_language_id,
@@ -84,4 +98,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_chat_formatting": """
+with rows as (
+    select distinct conv_id, turn, coalesce(role, 'unknown') as role, coalesce(text, '') as said,
+           coalesce(cast(floor(turn / 512) as bigint), 0) as segment
+    from conversations),
+speakers as (select distinct conv_id, segment, role as speaker from rows where role <> 'system'),
+pieces as (
+    select r.conv_id, r.segment, s.speaker, r.turn, r.role, r.said, r.role = s.speaker as own,
+           '<|im_start|>' || case when r.role = s.speaker then 'assistant' when r.role = 'system' then 'system'
+               else 'user name=' || r.role end || chr(10) as head,
+           r.said || '<|im_end|>' || chr(10) as tail
+    from rows r join speakers s on r.conv_id is not distinct from s.conv_id and r.segment = s.segment),
+placed as (
+    select *, sum(length(head) + length(tail)) over (
+        partition by conv_id, segment, speaker order by turn nulls first, role, said) as ends
+    from pieces)
+select conv_id, segment, speaker, count(*) as n_turns,
+       string_agg(head || tail, '' order by turn nulls first, role, said) as text,
+       coalesce(string_agg((ends - length(tail)) || '-' || ends, ',' order by turn nulls first, role, said)
+                filter (where own), '') as mask_spans
+from placed group by conv_id, segment, speaker
+""",
+}
