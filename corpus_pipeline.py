@@ -13,7 +13,7 @@ from sqlkiln.llm.queries import MIX_TARGETS
 from sqlkiln.session import ensure_checkpoint_dir, shared_dir, ship_package
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-LANGUAGE_SHARE = 0.35
+LANGUAGE_SHARE = 0.3
 SHARDS = 16
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Texts in one Arrow batch are handed to numpy in pieces of about this size.
-CHUNK_BYTES = 4 * 1024 * 1024
+CHUNK_BYTES = 2 * 1024 * 1024
 # Words are runs of anything but ASCII white space (bytes.split() agrees).
 NOT_SPACE = r"[^\x20\x09-\x0D]"
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -20,13 +20,15 @@ BUCKET_BITS = 18
 NGRAMS = (1, 2, 3, 4)
 # The labelled sample: about so many documents of each language, and so many
 # evenly spaced segments of so many words from each.
-SAMPLE_DOCS, SEGMENTS, SEGMENT_WORDS = 600, 4, 32
+SAMPLE_DOCS, SEGMENTS, SEGMENT_WORDS = 250, 4, 32
 MAX_LANGUAGES = 64
 SWITCH_RATE = 0.25
 ITERATIONS, STEP, DECAY = 30, 0.5, 1e-4
 BLOCK_WORDS = 256
 # A longer text is labelled as several chains, which bounds a worker's memory.
-CHAIN_WORDS = 1_000_000
+CHAIN_WORDS = 250_000
+# Texts labelled at once.
+LABEL_BYTES = 1 << 20
 
 _KIND = np.arange(8, dtype=np.uint64) << np.uint64(40)
 _ODD = (np.random.default_rng(7).integers(1, 1 << 62, 8).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -68,7 +70,7 @@ def features(found: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     hashes = np.add.reduceat((buf + np.uint64(1)) * power[at], first)
     buckets.append((hashes * _ODD[6]) >> np.uint64(64 - BUCKET_BITS))
     owners.append(np.arange(len(found)))
-    return np.concatenate(buckets).astype(np.int64), np.concatenate(owners), hashes
+    return np.concatenate(buckets).astype(np.int32), np.concatenate(owners).astype(np.int32), hashes
 
 
 def emissions(model: Model, found: list[bytes]) -> np.ndarray:
@@ -279,21 +281,19 @@ def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text"
     """The rows of ``docs`` whose text has a language with a share of at
     least ``least``; columns unchanged. Row-local, no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    where = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = np.zeros(batch.num_rows, bool)
-            for i, share, _, _ in _documents(shared.value, batch.column(where)):
-                ok[i] = share.max() >= least
-            yield batch.filter(pa.array(ok))
+    def identified(texts: pa.Array) -> pa.Array:
+        ok = np.zeros(len(texts), bool)
+        for i, share, _, _ in _documents(shared.value, texts):
+            ok[i] = share.max() >= least
+        return pa.array(ok)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(F.arrow_udf(identified, "boolean")(F.col(text_col).cast("string")))
 
 
 def _documents(net: Model | None, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, int, int]]:
     """(row, language shares, words, switches) of every text with a letter."""
-    for at, piece in chunks(texts) if net else ():
+    for at, piece in chunks(texts, LABEL_BYTES) if net else ():
         found = [text_words(data) for data in piece]
         if len(piece) == 1:  # may be very long: several chains, summed
             cuts = [found[0][j : j + CHAIN_WORDS] for j in range(0, len(found[0]), CHAIN_WORDS)]

@@ -14,7 +14,7 @@ from sqlkiln.llm.common import unused_name, words
 from sqlkiln.session import broadcast_if_small, materialize
 
 # Words hash into so many buckets.
-BUCKETS = 1 << 16
+BUCKETS = 1 << 14
 # The classifier is fitted on about so many labelled documents at most.
 SAMPLE_DOCS = 20_000
 # A bucket counts when its log rates in two domains differ by so many standard
