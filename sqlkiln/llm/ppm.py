@@ -25,9 +25,11 @@ from sqlkiln.session import materialize, shared_dir
 ORDER = 5
 END, START, ALPHABET = 256, 257, 257  # bytes and the end can be predicted
 BITS = 9
-# Entries of each table that goes to every worker (under 36 MB each).
-MOST_SHARED = 1_300_000
-PIECE_BYTES = 2 * 1024 * 1024
+# Entries of the gram table that goes to every worker, at most (36 MB); and a
+# token is shared that makes up one in so many of the training tokens, which
+# bounds the number of shared tokens by the same figure.
+MOST_SHARED, TOKEN_SHARE = 1_300_000, 4_000_000
+PIECE_BYTES = 1024 * 1024
 SMOOTHING = 0.1
 _BLANKS = re.compile(rb"[\x20\x09-\x0d]+")
 
@@ -292,15 +294,15 @@ def most_frequent(table: DataFrame, weight: str, most: int) -> DataFrame:
 
 
 def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER,
-          most_shared: int = MOST_SHARED) -> DataFrame:
+          most_shared: int = MOST_SHARED, token_share: int = TOKEN_SHARE) -> DataFrame:
     """``(id, n_tokens, n_known, train_tokens, base_score, score)`` per row.
 
     ``score`` is the log10 probability of the whole text under the trie of
     the texts that ``training`` picks; ``base_score`` that of its tokens
-    under add-0.1 smoothed token counts of the same texts. Frequent grams and
-    tokens, at most ``most_shared`` of each, go to the workers; all others are
-    joined by key, where none is frequent enough to crowd a task. Nothing is
-    pruned. Null and empty texts have the end token alone. Rows are kept one
+    under add-0.1 smoothed token counts of the same texts. The most frequent
+    grams (at most ``most_shared``) and every token that makes up one in
+    ``token_share`` training tokens go to the workers; all others are joined
+    by key, where none is frequent enough to crowd a task. Nothing is pruned. Null and empty texts have the end token alone. Rows are kept one
     for one, repeated and null ids included. Without training texts every
     symbol is uniform."""
     spark = docs.sparkSession
@@ -313,8 +315,9 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     types = row["v"] + (ends > 0)
     bottom = math.log10(total + SMOOTHING * (types + 1))
     scored = materialize(gram_scores(counts, order))
-    shared = [spark.sparkContext.broadcast(_shared(most_frequent(t, w, most_shared), k, v)) for t, w, k, v in (
-        (scored, "seen", "gram", "p"), (tokens, "n", "token", "n"))]
+    often = tokens.where(F.col("n") * F.lit(token_share) >= F.lit(total))
+    shared = [spark.sparkContext.broadcast(_shared(*x)) for x in (
+        (most_frequent(scored, "seen", most_shared), "gram", "p"), (often, "token", "n"))]
     end_value = math.log10(ends + SMOOTHING)
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
