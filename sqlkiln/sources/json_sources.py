@@ -1,16 +1,21 @@
 """Readers for schema catalogs and question/SQL corpora.
 
 The corpora are JSON arrays (or one JSON object for labels).  A JSON array is
-not splittable, so each file is read whole (``wholetext``), parsed with
-``from_json`` and exploded with its position: ``ord`` (file order) is fixed at
-ingestion and travels to every sink.  For large corpora call
-``ingest_json_array`` once and read the parquet copy afterwards.
+not splittable, so each file is one row (``wholetext``) that is parsed where
+it was read and exploded with its position: ``ord`` (file order) is fixed at
+ingestion and travels to every sink.  A corpus may be a folder of such files.
+Malformed JSON and missing required fields are errors, never an empty or
+shorter corpus.  For large corpora call ``ingest_json_array`` once and read
+the parquet copy (``fmt='parquet'``), or bring JSON lines (``fmt='jsonl'``),
+which split; their ``ord`` field gives the order.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..session import broadcast_if_small
+
 CATALOG_FIELDS = (
     "db_id STRING, table_names_original ARRAY<STRING>, column_names_original ARRAY<ARRAY<STRING>>, "
     "column_types ARRAY<STRING>, primary_keys ARRAY<BIGINT>, foreign_keys ARRAY<ARRAY<BIGINT>>, "
@@ -22,17 +27,48 @@ QUESTION_FIELDS = "id STRING, question STRING"
 CORPUS_COLUMNS = ["ord", "id", "db_id", "question", "query"]
 
 
-def _whole_files(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file: (file_rank, value)."""
-    raw = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file_path"))
-    # One row per input file: ranking the file list is a tiny window.
-    return raw.select("value", (F.dense_rank().over(Window.orderBy("file_path")) - 1).alias("file_rank"))
+FAILFAST = {"mode": "FAILFAST"}
 
 
-def _explode_array(files: DataFrame, json_col, element_ddl: str) -> DataFrame:
-    """Explode a JSON array of objects; ``ord`` = file rank << 32 | position."""
-    parsed = files.select("file_rank", F.posexplode(F.from_json(json_col, f"ARRAY<STRUCT<{element_ddl}>>")).alias("pos", "r"))
-    return parsed.select((F.shiftleft(F.col("file_rank").cast("long"), 32) + F.col("pos")).alias("ord"), "r.*")
+def _whole_files(spark: SparkSession, path: str) -> DataFrame:
+    """One row per file: (file_path, file_rank, value).  Only the list of
+    paths is ranked; the texts stay in the tasks that read them."""
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), "value")
+    if len(raw.inputFiles()) <= 1:
+        return raw.withColumn("file_rank", F.lit(0))
+    paths = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file_path"))
+    ranks = paths.select("file_path", (F.row_number().over(Window.orderBy("file_path")) - 1).alias("file_rank"))
+    return raw.join(broadcast_if_small(ranks), "file_path")
+
+
+def _required(fields: str, what: str):
+    """Fail on a row of ``r`` that lacks one of the comma-separated fields."""
+    r = F.col("r")
+    checked = r
+    for name in fields.split(","):
+        text = F.concat(F.lit(f"{what} without {name} in "), F.col("file_path"), F.lit(" at position "),
+                        F.col("pos").cast("string"))
+        checked = F.when(F.col(f"r.{name}").isNull(), F.raise_error(text)).otherwise(checked)
+    return checked
+
+
+def _explode_array(files: DataFrame, json_col, element_ddl: str, required: str, what: str) -> DataFrame:
+    """Explode a JSON array of objects; ``ord`` = file rank << 32 | position.
+    A file that is not such an array, or a row without a required field, is
+    an error that names the file."""
+    array = F.from_json(json_col, f"ARRAY<STRUCT<{element_ddl}>>", FAILFAST)
+    array = F.coalesce(array, F.raise_error(F.concat(F.lit(f"no JSON array of {what}s in "), F.col("file_path"))))
+    parsed = files.select("file_path", "file_rank", F.posexplode(array).alias("pos", "r"))
+    return parsed.select((F.shiftleft(F.col("file_rank").cast("long"), 32) + F.col("pos")).alias("ord"),
+                         _required(required, what).alias("r")).select("ord", "r.*")
+
+
+def _lines(spark: SparkSession, path: str, ddl: str, required: str) -> DataFrame:
+    """JSON lines with an ``ord`` field: splittable, strict."""
+    rows = spark.read.schema(f"ord BIGINT, {ddl}").json(path, mode="FAILFAST")
+    for name in ("ord", *required.split(",")):
+        rows = rows.withColumn(name, F.coalesce(F.col(name), F.raise_error(F.lit(f"a line without {name} in {path}"))))
+    return rows
 
 
 CATALOG_COLUMNS = ["db_id", "table_names_original", "column_names_original", "column_types", "primary_keys",
@@ -46,15 +82,12 @@ def read_catalog(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame
     ``fmt='parquet'`` reads a copy written by ``ingest_json_array``."""
     if fmt == "parquet":
         return spark.read.parquet(path).select(*CATALOG_COLUMNS)
-    df = _explode_array(_whole_files(spark, path), F.col("value"), CATALOG_FIELDS)
-    checked = df.withColumn(
-        "db_id",
-        F.when(
-            F.col("table_names").isNull() | F.col("column_names").isNull(),
-            F.raise_error(F.concat(F.lit("catalog entry lacks table_names/column_names: "), F.col("db_id"))),
-        ).otherwise(F.col("db_id")),
-    )
-    return checked.select(
+    required = "db_id,table_names,column_names,table_names_original,column_names_original,column_types,primary_keys,foreign_keys"
+    if fmt == "jsonl":
+        df = _lines(spark, path, CATALOG_FIELDS, required)
+    else:
+        df = _explode_array(_whole_files(spark, path), F.col("value"), CATALOG_FIELDS, required, "catalog entry")
+    return df.select(
         "db_id", "table_names_original", "column_names_original", "column_types", "primary_keys", "foreign_keys",
         F.col("ord").alias("cat_ord"),
     )
@@ -65,7 +98,10 @@ def read_pauq(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     reads a splittable copy written by ``ingest_json_array``."""
     if fmt == "parquet":
         return spark.read.parquet(path).select(*CORPUS_COLUMNS)
-    return _explode_array(_whole_files(spark, path), F.col("value"), PAUQ_FIELDS).select(*CORPUS_COLUMNS)
+    required = "id,db_id,question,query"
+    if fmt == "jsonl":
+        return _lines(spark, path, PAUQ_FIELDS, required).select(*CORPUS_COLUMNS)
+    return _explode_array(_whole_files(spark, path), F.col("value"), PAUQ_FIELDS, required, "sample").select(*CORPUS_COLUMNS)
 
 
 def read_ehrsql_questions(spark: SparkSession, directory: str, fmt: str = "json") -> DataFrame:
@@ -76,7 +112,7 @@ def read_ehrsql_questions(spark: SparkSession, directory: str, fmt: str = "json"
         return spark.read.parquet(f"{directory.rstrip('/')}/questions").select("ord", "id", "question")
     files = _whole_files(spark, f"{directory.rstrip('/')}/data.json")
     body = F.coalesce(F.get_json_object("value", "$.data"), F.col("value"))
-    return _explode_array(files, body, QUESTION_FIELDS).select("ord", "id", "question")
+    return _explode_array(files, body, QUESTION_FIELDS, "id,question", "question").select("ord", "id", "question")
 
 
 def read_ehrsql_labels(spark: SparkSession, directory: str, fmt: str = "json") -> DataFrame:
@@ -86,9 +122,9 @@ def read_ehrsql_labels(spark: SparkSession, directory: str, fmt: str = "json") -
     if fmt == "parquet":
         return spark.read.parquet(f"{directory.rstrip('/')}/labels").select("id", "sql")
     files = _whole_files(spark, f"{directory.rstrip('/')}/label.json")
-    pairs = files.select(
-        "file_rank", F.posexplode(F.map_entries(F.from_json("value", "MAP<STRING,STRING>"))).alias("pos", "kv")
-    ).select(F.col("kv.key").alias("id"), F.col("kv.value").alias("sql"), "file_rank", "pos")
+    entries = F.coalesce(F.from_json("value", "MAP<STRING,STRING>", FAILFAST),
+                         F.raise_error(F.concat(F.lit("no JSON object of labels in "), F.col("file_path"))))
+    pairs = files.select("file_rank", F.posexplode(F.map_entries(entries)).alias("pos", "kv")).select(F.col("kv.key").alias("id"), F.col("kv.value").alias("sql"), "file_rank", "pos")
     last = pairs.groupBy("id").agg(F.max_by(F.struct("sql"), F.struct("file_rank", "pos")).alias("v"))
     return last.select("id", F.col("v.sql").alias("sql"))
 

@@ -14,6 +14,28 @@ def write_prompts(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.select("ord", "id", "text").write.mode(mode).parquet(path)
 
 
+def write_json_arrays(df: DataFrame, path: str, per_file: int = 5000, key: str = "ord") -> None:
+    """Rows as a folder of JSON arrays, the input shape of the readers: one
+    array per file, of the rows whose ``key`` hashes alike (about
+    ``per_file``, so that no array outgrows a task)."""
+    files = max(1, -(-df.count() // per_file))
+    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
+    arrays = df.select(F.pmod(F.xxhash64(key), F.lit(files)).alias("__file"), F.col(key).alias("__key"), row.alias("__row"))
+    text = F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__key", "__row"))),
+                                                         lambda r: r["__row"]), ","), F.lit("]"))
+    made = arrays.groupBy("__file").agg(text.alias("value")).select("value")
+    made.write.option("maxRecordsPerFile", 1).mode("overwrite").text(path)
+
+
+def write_json_objects(df: DataFrame, path: str, key: str, value: str, per_file: int = 5000) -> None:
+    """Rows as a folder of JSON objects ``key -> value``, one per file."""
+    files = max(1, -(-df.count() // per_file))
+    pair = F.struct(F.col(key).alias("k"), F.col(value).alias("v"))
+    keyed = df.select(F.pmod(F.xxhash64(key), F.lit(files)).alias("__file"), pair.alias("__pair"))
+    text = F.to_json(F.map_from_entries(F.array_sort(F.collect_list("__pair"))), {"ignoreNullFields": "false"})
+    keyed.groupBy("__file").agg(text.alias("value")).select("value").write.option("maxRecordsPerFile", 1).mode("overwrite").text(path)
+
+
 def write_results(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
     """``id -> (sql, score)``: one row per id, the last occurrence wins (the
     original writes a dictionary).  Parquet or JSON lines instead of pickle."""
@@ -29,14 +51,13 @@ def write_predictions(df: DataFrame, path: str, mode: str = "overwrite") -> None
     df.orderBy("ord").select(F.coalesce("sql", F.lit("")).alias("value")).write.mode(mode).text(path)
 
 
-def read_predictions(spark, path: str) -> list[str]:
-    """Lines of a prediction folder in order (for checks; small outputs)."""
-    files = sorted(f for f in os.listdir(path) if f.startswith("part-"))
-    lines = []
-    for f in files:
-        with open(os.path.join(path, f), encoding="utf-8") as fh:
-            lines.extend(fh.read().splitlines())
-    return lines
+def read_predictions(spark, path: str) -> DataFrame:
+    """The lines of a prediction folder with their order: ``(file_path,
+    line, sql)``; part files follow each other in name order.  Each file is
+    read by one task, as it was written by one."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), "value")
+    lines = F.split(F.regexp_replace("value", "\\n$", ""), "\n")
+    return files.where("value <> ''").select("file_path", F.posexplode(lines).alias("line", "sql"))
 
 
 def output_name(test_path: str, one_batch: bool, kind: str) -> str:
