@@ -8,6 +8,7 @@ no watermark, no state store.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.prompts import pauq_prompts
@@ -15,15 +16,18 @@ from ..plans import standins as S
 from ..session import shared_dir
 
 
-def read_table_stream(spark: SparkSession, sf_dir: str, name: str, max_files_per_trigger: int = 1) -> DataFrame:
-    """A driver table as a file stream (schema taken from the batch read)."""
-    schema = S.table(spark, sf_dir, name).schema
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{name}.parquet")
-        .option("maxFilesPerTrigger", max_files_per_trigger)
-        .parquet(sf_dir)
-    )
+def read_table_stream(spark: SparkSession, sf_dir: str, name: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """A table, one file or a folder of part files, as a file stream (schema
+    taken from the batch read).  Without ``max_files_per_trigger`` all files
+    that are there make one micro-batch."""
+    batch = S.table(spark, sf_dir, name)
+    reader = spark.readStream.schema(batch.schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    if [f.rsplit("/", 1)[-1] for f in batch.inputFiles()] == [f"{name}.parquet"]:
+        # One file: a stream watches folders, so it watches this name in one.
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def stream_prompts(samples_stream: DataFrame, schemas: DataFrame, phase: str = "test", **kw) -> DataFrame:
@@ -46,4 +50,10 @@ def run_to_table(df: DataFrame, out_path: str | None = None, checkpoint: str | N
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
-    return spark.read.parquet(out_path)
+    # No arrived data, no files: still a table of the query's shape.
+    try:
+        return spark.read.schema(df.schema).parquet(out_path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], df.schema)
