@@ -42,10 +42,10 @@ WORD = r"[\p{L}\p{N}_]"
 NOT_WS = rf"[^{PY_WS_CLASS}]"
 
 # --- fixed values: SQL token contract (one token per match) --------------
-# quoted literal | dotted name (t1.name, t1.*) | two-char operators | any
+# quoted literal ('' stands for a quote in it) | dotted name (t1.name, t1.*) | two-char operators | any
 # other non-blank character.
 TOKEN_RE = (
-    rf"'[^']*'|{WORD}+(?:\.(?:{WORD}+|\*))*|<>|!=|>=|<=|==|\|\||{NOT_WS}"
+    rf"'(?:[^']|'')*'|{WORD}+(?:\.(?:{WORD}+|\*))*|<>|!=|>=|<=|==|\|\||{NOT_WS}"
 )
 
 # --- fixed values: ORDER BY key pattern that receives " asc" (Python re

@@ -78,7 +78,10 @@ def apply_aliases(c, bindings) -> Column:
         dropped = F.replace(acc, F.concat(F.lit("as "), alias, F.lit(" ")), F.lit(""))
         return F.when(table.isNull(), acc).otherwise(F.replace(dropped, alias, table))
 
-    return F.aggregate(F.array(*[F.lit(a) for a in fixed.ALIASES]), as_col(c), step)
+    # Only bound aliases are folded over, in the order t1..t10; most texts
+    # bind none and pass through.
+    bound = F.filter(F.array(*[F.lit(a) for a in fixed.ALIASES]), lambda a: F.exists(bindings, lambda b: b["a"] == a))
+    return F.when(F.size(bindings) == 0, as_col(c)).otherwise(F.aggregate(bound, as_col(c), step))
 
 
 def remove_table_alias(c) -> Column:
@@ -102,12 +105,3 @@ NORMALIZE_STAGES = [
     ("alias", remove_table_alias),
     ("tabs", drop_tabs),
 ]
-
-
-def normalize_sql_col(c) -> Column:
-    """The whole normalisation as one nested expression (for ad-hoc use;
-    the DataFrame job materialises stages instead)."""
-    out = as_col(c)
-    for _, stage in NORMALIZE_STAGES:
-        out = stage(out)
-    return out

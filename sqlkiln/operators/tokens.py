@@ -1,9 +1,9 @@
 """Tokenised-dataset operators: tokenise, truncate, pad, length profile,
 training-step budget, round-trip check and the completion-only loss mask.
 
-The built-in tokenizer (one id per code point) is a native expression.  Any
-other tokenizer is a ``TokenizerSpec`` loaded once per Python worker and run
-on Arrow batches (iterator pandas UDF).
+Tokenizers run on Arrow batches in the workers: the built-in one (one id per
+code point) as one zero-copy buffer per batch, any other as a
+``TokenizerSpec`` loaded once per worker.
 """
 
 from __future__ import annotations
@@ -13,11 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .. import fixed
-from ..functions.arrays import codepoints, pad_ids, pad_mask
-from ..session import materialize
+from ..functions.arrays import pad_ids, pad_mask
 
 
 # --- pluggable tokenizers ----------------------------------------------------
@@ -27,6 +28,9 @@ class CodepointTokenizer:
 
     eos_id = 0
 
+    def token_id(self, token: str) -> int | None:
+        return ord(token) if len(token) == 1 else None
+
     def encode_batch(self, texts: list[str]):
         return [None if t is None else np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32).astype(np.int32)
                 for t in texts]
@@ -50,6 +54,12 @@ class _FileTokenizer:
 
         self._tok = Tokenizer.from_file(path)
         self.eos_id = self._tok.token_to_id(eos_token) if eos_token else None
+        if eos_token and self.eos_id is None:
+            raise ValueError(f"end-of-sequence token {eos_token!r} is not in the vocabulary")
+
+    def token_id(self, token: str) -> int | None:
+        """Id of a token of the vocabulary (special tokens included)."""
+        return self._tok.token_to_id(token)
 
     def encode_batch(self, texts):
         idx = [i for i, t in enumerate(texts) if t is not None]
@@ -96,19 +106,38 @@ def load_once(spec):
 
 # --- operators ---------------------------------------------------------------
 
+def codepoint_lists(texts: pa.Array, max_len: int | None = None) -> pa.Array:
+    """Code points of a string column as an Arrow list column: one buffer of
+    32-bit units is the values, the text lengths are the offsets."""
+    found = texts.to_pylist()
+    cut = ["" if t is None else t[:max_len] for t in found]
+    values = np.frombuffer("".join(cut).encode("utf-32-le"), np.int32)
+    offsets = np.zeros(len(cut) + 1, np.int32)
+    np.cumsum([len(t) for t in cut], out=offsets[1:])
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+    return pc.if_else(pa.array([t is not None for t in found]), lists, pa.scalar(None, lists.type)) if None in found else lists
+
+
 def tokenize(df: DataFrame, text_col: str = "text", out: str = "input_ids", spec: TokenizerSpec | None = None,
-             native: bool = True) -> DataFrame:
-    """Tokenise whole texts, no special tokens added.  The code-point
-    tokenizer runs as a native expression unless ``native=False``."""
+             max_len: int | None = None) -> DataFrame:
+    """Tokenise texts, no special tokens added, cut to the first ``max_len``
+    ids if given.  Code points need no more than the first ``max_len``
+    characters, so a long text is cut before it leaves the JVM; their ids are
+    one zero-copy buffer per Arrow batch."""
     spec = spec or CODEPOINT
-    if spec.kind == "codepoint" and native:
-        return df.withColumn(out, codepoints(text_col))
+    if spec.kind.startswith("codepoint"):
+        text = F.col(text_col) if max_len is None else F.substring(F.col(text_col), 1, max_len)
+
+        # Two arguments, see ``tokenize_with_labels``.
+        points = F.arrow_udf(lambda texts, _: codepoint_lists(texts, max_len), "array<int>")
+        x = df.withColumn("__text", text)
+        return x.withColumn(out, points(F.col("__text"), F.length("__text"))).drop("__text")
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tok = load_once(spec)
         for s in batches:
-            yield pd.Series(tok.encode_batch(s.tolist()))
+            yield pd.Series([None if e is None else e[:max_len] for e in tok.encode_batch(s.tolist())])
 
     return df.withColumn(out, encode(F.col(text_col)))
 
@@ -147,26 +176,24 @@ def truncate(df: DataFrame, ids_col: str, max_len: int, out: str | None = None)
     return df.withColumn(out or ids_col, F.slice(F.col(ids_col), 1, max_len))
 
 
-def max_length(df: DataFrame, ids_col: str) -> DataFrame:
-    """One row: the longest sequence (the padding target)."""
-    return df.agg(F.max(F.size(ids_col)).alias("max_len"))
+def max_length(df: DataFrame, col: str, max_len: int | None = None) -> DataFrame:
+    """One row: the longest sequence, at most ``max_len`` (the padding
+    target).  ``col`` is an id array, or a token count (``count_tokens``),
+    which needs no ids at all."""
+    size = _count(df, col)
+    return df.agg(F.max(size if max_len is None else F.least(size, F.lit(max_len))).cast("int").alias("max_len"))
 
 
 def pad(df: DataFrame, ids_col: str = "input_ids", pad_id: int = 0, side: str = "right", length: int | None = None,
-        mask_col: str = "attention_mask", materialize_first: bool | None = None) -> DataFrame:
+        mask_col: str = "attention_mask") -> DataFrame:
     """Pad every sequence to the longest in the whole dataset (or to
     ``length``) and add the attention mask.  Right for training, left for
-    generation.  The target length is one aggregate read back as a number;
-    the (already truncated) ids are checkpointed first so tokenisation does
-    not run twice, once for the aggregate and once for the padding."""
+    generation.  Give ``length`` from ``max_length`` over token counts to
+    save tokenising twice: without it the ids are built once to be measured
+    and once to be padded."""
     if side not in ("right", "left"):
         raise ValueError("side must be 'right' or 'left'")
-    if materialize_first is None:
-        materialize_first = length is None
-    if materialize_first:
-        df = materialize(df)
     if length is None:
-        # One number: the longest sequence of the whole dataset.
         length = max_length(df, ids_col).first()["max_len"] or 0
     df = df.withColumn("__L", F.lit(int(length)))
     return (
@@ -219,7 +246,7 @@ def roundtrip_failures(df: DataFrame, text_col: str, max_len: int, spec: Tokeniz
     """Rows below the length limit whose ``decode(encode(text))`` differs
     from the text; per group: rows checked and failures (zero expected)."""
     spec = spec or CODEPOINT
-    toks = tokenize(df.select(*(by or []), text_col), text_col, "__ids", spec, native=spec.kind == "codepoint")
+    toks = tokenize(df.select(*(by or []), text_col), text_col, "__ids", spec)
     under = toks.filter(F.size("__ids") < max_len)
     back = decode(under, "__ids", "__back", spec)
     return back.groupBy(*(by or [])).agg(
@@ -246,99 +273,75 @@ def _labels_numpy(ids: np.ndarray, hdr: np.ndarray, pad_id: int | None) -> np.nd
 
 
 def completion_labels(df: DataFrame, ids_col: str, header_ids: list[int], out: str = "labels",
-                      pad_id: int | None = None, method: str = "arrow") -> DataFrame:
-    """Loss labels for completion-only training (see ``completion_labels_native``).
-
-    ``method='arrow'`` (default) searches the header with numpy on Arrow
-    batches: candidates are the positions of the header's first id, checked
-    from the end, so a row costs one vectorised compare plus a few slice
-    checks.  ``method='native'`` stays in the JVM with string functions."""
-    if method == "native":
-        return completion_labels_native(df, ids_col, header_ids, out, pad_id)
+                      pad_id: int | None = None) -> DataFrame:
+    """Loss labels for completion-only training: every position up to the
+    end of the last occurrence of the response header is ``-100``; no header
+    means all ``-100``; pad ids are ``-100`` as well."""
     if not header_ids:
         raise ValueError("header_ids must not be empty")
     hdr = np.asarray(header_ids, dtype=np.int64)
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def labels(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield pd.Series([None if v is None else _labels_numpy(v, hdr, pad_id) for v in s])
-
-    return df.withColumn(out, labels(F.col(ids_col)))
-
-
-def completion_labels_native(df: DataFrame, ids_col: str, header_ids: list[int], out: str = "labels",
-                             pad_id: int | None = None) -> DataFrame:
-    """Loss labels for completion-only training: every position up to the
-    end of the last occurrence of the response header is ``-100``; no header
-    means all ``-100``; pad ids are ``-100`` as well.
-
-    The header is found with a native string search instead of a per-token
-    lambda: ids are written as ``,a,b,c,`` and the header as ``,h1,h2,``; the
-    last match is the first match in the reversed text, and its token index
-    is the number of commas before it.
-    """
-    k = len(header_ids)
-    if k == 0:
-        raise ValueError("header_ids must not be empty")
-    ids = F.col(ids_col)
-    text = F.concat(F.lit(","), F.array_join(ids, ","), F.lit(","))
-    needle = "," + ",".join(str(int(h)) for h in header_ids) + ","
-    x = df.withColumn("__s", text).withColumn("__r", F.locate(needle[::-1], F.reverse(F.col("__s"))))
-    at = F.length("__s") - F.col("__r") - F.lit(len(needle)) + 2          # 1-based start of the last match
-    before = F.substring(F.col("__s"), F.lit(1), at)
-    commas = F.length(before) - F.length(F.replace(before, F.lit(","), F.lit("")))
-    x = x.withColumn("__end", F.when(F.col("__r") > 0, commas + (k - 1)).otherwise(F.size(ids))).drop("__s", "__r")
-    masked = F.concat(
-        F.array_repeat(F.lit(fixed.IGNORE_INDEX), F.col("__end").cast("int")),
-        F.slice(ids, F.col("__end").cast("int") + 1, F.greatest(F.size(ids) - F.col("__end"), F.lit(0)).cast("int")),
-    )
-    x = x.withColumn(out, masked).drop("__end")
+    def labels(ids: pa.Array) -> pa.Array:
+        return _label_lists(ids, hdr, pad_id)
+
+    return df.withColumn(out, F.arrow_udf(labels, "array<int>")(F.col(ids_col)))
+
+
+def _label_lists(ids: pa.Array, hdr: np.ndarray, pad_id: int | None) -> pa.Array:
+    """Labels of a list column, written over one copy of its values.  Only
+    places where the header's first id stands are compared with it."""
+    values = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+    sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    k, hit = hdr.size, np.flatnonzero(values[: max(0, values.size - hdr.size + 1)] == hdr[0])
+    for j in range(1, k):
+        hit = hit[values[hit + j] == hdr[j]]
+    row = np.searchsorted(ends, hit, side="right")
+    inside = hit + k <= ends[row] if len(hit) else np.zeros(0, bool)
+    cut = ends.copy()
+    cut[row[inside]] = hit[inside] + k  # hits are in order: the last of a row stays
+    masked = np.arange(values.size) < np.repeat(cut, sizes)
     if pad_id is not None:
-        x = x.withColumn(out, F.transform(F.col(out), lambda v: F.when(v == F.lit(pad_id), F.lit(fixed.IGNORE_INDEX)).otherwise(v)))
-    return x
+        masked |= values == pad_id
+    out = np.where(masked, np.int32(fixed.IGNORE_INDEX), values)
+    offsets = np.concatenate(([0], ends)).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(out, pa.int32()))
+    return pc.if_else(ids.is_valid(), lists, pa.scalar(None, lists.type)) if ids.null_count else lists
 
 
 def tokenize_with_labels(df: DataFrame, text_col: str, header_text: str, spec: TokenizerSpec | None = None,
-                         ids_out: str = "input_ids", labels_out: str = "labels",
-                         pad_id: int | None = None) -> DataFrame:
-    """Tokenise and derive the completion-only labels in the same place.
-
-    Code points: a token index is a character index, so the last header is a
-    native reverse ``locate`` in the text and the labels are
-    ``array_repeat(-100, end) ++ ids[end:]`` (no per-token lambda, no
-    Python).  Other tokenizers: one Arrow UDF returns ids and labels together,
-    so the ids cross into Python once."""
+                         ids_out: str = "input_ids", labels_out: str = "labels", pad_id: int | None = None,
+                         max_len: int | None = None, pad_to: int | None = None) -> DataFrame:
+    """The training token set as one job: tokenise, cut to ``max_len``, pad on
+    the right to ``pad_to`` with ``pad_id``, and mask.  The header is searched
+    in what is left after the cut, so a text whose last header lies beyond it
+    is masked up to an earlier one, or wholly.  The ids enter Python once."""
     spec = spec or CODEPOINT
     if not header_text:
         raise ValueError("header_text must not be empty")
-    if spec.kind == "codepoint":
-        text = F.col(text_col)
-        x = df.withColumn(ids_out, codepoints(text)).withColumn(
-            "__r", F.locate(header_text[::-1], F.reverse(text)))
-        end = F.when(F.col("__r") > 0, F.length(text) - F.col("__r") + 1).otherwise(F.size(ids_out)).cast("int")
-        x = x.withColumn("__end", end)
-        lab = F.concat(F.array_repeat(F.lit(fixed.IGNORE_INDEX), F.col("__end")),
-                       F.slice(ids_out, F.col("__end") + 1, F.greatest(F.size(ids_out) - F.col("__end"), F.lit(0))))
-        x = x.withColumn(labels_out, lab).drop("__r", "__end")
-        if pad_id is not None:
-            x = x.withColumn(labels_out, F.transform(labels_out, lambda v: F.when(
-                v == F.lit(pad_id), F.lit(fixed.IGNORE_INDEX)).otherwise(v)))
-        return x
-
-    out_type = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())),
-                             T.StructField("labels", T.ArrayType(T.IntegerType()))])
-
-    @F.pandas_udf(out_type)
-    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    if pad_to is not None and pad_id is None:
+        raise ValueError("pad_to needs a pad_id")
+    text = F.col(text_col)
+    if spec.kind.startswith("codepoint") and max_len is not None:
+        text = F.substring(text, 1, max_len)
+
+    def both(texts: pa.Array) -> pa.Array:
         tok = load_once(spec)
         hdr = np.asarray(tok.encode_batch([header_text])[0], dtype=np.int64)
-        for s in batches:
-            enc = tok.encode_batch(s.tolist())
-            yield pd.DataFrame({
-                "ids": [None if e is None else np.asarray(e, dtype=np.int32) for e in enc],
-                "labels": [None if e is None else _labels_numpy(np.asarray(e), hdr, pad_id) for e in enc],
-            })
-
-    x = df.withColumn("__tl", both(F.col(text_col)))
+        if spec.kind.startswith("codepoint"):
+            ids = codepoint_lists(texts, max_len)
+        else:
+            ids = pa.array([None if e is None else list(e[:max_len]) for e in tok.encode_batch(texts.to_pylist())],
+                           pa.list_(pa.int32()))
+        if pad_to is not None:
+            rows = [None if r is None else r + [pad_id] * (pad_to - len(r)) for r in ids.to_pylist()]
+            ids = pa.array(rows, pa.list_(pa.int32()))
+        return pa.StructArray.from_arrays([ids, _label_lists(ids, hdr, pad_id)], names=["ids", "labels"])
+
+    # The text is named in two arguments, so the optimizer keeps it as a column
+    # of its own below the UDF: a UDF over an expression with lambdas (SQL
+    # normalisation has some) cannot be planned.
+    made = F.arrow_udf(lambda texts, _: both(texts), "ids array<int>, labels array<int>")
+    x = df.withColumn("__text", text)
+    x = x.withColumn("__tl", made(F.col("__text"), F.length("__text"))).drop("__text")
     return x.withColumn(ids_out, F.col("__tl.ids")).withColumn(labels_out, F.col("__tl.labels")).drop("__tl")
