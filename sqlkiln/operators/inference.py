@@ -1,14 +1,14 @@
 """Batch generation over a prompt table, with confidence scoring done inside
 the worker so raw logits (steps x vocab per sample) never leave it.
 
-Rows are numbered densely in ``ord`` order and cut into sequential batches.
-Batches are scored where the ord-range partitions put them; only the few
-batches cut by a partition boundary move (a bounded range shuffle), so a
+The ``ord`` values alone are numbered densely and cut into sequential
+batches; the prompts join their batch number and are dealt out by it, so a
 batch never straddles two tasks.  Each worker process loads the model once.
 """
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from .. import fixed
 from ..functions.text import postprocess_generated_sql
 from .ordering import with_batch_id
-from .tokens import CODEPOINT, TokenizerSpec, load_once
+from .tokens import CODEPOINT, TokenizerSpec, count_tokens, load_once, max_length
 
 OUTPUT_SCHEMA = "ord long, id string, batch_id long, raw_sql string, entropies array<double>, score double"
 
@@ -105,30 +105,73 @@ class LookupModel:
         return np.concatenate([input_ids.astype(np.int64), gen], axis=1), logits
 
 
-class _CausalLM:
-    """A causal LM through ``transformers`` (gated import: not needed for the
-    stand-in).  Mirrors ``generate(..., output_logits=True)``."""
+@dataclass(frozen=True)
+class ModelSpec:
+    """Hashable model description; loaded once per worker process.  ``kind``
+    is ``lookup`` or the import path ``module:function`` of a factory that
+    takes ``name`` and returns an object with ``generate``."""
+
+    kind: str = "lookup"
+    name: str | None = None
+    log_dir: str | None = None
 
-    def __init__(self, name: str):
-        import torch  # noqa: F401
-        from transformers import AutoModelForCausalLM
+    def load(self):
+        if self.kind == "lookup":
+            return LookupModel(self.log_dir)
+        module, _, factory = self.kind.partition(":")
+        if not factory:
+            raise ValueError(f"unknown model kind {self.kind!r}")
+        return getattr(importlib.import_module(module), factory)(self.name)
 
-        self._torch = torch
-        self._m = AutoModelForCausalLM.from_pretrained(name)
-        self._m.eval()
 
-    def generate(self, input_ids, attention_mask, max_new_tokens, eos_ids, pad_id, decode):
-        t = self._torch
-        with t.no_grad():
-            out = self._m.generate(input_ids=t.as_tensor(input_ids), attention_mask=t.as_tensor(attention_mask),
-                                   max_new_tokens=max_new_tokens, num_beams=1, eos_token_id=list(eos_ids),
-                                   output_logits=True, return_dict_in_generate=True, pad_token_id=pad_id)
-        return out["sequences"].cpu().numpy(), [x.float().cpu().numpy() for x in out["logits"]]
+# --- the distributed job -------------------------------------------------------
+
+def terminators(tok, eos_id: int) -> list[int]:
+    """Ids that end a generation: end of sequence, end of turn and the
+    statement ends, as far as the vocabulary has them as tokens."""
+    ids = [eos_id]
+    for token in (fixed.END_OF_TURN, *fixed.TERMINATOR_TOKENS):
+        found = tok.token_id(token)
+        if found is not None:
+            ids.append(int(found))
+    return sorted(set(ids))
+
+
+def eos_of(tok) -> int:
+    if getattr(tok, "eos_id", None) is None:
+        raise ValueError("the tokenizer has no end-of-sequence id; name its token in TokenizerSpec(eos_token=...)")
+    return int(tok.eos_id)
+
+
+def generate(self, input_ids: np.ndarray, attention_mask: np.ndarray, max_new_tokens: int, eos_ids: list[int],
+                 pad_id: int, decode) -> tuple[np.ndarray, list[np.ndarray]]:
+        b = input_ids.shape[0]
+        prompts = decode([row[mask.astype(bool)].tolist() for row, mask in zip(input_ids, attention_mask)])
+        outs = []
+        for p in prompts:
+            ids = [ord(c) for c in self._answer(p)][:max_new_tokens]
+            stop = next((i for i, t in enumerate(ids) if t in eos_ids), None)
+            outs.append(ids if stop is None else ids[: stop + 1])
+        steps = max((len(o) for o in outs), default=0)
+        gen = np.full((b, steps), pad_id, dtype=np.int64)
+        logits = []
+        for j in range(steps):
+            step = np.zeros((b, self.vocab))
+            for i, o in enumerate(outs):
+                tok = o[j] if j < len(o) else pad_id
+                if j < len(o):
+                    gen[i, j] = tok
+                peak = tok % self.vocab
+                step[i] = -np.abs(np.arange(self.vocab) - peak) * (0.5 + (tok % 7) / 4.0)
+            logits.append(step)
+        return np.concatenate([input_ids.astype(np.int64), gen], axis=1), logits
 
 
 @dataclass(frozen=True)
 class ModelSpec:
-    """Hashable model description; loaded once per worker process."""
+    """Hashable model description; loaded once per worker process.  ``kind``
+    is ``lookup`` or the import path ``module:function`` of a factory that
+    takes ``name`` and returns an object with ``generate``."""
 
     kind: str = "lookup"
     name: str | None = None
@@ -137,9 +180,10 @@ class ModelSpec:
     def load(self):
         if self.kind == "lookup":
             return LookupModel(self.log_dir)
-        if self.kind == "causal_lm":
-            return _CausalLM(self.name)
-        raise ValueError(f"unknown model kind {self.kind!r}")
+        module, _, factory = self.kind.partition(":")
+        if not factory:
+            raise ValueError(f"unknown model kind {self.kind!r}")
+        return getattr(importlib.import_module(module), factory)(self.name)
 
 
 # --- the distributed job -------------------------------------------------------
@@ -159,39 +203,35 @@ def generate(df: DataFrame, model: ModelSpec, tokenizer: TokenizerSpec = CODEPOI
     """(ord, id, text) -> (ord, id, batch_id, sql, entropies, score).
 
     Prompts are truncated to ``max_seq_length`` tokens and left-padded with
-    the EOS id to the longest prompt of their batch.  ``mode='aligned'``
-    searches EOS among generated ids; ``'compat'`` searches ``seq[1:]`` of
-    prompt + output as the original does."""
+    the EOS id, to the longest prompt of their batch, or of the whole dataset
+    in ``compat`` mode.  ``mode='aligned'`` searches EOS among generated ids;
+    ``'compat'`` searches ``seq[1:]`` of prompt + output as the original does.
+    ``ord`` must be unique."""
     if num_beams != 1:
         raise ValueError("confidence scoring needs num_beams == 1 (rows would be batch x beams)")
     if mode not in ("aligned", "compat"):
         raise ValueError("mode must be 'aligned' or 'compat'")
-    batched = with_batch_id(df.select("ord", "id", text_col), batch_size, num_partitions=num_partitions)
-    # Rows sit in ord-range partitions, sorted.  A batch must not straddle two
-    # tasks: only batches cut by a partition boundary (at most one per
-    # boundary, so fewer than partitions x batch_size rows) are moved with a
-    # range shuffle; every other batch is scored where it lies.
-    bounds = batched.groupBy(F.spark_partition_id().alias("p")).agg(
-        F.min("batch_id").alias("lo"), F.max("batch_id").alias("hi")).collect()
-    seen, cut = set(), set()
-    for r in bounds:
-        for b in {r["lo"], r["hi"]}:
-            (cut if b in seen else seen).add(b)
-    cut = sorted(cut)
-    in_place = batched.filter(~F.col("batch_id").isin(cut)) if cut else batched
-    moved = batched.filter(F.col("batch_id").isin(cut)).repartitionByRange("batch_id").sortWithinPartitions(
-        "batch_id", "ord") if cut else None
+    # Only (ord, id) is numbered and checkpointed; the texts join it once, by
+    # batch, so a batch never straddles two tasks and a prompt moves once.
+    numbered = with_batch_id(df.select("ord"), batch_size, num_partitions=num_partitions)
+    texts = df.select("ord", "id", text_col).join(numbered, "ord")
+    batched = texts.repartition("batch_id").sortWithinPartitions("batch_id", "ord")
+    # The original pads to the longest prompt of the whole dataset; that only
+    # shows in ``compat``, which looks for the end in the padding too.
+    whole = None
+    if mode == "compat":
+        whole = max_length(count_tokens(df, text_col, "__n", tokenizer), "__n", max_seq_length).first()["max_len"] or 0
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tok = load_once(tokenizer)
         lm = load_once(model)
-        eos = int(getattr(tok, "eos_id", 0) or 0)
-        stops = _terminators(tok, eos)
+        eos = eos_of(tok)
+        stops = terminators(tok, eos)
         pending = []
 
         def score_batch(rows: pd.DataFrame) -> pd.DataFrame:
             enc = [ids[:max_seq_length] for ids in tok.encode_batch(rows[text_col].tolist())]
-            width = max((len(e) for e in enc), default=0)
+            width = max((len(e) for e in enc), default=0) if whole is None else whole
             ids = np.full((len(enc), width), eos, dtype=np.int64)
             mask = np.zeros((len(enc), width), dtype=np.int64)
             for i, e in enumerate(enc):
@@ -221,9 +261,7 @@ def generate(df: DataFrame, model: ModelSpec, tokenizer: TokenizerSpec = CODEPOI
         if pending:
             yield score_batch(pd.concat(pending, ignore_index=True))
 
-    out = in_place.mapInPandas(run, OUTPUT_SCHEMA)
-    if moved is not None:
-        out = out.unionByName(moved.mapInPandas(run, OUTPUT_SCHEMA))
+    out = batched.mapInPandas(run, OUTPUT_SCHEMA)
     return out.select("ord", "id", "batch_id", postprocess_generated_sql("raw_sql").alias("sql"), "entropies",
                       "score")
 

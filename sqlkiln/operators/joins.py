@@ -33,11 +33,11 @@ def _strict(df: DataFrame, flag: str, key: str, what: str, on_missing: str) -> D
 
 def require_matches(samples: DataFrame, dim: DataFrame, key: str, what: str) -> None:
     """Strict lookup: raise ``KeyError`` naming a few unmatched keys.  A
-    left-anti join on the distinct keys (partially aggregated first); a lazy
-    in-plan check could be optimised away by a later null-rejecting filter."""
+    left-anti join; a lazy in-plan check could be optimised away by a later
+    null-rejecting filter."""
     if samples.isStreaming:
         return
-    missing = [r[key] for r in unmatched(samples.select(key).distinct(), dim, key).limit(5).collect()]
+    missing = [r[key] for r in unmatched(samples.select(key), dim, key).limit(5).collect()]
     if missing:
         raise KeyError(f"no {what} for {key} {missing}")
 
@@ -58,15 +58,12 @@ def attach_schema(
     return _strict(joined, "__hit", "db_id", "schema string", on_missing)
 
 
-def attach_schema_const(samples: DataFrame, schemas: DataFrame, db_id: str,
-                        max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
-    """One fixed database's schema string on every sample: the same
-    size-checked lookup as ``attach_schema`` with a constant key.  A database
-    absent from the catalog renders as empty key lists, as in the original."""
-    dim = broadcast_if_small(schemas.filter(F.col("db_id") == F.lit(db_id)).select(
-        F.col("db_id").alias("__db"), "schema_str"), max_broadcast_bytes)
-    joined = samples.withColumn("__db", F.lit(db_id)).join(dim, "__db", "left").drop("__db")
-    return joined.withColumn("schema_str", F.coalesce("schema_str", F.lit(empty_schema_string())))
+def attach_schema_const(samples: DataFrame, schemas: DataFrame, db_id: str) -> DataFrame:
+    """One fixed database's schema string on every sample: one row read, one
+    literal, no join.  A database absent from the catalog renders as empty
+    key lists, as in the original."""
+    found = schemas.filter(F.col("db_id") == F.lit(db_id)).select("schema_str").first()
+    return samples.withColumn("schema_str", F.lit(found["schema_str"] if found else empty_schema_string()))
 
 
 def attach_labels(questions: DataFrame, labels: DataFrame, on_missing: str = "raise") -> DataFrame:
@@ -81,5 +78,6 @@ def attach_labels(questions: DataFrame, labels: DataFrame, on_missing: str = "ra
 
 
 def unmatched(samples: DataFrame, dim: DataFrame, key: str) -> DataFrame:
-    """Sample rows whose ``key`` has no match in ``dim``."""
-    return samples.join(dim.select(key).distinct(), key, "left_anti")
+    """Sample rows whose ``key`` has no match in ``dim``: the quarantine
+    output of ``on_missing='drop'``."""
+    return samples.join(dim.select(key), key, "left_anti")

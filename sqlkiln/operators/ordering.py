@@ -37,4 +37,4 @@ def with_batch_id(df: DataFrame, batch_size: int, ord_col: str = "ord", out: str
     if batch_size < 1:
         raise ValueError("batch_size must be >= 1")
     pos = dense_positions(df, ord_col, "__pos", num_partitions)
-    return pos.withColumn(out, F.floor(F.col("__pos") / F.lit(batch_size)).cast("long")).drop("__pos")
+    return pos.withColumn(out, F.expr(f"__pos div {int(batch_size)}")).drop("__pos")

@@ -28,9 +28,13 @@ class ChatTemplate:
         return f"{self.header_start}assistant{self.header_end}\n\n"
 
     def message(self, role: Column, content: Column) -> Column:
-        return F.concat(
+        """One rendered turn.  A turn without a role or content is an error:
+        a NULL would otherwise vanish when the turns are joined."""
+        text = F.concat(
             F.lit(self.header_start), role, F.lit(self.header_end + "\n\n"), py_strip(content), F.lit(self.end_of_turn)
         )
+        return F.when(text.isNull(), F.raise_error(F.concat(
+            F.lit("chat turn without content, role "), F.coalesce(role, F.lit("NULL"))))).otherwise(text)
 
 
 DEFAULT_TEMPLATE = ChatTemplate()
@@ -75,6 +79,15 @@ def render_chat(df: DataFrame, chat_col: str = "chat", out: str = "text", add_ge
     return df.withColumn(out, render(chat_col, add_generation_prompt, template))
 
 
+def quarantine_incomplete(df: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(complete rows, rows with a NULL in one of ``columns``): write the
+    second, go on with the first."""
+    lacks = F.lit(False)
+    for c in columns:
+        lacks = lacks | F.col(c).isNull()
+    return df.filter(~lacks), df.filter(lacks)
+
+
 def drop_unanswerable(df: DataFrame, phase: str, sql: str = "sql") -> DataFrame:
     """Train phase: drop questions labelled with the string ``'null'``; a JSON
     null label is quarantined too (the original crashes on it).  Test phase

@@ -42,6 +42,8 @@ ORACLE["attach_schema"] = _with(O.CAT_ENTRIES, O.SAMPLES) + (
 ORACLE["attach_schema_const"] = _with(O.CAT_ENTRIES, O.LABELS) + (
     f"SELECT q.id, c.schema_str FROM questions q CROSS JOIN (SELECT schema_str FROM schemas WHERE db_id = '{CONST_DB}') c")
 ORACLE["attach_labels"] = _with(O.LABELS) + "SELECT q.id, l.sql FROM questions q JOIN lbl l USING (id)"
+ORACLE["labels_quarantine"] = _with(O.LABELS) + (
+    "SELECT q.ord, q.id, CAST(length(q.question) AS INTEGER) AS n_chars FROM questions q ANTI JOIN lbl l USING (id)")
 ORACLE["missing_labels"] = _with(O.LABELS) + "SELECT q.id FROM questions q ANTI JOIN lbl l USING (id)"
 ORACLE["drop_unanswerable"] = _with(O.LABELS) + (
     "SELECT q.id, l.sql FROM questions q JOIN lbl l USING (id) WHERE l.sql IS NOT NULL AND l.sql <> 'null'")
@@ -90,7 +92,7 @@ ORACLE["batch_ids"] = (
 # --- tokens ----------------------------------------------------------------
 from . import fixed  # noqa: E402
 
-MAX_SEQ, PROFILE_LIMIT, PAD_ID = 256, 1024, 0
+MAX_SEQ, PROFILE_LIMIT, PAD_ID, TRAIN_LEN = 256, 1024, 0, 3072
 TRAIN_BS, TRAIN_GAS, TRAIN_EPOCHS = 1, 17, 3.0
 
 DOC_TOKENS = (f"dt AS (SELECT 'TS_' || CAST(doc_id AS VARCHAR) AS id, source, text, {O.codepoints('text')} AS ids "
@@ -143,6 +145,16 @@ ORACLE["completion_labels"] = (
     f"CAST(CASE WHEN st IS NULL THEN 0 ELSE len(ids) - (st + {_K - 1}) END AS BIGINT) AS n_labels, "
     f"CAST(CASE WHEN st IS NULL THEN 0 ELSE coalesce(list_sum(ids[st + {_K}:]), 0) END AS BIGINT) AS label_sum FROM hs")
 
+_CUT = f"substr(text, 1, {TRAIN_LEN})"
+ORACLE["train_tokens"] = (
+    f"WITH pt AS (SELECT id, {_CUT} AS t, {O.codepoints(_CUT)} AS ids FROM ({ORACLE['build_prompts_train']})), "
+    f"hs AS (SELECT id, ids, list_max(list_filter(range(1, len(ids) - {_K} + 2), "
+    f"lambda i: ids[i] = {_HDR[0]} AND ids[i:i + {_K - 1}] = {_HDR})) AS st FROM pt), "
+    f"tl AS (SELECT id, ids, list_filter(CASE WHEN st IS NULL THEN [] ELSE ids[st + {_K}:] END, lambda x: x <> {PAD_ID}) AS kept FROM hs) "
+    f"SELECT id, CAST({TRAIN_LEN} AS BIGINT) AS n_tokens, CAST(len(kept) AS BIGINT) AS n_labels, "
+    f"CAST(coalesce(list_sum(ids), 0) + {PAD_ID} * ({TRAIN_LEN} - len(ids)) AS BIGINT) AS id_sum, "
+    "CAST(coalesce(list_sum(kept), 0) AS BIGINT) AS label_sum FROM tl")
+
 # --- confidence ------------------------------------------------------------
 _ENT = ("SELECT vec_id, v, list_max(v) AS m FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v "
         "FROM embeddings)")
@@ -162,7 +174,7 @@ ORACLE["confidence"] = ("WITH " + GEN_LOG +
 ORACLE["last_by_id"] = ("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, "
                         "arg_max(value, event_id) AS value FROM events GROUP BY user_id")
 ORACLE["union_batches"] = ("SELECT doc_id AS ord, 'TS_' || CAST(doc_id AS VARCHAR) AS id FROM documents WHERE lang = 'en' "
-                           "UNION ALL SELECT doc_id, 'TS_' || CAST(doc_id AS VARCHAR) FROM documents WHERE lang <> 'en'")
+                           "UNION ALL SELECT doc_id, 'TS_' || CAST(doc_id AS VARCHAR) FROM documents WHERE lang IS DISTINCT FROM 'en'")
 ORACLE["stream_prompts_test"] = ORACLE["build_prompts_test"]
 
 
@@ -181,7 +193,7 @@ ORACLE["prompt_counts"] = _with(O.LABELS) + (
     "WHERE l.sql IS NOT NULL AND l.sql <> 'null' "
     "UNION ALL SELECT 'test', count(*) FROM questions q JOIN lbl l USING (id)")
 
-_STEPS = ("vs AS (SELECT vec_id, list_transform(range(8), lambda s: list_transform(embedding[s * 8 + 1: s * 8 + 8], "
+_STEPS = ("vs AS (SELECT vec_id, list_transform(range(CAST(ceil(len(embedding) / 8.0) AS BIGINT)), lambda s: list_transform(embedding[s * 8 + 1: s * 8 + 8], "
           "lambda x: CAST(x AS DOUBLE))) AS st FROM embeddings), "
           "ve AS (SELECT vec_id, st, list_transform(st, lambda l: ln(list_sum(list_transform(l, lambda x: exp(x - list_max(l))))) "
           "- list_sum(list_transform(l, lambda x: (x - list_max(l)) * exp(x - list_max(l)))) "
@@ -229,3 +241,17 @@ ORACLE["generate_standin"] = (
     "SELECT id, split_part(ans, ';', 1) AS sql, "
     f"round(CASE WHEN n < n_max THEN greatest(list_max(ent), {_tok_entropy('0')}) ELSE list_max(ent) END, 6) AS score "
     "FROM s")
+
+
+# --- sources and sinks ---------------------------------------------------------
+ORACLE["src_catalog"] = "SELECT * FROM (" + ORACLE["catalog_columns"] + ") WHERE db_id = 'Brand#1'"
+ORACLE["src_pauq"] = _with(O.SAMPLES) + "SELECT id, db_id, question, query FROM samples"
+ORACLE["src_questions"] = _with(O.LABELS) + "SELECT id, question FROM questions"
+ORACLE["src_labels"] = _with(O.LABELS) + "SELECT id, sql FROM lbl"
+ORACLE["snk_results"] = (
+    "SELECT CAST(user_id AS VARCHAR) AS id, 'select ' || arg_max(event_type, event_id) AS sql, "
+    "arg_max(value, event_id) AS score FROM events GROUP BY user_id")
+ORACLE["snk_predictions"] = "SELECT 'select ' || event_type AS sql, count(*) AS n FROM events GROUP BY event_type"
+ORACLE["terminator_cut"] = (
+    "SELECT conv_id, turn, CAST(CASE WHEN position(';' IN text) > 0 THEN position(';' IN text) ELSE length(text) END "
+    "AS BIGINT) AS kept FROM conversations")

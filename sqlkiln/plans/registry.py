@@ -144,6 +144,13 @@ def missing_labels(spark, sf):
     return unmatched(_questions(spark, sf).select("id"), _labels(spark, sf), "id")
 
 
+@query
+def labels_quarantine(spark, sf):
+    """What a strict label lookup would stop at, kept with its text size."""
+    q = _questions(spark, sf).select("ord", "id", F.length("question").alias("n_chars"))
+    return unmatched(q, _labels(spark, sf), "id")
+
+
 @query
 def drop_unanswerable_q(spark, sf):
     q = attach_labels(_questions(spark, sf).select("id"), _labels(spark, sf), on_missing="drop")
@@ -181,7 +188,8 @@ def chat_render(spark, sf):
 
 @query
 def first_batch_q(spark, sf):
-    return first_batch(ehrsql_prompts_train(spark, sf), ONE_BATCH)
+    return ehrsql_prompts(_questions(spark, sf), _labels(spark, sf), _schemas(spark, sf), "train", db_id=CONST_DB,
+                          on_missing="drop", one_batch=ONE_BATCH)
 
 
 @query
@@ -195,11 +203,17 @@ MAX_SEQ = 256          # option default of the original launcher
 PROFILE_LIMIT = 1024   # limit of the original length profile
 TRAIN_BS, TRAIN_GAS, TRAIN_EPOCHS = 1, 17, 3.0   # option defaults
 PAD_ID = 0
+TRAIN_LEN = 3072       # a third of the stand-in prompts have their header beyond it
 
 
-def _doc_tokens(spark, sf):
+def _doc_tokens(spark, sf, max_len=None):
     d = S.table(spark, sf, "documents").select(S.doc_id_str(F.col("doc_id")).alias("id"), "source", "text")
-    return TK.tokenize(d, "text", "input_ids")
+    return TK.tokenize(d, "text", "input_ids", max_len=max_len)
+
+
+def _doc_max_len(spark, sf):
+    d = S.table(spark, sf, "documents").select("text")
+    return TK.max_length(TK.count_tokens(d, "text", "n"), "n", MAX_SEQ)
 
 
 def _ints(c):
@@ -221,14 +235,15 @@ def tokenize_codepoints(spark, sf):
 
 @query
 def truncate(spark, sf):
-    t = TK.truncate(_doc_tokens(spark, sf), "input_ids", MAX_SEQ)
+    t = _doc_tokens(spark, sf, MAX_SEQ)
     return t.select("id", F.size("input_ids").cast("long").alias("n_tokens"), _ints("input_ids").alias("input_ids"))
 
 
 def _pad(side):
     def run(spark, sf):
-        t = TK.truncate(_doc_tokens(spark, sf), "input_ids", MAX_SEQ)
-        p = TK.pad(t.select("id", "input_ids"), "input_ids", PAD_ID, side)
+        t = _doc_tokens(spark, sf, MAX_SEQ)
+        longest = _doc_max_len(spark, sf).first()["max_len"] or 0
+        p = TK.pad(t.select("id", "input_ids"), "input_ids", PAD_ID, side, longest)
         return p.select("id", _ints("input_ids").alias("input_ids"), _ints("attention_mask").alias("attention_mask"))
     return run
 
@@ -270,6 +285,19 @@ def completion_labels(spark, sf):
         F.aggregate(kept, F.lit(0).cast("long"), lambda a, x: a + x).alias("label_sum"))
 
 
+@query
+def train_tokens(spark, sf):
+    """The training token set: cut at the launcher's limit, so that the
+    response header may lie beyond it, padded on the right, and masked."""
+    lab = TK.tokenize_with_labels(build_prompts_train(spark, sf), "text", fixed.ASSISTANT_HEADER, pad_id=PAD_ID,
+                                  max_len=TRAIN_LEN, pad_to=TRAIN_LEN)
+    kept = F.array_remove("labels", F.lit(fixed.IGNORE_INDEX))
+    return lab.select(
+        "id", F.size("input_ids").cast("long").alias("n_tokens"), F.size(kept).cast("long").alias("n_labels"),
+        F.aggregate("input_ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"),
+        F.aggregate(kept, F.lit(0).cast("long"), lambda a, x: a + x).alias("label_sum"))
+
+
 # --- confidence ------------------------------------------------------------
 
 @query
@@ -315,7 +343,7 @@ def union_batches(spark, sf):
     """Outputs of two separate runs appended: English documents, then the rest."""
     d = S.table(spark, sf, "documents")
     first = S.questions_from_documents(d.filter(F.col("lang") == "en")).select("ord", "id")
-    rest = S.questions_from_documents(d.filter(F.col("lang") != "en")).select("ord", "id")
+    rest = S.questions_from_documents(d.filter(~F.col("lang").eqNullSafe("en"))).select("ord", "id")
     return first.unionByName(rest)
 
 
@@ -366,27 +394,27 @@ def pk_strings(spark, sf):
 @query
 def max_len(spark, sf):
     """AGG-3: the padding target of the truncated document tokens."""
-    return TK.max_length(TK.truncate(_doc_tokens(spark, sf), "input_ids", MAX_SEQ), "input_ids")
+    return _doc_max_len(spark, sf)
 
 
 @query
 def prompt_counts(spark, sf):
     """AGG-5: rows per phase of the labelled corpus."""
-    tr = ehrsql_prompts_train(spark, sf).groupBy().count().select(F.lit("train").alias("split"), F.col("count").alias("n_rows"))
-    te = ehrsql_prompts_test(spark, sf).groupBy().count().select(F.lit("test").alias("split"), F.col("count").alias("n_rows"))
-    return tr.unionByName(te)
+    q = attach_labels(_questions(spark, sf).select("id"), _labels(spark, sf), on_missing="drop")
+    n = q.agg(F.count_if(F.col("sql").isNotNull() & (F.col("sql") != "null")).alias("train"), F.count(F.lit(1)).alias("test"))
+    return n.unpivot([], ["train", "test"], "split", "n_rows")
 
 
 EOS_STANDIN = 0
-STEPS, VOCAB = 8, 8
+VOCAB = 8
 
 
 def _vec_steps(spark, sf):
-    """embeddings as generation records: the 64 values are 8 steps x 8
-    logits; the emitted id of a step is its arg-max, EOS when that is 0;
+    """embeddings as generation records: every 8 values are the logits of
+    one step; the emitted id of a step is its arg-max, EOS when that is 0;
     the sequence is a 3-token prompt followed by the emitted ids."""
     e = S.table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    steps = F.transform(F.sequence(F.lit(0), F.lit(STEPS - 1)), lambda s: F.slice("v", s * VOCAB + 1, VOCAB))
+    steps = F.transform(F.sequence(F.lit(0), F.ceil(F.size("v") / VOCAB).cast("int") - 1), lambda s: F.slice("v", s * VOCAB + 1, VOCAB))
     e = e.select("vec_id", steps.alias("step_logits"))
     argmax = F.transform("step_logits", lambda l_: F.array_position(l_, F.array_max(l_)) - 1)
     # The prompt part is left-padded with EOS, as generation pads it.
@@ -430,3 +458,88 @@ def strip_prompt_q(spark, sf):
     return g.select("conv_id", "turn", F.size("gen_ids").cast("long").alias("n_gen"),
                     F.aggregate("gen_ids", F.lit(0).cast("long"), lambda s, x: s + x).alias("gen_sum"))
 
+
+
+# --- sources and sinks: written in the input shape, read back -------------------
+
+def _written(spark, name, write):
+    from ..session import shared_dir
+
+    path = shared_dir(spark, name)
+    write(path)
+    return path
+
+
+@query
+def src_catalog(spark, sf):
+    """SRC-1 and CAT-6: a JSON catalog, flattened again for one database."""
+    from ..sources import json_sources, sinks
+
+    empty = F.array().cast("array<string>")
+    cat = _catalog(spark, sf).withColumn("table_names", empty).withColumn(
+        "column_names", F.array().cast("array<array<string>>"))
+    path = _written(spark, "src-catalog", lambda p: sinks.write_json_arrays(cat, p, 5, "db_id"))
+    cols = C.catalog_columns(C.filter_db(json_sources.read_catalog(spark, path), CONST_DB))
+    return cols.select("db_id", "tbl", "col", "col_type", "tbl_ord", "col_ord")
+
+
+@query
+def src_pauq(spark, sf):
+    from ..sources import json_sources, sinks
+
+    path = _written(spark, "src-pauq", lambda p: sinks.write_json_arrays(_samples(spark, sf), p))
+    return json_sources.read_pauq(spark, path).select("id", "db_id", "question", "query")
+
+
+@query
+def src_questions(spark, sf):
+    from ..sources import json_sources, sinks
+
+    root = _written(spark, "src-questions", lambda p: sinks.write_json_arrays(_questions(spark, sf), f"{p}/data.json"))
+    return json_sources.read_ehrsql_questions(spark, root).select("id", "question")
+
+
+@query
+def src_labels(spark, sf):
+    from ..sources import json_sources, sinks
+
+    root = _written(spark, "src-labels", lambda p: sinks.write_json_objects(_labels(spark, sf), f"{p}/label.json", "id", "sql"))
+    return json_sources.read_ehrsql_labels(spark, root)
+
+
+def _scored(spark, sf):
+    """events as scored predictions: the last event of a user wins."""
+    ev = S.table(spark, sf, "events")
+    return ev.select(F.col("event_id").alias("ord"), F.col("user_id").cast("string").alias("id"),
+                     F.concat(F.lit("select "), F.col("event_type")).alias("sql"), F.col("value").alias("score"))
+
+
+@query
+def snk_results(spark, sf):
+    from ..sources import sinks
+
+    path = _written(spark, "snk-results", lambda p: sinks.write_results(_scored(spark, sf), p))
+    return spark.read.parquet(path)
+
+
+@query
+def snk_predictions(spark, sf):
+    """SNK-3: line counts by content, and that the lines kept their order."""
+    from ..sources import sinks
+
+    path = _written(spark, "snk-predictions", lambda p: sinks.write_predictions(_scored(spark, sf), p))
+    return sinks.read_predictions(spark, path).groupBy("sql").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def terminator_cut(spark, sf):
+    """FLT-4: where a generation over each conversation text would stop: the
+    first terminator among its code points."""
+    from ..operators.inference import eos_of, terminators
+
+    tok = TK.CODEPOINT.load()
+    stops = terminators(tok, eos_of(tok))
+    c = TK.tokenize(S.table(spark, sf, "conversations").select("conv_id", "turn", "text"), "text", "ids")
+    first = F.array_min(F.transform(F.array(*[F.lit(s) for s in stops]), lambda s: F.nullif(
+        F.array_position("ids", s), F.lit(0).cast("long"))))
+    return c.select("conv_id", "turn", F.coalesce(first, F.size("ids")).cast("long").alias("kept"))
