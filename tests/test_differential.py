@@ -42,5 +42,23 @@ def test_clean_matches_duckdb(spark):
     con.register("src", pd.DataFrame({"id": range(len(rows)), "q": rows}))
     want = dict(con.execute(f"SELECT id, {O.clean_question('q')} FROM src").fetchall())
     assert got == want
-    assert all(got[i] == rows[i].replace("‘", "'").replace("’", "'").replace("“", "'")
-               .replace("”", "'").replace("\t", "").strip().replace("\n", "") for i in got)
+
+
+def test_clean_goldens(spark):
+    pairs = [("\t‘a’\n“b”　", "'a''b'"), (" x\ty ", "xy"), ("\n\n", ""), ("a \n b", "a  b"), ("it’s\t“so”\n", "it's'so'")]
+    df = spark.createDataFrame([(i, q) for i, (q, _) in enumerate(pairs)], "id int, q string")
+    got = {r.id: r.q for r in clean_questions(df, "q").collect()}
+    assert [got[i] for i in range(len(pairs))] == [want for _, want in pairs]
+
+
+def test_normalize_goldens(spark):
+    pairs = [
+        ("SELECT a FROM t WHERE n = 'it''s Big'", "select a from t where n = 'it''s Big' ;"),
+        ("SELECT T1.a FROM (SELECT b FROM x AS T2) JOIN y AS T1 ON T1.k = T2.k",
+         "select y.a from ( select b from x ) join y on y.k = x.k ;"),
+        ("SELECT T1.a FROM x AS T1 UNION SELECT T1.b FROM y AS T1", "select y.a from x union select y.b from y ;"),
+        ("SELECT a,b FROM x,y WHERE a>=1", "select a , b from x , y where a >= 1 ;"),
+    ]
+    df = spark.createDataFrame([(i, q) for i, (q, _) in enumerate(pairs)], "id int, sql string")
+    got = {r.id: r.sql for r in normalize_sql(df, "sql").collect()}
+    assert [got[i] for i in range(len(pairs))] == [want for _, want in pairs]

@@ -27,7 +27,34 @@ def test_no_python_in_native_jobs(spark, name):
 
 
 def test_first_batch_is_top_k(spark):
-    assert "TakeOrderedAndProject" in plan(QUERIES["first_batch"](spark, SF))
+    """The rows are chosen by a top-k; prompts are built for those alone."""
+    from sqlkiln.operators.prompts import first_batch
+
+    rows = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id as ord", "text")
+    assert "TakeOrderedAndProject" in plan(first_batch(rows, 4))
+    built = plan(QUERIES["first_batch"](spark, SF))
+    assert "Exchange" not in built and "Join" not in built and "documents" not in built
+
+
+def test_constant_schema_and_counts_join_nothing_twice(spark):
+    assert "NestedLoop" not in plan(QUERIES["ehrsql_prompts_train"](spark, SF))
+    counts = plan(QUERIES["prompt_counts"](spark, SF))
+    assert "NestedLoop" not in counts and counts.count("documents.parquet") == 1
+
+
+def test_json_texts_do_not_meet_in_one_task(spark, tmp_path):
+    from sqlkiln.sources import json_sources
+
+    for i in range(3):
+        (tmp_path / f"{i}.json").write_text('[{"id": "%d", "db_id": "d", "question": "q", "query": "s"}]' % i)
+    df = json_sources.read_pauq(spark, str(tmp_path))
+    assert [r["id"] for r in df.orderBy("ord").collect()] == ["0", "1", "2"]
+    assert "SinglePartition" not in plan(df)
+
+
+def test_truncation_reaches_the_text(spark):
+    assert "substring" in plan(QUERIES["truncate"](spark, SF)).lower()
+    assert "ArrowEval" not in plan(QUERIES["max_len"](spark, SF))
 
 
 def test_scan_prunes_columns(spark):

@@ -89,7 +89,7 @@ def test_codepoints_roundtrip(spark):
 def test_tokenize_udf_path_matches_native(spark):
     df = spark.createDataFrame([("a😀bé",), ("xyz",)], "text string")
     a = [r.ids for r in TK.tokenize(df, "text", "ids").collect()]
-    b = [r.ids for r in TK.tokenize(df, "text", "ids", native=False).collect()]
+    b = [r.ids for r in TK.tokenize(df, "text", "ids", TK.TokenizerSpec("codepoint_arrow")).collect()]
     assert a == b
 
 
@@ -177,8 +177,7 @@ def test_completion_label_methods_agree(spark):
                                     spec=TK.TokenizerSpec("codepoint_arrow")).orderBy("i").collect()
     tok = TK.tokenize(df, "text", "input_ids")
     a = TK.completion_labels(tok, "input_ids", hdr).orderBy("i").collect()
-    b = TK.completion_labels(tok, "input_ids", hdr, method="native").orderBy("i").collect()
-    assert [r.labels for r in native] == [r.labels for r in a] == [r.labels for r in b] == [r.labels for r in arrow]
+    assert [r.labels for r in native] == [r.labels for r in a] == [r.labels for r in arrow]
     assert [r.input_ids for r in native] == [r.input_ids for r in arrow]
     assert native[1].labels[-1] == ord("y") and sum(x != -100 for x in native[1].labels) == 1
     assert all(x == -100 for x in native[2].labels)
