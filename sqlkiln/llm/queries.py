@@ -98,7 +98,62 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
 }
 
+def _rules_sql() -> str:
+    """The quality rules in SQL, from the same rule table: counts by splitting
+    and unnesting windows, the binomial tail by ``lgamma``."""
+    rules = quality_rules.RULES
+    grid = ", ".join(f"('{r.name}', {j}, {c!r})" for r in rules for j, c in enumerate(r.cutoffs))
+    value = " ".join(f"when '{r.name}' then {r.value}" for r in rules)
+    level = f"{quality_rules.RISK} / {len(rules)}"
+    over = ", ".join(f"coalesce({r.value} > max(cutoff) filter (where rule = '{r.name}'), false) as over_{r.name}" for r in rules)
+    each = "rid, doc_id, stratum, n_words, word_chars, n_symbols, n_exclaims, n_lines, n_dup_lines, n_repeat_words, base_failed"
+    flags = ", ".join(f"over_{r.name}" for r in rules)
+    return f"""
+with d as (select row_number() over () as rid, doc_id, coalesce(lang, 'und') as stratum, coalesce(text, '') as t from documents),
+w as (
+    select *, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws,
+           list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as ls
+    from d),
+windows as (select rid, i, array_to_string(ws[i:i + 4], ' ') as k from (select rid, ws, unnest(range(1, len(ws) - 3)) as i from w)),
+twice as (select rid, i from windows qualify count(*) over (partition by rid, k) > 1),
+covered as (select rid, count(distinct i + j) as n from twice, range(5) as o(j) group by rid),
+counts as (
+    select w.rid, doc_id, stratum, len(ws) as n_words, cast(length(array_to_string(ws, '')) as bigint) as word_chars,
+           len(regexp_extract_all(t, '[#*$%&|<>]')) as n_symbols, len(regexp_extract_all(t, '!')) as n_exclaims,
+           len(ls) as n_lines, cast(len(ls) - len(list_distinct(ls)) as bigint) as n_dup_lines,
+           coalesce(covered.n, 0) as n_repeat_words
+    from w left join covered on w.rid = covered.rid),
+judged as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from counts),
+labelled as (select doc_id, min(quality) > 0 as good from labels where doc_id is not null and quality is not null group by doc_id),
+held as (select judged.*, good from judged join labelled using (doc_id)),
+grid(rule, nth, cutoff) as (values {grid}),
+tested as (
+    select stratum, rule, nth, cutoff, count(*) filter (where good and not base_failed) as good,
+           count(*) filter (where not good and not base_failed) as bad,
+           count(*) filter (where good and not base_failed and case rule {value} end > cutoff) as k,
+           count(*) filter (where not good and not base_failed and case rule {value} end > cutoff) as hits
+    from held, grid group by all),
+scored as (
+    select *, hits / greatest(bad, 1) - {quality_rules.GOOD_WEIGHT} * k / greatest(good, 1) as gain,
+           case when good = 0 or k >= good * {level} then 1.0 else least(1.0, list_sum(list_transform(range(k + 1), lambda i:
+               exp(lgamma(good + 1) - lgamma(i + 1) - lgamma(good - i + 1) + i * ln({level}) + (good - i) * ln(1 - {level}))))) end as p
+    from tested),
+stopped as (
+    select *, min(nth) filter (where p > {quality_rules.ERROR} / ({len(rules)} * (select count(distinct stratum) from held)))
+        over (partition by stratum, rule) as stop
+    from scored),
+chosen as (
+    select stratum, rule, cutoff from stopped where (stop is null or nth < stop) and gain > 0
+    qualify row_number() over (partition by stratum, rule order by gain desc, cutoff desc) = 1),
+final as (select {each}, {over} from judged left join chosen using (stratum) group by {each})
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       not base_failed and not ({flags.replace(", ", " or ")}) as kept, stratum, {flags}
+from final
+"""
+
+
 ORACLE: dict[str, str] = {
+    "op10_quality_rules": _rules_sql(),
     "op2_chat_formatting": """
 with rows as (
     select distinct conv_id, turn, coalesce(role, 'unknown') as role, coalesce(text, '') as said,
