@@ -140,8 +140,10 @@ def log_odds(counts: DataFrame, halves: tuple[int, ...]) -> tuple[dict[str, floa
 
     stem = F.when(F.length("word") > STEM, F.substring("word", 1, STEM)).otherwise(F.lit(""))
     stems = words.groupBy(stem.alias("stem")).agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
-    stems = stems.withColumn("p", F.when(F.col("stem") == "", share).otherwise(
-        (F.col("t") + STEM_PRIOR * share) / (F.col("n") + STEM_PRIOR)))
+    # Written out, so that the join below deals both sides anew and Spark can
+    # split the words of a frequent stem.
+    stems = materialize(stems.withColumn("p", F.when(F.col("stem") == "", share).otherwise(
+        (F.col("t") + STEM_PRIOR * share) / (F.col("n") + STEM_PRIOR))))
     kept_stems = stems.where((F.col("stem") != "") & (F.col("n") >= least) & (F.abs(odds(F.col("p"))) >= NEUTRAL))
     stem_rows = kept_stems.select("stem", odds(F.col("p")).alias("o")).collect()
     common = words.where(F.col("n") >= least).withColumn("of", stem)
