@@ -20,7 +20,7 @@ HEADLINE = [
     "build_prompts_train", "build_prompts_test", "ehrsql_prompts_train", "schema_strings", "normalize_sql",
     "clean_questions", "tokenize_codepoints", "pad_left", "length_profile", "completion_labels", "step_entropy",
     "step_entropy_long", "truncate_scores", "confidence", "last_by_id", "batch_ids", "chat_render",
-    "generate_standin", "stream_prompts_test",
+    "generate_standin", "stream_prompts_test", "train_tokens", "src_pauq",
 ]
 
 

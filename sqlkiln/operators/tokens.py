@@ -309,6 +309,18 @@ def _label_lists(ids: pa.Array, hdr: np.ndarray, pad_id: int | None) -> pa.Array
     return pc.if_else(ids.is_valid(), lists, pa.scalar(None, lists.type)) if ids.null_count else lists
 
 
+def _padded(ids: pa.Array, length: int, pad_id: int) -> pa.Array:
+    """A list column filled up on the right to ``length``; nulls stay null."""
+    sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    if len(sizes) and sizes.max() > length:
+        raise ValueError(f"a text of {sizes.max()} tokens does not fit {length}; give max_len")
+    out = np.full((len(sizes), length), pad_id, np.int32)
+    out[np.arange(length) < sizes[:, None]] = ids.flatten().to_numpy(zero_copy_only=False)
+    offsets = pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * length)
+    lists = pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))
+    return pc.if_else(ids.is_valid(), lists, pa.scalar(None, lists.type)) if ids.null_count else lists
+
+
 def tokenize_with_labels(df: DataFrame, text_col: str, header_text: str, spec: TokenizerSpec | None = None,
                          ids_out: str = "input_ids", labels_out: str = "labels", pad_id: int | None = None,
                          max_len: int | None = None, pad_to: int | None = None) -> DataFrame:
@@ -334,8 +346,7 @@ def tokenize_with_labels(df: DataFrame, text_col: str, header_text: str, spec: T
             ids = pa.array([None if e is None else list(e[:max_len]) for e in tok.encode_batch(texts.to_pylist())],
                            pa.list_(pa.int32()))
         if pad_to is not None:
-            rows = [None if r is None else r + [pad_id] * (pad_to - len(r)) for r in ids.to_pylist()]
-            ids = pa.array(rows, pa.list_(pa.int32()))
+            ids = _padded(ids, pad_to, pad_id)
         return pa.StructArray.from_arrays([ids, _label_lists(ids, hdr, pad_id)], names=["ids", "labels"])
 
     # The text is named in two arguments, so the optimizer keeps it as a column
