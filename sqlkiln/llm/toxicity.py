@@ -15,15 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sqlkiln.llm.common import chunks, spark_type
-from sqlkiln.session import broadcast_if_small, materialize
+from sqlkiln.session import DEFAULT_BROADCAST_BYTES, broadcast_if_small, materialize, measured_bytes, shared_dir
 
 LETTERS = re.compile(r"[^\W\d_]+")
 # A word's prior is that of the words that begin alike.
 STEM = 4
 # Pseudo-counts (documents) of a stem's and of a word's Dirichlet prior.
 STEM_PRIOR, WORD_PRIOR = 8.0, 4.0
-# Words and stems found in too few labelled documents to reach this share of
-# all (document, word) incidences are neutral, so at most so many are kept.
+# Words and stems with at least this share of all (document, word) incidences
+# go to the workers, at most so many of each; the others are joined by key.
 MOST_TOKENS = 200_000
 # Log-odds nearer to zero than this are neutral; every token costs DRIFT, so
 # that the expected score of ordinary text is negative.
@@ -34,18 +34,17 @@ SIGNIFICANCE = 0.01
 
 @dataclass
 class Model:
+    """``words`` and ``stems`` hold the frequent tokens, neutral ones
+    included; ``rest`` is the written table ``(key, odds)`` of all others that
+    are not what their stem says, or not neutral."""
+
     words: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
+    rest: DataFrame | None = None
     location: float = 0.0
     spread: float = 1.0
     weights: tuple[float, ...] = (-20.0, 0.0, 0.0, 0.0)
 
-    def token(self, word: str) -> float:
-        found = self.words.get(word)
-        if found is None:
-            found = self.stems.get(word[:STEM], 0.0) if len(word) > STEM else 0.0
-        return found - DRIFT
-
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[float, int, int]]:
     """Every maximal scoring segment as (score, first, end), in order: the
@@ -80,16 +79,90 @@ def summary(model: Model, segments: list[tuple[float, int, int]], size: int) ->
     return max(-10.0, min(50.0, best)), math.log1p(sum(over)), math.log1p(len(over))
 
 
-def scan(model: Model, texts: list[bytes]) -> Iterator[tuple[int, list[tuple[float, int, int]], int]]:
-    """(text, maximal segments in words, number of words) of every text."""
-    index: dict[str, int] = {}
-    ids: list[list[int]] = []
-    for data in texts:
-        found = LETTERS.findall(data.decode("utf-8", "replace").lower())
-        ids.append([index.setdefault(w, len(index)) for w in found])
-    value = np.array([model.token(w) for w in index] or [0.0])
-    for i, text in enumerate(ids):
-        yield i, maximal_segments(value[np.array(text, np.int64)]) if text else [], len(text)
+def scan(texts: DataFrame, model: Model, text_col: str) -> DataFrame:
+    """``texts`` with ``size`` (words), ``at`` and ``odds`` (places of the
+    words that are not neutral, and their log-odds) instead of the text.
+
+    Frequent words are looked up in the worker. The other words of a text are
+    joined with the written table, by word and, when the worker does not know
+    the stem, by stem; so only they are shuffled, never a text."""
+    others = [c for c in texts.columns if c != text_col]
+    where = texts.columns.index(text_col)
+    shared = texts.sparkSession.sparkContext.broadcast((model.words, model.stems))
+    joins = model.rest is not None
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, stems = shared.value
+        for batch in batches:
+            for first, piece in chunks(batch.column(where)):
+                out: list[tuple] = []
+                for data in piece:
+                    found = LETTERS.findall(data.decode("utf-8", "replace").lower())
+                    at, odds, rare, open_at, open_nth = [], [], {}, [], []
+                    for i, w in enumerate(found):
+                        value = words.get(w)
+                        if value is None and joins:
+                            open_at.append(i)
+                            open_nth.append(rare.setdefault(w, len(rare)))
+                        elif value:
+                            at.append(i)
+                            odds.append(value)
+                    known = [stems.get(w[:STEM]) if len(w) > STEM else 0.0 for w in rare]
+                    out.append((len(found), at, odds, list(rare), known, open_at, open_nth))
+                cols = list(zip(*out))
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(batch.schema.get_field_index(c)).slice(first, len(piece)) for c in others],
+                     *[pa.array(c, t) for c, t in zip(cols, kinds)]], names=[*others, *names])
+
+    names = ["size", "at", "odds", "rare", "known", "open_at", "open_nth"]
+    places = pa.list_(pa.int32())
+    kinds = [pa.int64(), places, pa.list_(pa.float64()), pa.list_(pa.string()), pa.list_(pa.float64()), places, places]
+    head = [f"`{c}` {spark_type(texts, c)}" for c in others]
+    rows = texts.mapInArrow(look, ", ".join([
+        *head, "size long, at array<int>, odds array<double>, rare array<string>, known array<double>, "
+               "open_at array<int>, open_nth array<int>"]))
+    if not joins:
+        return rows.select(*others, "size", "at", "odds")
+    path = shared_dir(texts.sparkSession, "toxicity")  # compressed, unlike a checkpoint
+    rows.withColumn("row", F.monotonically_increasing_id()).write.parquet(path)
+    rows = texts.sparkSession.read.parquet(path)
+    asked = rows.select("row", F.posexplode(F.arrays_zip("rare", "known")).alias("nth", "ask"))
+    stem = F.when(F.col("ask.known").isNull(), F.concat(F.lit("s"), F.substring("ask.rare", 1, STEM)))
+    keys = F.array_compact(F.array(F.concat(F.lit("w"), F.col("ask.rare")), stem))
+    asked = asked.select("row", "nth", F.explode(keys).alias("asked"))
+    rest = F.broadcast(model.rest) if measured_bytes(model.rest) <= DEFAULT_BROADCAST_BYTES else model.rest
+    met = asked.join(rest, F.col("asked") == F.col("key"))
+    met = met.groupBy("row").agg(F.collect_list(F.struct(
+        "nth", F.col("key").startswith("w").alias("own"), F.col("odds").alias("value"))).alias("met"))
+    met = broadcast_if_small(met.withColumnRenamed("row", "of_row"))
+    rows = rows.join(met, F.col("row") == F.col("of_row"), "left").select(
+        *others, "size", "at", "odds", "known", "open_at", "open_nth", "met")
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, at, odds, known, open_at, open_nth, met = (
+                batch.column(len(others) + k).to_pylist() for k in range(7))
+            for r in range(batch.num_rows):
+                value = [k or 0.0 for k in known[r]]
+                for m in sorted(met[r] or (), key=lambda m: m["own"]):  # the word's own entry comes last
+                    value[m["nth"]] = m["value"]
+                for i, nth in zip(open_at[r], open_nth[r]):
+                    if value[nth]:
+                        at[r].append(i)
+                        odds[r].append(value[nth])
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(k) for k in range(len(others))], pa.array(size, pa.int64()),
+                 pa.array(at, places), pa.array(odds, pa.list_(pa.float64()))],
+                names=[*others, "size", "at", "odds"])
+
+    return rows.mapInArrow(fill, ", ".join([*head, "size long, at array<int>, odds array<double>"]))
+
+
+def segments_of(size: int, at: list[int], odds: list[float]) -> list[tuple[float, int, int]]:
+    """The maximal segments of a text from its words that are not neutral."""
+    scores = np.full(size, -DRIFT)
+    scores[np.array(at, np.int64)] += np.array(odds, np.float64)
+    return maximal_segments(scores) if size else []
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_id: str, label_col: str) -> DataFrame:
@@ -122,21 +195,23 @@ def incidences(rows: DataFrame) -> DataFrame:
     return counted.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("t0", "c0", "t1", "c1")])
 
 
-def log_odds(counts: DataFrame, halves: tuple[int, ...]) -> tuple[dict[str, float], dict[str, float]]:
+def log_odds(counts: DataFrame, halves: tuple[int, ...]) -> Model | None:
     """Log-odds of words and of stems, relative to all tokens. A stem's share
     of toxic incidences has a Dirichlet prior at the overall share, a word's
-    at the share of its stem. Rare tokens are left to their prior, which
-    bounds the tables by ``MOST_TOKENS`` each."""
+    at the share of its stem. Every word has its log-odds, however rare: the
+    frequent ones (at most ``MOST_TOKENS`` words and as many stems) are read
+    into the model, the others stay in a written table."""
     t, c = (sum(F.col(f"{x}{h}") for h in halves) for x in "tc")
     words = counts.select("word", t.alias("t"), (t + c).alias("n")).where("n > 0")
     total = words.agg(F.sum("t").alias("t"), F.sum("n").alias("n")).collect()[0]
     if not total["t"] or total["t"] == total["n"]:
-        return {}, {}
+        return None
     share = total["t"] / total["n"]
-    least = max(2.0, total["n"] / MOST_TOKENS)
+    least = total["n"] / MOST_TOKENS
 
     def odds(p: F.Column) -> F.Column:
-        return F.log(p / (1 - p)) - math.log(share / (1 - share))
+        found = F.log(p / (1 - p)) - math.log(share / (1 - share))
+        return F.when(F.abs(found) >= NEUTRAL, found).otherwise(0.0)
 
     stem = F.when(F.length("word") > STEM, F.substring("word", 1, STEM)).otherwise(F.lit(""))
     stems = words.groupBy(stem.alias("stem")).agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
@@ -144,17 +219,20 @@ def log_odds(counts: DataFrame, halves: tuple[int, ...]) -> tuple[dict[str, floa
     # split the words of a frequent stem.
     stems = materialize(stems.withColumn("p", F.when(F.col("stem") == "", share).otherwise(
         (F.col("t") + STEM_PRIOR * share) / (F.col("n") + STEM_PRIOR))))
-    kept_stems = stems.where((F.col("stem") != "") & (F.col("n") >= least) & (F.abs(odds(F.col("p"))) >= NEUTRAL))
-    stem_rows = kept_stems.select("stem", odds(F.col("p")).alias("o")).collect()
-    common = words.where(F.col("n") >= least).withColumn("of", stem)
-    joined = common.join(stems.select(F.col("stem").alias("of"), F.col("p").alias("prior")), "of")
+    joined = words.withColumn("of", stem).join(stems.select(F.col("stem").alias("of"), F.col("p").alias("prior")), "of")
     p = (F.col("t") + WORD_PRIOR * F.col("prior")) / (F.col("n") + WORD_PRIOR)
-    word_rows = joined.select("word", odds(p).alias("o")).collect()
-    stem_odds = {r["stem"]: r["o"] for r in stem_rows}
-    # A word needs an entry only when it differs from what its stem says.
-    word_odds = {r["word"]: r["o"] if abs(r["o"]) >= NEUTRAL else 0.0 for r in word_rows
-                 if abs(r["o"]) >= NEUTRAL or (len(r["word"]) > STEM and r["word"][:STEM] in stem_odds)}
-    return word_odds, stem_odds
+    # A rare word needs an entry only when it differs from what its stem says.
+    word_rows = joined.select(F.concat(F.lit("w"), "word").alias("key"), "n", odds(p).alias("odds"),
+                              ((odds(p) != 0) | (odds(F.col("prior")) != 0)).alias("needed"))
+    stem_rows = stems.where("stem <> ''").select(F.concat(F.lit("s"), "stem").alias("key"), "n", odds(F.col("p")).alias("odds"),
+                                                 (odds(F.col("p")) != 0).alias("needed"))
+    every = materialize(word_rows.unionAll(stem_rows).where(F.col("needed") | (F.col("n") >= least)))
+    model = Model()
+    often = every.where(F.col("n") >= least).select("key", "odds").toArrow()
+    for key, value in zip(often.column(0).to_pylist(), often.column(1).to_pylist()):
+        (model.words if key[0] == "w" else model.stems)[key[1:]] = value
+    model.rest = every.where(F.col("n") < least).select("key", "odds")
+    return model
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -166,27 +244,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     missing."""
     rows = materialize(labelled(docs, labels, id_col, text_col, label_id, label_col))
     counts = materialize(incidences(rows))
-    words, stems = log_odds(counts, (0, 1))
-    if not words:
+    model = log_odds(counts, (0, 1))
+    if model is None:
         return None
-    half = Model(*log_odds(counts, (0,)))
+    half = log_odds(counts, (0,)) or Model()
     other = rows.where("half = 1")
     share = min(1.0, CALIBRATION_DOCS / max(1, other.count()))
     unit = F.pmod(F.xxhash64("text", F.lit("toxicity")), F.lit(1 << 30)) / float(1 << 30)
-    shared = rows.sparkSession.sparkContext.broadcast(half)
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            toxic, out = batch.column(1).to_pylist(), []
-            for at, piece in chunks(batch.column(0)):
-                out += [(toxic[at + i], [s for s, _, _ in segs], n) for i, segs, n in scan(shared.value, piece)]
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([o[0] for o in out]), pa.array([o[1] for o in out], pa.list_(pa.float64())),
-                     pa.array([o[2] for o in out], pa.int64())], names=["toxic", "scores", "size"])
+            size, at, odds = (batch.column(k).to_pylist() for k in (1, 2, 3))
+            scores = [[s for s, _, _ in segments_of(*x)] for x in zip(size, at, odds)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(scores, pa.list_(pa.float64())), batch.column(1)],
+                names=["toxic", "scores", "size"])
 
-    got = other.where(unit < share).mapInArrow(segments, "toxic boolean, scores array<double>, size long").collect()
-    model = Model(words, stems)
+    drawn = scan(other.where(unit < share).select("toxic", "text"), half, "text")
+    got = drawn.mapInArrow(segments, "toxic boolean, scores array<double>, size long").collect()
     clean = np.array([max(r["scores"], default=0.0) - math.log(max(r["size"], 1)) for r in got if not r["toxic"]])
     if len(clean):
         model.spread = max(0.25, float(clean.std()) * math.sqrt(6) / math.pi)
@@ -222,24 +297,30 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     empty texts have no segment and the lowest score. Without a model every
     score is 0. Rows are kept one for one."""
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    kind = f"id {spark_type(narrow, 'id')}"
+    if model is None:
+        return narrow.select("id", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_words"),
+                             F.array().cast("array<struct<first:bigint,end:bigint,score:double>>").alias("passages"))
+    shared = docs.sparkSession.sparkContext.broadcast((model.location, model.spread, model.weights))
     least = -math.log(-math.log1p(-SIGNIFICANCE))
     passage = pa.struct([("first", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = shared.value
+        location, spread, weights = shared.value
+        net = Model(location=location, spread=spread, weights=weights)
         for batch in batches:
-            value, size, found = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64), [[]] * batch.num_rows
-            for at, piece in chunks(batch.column(1)) if net else ():
-                for i, segments, n in scan(net, piece):
-                    facts = summary(net, segments, n)
-                    line = net.weights[0] + sum(w * f for w, f in zip(net.weights[1:], facts))
-                    value[at + i], size[at + i] = 1 / (1 + math.exp(-max(-30.0, min(30.0, line)))), n
-                    limit = math.log(max(n, 1)) + net.location + least * net.spread
-                    found[at + i] = [{"first": a, "end": b, "score": s} for s, a, b in segments if s >= limit]
+            value, found = np.zeros(batch.num_rows), [[]] * batch.num_rows
+            size, at, odds = (batch.column(k).to_pylist() for k in (1, 2, 3))
+            for i, n in enumerate(size):
+                segments = segments_of(n, at[i], odds[i])
+                facts = summary(net, segments, n)
+                line = weights[0] + sum(w * f for w, f in zip(weights[1:], facts))
+                value[i] = 1 / (1 + math.exp(-max(-30.0, min(30.0, line))))
+                limit = math.log(max(n, 1)) + location + least * spread
+                found[i] = [{"first": a, "end": b, "score": s} for s, a, b in segments if s >= limit]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(value), pa.array(size), pa.array(found, pa.list_(passage))],
+                [batch.column(0), pa.array(value), batch.column(1), pa.array(found, pa.list_(passage))],
                 names=["id", "score", "n_words", "passages"])
 
-    return narrow.mapInArrow(run, f"id {spark_type(narrow, 'id')}, score double, n_words long, "
-                                  "passages array<struct<first:bigint,end:bigint,score:double>>")
+    return scan(narrow, model, "text").mapInArrow(
+        run, f"{kind}, score double, n_words long, passages array<struct<first:bigint,end:bigint,score:double>>")

@@ -388,3 +388,27 @@ def test_pipeline(spark, texts):
     load = [r["b"] for r in done.groupBy("shard").agg(F.sum(F.octet_length("text") + 1).alias("b")).collect()]
     assert max(load) < 1.3 * sum(load) / corpus_pipeline.SHARDS
     assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect()) == want
+
+
+def test_rare_words_count_however_many_tokens_are_shared(spark, monkeypatch):
+    """A short word found in two toxic documents only, among many words."""
+    draw = np.random.default_rng(5)
+    vocabulary = [a + b + c for a in "bdfgkl" for b in "aeiou" for c in ("ma", "ne", "ri", "sol", "tuver")]
+    data = []
+    for i in range(240):
+        said = " ".join(draw.choice(vocabulary, 40))
+        toxic = int(i % 8 == 0)
+        data.append((i, f"{said} vile scum zorg {said}" if toxic else said, toxic))
+    data[8] = (8, data[8][1] + " qxv qxv", 1)
+    data[16] = (16, data[16][1] + " qxv", 1)
+    frame = spark.createDataFrame(data, "doc_id long, text string, toxic int")
+    labels = frame.select("doc_id", "toxic")
+    asked = spark.createDataFrame([(1, "qxv qxv qxv"), (2, "zorgling vile"), (3, None)], "doc_id long, text string")
+    found = []
+    for most in (200_000, 100):
+        monkeypatch.setattr(toxicity, "MOST_TOKENS", most)
+        model = toxicity.fit(frame, labels)
+        odds = {r["id"]: sum(r["odds"]) for r in toxicity.scan(asked.withColumnRenamed("doc_id", "id"), model, "text").collect()}
+        found.append((odds, sorted((r["id"], round(r["score"], 9), r["n_words"]) for r in toxicity.score(asked.unionAll(frame.select("doc_id", "text")), model).collect())))
+    assert "qxv" not in model.words
+    assert found[0][0][1] > 3 and found[0][0] == pytest.approx(found[1][0]) and found[0][1] == found[1][1]
