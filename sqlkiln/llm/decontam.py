@@ -1,5 +1,6 @@
-"""Benchmark decontamination: rare word n-gram seeds join passages of the
-corpus to test items, and Smith-Waterman alignment scores each passage."""
+"""Benchmark decontamination: pairs of neighbouring words join passages of the
+corpus to test items, a bound that no reportable alignment misses picks the
+passages, and Smith-Waterman alignment scores each of them."""
 
 from __future__ import annotations
 
@@ -11,19 +12,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sqlkiln.llm.common import chunks, row_key, spark_type, unused_name
-from sqlkiln.session import broadcast_if_small, materialize
+from sqlkiln.session import broadcast_if_small
 
-SEED_WORDS = 3
-# A seed is rare up to so many passages, or this share of all documents.
-RARE_PASSAGES, RARE_SHARE = 20, 1e-4
 MATCH, MISMATCH, GAP = 2, -1, -1
 # A pair is reported from this share of the item's own score, or, for long
-# items, from a score of fifty matching words.
-LEAST_RATIO, LONG_SCORE = 0.45, 100
+# items, from a score of thirty matching words.
+LEAST_RATIO, LONG_SCORE = 0.45, 60
 LEAST_ITEM_WORDS = 5
 # Items go to the workers in blocks of at most so many words.
 BLOCK_WORDS = 2_000_000
 PIECE = 1 << 20
+# So many seed hits are handled at once, or those of one text.
+MOST_HITS = 1 << 21
 
 _WORD_BYTE = np.zeros(256, bool)
 _WORD_BYTE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -66,13 +66,15 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    if len(words) < n:
-        return np.zeros(0, np.uint64)
-    total = np.zeros(len(words) - n + 1, np.uint64)
-    for k in range(n):
-        total = (total + words[k : len(words) - n + 1 + k]) * _ODD[2]
-    return total ^ (total >> np.uint64(29))
+def pair_hashes(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, place, next to each other) of every two neighbouring words and
+    of every two words with one between them."""
+    found = [(words[:-k], words[k:]) for k in (1, 2) if len(words) > k]
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
+    total = np.concatenate([(x * _ODD[2] + y) * _ODD[2] for x, y in found])
+    place = np.concatenate([np.arange(len(x)) for x, _ in found])
+    return total ^ (total >> np.uint64(29)), place, np.arange(len(place)) < len(words) - 1
 
 
 @dataclass
@@ -85,73 +87,105 @@ class Items:
     first: np.ndarray  # CSR of each seed's occurrences
     item: np.ndarray
     place: np.ndarray
+    next: np.ndarray  # whether the two words stand next to each other
+    need: np.ndarray  # least weight of seeds, by item
     filter: np.ndarray  # membership table of the seeds' low bits
 
     @staticmethod
-    def of(rows: list[tuple], n: int) -> Items:
-        ids, words, seed, item, place = [], [], [], [], []
+    def of(rows: list[tuple], least: float = LEAST_RATIO) -> Items:
+        ids, words, seed, item, place, near = [], [], [], [], [], []
         for key, text in rows:
             hashes = word_hashes(folded(text))[2]
-            if len(hashes) < max(n, LEAST_ITEM_WORDS):
+            if len(hashes) < LEAST_ITEM_WORDS:
                 continue
-            grams = ngram_hashes(hashes, n)
+            grams, at, beside = pair_hashes(hashes)
             seed.append(grams)
             item.append(np.full(len(grams), len(ids)))
-            place.append(np.arange(len(grams)))
+            place.append(at)
+            near.append(beside)
             ids.append(key)
             words.append(hashes)
         if not ids:
             none = np.zeros(0, np.int64)
-            return Items([], [], np.zeros(0, np.uint64), np.zeros(1, np.int64), none, none, np.zeros(2, bool))
+            return Items([], [], np.zeros(0, np.uint64), np.zeros(1, np.int64), none, none, none, none, np.zeros(2, bool))
         seed_, item_, place_ = np.concatenate(seed), np.concatenate(item), np.concatenate(place)
         order = np.lexsort((place_, item_, seed_))
         seeds, first = np.unique(seed_[order], return_index=True)
         bits = max(16, int(len(seeds) * 16).bit_length())
         table = np.zeros(1 << bits, bool)
         table[(seeds & np.uint64((1 << bits) - 1)).astype(np.int64)] = True
-        return Items(ids, words, seeds, np.append(first, len(order)), item_[order], place_[order], table)
-
-
-def passages(items: Items, texts: list[bytes], n: int) -> Iterator[tuple[int, int, int, bytes, list[int], int]]:
-    """(text, item, first word, passage, seeds, places) for every cluster of
-    seed hits: hits of one item whose implied item starts lie within an item
-    length of each other, widened by a quarter of the item on both sides.
-    Clusters much longer than the item are cut into overlapping windows."""
+        least_score = np.array([min(least * MATCH * len(w), LONG_SCORE) for w in words])
+        return Items(ids, words, seeds, np.append(first, len(order)), item_[order], place_[order],
+                     np.concatenate(near)[order], least_score - 2 - 1e-9, table)
+
+
+def passages(items: Items, texts: list[bytes]) -> Iterator[tuple[int, int, int, np.ndarray, bytes]]:
+    """(text, item, first word, word hashes, passage) for every cluster of
+    seed hits that may hold a reportable alignment: hits of one item whose
+    implied item starts lie within an item length of each other, widened by a
+    quarter of the item on both sides. Clusters much longer than the item are
+    cut into overlapping windows.
+
+    A seed is two words with at most one word between them, in the item and
+    in the text. Of the steps from one matched word to the next, those with
+    no edit add two to an alignment's score, those with one edit add one, and
+    all others nothing; the first two are seed hits. So the hits of distinct
+    item places, weighted two and one, come to at least the score less two,
+    and clusters below that hold nothing to report."""
     data = [folded(t.decode("utf-8", "replace")) for t in texts]
     begin = np.concatenate(([0], np.cumsum([len(d) + 1 for d in data])))
     start, end, words = word_hashes(big := b"\n".join(data))
-    grams = ngram_hashes(words, n)
+    grams, pos, near = pair_hashes(words)
     maybe = np.flatnonzero(items.filter[(grams & np.uint64(len(items.filter) - 1)).astype(np.int64)])
     at = np.minimum(np.searchsorted(items.seeds, grams[maybe]), len(items.seeds) - 1)
     hit = items.seeds[at] == grams[maybe]
-    pos, seed = maybe[hit], at[hit]
+    pos, near, seed = pos[maybe[hit]], near[maybe[hit]], at[hit]
     doc = np.searchsorted(begin, start[pos], "right") - 1
-    whole = np.searchsorted(begin, start[pos + n - 1], "right") - 1 == doc
-    pos, seed, doc = pos[whole], seed[whole], doc[whole]
+    whole = np.searchsorted(begin, start[pos + 2 - near], "right") - 1 == doc
+    pos, near, seed, doc = pos[whole], near[whole], seed[whole], doc[whole]
+    order = np.argsort(doc, kind="stable")
+    pos, near, seed, doc = pos[order], near[order], seed[order], doc[order]
     fan = items.first[seed + 1] - items.first[seed]
+    low, high = np.searchsorted(start, begin[:-1]), np.searchsorted(start, begin[1:])
+    size = np.array([len(w) for w in items.words])
+    total = np.cumsum(fan)
+    a = 0
+    while a < len(doc):  # whole texts, up to so many hits
+        done = total[a - 1] if a else 0
+        last = max(doc[a], doc[max(a, int(np.searchsorted(total, done + MOST_HITS)) - 1)] - 1)
+        b = int(np.searchsorted(doc, last, "right"))
+        for d, i, left, right in _clusters(items, size, pos[a:b], near[a:b], seed[a:b], doc[a:b], fan[a:b]):
+            length, slack = int(size[i]), int(size[i]) // 4 + 2
+            left, right = max(int(low[d]), left - slack), min(int(high[d]), right + length + slack)
+            for first in range(left, max(left + 1, right - 2 * length), 2 * length):
+                to = min(right, first + 4 * length)
+                yield d, i, first - int(low[d]), words[first:to], big[start[first] : end[to - 1]]
+        a = b
+
+
+def _clusters(items: Items, size: np.ndarray, pos: np.ndarray, near: np.ndarray, seed: np.ndarray, doc: np.ndarray,
+              fan: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(text, item, first and last implied start) of the clusters with enough
+    weight."""
     rep = np.repeat(np.arange(len(pos)), fan)
-    if not len(rep):
-        return
     occ = np.arange(len(rep)) - np.repeat(np.cumsum(fan) - fan, fan) + items.first[seed[rep]]
-    item, place, pos, doc, seed = items.item[occ], items.place[occ], pos[rep], doc[rep], seed[rep]
-    size = np.array([len(w) for w in items.words])
-    origin = pos - place
+    item, place, doc = items.item[occ], items.place[occ], doc[rep]
+    weight, origin = 1 + (near[rep] & items.next[occ]), pos[rep] - place
     order = np.lexsort((origin, item, doc))
-    item, place, doc, seed, origin = item[order], place[order], doc[order], seed[order], origin[order]
+    item, place, doc, weight, origin = item[order], place[order], doc[order], weight[order], origin[order]
     new = np.ones(len(order), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (origin[1:] - origin[:-1] > size[item[1:]])
-    low, high = np.searchsorted(start, begin[:-1]), np.searchsorted(start, begin[1:])
-    edges = np.append(np.flatnonzero(new), len(order))
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-        i, d = int(item[a]), int(doc[a])
-        length, slack = int(size[i]), int(size[i]) // 4 + 2
-        left = max(int(low[d]), int(origin[a]) - slack)
-        right = min(int(high[d]), int(origin[b - 1]) + length + slack)
-        found, places = np.unique(seed[a:b]).tolist(), len(np.unique(place[a:b]))
-        stride = 2 * length
-        for first in range(left, max(left + 1, right - 2 * length), stride):
-            last = min(right, first + 4 * length)
-            yield d, i, first - int(low[d]), big[start[first] : end[last - 1]], found, places
+    cluster = np.cumsum(new) - 1
+    # The best hit of each item place, summed by cluster.
+    order = np.lexsort((-weight, place, cluster))
+    c, p = cluster[order], place[order]
+    best = np.ones(len(order), bool)
+    best[1:] = (c[1:] != c[:-1]) | (p[1:] != p[:-1])
+    held = np.bincount(c[best], weight[order][best])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(new)) - 1
+    for k in np.flatnonzero(held >= items.need[item[first]]).tolist():
+        yield int(doc[first[k]]), int(item[first[k]]), int(origin[first[k]]), int(origin[last[k]])
 
 
 def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
@@ -181,17 +215,16 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
 
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-          item_id: str = "item_id", item_text: str = "text", seed_words: int = SEED_WORDS,
+          item_id: str = "item_id", item_text: str = "text",
           least_ratio: float = LEAST_RATIO) -> DataFrame:
     """``(id, item, score, ratio, first_word, last_word, passage)``: the best
     alignment of each contaminated (document, item) pair.
 
-    Every seed (word n-gram) of every item is looked up in every whole text.
-    A passage is aligned when it holds a rare seed or two seeds of the item
-    at different places; so a passage that was copied so often that its own
-    seeds became frequent is still found, and only a lone hit of a common
-    n-gram is passed over. ``ratio`` is the alignment score over the item's
-    score against itself.
+    Every two neighbouring words of every item, or two with a word between
+    them, are looked up in every whole text. A passage is aligned when it has
+    enough of them to reach ``least_ratio`` or ``LONG_SCORE`` at all, however
+    often it or its words occur elsewhere. ``ratio`` is the alignment score
+    over the item's score against itself.
 
     Items of fewer than ``LEAST_ITEM_WORDS`` words, and null items, are no
     evidence and never match; null and empty documents match nothing.
@@ -204,9 +237,8 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     size = tests.agg(F.coalesce(F.sum(F.size(F.split("text", r"\s+"))), F.lit(0))).collect()[0][0]
     blocks = max(1, -(-int(size) // BLOCK_WORDS))
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rare = max(RARE_PASSAGES, int(RARE_SHARE * narrow.count()))
-    found = [_block_leaks(narrow, tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k), rare, seed_words,
-                          least_ratio, kind, item_kind) for k in range(blocks)]
+    found = [_block_leaks(narrow, tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k), least_ratio,
+                          kind, item_kind) for k in range(blocks)]
     every = found[0]
     for more in found[1:]:
         every = every.unionAll(more)
@@ -215,53 +247,32 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     return best.select("id", "item", "best.*")
 
 
-def _block_leaks(narrow: DataFrame, tests: DataFrame, rare: int, n: int, least: float, kind: str,
-                 item_kind: str) -> DataFrame:
-    spark = narrow.sparkSession
-    index = Items.of(sorted(map(tuple, tests.collect()), key=str), n)
-    shared = spark.sparkContext.broadcast(index)
+def _block_leaks(narrow: DataFrame, tests: DataFrame, least: float, kind: str, item_kind: str) -> DataFrame:
+    index = Items.of(sorted(map(tuple, tests.collect()), key=str), least)
+    shared = narrow.sparkSession.sparkContext.broadcast(index)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, piece in chunks(batch.column(1)) if index_has(shared.value) else ():
-                rows = list(passages(shared.value, piece, n))
-                if rows:
-                    where = pa.array([at + r[0] for r in rows], pa.int64())
-                    cols = [[r[k] for r in rows] for k in range(1, 6)]
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(where), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()),
-                         pa.array([p.decode("utf-8", "replace") for p in cols[2]], pa.string()),
-                         pa.array(cols[3], pa.list_(pa.int32())), pa.array(cols[4], pa.int32())],
-                        names=["id", "nth", "first", "passage", "seeds", "places"])
-
-    hits = materialize(narrow.mapInArrow(
-        scan, f"id {kind}, nth int, first long, passage string, seeds array<int>, places int"))
-    # One row per seed at most, and the seeds of a block are bounded.
-    often = hits.select(F.explode("seeds").alias("seed")).groupBy("seed").count().where(F.col("count") > rare)
-    common = spark.sparkContext.broadcast({r["seed"] for r in often.collect()})
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
         for batch in batches:
-            out: list[tuple] = []
-            ids, (nth, first, text, seeds, places) = batch.column(0), (batch.column(k).to_pylist() for k in range(1, 6))
-            for r in range(batch.num_rows):
-                if places[r] < 2 and all(s in common.value for s in seeds[r]):
-                    continue
-                item = block.words[nth[r]]
-                got, begin, end = align(item, word_hashes(text[r].encode())[2])
-                ratio = got / (MATCH * len(item))
-                if ratio >= least or got >= LONG_SCORE:
-                    out.append((r, block.ids[nth[r]], got, ratio, first[r] + begin, first[r] + end, text[r]))
-            if out:
-                cols = list(zip(*out))
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(cols[0], pa.int64())), pa.array(cols[1]), pa.array(cols[2], pa.int64()),
-                     *[pa.array(c) for c in cols[3:]]],
-                    names=["id", "item", "score", "ratio", "first_word", "last_word", "passage"])
-
-    return hits.mapInArrow(
-        score, f"id {kind}, item {item_kind}, score long, ratio double, first_word long, last_word long, passage string")
+            for at, piece in chunks(batch.column(1)) if index_has(block) else ():
+                out, known = [], {}
+                for d, i, first, words, text in passages(block, piece):
+                    if (i, text) not in known:  # each distinct passage once
+                        known[i, text] = align(block.words[i], words)
+                    got, begin, end = known[i, text]
+                    ratio = got / (MATCH * len(block.words[i]))
+                    if ratio >= least or got >= LONG_SCORE:
+                        out.append((at + d, block.ids[i], got, ratio, first + begin, first + end,
+                                    text.decode("utf-8", "replace")))
+                if out:
+                    cols = list(zip(*out))
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1]),
+                         pa.array(cols[2], pa.int64()), *[pa.array(c) for c in cols[3:]]],
+                        names=["id", "item", "score", "ratio", "first_word", "last_word", "passage"])
+
+    return narrow.mapInArrow(
+        scan, f"id {kind}, item {item_kind}, score long, ratio double, first_word long, last_word long, passage string")
 
 
 def index_has(index: Items) -> bool:

@@ -412,3 +412,35 @@ def test_rare_words_count_however_many_tokens_are_shared(spark, monkeypatch):
         found.append((odds, sorted((r["id"], round(r["score"], 9), r["n_words"]) for r in toxicity.score(asked.unionAll(frame.select("doc_id", "text")), model).collect())))
     assert "qxv" not in model.words
     assert found[0][0][1] > 3 and found[0][0] == pytest.approx(found[1][0]) and found[0][1] == found[1][1]
+
+
+def test_op3_finds_lone_seeds_in_large_groups_and_scattered_edits(spark):
+    item = "a b c d e f g h"
+    long = " ".join(f"w{k}" for k in range(140))
+    docs = [(i, "a b c X e f Y h") for i in range(60)] + [
+        (900, "see a b X d e Y g h here"), (901, "a 1 b 2 c 3 d 4 e 5 f 6 g 7 h"), (902, "a b c something else"),
+        (903, "so " + " ".join(f"w{k}" for k in range(50, 85)) + " it goes")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    tests = spark.createDataFrame([(7, item), (8, long)], "item_id long, text string")
+    got = {(r["id"], r["item"]) for r in decontam.leaks(frame, tests).collect()}
+    assert got == {*((i, 7) for i in range(60)), (900, 7), (901, 7), (903, 8)}
+
+
+def test_op3_picks_every_passage_that_aligns():
+    """Against aligning everything, over random edits of few words."""
+    draw = np.random.default_rng(3)
+    items = {k: " ".join(draw.choice(list("abcdefghijklmnop"), draw.integers(5, 12))) for k in range(15)}
+    texts = {}
+    for i in range(300):
+        words = items[int(draw.integers(15))].split()
+        for _ in range(draw.integers(0, 5)):
+            at = int(draw.integers(len(words)))
+            words[at : at + int(draw.integers(0, 2))] = [["x"], [], ["y", "z"]][int(draw.integers(3))]
+            words = words or ["x"]
+        texts[i] = "q r s " + " ".join(words) + " t u v"
+    block = decontam.Items.of(list(items.items()))
+    got = set()
+    for d, i, _, words, _ in decontam.passages(block, [t.encode() for t in texts.values()]):
+        if decontam.align(block.words[i], words)[0] >= decontam.LEAST_RATIO * 2 * len(block.words[i]):
+            got.add((d, block.ids[i]))
+    assert got == plain_leaks(texts, items) and len(got) > 100
