@@ -282,9 +282,12 @@ def index_has(index: Items) -> bool:
 def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                **options: object) -> DataFrame:
     """The rows of ``docs`` that hold no passage of an item; columns
-    unchanged. A row with a null id is told apart by its text."""
-    mine = unused_name(docs, "row_id")
-    keyed = docs.withColumn(mine, row_key(docs, id_col, text_col))
-    bad = leaks(keyed.select(F.col(mine).alias("doc"), F.col(text_col).alias("body")), items, "doc", "body", **options)
-    bad = broadcast_if_small(bad.select(F.col("id").alias("leaked")).distinct())
-    return keyed.join(bad, F.col(mine) == F.col("leaked"), "left_anti").select(*[keyed[f"`{c}`"] for c in docs.columns])
+    unchanged. Rows are told apart by id and text, so a repeated id with
+    another text is judged by that text."""
+    mine, said = unused_name(docs, "row_id"), unused_name(docs, "row_text")
+    keyed = docs.withColumn(mine, row_key(docs, id_col, text_col)).withColumn(said, F.xxhash64(F.col(text_col)))
+    row = F.struct(F.col(mine).alias("id"), F.col(said).alias("said"))
+    bad = leaks(keyed.select(row.alias("doc"), F.col(text_col).alias("body")), items, "doc", "body", **options)
+    bad = broadcast_if_small(bad.select(F.col("id.id").alias("leaked"), F.col("id.said").alias("leaked_text")).distinct())
+    same = (F.col(mine) == F.col("leaked")) & (F.col(said) == F.col("leaked_text"))
+    return keyed.join(bad, same, "left_anti").select(*[keyed[f"`{c}`"] for c in docs.columns])

@@ -113,16 +113,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                          shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` with one document of each near-duplicate group:
-    the one with the smallest id, and one row only if that id repeats. A row
-    with a null id stands after all rows with ids. Columns are unchanged,
-    whatever they are called."""
-    mine = unused_name(docs, "row_id")
-    keyed = docs.withColumn(mine, row_key(docs, id_col, text_col))
-    groups = near_duplicates(keyed.select(F.col(mine).alias("doc"), F.col(text_col).alias("body")), "doc", "body",
+    the one with the smallest id, and one row only if that id repeats. Rows
+    are told apart by id and text, so a repeated id with other texts stands in
+    each group of its texts. A row with a null id stands after all rows with
+    ids. Columns are unchanged, whatever they are called."""
+    mine, said = unused_name(docs, "row_id"), unused_name(docs, "row_text")
+    keyed = docs.withColumn(mine, row_key(docs, id_col, text_col)).withColumn(said, F.xxhash64(F.col(text_col)))
+    row = F.struct(F.col(mine).alias("id"), F.col(said).alias("said"))
+    groups = near_duplicates(keyed.select(row.alias("doc"), F.col(text_col).alias("body")), "doc", "body",
                              shingle_words, radius)
-    stay = groups.where("id = component").select(F.col("id").alias("stay")).distinct()
-    kept = keyed.join(materialize(stay), F.col(mine) == F.col("stay"), "left_semi")
+    stay = groups.where("id = component").select(F.col("id.id").alias("stay"), F.col("id.said").alias("stay_text")).distinct()
+    same = (F.col(mine) == F.col("stay")) & (F.col(said) == F.col("stay_text"))
+    kept = keyed.join(materialize(stay), same, "left_semi")
     first = unused_name(docs, "nth_row")
-    kept = kept.withColumn(first, F.row_number().over(Window.partitionBy(mine).orderBy(mine)))
+    kept = kept.withColumn(first, F.row_number().over(Window.partitionBy(mine, said).orderBy(mine)))
     return kept.where(F.col(first) == 1).select(*[kept[f"`{c}`"] for c in docs.columns])
-

@@ -176,3 +176,15 @@ def test_stages(docs, none, tests, labels, tmp_path):
             extra = ["shard", "vslot"] if name == "sharding" else []
             assert sorted(done.columns) == sorted({*some.columns, *extra}), name
             assert done.count() <= some.count(), name
+
+
+def test_rows_of_one_id_with_two_texts(spark, tests):
+    near = SAY + " nearby"
+    some = rows(spark, [(i, t, None, None, None) for i, t in ((5, SAY), (5, DIRE), (5, DIRE), (3, near))])
+    kept = simhash.drop_near_duplicates(some, radius=0)
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted([(5, SAY), (5, DIRE), (3, near)])
+    twin = rows(spark, [(i, t, None, None, None) for i, t in ((5, SAY), (5, DIRE), (5, DIRE), (3, SAY))])
+    assert sorted((r["doc_id"], r["text"]) for r in simhash.drop_near_duplicates(twin).collect()) == sorted([(3, SAY), (5, DIRE)])
+    some = rows(spark, [(i, t, None, None, None) for i, t in ((1, SAY), (1, "a clean text of its own"), (2, "another"))])
+    left = decontam.drop_leaks(some, tests)
+    assert sorted((r["doc_id"], r["text"]) for r in left.collect()) == [(1, "a clean text of its own"), (2, "another")]
