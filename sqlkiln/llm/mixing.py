@@ -14,7 +14,7 @@ from sqlkiln.llm.common import unused_name, words
 from sqlkiln.session import broadcast_if_small, materialize
 
 # Words hash into so many buckets.
-BUCKETS = 1 << 14
+BUCKETS = 1 << 16
 # The classifier is fitted on about so many labelled documents at most.
 SAMPLE_DOCS = 20_000
 # A bucket counts when its log rates in two domains differ by so many standard
@@ -31,10 +31,13 @@ LEVELS = (9, 9, 16 * 6)
 @dataclass
 class Domains:
     """Naive Bayes against the first domain: log odds of distinct word
-    buckets and of shape levels, flattened by a temperature, over a prior."""
+    buckets and of shape levels, flattened by a temperature, over a prior.
+    ``weights`` has a domain's odds of all other buckets, then those of
+    ``buckets`` in turn."""
 
     names: list[str]
     prior: list[float]
+    buckets: list[int]
     weights: list[list[float]]
     shapes: list[list[list[float]]]
     temperature: float = 1.0
@@ -73,15 +76,23 @@ def _numbers(values: list[float]) -> Column:
     return F.split(F.lit(",".join(f"{v:.5g}" for v in values)), ",").cast("array<double>")
 
 
-def _total(found: Column, table: Column) -> Column:
-    return F.aggregate(found, F.lit(0.0), lambda acc, b: acc + F.get(table, b))
+def _places(buckets: list[int]) -> Column:
+    """By bucket, its place in ``weights`` (0: all others)."""
+    places = ["0"] * BUCKETS
+    for nth, b in enumerate(buckets, 1):
+        places[b] = str(nth)
+    return F.split(F.lit(",".join(places)), ",").cast("array<int>")
+
+
+def _total(found: Column, places: Column, table: Column) -> Column:
+    return F.aggregate(found, F.lit(0.0), lambda acc, b: acc + F.get(table, F.get(places, b)))
 
 
 def evidence(found: Column, shape: Column, model: Domains) -> list[Column]:
     """Per domain, the log likelihood ratio against the first one."""
-    out = [F.lit(0.0)]
+    out, places = [F.lit(0.0)], _places(model.buckets)
     for d in range(1, len(model.names)):
-        odds = _total(found, _numbers(model.weights[d]))
+        odds = _total(found, places, _numbers(model.weights[d]))
         for j, levels in enumerate(model.shapes[d]):
             odds = odds + F.get(_numbers(levels), F.get(shape, F.lit(j)))
         out.append(odds)
@@ -157,10 +168,8 @@ def _naive_bayes(names: list[str], sizes: list, counted: DataFrame, levels: list
     kept = counted.select("bucket", *[c.alias(f"n{i}") for i, c in enumerate(n)], F.greatest(F.lit(False), F.lit(False), *far)
                           .alias("far")).where("far").collect() if far else []
     rest = [max(1e-9, 1 - sum(r[f"n{i}"] for r in kept) / total[i]) for i in range(k)]
-    weights = [[math.log(rest[i] / rest[0])] * BUCKETS for i in range(k)]
-    for r in kept:
-        for i in range(k):
-            weights[i][r["bucket"]] = math.log(r[f"n{i}"] / total[i]) - math.log(r["n0"] / total[0])
+    weights = [[math.log(rest[i] / rest[0])] + [math.log(r[f"n{i}"] / total[i]) - math.log(r["n0"] / total[0]) for r in kept]
+               for i in range(k)]
     shapes = [[[0.0] * size for size in LEVELS] for _ in names]
     seen = [[[1.0] * size for size in LEVELS] for _ in names]
     for r in levels:
@@ -171,7 +180,7 @@ def _naive_bayes(names: list[str], sizes: list, counted: DataFrame, levels: list
             own, base = sum(seen[i][j]), sum(seen[0][j])
             shapes[i][j] = [math.log(x / own) - math.log(y / base) for x, y in zip(seen[i][j], seen[0][j])]
     prior = [math.log((d + 1) / (docs[0] + 1)) for d in docs]
-    return Domains(names, prior, weights, shapes)
+    return Domains(names, prior, [r["bucket"] for r in kept], weights, shapes)
 
 
 def with_membership(docs: DataFrame, model: Domains, text_col: str, tokens: str, member: str) -> DataFrame:

@@ -444,3 +444,16 @@ def test_op3_picks_every_passage_that_aligns():
         if decontam.align(block.words[i], words)[0] >= decontam.LEAST_RATIO * 2 * len(block.words[i]):
             got.add((d, block.ids[i]))
     assert got == plain_leaks(texts, items) and len(got) > 100
+
+
+def test_op5_shares_only_the_buckets_that_matter(spark):
+    """The constants of d4da9ad's parent hold, and a model's literals grow
+    with the buckets kept, not with all buckets."""
+    assert (mixing.BUCKETS, langid.SAMPLE_DOCS, corpus_pipeline.LANGUAGE_SHARE) == (1 << 16, 600, 0.35)
+    data = [(i, ("foul swine " if i % 4 == 0 else "fine day ") * 3 + f"w{i % 97} w{i % 89}", int(i % 4 > 0)) for i in range(400)]
+    frame = spark.createDataFrame(data, "doc_id long, text string, quality int")
+    model = mixing.fit_domains(mixing.labelled(frame, frame.select("doc_id", "quality", F.lit(0).alias("toxic"))))
+    assert model.buckets and all(len(w) == len(model.buckets) + 1 < 200 for w in model.weights)
+    got = mixing.with_membership(frame, model, "text", "tokens", "member")
+    bad = F.get("member", F.lit(model.names.index("low")))
+    assert got.where((bad > 0.5) != (F.col("quality") == 0)).count() == 0
