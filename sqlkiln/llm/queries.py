@@ -7,8 +7,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sqlkiln.llm import chat, decontam, langid, mixing, ppm, quality_rules, sharding, simhash, toxicity, weak_quality
-from sqlkiln.llm.common import fold, table
+from sqlkiln.llm import (
+    chat, decontam, filter_audit, langid, merkle, mixing, ppm, quality_rules, sharding, simhash, token_files, toxicity,
+    weak_quality,
+)
+from sqlkiln.llm.common import ascii_lower, fold, table
+from sqlkiln.session import shared_dir
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +89,35 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                         *[f"over_{r.name}" for r in quality_rules.RULES])
 
 
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = shared_dir(spark, "token-files")
+    token_files.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path(TOKENIZER))
+    found = token_files.read_digests(spark, path)
+    return found.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rest = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    leaf = merkle.leaf_digest(*rest, F.col("text"))
+    tampered = merkle.leaf_digest(*rest, ascii_lower(F.col("text")))
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    leaves = docs.select("doc_id", "source", leaf.alias("leaf"), F.when(hit, tampered).otherwise(leaf).alias("now"))
+    found = merkle.verified(merkle.manifest(leaves, "source", ["doc_id"], "leaf", ("doc_id", "now")), "now")
+    return found.select("doc_id", F.col("digest").alias("leaf"), "subroot", "root",
+                        merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    failed = filter_audit.failures(table(spark, sf_dir, "documents"), filter_audit.quality_filters(F.col("text")))
+    return filter_audit.audit(filter_audit.reduce_masks(failed, table(spark, sf_dir, "labels")), "ABCDE")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_chat_formatting": op2_chat_formatting,
@@ -96,8 +129,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_quality_rules": op10_quality_rules,
+    "op11_token_files": op11_token_files,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_filter_audit": op13_filter_audit,
 }
 
+
 def _rules_sql() -> str:
     """The quality rules in SQL, from the same rule table: counts by splitting
     and unnesting windows, the binomial tail by ``lgamma``."""
@@ -152,7 +189,98 @@ from final
 """
 
 
+def _merkle_sql(fanout: int = merkle.FANOUT, heights: int = 8) -> str:
+    """The Merkle manifest in SQL, one height after the other: ``u`` are the
+    trees of the sources, ``v`` the tree of their roots. Eight heights are
+    enough for 16^8 rows a source."""
+    def digest(*fields: str) -> str:
+        said = (f"coalesce(strlen(cast({c} as varchar)) || ':' || cast({c} as varchar), '-')" for c in fields)
+        return f"sha256({' || '.join(said)})"
+
+    def tree(t: str) -> str:
+        """Levels ``t1``, ``t2``, ... and, for every node that has siblings'
+        room, the digests left and right of it."""
+        return "".join(f"""
+{t}r{k} as (
+    select g, m, coalesce(string_agg(h, '') over (run rows between unbounded preceding and 1 preceding), '') as l,
+           coalesce(string_agg(h, '') over (run rows between 1 following and unbounded following), '') as r
+    from {t}{k} where n > 1 window run as (partition by g, m // {fanout} order by m)),
+{t}{k + 1} as (
+    select *, count(*) over (partition by g) as n from (
+        select g, m // {fanout} as m, sha256(string_agg(h, '' order by m)) as h from {t}{k} where n > 1 group by all
+        union all select g, m, h from {t}{k} where n = 1)),""" for k in range(heights))
+
+    def walk(t: str, start: str, name: str) -> str:
+        """Append every height's siblings to the proof and fold the digest."""
+        return "".join(f"""
+{name}{k + 1} as (
+    select a.* replace (proof || coalesce(l || r, '') as proof, case when l is null then f else sha256(l || f || r) end as f)
+    from {start if k == 0 else f"{name}{k}"} a left join {t}r{k} b on b.g = {"a.g" if t == "u" else "''"} and a.{t}m // {fanout**k} = b.m),"""
+                       for k in range(heights))
+
+    byte = "xor(c, cast(unicode(d) as bigint))"
+    bit = "case when x & 1 = 1 then xor(x >> 1, cast(3988292384 as bigint)) else x >> 1 end"
+    crc = f"""xor(4294967295, list_reduce(string_split(cast(doc_id as varchar), ''), lambda c, d:
+        list_reduce(list_concat([{byte}], range(8)), lambda x, i: {bit}), cast(4294967295 as bigint)))"""
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    rest = ("doc_id", "source", "lang", "n_chars")
+    return f"""
+with leaves as (
+    select doc_id, coalesce('_' || source, '') as g, {digest(*rest, "text")} as h,
+           case when {crc} % 5 = 0 then {digest(*rest, lower)} else {digest(*rest, "text")} end as now
+    from documents),
+u0 as (
+    select *, row_number() over (partition by g order by doc_id nulls first, h, now) - 1 as m, count(*) over (partition by g) as n
+    from leaves),{tree("u")}
+v0 as (select '' as g, g as of, h, row_number() over (order by g) - 1 as m, count(*) over () as n from u{heights}),{tree("v")}
+a0 as (
+    select doc_id, u0.g, u0.h as leaf, u0.now as f, '' as proof, u0.m as um, v0.m as vm, v0.h as subroot
+    from u0 join v0 on u0.g = v0.of),{walk("u", "a0", "a")}{walk("v", f"a{heights}", "b")}
+top as (select h as root from v{heights})
+select doc_id, leaf, subroot, root, sha256(proof) as proof_sha256, f as folded_root, f = root as verified
+from b{heights}, top
+"""
+
+
 ORACLE: dict[str, str] = {
+    "op12_merkle_manifest": _merkle_sql(),
+    "op13_filter_audit": r"""
+with d as (
+    select doc_id, coalesce(source, '') as part, coalesce(text, '') as t,
+           list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws
+    from documents),
+failed as (
+    select doc_id, part, cast(len(ws) < 50 as int) + 2 * cast(100 * len(list_distinct(ws)) < 65 * len(ws) as int)
+           + 4 * cast(100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t) as int)
+           + 8 * cast(regexp_matches(t, '[#$%&*|]') as int)
+           + 16 * cast(coalesce(min(doc_id) over (partition by t) < doc_id, false) as int) as mask
+    from d),
+marks as (select doc_id, max(coalesce(quality, 0) = 1) as good, max(coalesce(toxic, 0) = 1) as toxic from labels group by doc_id),
+sums as (
+    select part, mask, count(*) as n, count(*) filter (where good) as good, count(*) filter (where toxic) as toxic
+    from failed left join marks using (doc_id) group by part, mask),
+letters(c, bit) as (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders as (
+    select a.c || b.c || c.c || d.c || e.c as filter_order
+    from letters a, letters b, letters c, letters d, letters e where a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+steps as (
+    select filter_order, step, bit, (select coalesce(sum(l.bit), 0) from letters l where position(l.c in filter_order) < step) as before
+    from orders, range(1, 6) as s(step), letters where c = filter_order[step]),
+counted as (
+    select part, filter_order, step, bit,
+           coalesce(sum(n) filter (where mask & (cast(before as int) | bit) = 0), 0) as kept,
+           coalesce(sum(n) filter (where mask & bit > 0 and mask & cast(before as int) = 0), 0) as removed,
+           coalesce(sum(n) filter (where mask & bit > 0 and mask & cast(before as int) > 0), 0) as redundant,
+           coalesce(sum(n) filter (where mask = bit), 0) as unique_fails,
+           coalesce(sum(good) filter (where mask & bit > 0 and mask & cast(before as int) = 0), 0) as good_lost,
+           coalesce(sum(toxic) filter (where mask & bit > 0 and mask & cast(before as int) = 0), 0) as toxic_lost
+    from sums, steps group by all)
+select part, filter_order, cast(step as int) as step, cast(kept as bigint) as kept, cast(removed as bigint) as removed,
+       cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails,
+       cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost,
+       cast(sum(removed) over (partition by part, bit) as bigint) as shapley
+from counted
+""",
     "op10_quality_rules": _rules_sql(),
     "op2_chat_formatting": """
 with rows as (
