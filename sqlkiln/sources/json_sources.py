@@ -1,20 +1,18 @@
 """Readers for schema catalogs and question/SQL corpora.
 
-The corpora are JSON arrays (or one JSON object for labels).  A JSON array is
-not splittable, so each file is one row (``wholetext``) that is parsed where
-it was read and exploded with its position: ``ord`` (file order) is fixed at
-ingestion and travels to every sink.  A corpus may be a folder of such files.
+The corpora are JSON arrays (or one JSON object for labels), one file or a
+folder of them.  A file of any size is read in many tasks (``json_split``);
+``ord`` (file order) is fixed at ingestion and travels to every sink.
 Malformed JSON and missing required fields are errors, never an empty or
-shorter corpus.  For large corpora call ``ingest_json_array`` once and read
-the parquet copy (``fmt='parquet'``), or bring JSON lines (``fmt='jsonl'``),
-which split; their ``ord`` field gives the order.
+shorter corpus.  ``fmt='jsonl'`` reads JSON lines, whose ``ord`` field gives
+the order, and ``fmt='parquet'`` a copy written by ``ingest_json_array``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import broadcast_if_small
+from .json_split import read_elements
 
 CATALOG_FIELDS = (
     "db_id STRING, table_names_original ARRAY<STRING>, column_names_original ARRAY<ARRAY<STRING>>, "
@@ -23,6 +21,7 @@ CATALOG_FIELDS = (
 )
 PAUQ_FIELDS = "id STRING, db_id STRING, question STRING, query STRING"
 QUESTION_FIELDS = "id STRING, question STRING"
+LABEL_FIELDS = "id STRING, sql STRING"
 
 CORPUS_COLUMNS = ["ord", "id", "db_id", "question", "query"]
 
@@ -30,17 +29,6 @@ CORPUS_COLUMNS = ["ord", "id", "db_id", "question", "query"]
 FAILFAST = {"mode": "FAILFAST"}
 
 
-def _whole_files(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file: (file_path, file_rank, value).  Only the list of
-    paths is ranked; the texts stay in the tasks that read them."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), "value")
-    if len(raw.inputFiles()) <= 1:
-        return raw.withColumn("file_rank", F.lit(0))
-    paths = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file_path"))
-    ranks = paths.select("file_path", (F.row_number().over(Window.orderBy("file_path")) - 1).alias("file_rank"))
-    return raw.join(broadcast_if_small(ranks), "file_path")
-
-
 def _required(fields: str, what: str):
     """Fail on a row of ``r`` that lacks one of the comma-separated fields."""
     r = F.col("r")
@@ -52,13 +40,13 @@ def _required(fields: str, what: str):
     return checked
 
 
-def _explode_array(files: DataFrame, json_col, element_ddl: str, required: str, what: str) -> DataFrame:
-    """Explode a JSON array of objects; ``ord`` = file rank << 32 | position.
-    A file that is not such an array, or a row without a required field, is
-    an error that names the file."""
-    array = F.from_json(json_col, f"ARRAY<STRUCT<{element_ddl}>>", FAILFAST)
-    array = F.coalesce(array, F.raise_error(F.concat(F.lit(f"no JSON array of {what}s in "), F.col("file_path"))))
-    parsed = files.select("file_path", "file_rank", F.posexplode(array).alias("pos", "r"))
+def _array(spark: SparkSession, path: str, element_ddl: str, required: str, what: str) -> DataFrame:
+    """The objects of JSON arrays; ``ord`` = file rank << 32 | position.  A
+    file that is not such an array, or a row without a required field, is an
+    error that names the file."""
+    found = read_elements(spark, path, "array", what)
+    parsed = found.select(F.col("file").alias("file_path"), "file_rank", "pos",
+                          F.from_json("text", f"STRUCT<{element_ddl}>", FAILFAST).alias("r"))
     return parsed.select((F.shiftleft(F.col("file_rank").cast("long"), 32) + F.col("pos")).alias("ord"),
                          _required(required, what).alias("r")).select("ord", "r.*")
 
@@ -86,7 +74,7 @@ def read_catalog(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame
     if fmt == "jsonl":
         df = _lines(spark, path, CATALOG_FIELDS, required)
     else:
-        df = _explode_array(_whole_files(spark, path), F.col("value"), CATALOG_FIELDS, required, "catalog entry")
+        df = _array(spark, path, CATALOG_FIELDS, required, "catalog entry")
     return df.select(
         "db_id", "table_names_original", "column_names_original", "column_types", "primary_keys", "foreign_keys",
         F.col("ord").alias("cat_ord"),
@@ -101,31 +89,38 @@ def read_pauq(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     required = "id,db_id,question,query"
     if fmt == "jsonl":
         return _lines(spark, path, PAUQ_FIELDS, required).select(*CORPUS_COLUMNS)
-    return _explode_array(_whole_files(spark, path), F.col("value"), PAUQ_FIELDS, required, "sample").select(*CORPUS_COLUMNS)
+    return _array(spark, path, PAUQ_FIELDS, required, "sample").select(*CORPUS_COLUMNS)
 
 
 def read_ehrsql_questions(spark: SparkSession, directory: str, fmt: str = "json") -> DataFrame:
-    """``data.json``: a bare list or an object whose ``data`` key holds it.
-    ``fmt='parquet'``: ``directory`` holds the ``questions`` copy written by
+    """``data.json``: a bare list or an object whose ``data`` key holds it;
+    ``fmt='jsonl'``: ``data.jsonl``, with ``ord``.  ``fmt='parquet'``:
+    ``directory`` holds the ``questions`` copy written by
     ``ingest_json_array(kind='ehrsql')``."""
+    root, required = directory.rstrip("/"), "id,question"
     if fmt == "parquet":
-        return spark.read.parquet(f"{directory.rstrip('/')}/questions").select("ord", "id", "question")
-    files = _whole_files(spark, f"{directory.rstrip('/')}/data.json")
-    body = F.coalesce(F.get_json_object("value", "$.data"), F.col("value"))
-    return _explode_array(files, body, QUESTION_FIELDS, "id,question", "question").select("ord", "id", "question")
+        return spark.read.parquet(f"{root}/questions").select("ord", "id", "question")
+    if fmt == "jsonl":
+        return _lines(spark, f"{root}/data.jsonl", QUESTION_FIELDS, required).select("ord", "id", "question")
+    return _array(spark, f"{root}/data.json", QUESTION_FIELDS, required, "question").select("ord", "id", "question")
 
 
 def read_ehrsql_labels(spark: SparkSession, directory: str, fmt: str = "json") -> DataFrame:
     """``label.json``: one object id -> SQL; (id, sql).  A repeated key keeps
     its last value; a JSON ``null`` stays NULL (the string ``'null'`` marks an
-    unanswerable question).  ``fmt='parquet'`` reads the ``labels`` copy."""
+    unanswerable question).  ``fmt='jsonl'`` reads ``label.jsonl``, lines of
+    ``ord``, ``id`` and ``sql``; ``fmt='parquet'`` the ``labels`` copy."""
+    root = directory.rstrip("/")
     if fmt == "parquet":
-        return spark.read.parquet(f"{directory.rstrip('/')}/labels").select("id", "sql")
-    files = _whole_files(spark, f"{directory.rstrip('/')}/label.json")
-    entries = F.coalesce(F.from_json("value", "MAP<STRING,STRING>", FAILFAST),
-                         F.raise_error(F.concat(F.lit("no JSON object of labels in "), F.col("file_path"))))
-    pairs = files.select("file_rank", F.posexplode(F.map_entries(entries)).alias("pos", "kv")).select(F.col("kv.key").alias("id"), F.col("kv.value").alias("sql"), "file_rank", "pos")
-    last = pairs.groupBy("id").agg(F.max_by(F.struct("sql"), F.struct("file_rank", "pos")).alias("v"))
+        return spark.read.parquet(f"{root}/labels").select("id", "sql")
+    if fmt == "jsonl":
+        pairs = _lines(spark, f"{root}/label.jsonl", LABEL_FIELDS, "id").select("id", "sql", F.col("ord").alias("at"))
+    else:
+        found = read_elements(spark, f"{root}/label.json", "object", "label")
+        entry = F.element_at(F.map_entries(F.from_json(F.concat(F.lit("{"), "text", F.lit("}")), "MAP<STRING,STRING>", FAILFAST)), 1)
+        pairs = found.select(entry.alias("kv"), F.struct("file_rank", "pos").alias("at")).select(
+            F.col("kv.key").alias("id"), F.col("kv.value").alias("sql"), "at")
+    last = pairs.groupBy("id").agg(F.max_by(F.struct("sql"), "at").alias("v"))
     return last.select("id", F.col("v.sql").alias("sql"))
 
 
