@@ -10,7 +10,13 @@ map-side combine.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.arrays import entropy, truncate_at_eos
 from ..session import DEFAULT_BROADCAST_BYTES, broadcast_if_small
@@ -28,17 +34,63 @@ def step_entropies(df: DataFrame, steps_col: str = "step_logits", out: str = "en
     return df.withColumn(out, F.transform(F.col(steps_col), lambda v: entropy(v)))
 
 
+def softmax_states(keys: pd.DataFrame, logits: np.ndarray) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+    """One accumulator ``(m, z, s)`` per key of a chunk of logits: the largest
+    logit, ``z = sum e^(x-m)`` and ``s = sum (x-m) e^(x-m)``.  A ``-inf`` logit
+    adds nothing; a missing one is left out."""
+    codes = keys.groupby(list(keys.columns), sort=False, dropna=False).ngroup().to_numpy()
+    order = np.argsort(codes, kind="stable")
+    order = order[~np.isnan(logits[order])]
+    x, codes = logits[order], codes[order]
+    if not len(x):
+        return keys.iloc[:0], x, x, x
+    starts = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+    m = np.maximum.reduceat(x, starts)
+    live = ~np.isneginf(x)
+    d = np.where(live, x - np.where(np.isneginf(m), 0.0, m)[np.cumsum(np.isin(np.arange(len(x)), starts)) - 1], 0.0)
+    e = np.where(live, np.exp(d), 0.0)
+    return keys.iloc[order[starts]], m, np.add.reduceat(e, starts), np.add.reduceat(d * e, starts)
+
+
+def merged_entropy(states: Column) -> Column:
+    """Entropy from accumulators of parts of one distribution: each is scaled
+    from its own largest logit to the largest of all."""
+    top = F.array_max(F.transform(states, lambda a: a["m"]))
+
+    def scale(a: Column) -> Column:
+        return F.when(a["m"] == float("-inf"), F.lit(0.0)).otherwise(F.exp(a["m"] - top))
+
+    def shift(a: Column) -> Column:
+        return F.when(a["m"] == float("-inf"), F.lit(0.0)).otherwise(a["m"] - top)
+
+    z = F.aggregate(states, F.lit(0.0), lambda t, a: t + scale(a) * a["z"])
+    s = F.aggregate(states, F.lit(0.0), lambda t, a: t + scale(a) * (a["s"] + shift(a) * a["z"]))
+    return F.when(z > 0, F.log(z) - s / z).otherwise(F.lit(float("nan")))
+
+
 def step_entropy_long(df: DataFrame, keys: list[str], logit_col: str = "logit", out: str = "entropy") -> DataFrame:
-    """Long form (keys..., logit): max per key, then ``Z = sum e^(x-m)`` and
-    ``S = sum (x-m) e^(x-m)`` in a second partial aggregation; ``H = ln Z - S/Z``.
-    A ``-inf`` logit contributes nothing."""
-    m = df.groupBy(*keys).agg(F.max(logit_col).alias("__m"))
-    x = df.join(m, keys)
-    d = F.col(logit_col) - F.col("__m")
-    e = F.exp(d)
-    term = F.when(F.col(logit_col) == float("-inf"), F.lit(0.0)).otherwise(d * e)
-    s = x.groupBy(*keys).agg(F.sum(e).alias("__z"), F.sum(term).alias("__s"))
-    return s.select(*keys, (F.log("__z") - F.col("__s") / F.col("__z")).alias(out))
+    """Long form (keys..., logit): one scan and one shuffle.  Every Arrow
+    batch is reduced where it lies to one accumulator per key (so a hot key
+    shuffles one row per batch that holds it, not its logits), and the
+    accumulators of a key are merged.  ``-inf`` logits add nothing, a NULL or
+    NaN logit is left out, and a key with no finite logit has entropy NaN; a
+    key with missing logits only has no row."""
+    held = df.select(*keys, F.col(logit_col).cast("double").alias("__x"))
+    state = T.StructType([*held.select(*keys).schema.fields, *(T.StructField(c, T.DoubleType()) for c in ("__m", "__z", "__s"))])
+    arrow = to_arrow_schema(state)
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = pd.DataFrame({k: batch.column(i).to_pandas() for i, k in enumerate(keys)})
+            x = batch.column(len(keys)).to_numpy(zero_copy_only=False).astype(np.float64)
+            found, *parts = softmax_states(names, x)
+            rows = batch.select(keys).take(pa.array(found.index.to_numpy()))
+            yield pa.RecordBatch.from_arrays([*rows.columns, *map(pa.array, parts)], schema=arrow)
+
+    parts = held.mapInArrow(reduce, state)
+    merged = parts.groupBy(*keys).agg(F.collect_list(F.struct(
+        F.col("__m").alias("m"), F.col("__z").alias("z"), F.col("__s").alias("s"))).alias("__a"))
+    return merged.select(*keys, merged_entropy(F.col("__a")).alias(out))
 
 
 def truncate_scores(df: DataFrame, seq_col: str = "seq", scores_col: str = "scores", eos_id: int = 0,
