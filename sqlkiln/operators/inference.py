@@ -14,6 +14,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .. import fixed
@@ -44,6 +46,50 @@ def cut_at_eos(seq: np.ndarray, scores: np.ndarray, eos_ids: set[int], start: in
     return scores[: hits[0] + 1] if hits.size else scores
 
 
+def stop_ends(values: np.ndarray, offsets: np.ndarray, stops: list[list[int]]) -> np.ndarray:
+    """For each list ``values[offsets[i]:offsets[i + 1]]``, how many of its
+    ids are kept when it ends with the first stop sequence it completes (all,
+    when it has none).  All lists are searched at once: places where a stop's
+    first id stands are narrowed down id by id."""
+    begins, ends = offsets[:-1], offsets[1:]
+    first = ends.copy()
+    for stop in stops:
+        hit = np.flatnonzero(values[: max(0, len(values) - len(stop) + 1)] == stop[0])
+        for j in range(1, len(stop)):
+            hit = hit[values[hit + j] == stop[j]]
+        row = np.searchsorted(ends, hit, side="right")
+        done = hit + len(stop)
+        inside = np.flatnonzero((row < len(ends)) & (done <= ends[np.minimum(row, len(ends) - 1)])) if len(hit) else hit
+        np.minimum.at(first, row[inside], done[inside])
+    return first - begins
+
+
+def end_at_stops(seqs: np.ndarray, start: int, stops: list[list[int]], eos: int) -> np.ndarray:
+    """Generated ids (from ``start``) with everything after the first stop
+    sequence replaced by ``eos``, as a model pads what it no longer writes."""
+    made = np.ascontiguousarray(seqs[:, start:])
+    n, width = made.shape
+    kept = stop_ends(made.ravel(), np.arange(n + 1) * width, stops) if n and width else np.zeros(n, int)
+    tail = np.where(np.arange(width) < kept[:, None], made, eos)
+    return np.concatenate([seqs[:, :start], tail], axis=1)
+
+
+def cut_at_stops(df: DataFrame, ids_col: str, stops: list[list[int]], out: str = "kept") -> DataFrame:
+    """Add how many ids of each row's list stay when it ends with the first
+    of the ``stops`` (id sequences) it completes, that one included; a null
+    list stays null."""
+    if not stops or not all(stops):
+        raise ValueError("stops must be non-empty id sequences")
+
+    def cut(ids: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        offsets = np.concatenate(([0], np.cumsum(sizes)))
+        kept = stop_ends(ids.flatten().to_numpy(zero_copy_only=False), offsets, stops)
+        return pa.array(kept, pa.int64(), mask=ids.is_null().to_numpy(zero_copy_only=False))
+
+    return df.withColumn(out, F.arrow_udf(cut, "long")(F.col(ids_col)))
+
+
 # --- models ------------------------------------------------------------------
 
 class LookupModel:
@@ -126,15 +172,17 @@ class ModelSpec:
 
 # --- the distributed job -------------------------------------------------------
 
-def terminators(tok, eos_id: int) -> list[int]:
-    """Ids that end a generation: end of sequence, end of turn and the
-    statement ends, as far as the vocabulary has them as tokens."""
-    ids = [eos_id]
-    for token in (fixed.END_OF_TURN, *fixed.TERMINATOR_TOKENS):
-        found = tok.token_id(token)
-        if found is not None:
-            ids.append(int(found))
-    return sorted(set(ids))
+def terminators(tok, eos_id: int) -> list[list[int]]:
+    """Id sequences that end a generation: end of sequence, end of turn and
+    the statement ends.  What the vocabulary has as one token is one id, any
+    other is spelled with the tokenizer."""
+    found = [[eos_id]]
+    for text in (fixed.END_OF_TURN, *fixed.TERMINATOR_TOKENS):
+        token = tok.token_id(text)
+        ids = [int(token)] if token is not None else [int(i) for i in tok.encode_batch([text])[0]]
+        if ids and ids not in found:
+            found.append(ids)
+    return found
 
 
 def eos_of(tok) -> int:
@@ -143,60 +191,6 @@ def eos_of(tok) -> int:
     return int(tok.eos_id)
 
 
-def generate(self, input_ids: np.ndarray, attention_mask: np.ndarray, max_new_tokens: int, eos_ids: list[int],
-                 pad_id: int, decode) -> tuple[np.ndarray, list[np.ndarray]]:
-        b = input_ids.shape[0]
-        prompts = decode([row[mask.astype(bool)].tolist() for row, mask in zip(input_ids, attention_mask)])
-        outs = []
-        for p in prompts:
-            ids = [ord(c) for c in self._answer(p)][:max_new_tokens]
-            stop = next((i for i, t in enumerate(ids) if t in eos_ids), None)
-            outs.append(ids if stop is None else ids[: stop + 1])
-        steps = max((len(o) for o in outs), default=0)
-        gen = np.full((b, steps), pad_id, dtype=np.int64)
-        logits = []
-        for j in range(steps):
-            step = np.zeros((b, self.vocab))
-            for i, o in enumerate(outs):
-                tok = o[j] if j < len(o) else pad_id
-                if j < len(o):
-                    gen[i, j] = tok
-                peak = tok % self.vocab
-                step[i] = -np.abs(np.arange(self.vocab) - peak) * (0.5 + (tok % 7) / 4.0)
-            logits.append(step)
-        return np.concatenate([input_ids.astype(np.int64), gen], axis=1), logits
-
-
-@dataclass(frozen=True)
-class ModelSpec:
-    """Hashable model description; loaded once per worker process.  ``kind``
-    is ``lookup`` or the import path ``module:function`` of a factory that
-    takes ``name`` and returns an object with ``generate``."""
-
-    kind: str = "lookup"
-    name: str | None = None
-    log_dir: str | None = None
-
-    def load(self):
-        if self.kind == "lookup":
-            return LookupModel(self.log_dir)
-        module, _, factory = self.kind.partition(":")
-        if not factory:
-            raise ValueError(f"unknown model kind {self.kind!r}")
-        return getattr(importlib.import_module(module), factory)(self.name)
-
-
-# --- the distributed job -------------------------------------------------------
-
-def _terminators(tok, eos_id: int) -> list[int]:
-    ids = [eos_id]
-    for t in fixed.TERMINATOR_TOKENS:
-        enc = tok.encode_batch([t])[0]
-        if enc is not None and len(enc) == 1:
-            ids.append(int(enc[0]))
-    return sorted(set(ids))
-
-
 def generate(df: DataFrame, model: ModelSpec, tokenizer: TokenizerSpec = CODEPOINT, *, batch_size: int = 12,
              max_seq_length: int = 256, max_new_tokens: int = 256, num_beams: int = 1, mode: str = "aligned",
              text_col: str = "text", num_partitions: int | None = None) -> DataFrame:
@@ -227,6 +221,7 @@ def generate(df: DataFrame, model: ModelSpec, tokenizer: TokenizerSpec = CODEPOI
         lm = load_once(model)
         eos = eos_of(tok)
         stops = terminators(tok, eos)
+        single = [s[0] for s in stops if len(s) == 1]  # these the model itself can stop at
         pending = []
 
         def score_batch(rows: pd.DataFrame) -> pd.DataFrame:
@@ -238,7 +233,8 @@ def generate(df: DataFrame, model: ModelSpec, tokenizer: TokenizerSpec = CODEPOI
                 if len(e):
                     ids[i, width - len(e):] = e
                     mask[i, width - len(e):] = 1
-            seqs, logits = lm.generate(ids, mask, max_new_tokens, stops, eos, tok.decode_batch)
+            seqs, logits = lm.generate(ids, mask, max_new_tokens, single, eos, tok.decode_batch)
+            seqs = end_at_stops(seqs, width, stops, eos)
             steps = len(logits)
             ent = np.stack([entropy_rows(s) for s in logits], axis=1) if steps else np.zeros((len(enc), 0))
             start = width if mode == "aligned" else 1
