@@ -20,6 +20,18 @@ HEADER_END = "<|end_header_id|>"
 END_OF_TURN = "<|eot_id|>"
 ASSISTANT_HEADER = "<|start_header_id|>assistant<|end_header_id|>\n\n"
 
+# --- fixed values: chat templates as text (public conventions) -----------
+LLAMA3_TEMPLATE = (
+    "{% set loop_messages = messages %}{% for message in loop_messages %}"
+    "{% set content = '<|start_header_id|>' + message['role'] + '<|end_header_id|>\n\n' + message['content'] | trim "
+    "+ '<|eot_id|>' %}{% if loop.index0 == 0 %}{% set content = bos_token + content %}{% endif %}{{ content }}"
+    "{% endfor %}{% if add_generation_prompt %}{{ '<|start_header_id|>assistant<|end_header_id|>\n\n' }}{% endif %}"
+)
+CHATML_TEMPLATE = (
+    "{% for message in messages %}{{ '<|im_start|>' + message['role'] + '\n' + message['content'] + '<|im_end|>' + '\n' }}"
+    "{% endfor %}{% if add_generation_prompt %}{{ '<|im_start|>assistant\n' }}{% endif %}"
+)
+
 # --- fixed values: extra generation terminators (besides eos and eot) ----
 TERMINATOR_TOKENS = [";", "';", '";']
 

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed
+from ..functions.template import TextTemplate
 from ..functions.text import py_strip
 
 PHASES = ("train", "test")
@@ -67,15 +68,24 @@ def with_chat(df: DataFrame, phase: str, out: str = "chat", **kw) -> DataFrame:
     return df.withColumn(out, chat(phase, **kw))
 
 
-def render(chat_col, add_generation_prompt: bool, template: ChatTemplate = DEFAULT_TEMPLATE) -> Column:
+# The default template as the text its tokenizer brings: the same bytes.
+DEFAULT_TEXT_TEMPLATE = TextTemplate(fixed.LLAMA3_TEMPLATE, bos_token=fixed.BOS, eos_token=fixed.END_OF_TURN)
+Template = ChatTemplate | TextTemplate
+
+
+def render(chat_col, add_generation_prompt: bool, template: Template = DEFAULT_TEMPLATE) -> Column:
+    """One chat array as text.  ``template`` is the built-in one or any chat
+    template as text (``TextTemplate``)."""
     c = F.col(chat_col) if isinstance(chat_col, str) else chat_col
+    if isinstance(template, TextTemplate):
+        return template.render(c, add_generation_prompt)
     body = F.array_join(F.transform(c, lambda m: template.message(m["role"], m["content"])), "")
     tail = F.lit(template.generation_header if add_generation_prompt else "")
     return F.concat(F.lit(template.bos), body, tail)
 
 
 def render_chat(df: DataFrame, chat_col: str = "chat", out: str = "text", add_generation_prompt: bool = False,
-                template: ChatTemplate = DEFAULT_TEMPLATE) -> DataFrame:
+                template: Template = DEFAULT_TEMPLATE) -> DataFrame:
     return df.withColumn(out, render(chat_col, add_generation_prompt, template))
 
 
@@ -109,10 +119,16 @@ def select_prompts(df: DataFrame) -> DataFrame:
 
 def render_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role",
                          text: str = "text", add_generation_prompt: bool = False,
-                         template: ChatTemplate = DEFAULT_TEMPLATE, out: str = "text") -> DataFrame:
+                         template: Template = DEFAULT_TEMPLATE, out: str = "text") -> DataFrame:
     """Long-form chats (one row per message) -> one rendered text per chat.
     Each message renders where it lies; only the rendered pieces are
-    concatenated per chat, in turn order."""
+    concatenated per chat, in turn order.  A template given as text may look
+    at a message's place in its chat, so the chat is gathered first (its text
+    is one output value in either case)."""
+    if isinstance(template, TextTemplate):
+        turns = F.array_sort(F.collect_list(F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("content"))))
+        chats = df.groupBy(conv).agg(turns.alias("__turns"))
+        return chats.select(conv, template.render(F.col("__turns"), add_generation_prompt).alias(out))
     msg = df.select(conv, turn, template.message(F.col(role), F.col(text)).alias("__m"))
     tail = F.lit(template.generation_header if add_generation_prompt else "")
     return msg.groupBy(conv).agg(
