@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import catalog as cat_ops
 from ..operators.corpus import clean_questions, normalize_sql
-from ..operators.joins import attach_labels, attach_schema, attach_schema_const
+from ..operators.joins import OnMissing, attach_labels, attach_schema, attach_schema_const
 from ..operators.prompts import (
     DEFAULT_TEMPLATE,
-    ChatTemplate,
+    Template,
     drop_unanswerable,
     first_batch,
     render_chat,
@@ -28,7 +28,7 @@ from ..sources import json_sources as src
 EHRSQL_DB = "mimic_iv"
 
 
-def _finish(df: DataFrame, phase: str, template: ChatTemplate) -> DataFrame:
+def _finish(df: DataFrame, phase: str, template: Template) -> DataFrame:
     if phase == "train":
         df = normalize_sql(df, "query", "answer")
     df = with_user_task(df)
@@ -37,8 +37,8 @@ def _finish(df: DataFrame, phase: str, template: ChatTemplate) -> DataFrame:
     return select_prompts(df)
 
 
-def pauq_prompts(samples: DataFrame, schemas: DataFrame, phase: str = "train", *, on_missing: str = "raise",
-                 template: ChatTemplate = DEFAULT_TEMPLATE, one_batch: int | None = None) -> DataFrame:
+def pauq_prompts(samples: DataFrame, schemas: DataFrame, phase: str = "train", *, on_missing: OnMissing = "raise",
+                 template: Template = DEFAULT_TEMPLATE, one_batch: int | None = None) -> DataFrame:
     """samples (ord, id, db_id, question, query) ⋈ schema strings by db_id."""
     s = samples.select("ord", "id", "db_id", "question", "query")
     if one_batch:  # the rows are chosen before anything is built for them
@@ -50,7 +50,7 @@ def pauq_prompts(samples: DataFrame, schemas: DataFrame, phase: str = "train", *
 
 
 def ehrsql_prompts(questions: DataFrame, labels: DataFrame, schemas: DataFrame, phase: str = "train", *,
-                   db_id: str = EHRSQL_DB, on_missing: str = "raise", template: ChatTemplate = DEFAULT_TEMPLATE,
+                   db_id: str = EHRSQL_DB, on_missing: OnMissing = "raise", template: Template = DEFAULT_TEMPLATE,
                    one_batch: int | None = None) -> DataFrame:
     """questions (ord, id, question) ⋈ labels (id, sql); one fixed schema."""
     q = attach_labels(questions.select("ord", "id", "question"), labels, on_missing=on_missing)
@@ -62,8 +62,8 @@ def ehrsql_prompts(questions: DataFrame, labels: DataFrame, schemas: DataFrame,
 
 
 def read_corpus(spark: SparkSession, name: str, data_path: str, tables_path: str, phase: str = "train", *,
-                one_batch: int | None = None, on_missing: str = "raise",
-                template: ChatTemplate = DEFAULT_TEMPLATE, fmt: str = "json") -> DataFrame:
+                one_batch: int | None = None, on_missing: OnMissing = "raise",
+                template: Template = DEFAULT_TEMPLATE, fmt: str = "json") -> DataFrame:
     """Dataset dispatch by name; an unknown name is an error (the original
     silently returns an empty dataset).  ``fmt='parquet'`` reads the corpus
     and the catalog from copies written by ``ingest_json_array``."""
@@ -76,7 +76,7 @@ def _catalog_strings(spark: SparkSession, tables_path: str, fmt: str = "json") -
 
 
 def _corpus(spark: SparkSession, name: str, data_path: str, schemas: DataFrame, phase: str, *, one_batch: int | None = None,
-            on_missing: str = "raise", template: ChatTemplate = DEFAULT_TEMPLATE, fmt: str = "json") -> DataFrame:
+            on_missing: OnMissing = "raise", template: Template = DEFAULT_TEMPLATE, fmt: str = "json") -> DataFrame:
     if name == "pauq":
         return pauq_prompts(src.read_pauq(spark, data_path, fmt=fmt), schemas, phase, on_missing=on_missing,
                             template=template, one_batch=one_batch)

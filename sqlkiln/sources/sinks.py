@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import os
+import uuid
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 
 from ..operators.confidence import results as last_results
+from ..session import broadcast_if_small
 
 
 def write_prompts(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -45,19 +47,71 @@ def write_results(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "o
     getattr(out.write.mode(mode), fmt)(path)
 
 
+def _fs(spark: SparkSession, path: str):
+    """Hadoop's view of a path: any file system that Spark itself can use."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
+
+
+def write_checked(df: DataFrame, path: str, checks: list[Observation], fmt: str = "parquet") -> None:
+    """Write ``df`` and commit it only if none of the ``checks`` (given as
+    ``on_missing`` to the lookups that ``df`` is made of) saw a row without a
+    match: one pass over the data, no join before the join.  The rows are
+    written beside ``path`` and moved there at the end; a failed check leaves
+    no output and raises ``KeyError`` with the count and an example.  ``path``
+    must not exist."""
+    spark = df.sparkSession
+    fs, final = _fs(spark, path)
+    if fs.exists(final):
+        raise FileExistsError(path)
+    staging = f"{path.rstrip('/')}-uncommitted-{uuid.uuid4().hex}"
+    _, begun = _fs(spark, staging)
+    try:
+        getattr(df.write, fmt)(staging)
+        for check in checks:
+            seen = check.get
+            if seen["unmatched"]:
+                raise KeyError(f"{seen['unmatched']} rows without {seen['example']}")
+        if not fs.rename(begun, final):
+            raise FileExistsError(path)
+    finally:
+        fs.delete(begun, True)
+
+
+MANIFEST = "_manifest"
+
+
 def write_predictions(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One SQL per line in dataset order, duplicates kept.  A range sort on
-    ``ord`` makes part files follow each other in order (part-00000 first)."""
-    df.orderBy("ord").select(F.coalesce("sql", F.lit("")).alias("value")).write.mode(mode).text(path)
+    ``ord`` makes part files follow each other in order (part-00000 first); a
+    manifest written after them lists each file's place, its line count and
+    the lines before it, so that the order is stored and not only implied by
+    names.  A line break inside a statement is an error."""
+    sql = F.coalesce("sql", F.lit(""))
+    line = F.when(sql.contains("\n"), F.raise_error(F.lit("a prediction holds a line break"))).otherwise(sql)
+    df.orderBy("ord").select(line.alias("value")).write.mode(mode).text(path)
+    spark = df.sparkSession
+    name = F.substring_index(F.col("_metadata.file_path"), "/", -1)
+    counts = spark.read.text(path).groupBy(name.alias("file")).agg(F.count(F.lit(1)).alias("lines"))
+    # One row per file.
+    before = F.sum("lines").over(Window.orderBy("file")) - F.col("lines")
+    counts.select("file", "lines", before.alias("first_line")).write.mode("overwrite").parquet(f"{path.rstrip('/')}/{MANIFEST}")
 
 
 def read_predictions(spark, path: str) -> DataFrame:
-    """The lines of a prediction folder with their order: ``(file_path,
-    line, sql)``; part files follow each other in name order.  Each file is
-    read by one task, as it was written by one."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), "value")
-    lines = F.split(F.regexp_replace("value", "\\n$", ""), "\n")
-    return files.where("value <> ''").select("file_path", F.posexplode(lines).alias("line", "sql"))
+    """``(line, sql)``: the lines of a prediction folder with their number in
+    the whole data set, from 0, by its manifest.  Each file is read by one
+    task, as it was written by one; a file that does not hold the lines the
+    manifest says is an error."""
+    files = spark.read.text(path, wholetext=True).select(
+        F.substring_index(F.col("_metadata.file_path"), "/", -1).alias("file"), "value").where("value <> ''")
+    listed = spark.read.parquet(f"{path.rstrip('/')}/{MANIFEST}")
+    lines = F.split(F.regexp_replace("value", "\\n\\z", ""), "\n")
+    met = files.join(broadcast_if_small(listed), "file", "full").withColumn("found", lines)
+    wrong = F.raise_error(F.concat(F.lit("not the lines of the manifest: "), F.col("file")))
+    checked = F.when(F.size("found") == F.col("lines"), F.col("found")).otherwise(wrong)
+    each = met.select("first_line", F.posexplode(checked).alias("at", "sql"))
+    return each.select((F.col("first_line") + F.col("at")).alias("line"), "sql")
 
 
 def output_name(test_path: str, one_batch: bool, kind: str) -> str:
@@ -73,3 +127,9 @@ def output_name(test_path: str, one_batch: bool, kind: str) -> str:
         raise ValueError("kind must be 'results' or 'predictions'")
     base = results.split(".")[0]
     return f"{base}_one_batch_sql_predictions.txt" if one_batch else f"{base}_sql_predictions.txt"
+
+
+def output_name_column(test_path: Column, one_batch: bool, kind: str) -> Column:
+    """``output_name`` of a column of paths."""
+    stem = F.substring_index(F.substring_index(test_path, "/", -1), ".", 1)
+    return F.concat(stem, F.lit(output_name("", one_batch, kind)))
