@@ -68,21 +68,22 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def measured_bytes(df: DataFrame) -> int:
-    """Approximate in-memory size: byte length of every string / array
-    column plus 8 bytes per other value, summed over all rows."""
+    """Approximate in-memory size, summed over all rows: the byte length of
+    strings and binaries, the length as JSON text of arrays, structs and maps
+    (whatever they hold), 8 bytes per other value."""
     parts = []
     for field in df.schema.fields:
         name = f"`{field.name}`"
         t = field.dataType.simpleString()
-        if t == "string":
+        if t in ("string", "binary"):
             parts.append(F.coalesce(F.octet_length(F.col(name)), F.lit(0)))
-        elif t.startswith("array"):
-            parts.append(F.coalesce(F.size(F.col(name)), F.lit(0)) * 8)
+        elif t.startswith(("array", "struct", "map")):
+            parts.append(F.octet_length(F.to_json(F.struct(F.col(name).alias("v")))))
         else:
             parts.append(F.lit(8))
     if not parts:
         return 0
-    total = parts[0]
+    total = parts[0].cast("long")
     for p in parts[1:]:
         total = total + p
     row = df.agg(F.sum(total.cast("long")).alias("b")).collect()[0]

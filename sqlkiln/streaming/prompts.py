@@ -24,12 +24,20 @@ def read_table_stream(spark: SparkSession, sf_dir: str, name: str, max_files_per
     reader = spark.readStream.schema(batch.schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    if [f.rsplit("/", 1)[-1] for f in batch.inputFiles()] == [f"{name}.parquet"]:
+    if _is_file(spark, sf_dir, f"{name}.parquet"):
         # One file: a stream watches folders, so it watches this name in one.
         return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
     return reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _is_file(spark: SparkSession, folder: str, name: str) -> bool:
+    """Whether ``folder/name`` is one file: asked of the file system (a
+    listing, not the plan of a table, which may be cached)."""
+    root = folder.rstrip("/")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{root}/{name}").select("path").first()
+    return found is not None and found["path"].endswith(f"/{root.rsplit('/', 1)[-1]}/{name}")
+
+
 def stream_prompts(samples_stream: DataFrame, schemas: DataFrame, phase: str = "test", **kw) -> DataFrame:
     """Streaming (ord, id, db_id, question, query) -> (ord, id, text)."""
     if not samples_stream.isStreaming:
