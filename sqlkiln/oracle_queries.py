@@ -251,7 +251,60 @@ ORACLE["src_labels"] = _with(O.LABELS) + "SELECT id, sql FROM lbl"
 ORACLE["snk_results"] = (
     "SELECT CAST(user_id AS VARCHAR) AS id, 'select ' || arg_max(event_type, event_id) AS sql, "
     "arg_max(value, event_id) AS score FROM events GROUP BY user_id")
-ORACLE["snk_predictions"] = "SELECT 'select ' || event_type AS sql, count(*) AS n FROM events GROUP BY event_type"
+ORACLE["snk_predictions"] = ("SELECT 'select ' || event_type AS sql, count(*) AS n, count(*) AS n_in_order "
+                             "FROM events GROUP BY event_type")
+ORACLE["snk_prompts"] = ORACLE["build_prompts_test"]
+ORACLE["snk_names"] = (
+    "WITH s AS (SELECT page_id, split_part(list_last(string_split(url, '/')), '.', 1) AS stem FROM pages) "
+    "SELECT page_id, stem || '_inference_result.pkl' AS results_all, "
+    "stem || '_inference_result_sql_predictions.txt' AS predictions_all, "
+    "stem || '_one_batch_inference_result.pkl' AS results_one_batch, "
+    "stem || '_one_batch_inference_result_one_batch_sql_predictions.txt' AS predictions_one_batch FROM s")
+ORACLE["zip_outputs"] = ("SELECT event_id AS ord, CAST(user_id AS VARCHAR) AS id, 'select ' || event_type AS sql, value AS score "
+                         "FROM events")
+ORACLE["labels_copartitioned"] = ORACLE["attach_labels"]
+ORACLE["src_one_file"] = _with(O.SAMPLES) + (
+    "SELECT row_number() OVER (ORDER BY ord) - 1 AS ord, id, db_id, question, query FROM samples")
+ORACLE["src_corpus"] = f"SELECT id, text FROM ({ORACLE['build_prompts_test']})"
+ORACLE["src_train_eval"] = (
+    f"SELECT CASE WHEN d.lang = 'en' THEN 'eval' ELSE 'train' END AS split, p.id, p.text FROM ({ORACLE['build_prompts_train']}) p "
+    "JOIN documents d ON p.ord = d.doc_id")
+
+
+def _earliest(text: str, stops: list[str]) -> str:
+    """How much of a text stays when it ends with the first stop it holds."""
+    ends = ", ".join(f"nullif(position({O.lit(s)} IN {text}), 0) + {len(s) - 1}" for s in stops)
+    return f"CAST(coalesce(least({ends}), length({text})) AS BIGINT)"
+
+
 ORACLE["terminator_cut"] = (
-    "SELECT conv_id, turn, CAST(CASE WHEN position(';' IN text) > 0 THEN position(';' IN text) ELSE length(text) END "
-    "AS BIGINT) AS kept FROM conversations")
+    f"SELECT conv_id, turn, {_earliest('text', [fixed.END_OF_TURN, *fixed.TERMINATOR_TOKENS])} AS kept FROM conversations")
+_MARK = (f"CASE lang WHEN 'en' THEN {O.lit(fixed.END_OF_TURN)} WHEN 'fr' THEN {O.lit(fixed.TERMINATOR_TOKENS[1])} "
+         f"WHEN 'de' THEN {O.lit(fixed.TERMINATOR_TOKENS[2])} ELSE '' END")
+ORACLE["stop_sequences"] = (
+    f"WITH d AS (SELECT doc_id, replace(text, ' the ', {_MARK}) || '<|eot_id|' AS t FROM documents) "
+    f"SELECT doc_id, {_earliest('t', [fixed.END_OF_TURN, *fixed.TERMINATOR_TOKENS[1:]])} AS kept FROM d")
+ORACLE["template_default"] = (
+    f"SELECT conv_id, {O.lit(fixed.BOS)} || string_agg({O.render_message('role', 'text')}, '' ORDER BY turn) "
+    f"|| {O.lit(fixed.ASSISTANT_HEADER)} AS text FROM conversations GROUP BY conv_id")
+ORACLE["template_chatml"] = (
+    "SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn) "
+    "|| '<|im_start|>assistant' || chr(10) AS text FROM conversations GROUP BY conv_id")
+ORACLE["stream_last_by_id"] = ORACLE["last_by_id"]
+
+
+# The templates of the stand-in hold one query block each, so every name bound
+# to a table goes by token alone; nested blocks are hand-checked goldens.
+def _alias_token(e: str) -> str:
+    region = f"substr({e}, position('from ' IN {e}))"
+    al = f"regexp_extract_all({region}, {O.lit(fixed.ALIAS_RE)}, 2)"
+    tb = f"regexp_extract_all({region}, {O.lit(fixed.ALIAS_RE)}, 1)"
+    return f"""array_to_string(list_filter(list_transform(regexp_extract_all({e}, {O.lit(fixed.TOKEN_RE)}), lambda x, i:
+        CASE WHEN list_contains({al}, x) OR (x = 'as' AND list_contains({al}, regexp_extract_all({e}, {O.lit(fixed.TOKEN_RE)})[i + 1])) THEN NULL
+             WHEN x[1] <> chr(39) AND contains(x, '.') AND list_contains({al}, split_part(x, '.', 1))
+             THEN list_extract({tb}, list_position({al}, split_part(x, '.', 1))) || substr(x, position('.' IN x)) ELSE x END),
+        lambda x: x IS NOT NULL), ' ')"""
+
+
+_ctes, _last = O.normalize_ctes("part_sql", "sql", "id", upto="asc")
+ORACLE["norm_alias_token"] = _with(O.PART_SQL, _ctes) + f"SELECT id, {_alias_token('sql')} AS sql FROM {_last}"

@@ -11,14 +11,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators import catalog as C
 from ..operators.corpus import clean_questions, normalize_sql, postprocess_sql
 from ..operators.joins import attach_labels, attach_schema, attach_schema_const, unmatched
-from ..operators.ordering import with_batch_id
-from ..operators.prompts import drop_unanswerable, first_batch, render_conversations
+from ..operators.ordering import dense_positions, with_batch_id
+from ..functions.template import TextTemplate
+from ..operators.prompts import DEFAULT_TEXT_TEMPLATE, drop_unanswerable, first_batch, render_conversations
 from .. import fixed
 from ..operators import confidence as SC
 from ..operators import tokens as TK
 from ..operators.inference import ModelSpec, generate
 from . import standins as S
-from .prompts import ehrsql_prompts, pauq_prompts
+from .prompts import ehrsql_prompts, pauq_prompts, read_corpus, train_eval_prompts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -524,22 +525,167 @@ def snk_results(spark, sf):
 
 @query
 def snk_predictions(spark, sf):
-    """SNK-3: line counts by content, and that the lines kept their order."""
+    """SNK-3: line counts by content, and how many lines hold the statement
+    whose place in the data set is the line's number."""
     from ..sources import sinks
 
     path = _written(spark, "snk-predictions", lambda p: sinks.write_predictions(_scored(spark, sf), p))
-    return sinks.read_predictions(spark, path).groupBy("sql").agg(F.count(F.lit(1)).alias("n"))
+    due = dense_positions(_scored(spark, sf).select("ord", F.col("sql").alias("due")), "ord", "line").select("line", "due")
+    met = sinks.read_predictions(spark, path).join(due, "line", "left")
+    return met.groupBy("sql").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("sql") == F.col("due")).alias("n_in_order"))
 
 
 @query
 def terminator_cut(spark, sf):
-    """FLT-4: where a generation over each conversation text would stop: the
-    first terminator among its code points."""
-    from ..operators.inference import eos_of, terminators
+    """FLT-4: where a generation over each conversation text would stop: at
+    the end of the first terminator it completes, of one id or of several."""
+    from ..operators.inference import cut_at_stops, eos_of, terminators
 
     tok = TK.CODEPOINT.load()
-    stops = terminators(tok, eos_of(tok))
     c = TK.tokenize(S.table(spark, sf, "conversations").select("conv_id", "turn", "text"), "text", "ids")
-    first = F.array_min(F.transform(F.array(*[F.lit(s) for s in stops]), lambda s: F.nullif(
-        F.array_position("ids", s), F.lit(0).cast("long"))))
-    return c.select("conv_id", "turn", F.coalesce(first, F.size("ids")).cast("long").alias("kept"))
+    return cut_at_stops(c, "ids", terminators(tok, eos_of(tok))).select("conv_id", "turn", "kept")
+
+
+@query
+def norm_alias_token(spark, sf):
+    """NRM-7/8 by query block and token instead of by substring."""
+    return normalize_sql(S.part_sql(S.table(spark, sf, "part")), "sql", upto="alias", alias_mode="token")
+
+
+@query
+def snk_prompts(spark, sf):
+    """SNK-1: prompts written in one pass that commits only if every sample
+    found its schema, and read back."""
+    from pyspark.sql import Observation
+
+    from ..sources import sinks
+
+    check = Observation()
+    made = pauq_prompts(_samples(spark, sf), _schemas(spark, sf), "test", on_missing=check)
+    path = _written(spark, "snk-prompts", lambda p: sinks.write_checked(made, p, [check]))
+    return spark.read.parquet(path)
+
+
+@query
+def snk_names(spark, sf):
+    """SNK-4: the output names of every page address as a test path."""
+    from ..sources.sinks import output_name_column
+
+    pages = S.table(spark, sf, "pages")
+    names = [output_name_column(F.col("url"), one, kind).alias(f"{kind}_{'one_batch' if one else 'all'}")
+             for one in (False, True) for kind in ("results", "predictions")]
+    return pages.select("page_id", *names)
+
+
+@query
+def zip_outputs_q(spark, sf):
+    """JN-4: ids, statements and scores of three runs, put side by side."""
+    from ..operators.joins import zip_outputs
+
+    scored = _scored(spark, sf)
+    return zip_outputs(scored.select("ord", "id"), scored.select("ord", "sql"), scored.select("ord", "score"))
+
+
+@query
+def labels_copartitioned(spark, sf):
+    """JN-3 over tables stored bucketed by id: no shuffle in the join."""
+    import uuid
+
+    from ..operators.joins import write_copartitioned
+    from ..session import shared_dir
+
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    run = uuid.uuid4().hex
+    q = write_copartitioned(_questions(spark, sf).select("id"), f"questions_{run}", shared_dir(spark, "questions"), "id", buckets)
+    lab = write_copartitioned(_labels(spark, sf), f"labels_{run}", shared_dir(spark, "labels"), "id", buckets)
+    return attach_labels(q, lab, on_missing="drop")
+
+
+def _array_file(rows, path):
+    """One JSON array of all rows in order, in one file: the lines of a single
+    part, with brackets and commas."""
+    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), {"ignoreNullFields": "false"})
+    placed = dense_positions(rows.select("ord", row.alias("__row")), "ord", "__at")
+    last = placed.agg(F.max("__at").alias("n")).first()["n"]
+    lead, end = F.when(F.col("__at") == 0, "[").otherwise(","), F.when(F.col("__at") == last, "]").otherwise("")
+    lines = placed.select("__at", F.concat(lead, "__row", end).alias("value"))
+    lines.coalesce(1).sortWithinPartitions("__at").select("value").write.text(path)
+
+
+@query
+def src_one_file(spark, sf):
+    """SRC-2 over one array file of all samples, read in many tasks: ``ord``
+    is the place in the file."""
+    from ..sources import json_sources
+
+    path = _written(spark, "src-one-file", lambda p: _array_file(_samples(spark, sf), p))
+    return json_sources.read_pauq(spark, path)
+
+
+def _input_files(spark, sf):
+    """The catalog as a file in the input shape, and a writer for samples."""
+    from ..sources import sinks
+
+    cat = _catalog(spark, sf).withColumn("table_names", F.array().cast("array<string>")).withColumn(
+        "column_names", F.array().cast("array<array<string>>"))
+    tables = _written(spark, "src-tables", lambda p: sinks.write_json_arrays(cat, p, 5, "db_id"))
+    return tables, lambda rows: _written(spark, "src-samples", lambda p: sinks.write_json_arrays(rows, p))
+
+
+@query
+def src_corpus(spark, sf):
+    """SRC-5, PRJ-5: data set dispatch over files in the input shape."""
+    tables, write = _input_files(spark, sf)
+    return read_corpus(spark, "pauq", write(_samples(spark, sf)), tables, "test").select("id", "text")
+
+
+@query
+def src_train_eval(spark, sf):
+    """SRC-6: a training and an evaluation path; English samples evaluate."""
+    samples = _samples(spark, sf)
+    english = S.table(spark, sf, "documents").where(F.col("lang") == "en").select(F.col("doc_id").alias("ord"))
+    tables, write = _input_files(spark, sf)
+    train, test = write(samples.join(english, "ord", "left_anti")), write(samples.join(english, "ord", "left_semi"))
+    return train_eval_prompts(spark, "pauq", train, test, tables).select("split", "id", "text")
+
+
+@query
+def stop_sequences(spark, sf):
+    """FLT-4 with several ids a stop: documents end at an end-of-turn marker
+    or a quoted statement end, put into the text by its language."""
+    from ..operators.inference import cut_at_stops, terminators
+
+    tok = TK.CODEPOINT.load()
+    marks = F.when(F.col("lang") == "en", fixed.END_OF_TURN).when(F.col("lang") == "fr", fixed.TERMINATOR_TOKENS[1]).when(
+        F.col("lang") == "de", fixed.TERMINATOR_TOKENS[2]).otherwise("")
+    text = F.concat(F.replace("text", F.lit(" the "), marks), F.lit("<|eot_id|"))
+    d = S.table(spark, sf, "documents").select("doc_id", text.alias("text"))
+    stops = [s for s in terminators(tok, 0) if len(s) > 1]
+    return cut_at_stops(TK.tokenize(d, "text", "ids"), "ids", stops).select("doc_id", "kept")
+
+
+# --- templates as text, results on a stream ------------------------------------
+
+def _template(template):
+    def run(spark, sf):
+        return render_conversations(S.table(spark, sf, "conversations"), "conv_id", "turn", "role", "text", True, template)
+    return run
+
+
+QUERIES["template_default"] = _template(DEFAULT_TEXT_TEMPLATE)
+QUERIES["template_chatml"] = _template(TextTemplate(fixed.CHATML_TEMPLATE))
+
+
+@query
+def stream_last_by_id(spark, sf):
+    """AGG-7, SNK-2 on a stream of scored predictions, replayed once: the
+    second run has its own checkpoint and sees every batch again."""
+    from ..session import shared_dir
+    from ..streaming.prompts import read_table_stream
+    from ..streaming.results import read_last, stream_last_by_id
+
+    ev = read_table_stream(spark, sf, "events").select("user_id", "event_id", "event_type", "value")
+    out = shared_dir(spark, "stream-results")
+    for _ in range(2):
+        stream_last_by_id(ev, out, shared_dir(spark, "stream-ckpt"), "user_id", "event_id", ["event_type", "value"])
+    return read_last(spark, out, "user_id", "event_id").select("user_id", "event_id", "event_type", "value")

@@ -81,15 +81,36 @@ def test_streams_read_folders_and_empty_tables(spark, tmp_path):
     assert empty.count() == 0 and empty.columns == ["doc_id", "text"]
 
 
+@pytest.mark.parametrize("one_file", [True, False])
+def test_streams_read_cached_tables(spark, tmp_path, one_file):
+    """A cached table has no files in its plan; the stream looks at the disk."""
+    rows = spark.range(30).select(F.col("id").alias("doc_id"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/parts" if one_file else f"{tmp_path}/documents.parquet")
+    if one_file:
+        (part,) = (tmp_path / "parts").glob("part-*.parquet")
+        part.rename(tmp_path / "documents.parquet")
+    held = spark.read.parquet(f"{tmp_path}/documents.parquet").cache()
+    try:
+        assert held.count() == 30
+        assert run_to_table(read_table_stream(spark, str(tmp_path), "documents")).count() == 30
+    finally:
+        held.unpersist()
+
+
 class _Vocabulary:
     eos_id = 5
 
     def token_id(self, token):
         return {"<|eot_id|>": 9, ";": 7, "';": 8}.get(token)
 
+    def encode_batch(self, texts):
+        return [[ord(c) for c in t] for t in texts]
+
 
 def test_terminators_hold_the_end_of_turn():
-    assert terminators(_Vocabulary(), 5) == [5, 7, 8, 9]
+    assert terminators(_Vocabulary(), 5) == [[5], [9], [7], [8], [34, 59]]
+    spelled = terminators(TK.CODEPOINT.load(), 0)
+    assert spelled == [[0], [ord(c) for c in "<|eot_id|>"], [59], [39, 59], [34, 59]]
 
 
 def test_an_unknown_end_token_is_an_error(tmp_path):
