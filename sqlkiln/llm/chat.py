@@ -6,53 +6,89 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sqlkiln.llm.running import running
+from sqlkiln.session import materialize
+
 # Roles that speak to the model but are never rotated.
 CONTEXT_ROLES = ("system",)
 UNKNOWN = "unknown"
-# A longer dialogue is rendered in segments of so many turn numbers.
-SEGMENT_TURNS = 512
+# A longer dialogue is rendered in segments of about so many characters.
+SEGMENT_CHARS = 1 << 18
 OPEN, BODY, CLOSE = "<|im_start|>", "\n", "<|im_end|>\n"
 
 
 def _header(role: Column, speaker: Column) -> Column:
-    plain = F.when(role == speaker, F.lit("assistant")).when(role.isin(*CONTEXT_ROLES), role).otherwise(
+    plain = F.when(role.eqNullSafe(speaker), F.lit("assistant")).when(role.isin(*CONTEXT_ROLES), role).otherwise(
         F.concat(F.lit("user name="), role))
     return F.concat(F.lit(OPEN), plain, F.lit(BODY))
 
 
 def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
-           text_col: str = "text") -> DataFrame:
-    """``(conv_id, segment, speaker, n_turns, text, spans)``: one row per
-    dialogue segment and participant in it.
+           text_col: str = "text", segment_chars: int = SEGMENT_CHARS) -> DataFrame:
+    """``(conv_id, segment, speaker, n_turns, context, offset, text, spans)``:
+    the whole dialogue once for every participant of it, whether or not they
+    speak in a segment.
 
     Every message is rendered between markers under a header: ``assistant``
     for the speaker of the row, ``user name=<role>`` for the others, and the
     role itself for ``CONTEXT_ROLES``. ``spans`` are the (start, end)
-    character ranges of ``text`` that the loss covers: the speaker's messages
-    with their end marker, so that the model learns to stop.
+    character ranges that the loss covers: the speaker's messages with their
+    end marker, so that the model learns to stop.
+
+    A dialogue of up to ``segment_chars`` characters is one row a participant.
+    A longer one is cut between messages, where every further
+    ``segment_chars`` characters begin (a message is never cut): the texts of
+    its segments, in order, join to the whole dialogue, ``offset`` characters
+    come before a segment, and ``spans`` count from the start of the dialogue.
+    ``context`` is the dialogue's first system message, rendered, for the
+    segments after the one that holds it (else empty).
+
+    Messages are ordered by turn, then role, then text; rows repeated with
+    their turn are one message. A null role is ``unknown``, a null text is
+    empty, a null turn comes first (and is a message of its own each time),
+    and null conversation ids are one dialogue. A dialogue with context roles
+    only gives no row, nor does an empty table; other columns are ignored.
 
-    Messages are ordered by turn, then role, then text; exactly repeated rows
-    are one message. A null role is ``unknown``, a null text is empty, a null
-    turn comes first, and null conversation ids are one dialogue. A dialogue
-    with context roles only gives no row, nor does an empty table. A dialogue
-    of over ``SEGMENT_TURNS`` turn numbers is cut into segments, each with the
-    participants that speak in it, so what one task gathers is bounded by a
-    segment, however long a dialogue grows; the rest is local to a row."""
+    What one task gathers is a segment, so neither a long dialogue nor a hot
+    or null id is a group in one task: places in a dialogue are running sums
+    over ranges, and what is joined per dialogue is its participants."""
     rows = turns.select(
         F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"),
         F.coalesce(F.col(role_col).cast("string"), F.lit(UNKNOWN)).alias("role"),
-        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("said")).distinct()
-    segment = F.coalesce(F.floor(F.col("turn") / SEGMENT_TURNS), F.lit(0)).cast("long")
-    talks = rows.withColumn("segment", segment).groupBy("conv_id", "segment").agg(
-        F.array_sort(F.collect_list(F.struct(F.coalesce("turn", F.lit(-(1 << 62))).alias("turn"), "role", "said"))).alias("messages"))
-    who = F.array_sort(F.array_distinct(F.transform("messages", lambda m: m["role"])))
-    each = talks.withColumn("speaker", F.explode(F.filter(who, lambda r: ~r.isin(*CONTEXT_ROLES))))
+        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("said"))
+    rows = rows.where("turn is not null").distinct().unionByName(rows.where("turn is null"))
+    size = F.length(_header(F.col("role"), F.lit(None).cast("string"))) + F.length("said") + len(CLOSE)
+    placed = running(rows.withColumn("size", size.cast("long")), ["conv_id"], ["turn", "role", "said"], "size")
+    placed = materialize(placed.select("conv_id", "role", "said", F.col("before").alias("at"),
+                                       F.floor(F.col("before") / segment_chars).cast("long").alias("segment")))
+    talks = placed.groupBy("conv_id", "segment").agg(
+        F.array_sort(F.collect_list(F.struct("at", "role", "said"))).alias("messages"))
+    speakers = placed.where(~F.col("role").isin(*CONTEXT_ROLES)).groupBy(
+        F.col("conv_id").alias("of"), F.col("role").alias("speaker")).agg(F.lit(1).alias("one"))
+    segments = placed.groupBy("conv_id", "segment").agg(F.min("at").alias("begin"))
+    own = placed.groupBy(F.col("conv_id").alias("own_of"), F.col("segment").alias("own_in"), F.col("role").alias("own_by")).agg(
+        F.count(F.lit(1)).alias("said_here"))
+    lines = segments.join(speakers, F.col("conv_id").eqNullSafe(F.col("of")))
+    lines = lines.join(own, F.col("conv_id").eqNullSafe(F.col("own_of")) & (F.col("segment") == F.col("own_in"))
+                       & (F.col("speaker") == F.col("own_by")), "left")
+    lines = lines.select("conv_id", "segment", "speaker", "begin", F.coalesce("said_here", F.lit(0)).alias("said_here"))
+    # The speaker's own earlier messages have the other header.
+    lines = running(lines, ["conv_id", "speaker"], ["segment"], "said_here")
+    shorter = F.length(_header(F.col("speaker"), F.col("speaker"))) - F.length(_header(F.col("speaker"), F.lit(None).cast("string")))
+    lines = lines.withColumn("offset", F.col("begin") + F.col("before") * shorter)
+    first = placed.where(F.col("role").isin(*CONTEXT_ROLES)).groupBy(F.col("conv_id").alias("of")).agg(
+        F.min_by(F.struct("segment", "role", "said"), "at").alias("first"))
+    lines = lines.join(first, F.col("conv_id").eqNullSafe(F.col("of")), "left")
+    told = F.concat(_header(F.col("first.role"), F.lit(None).cast("string")), F.col("first.said"), F.lit(CLOSE))
+    lines = lines.select(F.col("conv_id").alias("line_of"), F.col("segment").alias("line_in"), "speaker", "offset",
+                         F.when(F.col("first.segment") < F.col("segment"), told).otherwise("").alias("context"))
+    each = talks.join(lines, F.col("conv_id").eqNullSafe(F.col("line_of")) & (F.col("segment") == F.col("line_in")))
     speaker = F.col("speaker")
     parts = each.withColumn("parts", F.transform("messages", lambda m: F.struct(
         _header(m["role"], speaker).alias("head"), F.concat(m["said"], F.lit(CLOSE)).alias("tail"),
         (m["role"] == speaker).alias("own"))))
     empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    start = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("spans"))
+    start = F.struct(F.col("offset").alias("at"), empty.alias("spans"))
 
     def place(acc: Column, p: Column) -> Column:
         begin = acc["at"] + F.length(p["head"])
@@ -62,5 +98,5 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
 
     text = F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["tail"])), "")
     return parts.select(
-        "conv_id", "segment", "speaker", F.size("messages").cast("long").alias("n_turns"), text.alias("text"),
-        F.aggregate("parts", start, place)["spans"].alias("spans"))
+        "conv_id", "segment", "speaker", F.size("messages").cast("long").alias("n_turns"), "context", "offset",
+        text.alias("text"), F.aggregate("parts", start, place)["spans"].alias("spans"))
