@@ -4,7 +4,7 @@ random field labels every word, and a document takes its largest share."""
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,18 +15,21 @@ from sqlkiln.llm.common import chunks, spark_type
 
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
-# Hashed weights of affixes (boundary-marked n-grams), n-grams and words.
-BUCKET_BITS = 18
+# Hashed weights of affixes (boundary-marked n-grams), n-grams and words: 2^18
+# buckets, fewer when buckets x languages would pass 2^24 (over 64 languages).
+BUCKET_BITS, WEIGHT_BITS = 18, 24
 NGRAMS = (1, 2, 3, 4)
-# The labelled sample: about so many documents of each language, and so many
-# evenly spaced segments of so many words from each.
+# The labelled sample: about so many documents of each language (all in all as
+# many as for 64 languages, but 8 of each), and so many evenly spaced segments
+# of so many words from each. Every language that has a document is learned.
 SAMPLE_DOCS, SEGMENTS, SEGMENT_WORDS = 600, 4, 32
-MAX_LANGUAGES = 64
+SAMPLE_LANGUAGES, LEAST_DOCS = 64, 8
 SWITCH_RATE = 0.25
 ITERATIONS, STEP, DECAY = 30, 0.5, 1e-4
 BLOCK_WORDS = 256
-# A longer text is labelled as several chains, which bounds a worker's memory.
-CHAIN_WORDS = 250_000
+# A longer chain is labelled in stretches of so many words, which bounds a
+# worker's memory; messages are carried over from stretch to stretch.
+STRETCH_WORDS = 1000 * BLOCK_WORDS
 # Texts labelled at once.
 LABEL_BYTES = 1 << 20
 
@@ -49,7 +52,11 @@ def text_words(data: bytes) -> list[bytes]:
     return [w.encode() for w in LETTERS.findall(data.decode("utf-8", "replace").lower())]
 
 
-def features(found: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def bucket_bits(languages: int) -> int:
+    return min(BUCKET_BITS, WEIGHT_BITS - (languages - 1).bit_length())
+
+
+def features(found: list[bytes], bits: int = BUCKET_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bucket of each feature, word each belongs to, hash of each word) for
     distinct non-empty words: every byte n-gram of the word between boundary
     marks (those that touch a mark are its affixes) and the whole word."""
@@ -63,12 +70,12 @@ def features(found: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         rolling[: len(buf) - n + 1] += buf[n - 1 :] * _ODD[n - 1]
         if n in NGRAMS:
             whole = left >= n
-            buckets.append(((rolling[whole] ^ _KIND[n]) * _ODD[6]) >> np.uint64(64 - BUCKET_BITS))
+            buckets.append(((rolling[whole] ^ _KIND[n]) * _ODD[6]) >> np.uint64(64 - bits))
             owners.append(owner[whole])
     at = np.arange(len(buf)) - np.repeat(first, size)
     power = np.cumprod(np.concatenate(([np.uint64(1)], np.full(int(size.max()), _ODD[5]))), dtype=np.uint64)
     hashes = np.add.reduceat((buf + np.uint64(1)) * power[at], first)
-    buckets.append((hashes * _ODD[6]) >> np.uint64(64 - BUCKET_BITS))
+    buckets.append((hashes * _ODD[6]) >> np.uint64(64 - bits))
     owners.append(np.arange(len(found)))
     return np.concatenate(buckets).astype(np.int32), np.concatenate(owners).astype(np.int32), hashes
 
@@ -78,7 +85,7 @@ def emissions(model: Model, found: list[bytes]) -> np.ndarray:
     out = np.zeros((len(found), len(model.languages)))
     if not found:
         return out
-    buckets, owners, hashes = features(found)
+    buckets, owners, hashes = features(found, bucket_bits(len(model.languages)))
     rows = model.weights[buckets]
     for s in range(out.shape[1]):
         out[:, s] = np.bincount(owners, rows[:, s], len(found))
@@ -94,48 +101,106 @@ def _lexicon(model: Model, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+class _Blocks:
+    """A run of words cut into blocks that all step at once; blocks are filled
+    up with words that begin chains of their own."""
+
+    def __init__(self, scores: np.ndarray, starts: np.ndarray, moves: np.ndarray, start: np.ndarray, block: int):
+        self.n, self.k = scores.shape
+        self.rows, self.block = -(-self.n // block), block
+        fill = self.rows * block - self.n
+        local = np.exp(scores - scores.max(axis=1, keepdims=True))
+        self.local = np.concatenate([local, np.ones((fill, self.k))]).reshape(self.rows, block, self.k)
+        self.fresh = np.concatenate([starts, np.ones(fill, bool)]).reshape(self.rows, block)
+        self.move, self.begin = np.exp(moves - moves.max()), np.exp(start - start.max())
+        carry = np.broadcast_to(np.eye(self.k), (self.rows, self.k, self.k))
+        for t in range(block):
+            carry = self.step(carry, t)
+        self.carry = carry
+
+    def step(self, v: np.ndarray, t: int) -> np.ndarray:
+        """(rows, ..., k) row vectors over the word at t."""
+        rows = self.rows
+        on = self.fresh[:, t].reshape((rows,) + (1,) * (v.ndim - 1))
+        v = np.where(on, v.sum(axis=-1, keepdims=True) * self.begin, v @ self.move)
+        v = v * self.local[:, t].reshape((rows,) + (1,) * (v.ndim - 2) + (self.k,))
+        return v / v.sum(axis=tuple(range(1, v.ndim)), keepdims=True)
+
+    def transfer(self) -> np.ndarray:
+        """The transfer matrix of the whole run."""
+        whole = np.eye(self.k)
+        for c in self.carry:
+            whole = whole @ c
+            whole = whole / whole.sum()
+        return whole
+
+    def marginals(self, enter: np.ndarray | None = None, leave: np.ndarray | None = None,
+                  moved: np.ndarray | None = None) -> np.ndarray:
+        rows, block, k = self.rows, self.block, self.k
+        ahead, behind = np.full((rows, k), 1 / k), np.full((rows, k), 1 / k)
+        if enter is not None:
+            ahead[0] = enter
+        if leave is not None:
+            behind[-1] = leave
+        for r in range(1, rows):
+            v = ahead[r - 1] @ self.carry[r - 1]
+            ahead[r] = v / v.sum()
+            v = self.carry[rows - r] @ behind[rows - r]
+            behind[rows - r - 1] = v / v.sum()
+        forward = np.empty((block, rows, k))
+        v = ahead
+        for t in range(block):
+            v = forward[t] = self.step(v, t)
+        out = np.empty((rows, block, k))
+        v = behind
+        for t in range(block - 1, -1, -1):
+            both = forward[t] * v
+            out[:, t] = both / both.sum(axis=1, keepdims=True)
+            v = v * self.local[:, t]
+            if moved is not None:
+                pair = (forward[t - 1] if t else ahead)[:, :, None] * self.move * v[:, None, :]
+                pair /= pair.sum(axis=(1, 2), keepdims=True)
+                moved += pair[~self.fresh[:, t]].sum(axis=0)
+            v = np.where(self.fresh[:, t, None], (v @ self.begin)[:, None], v @ self.move.T)
+            v = v / v.sum(axis=1, keepdims=True)
+        return out.reshape(rows * block, k)[: self.n]
+
+
 def marginals(scores: np.ndarray, starts: np.ndarray, moves: np.ndarray, start: np.ndarray,
-              block: int = BLOCK_WORDS) -> np.ndarray:
+              block: int = BLOCK_WORDS, moved: np.ndarray | None = None) -> np.ndarray:
     """Forward-backward: P(label | all words of its chain), shape of
     ``scores`` (words, labels). ``starts`` marks the first word of a chain
     (always the first row). Exact for chains of any length: the words are cut
     into blocks, the blocks' transfer matrices carry the messages over, and
-    all blocks step at once."""
-    n, k = scores.shape
-    rows = -(-n // block)
-    local = np.exp(scores - scores.max(axis=1, keepdims=True))
-    local = np.concatenate([local, np.ones((rows * block - n, k))]).reshape(rows, block, k)
-    fresh = np.concatenate([starts, np.ones(rows * block - n, bool)]).reshape(rows, block)
-    move, begin = np.exp(moves - moves.max()), np.exp(start - start.max())
-
-    def step(v: np.ndarray, t: int) -> np.ndarray:  # (rows, ..., k) row vectors over the word at t
-        on = fresh[:, t].reshape((rows,) + (1,) * (v.ndim - 1))
-        v = np.where(on, v.sum(axis=-1, keepdims=True) * begin, v @ move)
-        v = v * local[:, t].reshape((rows,) + (1,) * (v.ndim - 2) + (k,))
-        return v / v.sum(axis=tuple(range(1, v.ndim)), keepdims=True)
-
-    carry = np.broadcast_to(np.eye(k), (rows, k, k))
-    for t in range(block):
-        carry = step(carry, t)
-    ahead, behind = np.full((rows, k), 1 / k), np.full((rows, k), 1 / k)
-    for r in range(1, rows):
-        v = ahead[r - 1] @ carry[r - 1]
-        ahead[r] = v / v.sum()
-        v = carry[rows - r] @ behind[rows - r]
-        behind[rows - r - 1] = v / v.sum()
-    forward = np.empty((block, rows, k))
-    v = ahead
-    for t in range(block):
-        v = forward[t] = step(v, t)
-    out = np.empty((rows, block, k))
-    v = behind
-    for t in range(block - 1, -1, -1):
-        both = forward[t] * v
-        out[:, t] = both / both.sum(axis=1, keepdims=True)
-        v = v * local[:, t]
-        v = np.where(fresh[:, t, None], (v @ begin)[:, None], v @ move.T)
-        v = v / v.sum(axis=1, keepdims=True)
-    return out.reshape(rows * block, k)[:n]
+    all blocks step at once. To ``moved`` (labels, labels) the expected number
+    of each move inside a chain is added, from the same messages."""
+    return _Blocks(scores, starts, moves, start, block).marginals(moved=moved)
+
+
+def long_marginals(scores_of: Callable[[int, int], np.ndarray], n: int, moves: np.ndarray, start: np.ndarray,
+                   stretch: int = STRETCH_WORDS, block: int = BLOCK_WORDS) -> Iterator[np.ndarray]:
+    """The marginals of one chain of ``n`` words, stretch by stretch;
+    ``scores_of(a, b)`` gives the scores of words a to b, and is asked twice.
+    As exact as ``marginals`` over the whole chain: the transfer matrices of
+    the stretches carry the messages both ways."""
+    cuts = list(range(0, n, stretch // block * block)) + [n]
+
+    def blocks(j: int) -> _Blocks:
+        starts = np.zeros(cuts[j + 1] - cuts[j], bool)
+        starts[0] = j == 0
+        return _Blocks(scores_of(cuts[j], cuts[j + 1]), starts, moves, start, block)
+
+    whole = [blocks(j).transfer() for j in range(len(cuts) - 1)] if len(cuts) > 2 else []
+    enter: list[np.ndarray | None] = [None]
+    leave: list[np.ndarray | None] = [None] * (len(cuts) - 1)
+    for j in range(len(whole) - 1):
+        v = (np.ones(len(start)) if enter[j] is None else enter[j]) @ whole[j]
+        enter.append(v / v.sum())
+    for j in range(len(whole) - 1, 0, -1):
+        v = whole[j] @ (np.ones(len(start)) if leave[j] is None else leave[j])
+        leave[j - 1] = v / v.sum()
+    for j in range(len(cuts) - 1):
+        yield blocks(j).marginals(enter[j], leave[j])
 
 
 def train(segments: list[tuple[str, list[bytes]]], iterations: int = ITERATIONS) -> Model:
@@ -162,13 +227,14 @@ def train(segments: list[tuple[str, list[bytes]]], iterations: int = ITERATIONS)
     starts = np.concatenate([np.arange(sum(len(seg) for _, seg in chain)) == 0 for chain in chains])
     index: dict[bytes, int] = {}
     ids = np.array([index.setdefault(w, len(index)) for w in words_])
-    buckets, owners, hashes = features(list(index))
+    size = 1 << bucket_bits(k)
+    buckets, owners, hashes = features(list(index), bucket_bits(k))
     counts = np.bincount(ids * k + label, minlength=len(index) * k).reshape(-1, k)
     share = (counts + 0.5) / (counts.sum(axis=0) + 0.5 * len(index))
     often = np.flatnonzero(counts.sum(axis=1) >= 3)
     often = often[np.argsort(hashes[often])]
     logs = np.log(share[often])
-    model = Model(languages, np.zeros((1 << BUCKET_BITS, k)), hashes[often], logs - logs.mean(axis=1, keepdims=True),
+    model = Model(languages, np.zeros((size, k)), hashes[often], logs - logs.mean(axis=1, keepdims=True),
                   0.1, np.zeros((k, k)), np.zeros(k))
     lex = _lexicon(model, hashes)
     truth = np.zeros((len(ids), k))
@@ -180,16 +246,13 @@ def train(segments: list[tuple[str, list[bytes]]], iterations: int = ITERATIONS)
     for _ in range(iterations):
         word_scores = np.stack([np.bincount(owners, model.weights[buckets, s], len(index)) for s in range(k)], axis=1)
         scores = (word_scores + model.trust * lex)[ids]
-        gamma = marginals(scores, starts, model.moves, model.start)
+        moved = np.zeros((k, k))
+        gamma = marginals(scores, starts, model.moves, model.start, moved=moved)
         error = (truth - gamma) / n
         by_word = np.stack([np.bincount(ids, error[:, s], len(index)) for s in range(k)], axis=1)
-        grad_w = np.stack([np.bincount(buckets, by_word[owners, s], 1 << BUCKET_BITS) for s in range(k)], axis=1)
-        # Expected moves; the pair posterior is approximated by the product
-        # of neighbours' posteriors weighted with the move potential.
-        pair = gamma[:-1][inner][:, :, None] * gamma[1:][inner][:, None, :] * np.exp(model.moves)
-        pair /= pair.sum(axis=(1, 2), keepdims=True)
+        grad_w = np.stack([np.bincount(buckets, by_word[owners, s], size) for s in range(k)], axis=1)
         grads = [grad_w - DECAY * model.weights / n, float((error * lex[ids]).sum()),
-                 (seen_moves - pair.sum(axis=0)) / n - DECAY * model.moves,
+                 (seen_moves - moved) / n - DECAY * model.moves,
                  error[starts].sum(axis=0) - DECAY * model.start]
         for j, grad in enumerate(grads):
             sums[j] = sums[j] + np.square(grad)
@@ -209,15 +272,18 @@ def train(segments: list[tuple[str, list[bytes]]], iterations: int = ITERATIONS)
 def labelled_segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                       per_language: int = SAMPLE_DOCS) -> list[tuple[str, list[bytes]]]:
     """The bounded training sample: about ``per_language`` documents of each
-    of the most frequent ``MAX_LANGUAGES`` languages, picked by a hash of the
-    id, each giving ``SEGMENTS`` evenly spaced segments of its whole text."""
+    language, picked by a hash of id and text, each giving ``SEGMENTS`` evenly
+    spaced segments of its whole text. With over ``SAMPLE_LANGUAGES`` languages
+    each has fewer documents, about ``LEAST_DOCS`` at least, and none is left
+    out: a language with few documents gives all it has."""
     named = docs.where(F.col(lang_col).isNotNull())
     sizes = named.groupBy(F.col(lang_col).cast("string").alias("lang")).count()
-    sizes = sizes.orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = sizes.collect()
     if not sizes:
         return []
-    quota = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, per_language / r["count"]))])
-    unit = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
+    per_language = max(LEAST_DOCS, min(per_language, per_language * SAMPLE_LANGUAGES // len(sizes)))
+    quota = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, per_language / r["count"]) if r["count"] > 4 * LEAST_DOCS else 1.0)])
+    unit = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
     drawn = named.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"),
                          unit.alias("unit")).where(F.col("unit") < F.element_at(quota, F.col("lang")))
 
@@ -295,17 +361,29 @@ def _documents(net: Model | None, texts: pa.Array) -> Iterator[tuple[int, np.nda
     """(row, language shares, words, switches) of every text with a letter."""
     for at, piece in chunks(texts, LABEL_BYTES) if net else ():
         found = [text_words(data) for data in piece]
-        if len(piece) == 1:  # may be very long: several chains, summed
-            cuts = [found[0][j : j + CHAIN_WORDS] for j in range(0, len(found[0]), CHAIN_WORDS)]
-            parts = [p for cut in cuts for p in _chains(net, [cut])]
-            if parts:
-                sums = np.sum([share * size for _, share, size, _ in parts], axis=0)
-                yield at, sums / len(found[0]), len(found[0]), sum(turns for _, _, _, turns in parts)
+        if len(piece) == 1 and len(found[0]) > STRETCH_WORDS:
+            yield at, *_stretches(net, found[0])
         else:
             for i, share, size, turns in _chains(net, found):
                 yield at + i, share, size, turns
 
 
+def _stretches(net: Model, words_: list[bytes]) -> tuple[np.ndarray, int, int]:
+    """(language shares, words, switches) of one very long text."""
+    def scores(a: int, b: int) -> np.ndarray:
+        index: dict[bytes, int] = {}
+        ids = np.array([index.setdefault(w, len(index)) for w in words_[a:b]])
+        return emissions(net, list(index))[ids]
+
+    total, turns, last = np.zeros(len(net.languages)), 0, None
+    for gamma in long_marginals(scores, len(words_), net.moves, net.start, STRETCH_WORDS):
+        best = gamma.argmax(axis=1)
+        turns += int((best[1:] != best[:-1]).sum()) + (last is not None and best[0] != last)
+        last = best[-1]
+        total += gamma.sum(axis=0)
+    return total / len(words_), len(words_), int(turns)
+
+
 def _chains(net: Model, texts: list[list[bytes]]) -> Iterator[tuple[int, np.ndarray, int, int]]:
     """Label the words of each text as one chain."""
     index: dict[bytes, int] = {}
