@@ -5,18 +5,21 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
+from sqlkiln.llm.running import running
 from sqlkiln.session import materialize
 
 SLOTS = 4096
 SHARDS = 16
 
 
-def slot_of(record_id: Column, slots: int = SLOTS) -> Column:
-    """The virtual slot of a record: a hash of its id, fixed for all time. A
-    null id has a slot like any other."""
-    return F.pmod(F.xxhash64(F.coalesce(record_id.cast("string"), F.lit(""))), F.lit(slots)).cast("int")
+def slot_of(record_id: Column, text: Column, slots: int = SLOTS) -> Column:
+    """The virtual slot of a record: a hash of its id and its text, fixed for
+    all time, so that records without an id, or with the same one, spread
+    over the slots by their texts."""
+    known = F.coalesce(record_id.cast("string"), F.lit(""))
+    return F.pmod(F.xxhash64(known, F.coalesce(text.cast("string"), F.lit(""))), F.lit(slots)).cast("int")
 
 
 def record_size(text: Column) -> Column:
@@ -118,7 +121,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, id_col: s
             text_col: str = "text", slot_name: str = "vslot", shard_name: str = "shard") -> DataFrame:
     """``docs`` with its virtual slot and shard; only the slot sums shuffle.
     A column of ``docs`` with one of those names is replaced."""
-    slot = slot_of(F.col(id_col), slots)
+    slot = slot_of(F.col(id_col), F.col(text_col), slots)
     owner = plan(docs.select(slot.alias("vslot"), record_size(F.col(text_col)).alias("size")), shards, slots)
     return docs.withColumns({slot_name: slot, shard_name: shard_column(slot, owner)})
 
@@ -130,21 +133,22 @@ def assign(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, id_col: st
     Shard sizes in bytes come out as equal as whole slots allow. ``slot`` is
     the record's place in its shard, 0, 1, 2, ... without gaps: records are
     numbered inside each virtual slot (ordered by id, then text checksum) and
-    start where the shard's earlier virtual slots end, so a shard is never
-    gathered into one task. Null text: size 1, checksum 0. Repeated rows are
-    records of their own; a null id hashes like an empty one. An empty table
+    start where the shard's earlier virtual slots end. Neither a shard nor a
+    slot is gathered into one task, however often a record is repeated. Null
+    text: size 1, checksum 0. Repeated rows are records of their own, in the
+    slot of the first; a null id hashes like an empty one. An empty table
     gives no rows. Texts never shuffle."""
     rows = materialize(docs.select(
         F.col(id_col).alias("id"), record_size(F.col(text_col)).alias("size"),
         F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"),
-        slot_of(F.col(id_col), slots).alias("vslot")))
+        slot_of(F.col(id_col), F.col(text_col), slots).alias("vslot")))
     sums = {r["vslot"]: (r["bytes"], r["records"]) for r in slot_weights(rows).collect()}
     owner = balance({v: b for v, (b, _) in sums.items()}, shards, slots)
     begin = _offsets(owner, ((v, n) for v, (_, n) in sums.items()))
-    place = F.row_number().over(Window.partitionBy("vslot").orderBy("id", "text_crc32", "size")) - 1
     ahead = _lookup(begin, "bigint", F.col("vslot"))
-    return rows.withColumn("shard", shard_column(F.col("vslot"), owner)).withColumn(
-        "slot", place.cast("long") + ahead)
+    placed = running(rows.withColumn("nth", F.monotonically_increasing_id()), ["vslot"], ["id", "text_crc32", "size", "nth"])
+    return placed.select("id", "size", "text_crc32", "vslot", shard_column(F.col("vslot"), owner).alias("shard"),
+                         (F.col("before") + ahead).alias("slot"))
 
 
 def _offsets(owner: dict[int, int], counts: Iterable[tuple[int, int]]) -> list[int]:
@@ -160,11 +164,11 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, slots: int =
     """The sharded data set: ``path/data`` partitioned by shard, and version
     0 of the map under ``path/map``. Files of a shard are written by as many
     tasks as read them, so no shard goes through one task."""
-    weighed = docs.select(slot_of(F.col(id_col), slots).alias("vslot"), record_size(F.col(text_col)).alias("size"))
+    weighed = docs.select(slot_of(F.col(id_col), F.col(text_col), slots).alias("vslot"), record_size(F.col(text_col)).alias("size"))
     owner = plan(weighed, shards, slots)
     store_map(owner, 0, f"{path}/map", docs.sparkSession)
     name = "shard"
     while name in docs.columns:
         name = f"_{name}"
-    docs.withColumn(name, shard_column(slot_of(F.col(id_col), slots), owner)).write.partitionBy(name).parquet(f"{path}/data")
+    docs.withColumn(name, shard_column(slot_of(F.col(id_col), F.col(text_col), slots), owner)).write.partitionBy(name).parquet(f"{path}/data")
     return owner
