@@ -229,14 +229,15 @@ def _rise(leaves: DataFrame, fanout: int, epoch: int) -> tuple[list[DataFrame],
         levels.append(rest)
 
 
-def _fall(levels: list[DataFrame], roots: list[DataFrame], suffixes: DataFrame, carry: list[str], fanout: int,
+def _fall(levels: list[DataFrame], roots: list[DataFrame], suffixes: DataFrame | None, carry: list[str], fanout: int,
           epoch: int) -> DataFrame:
     """The reversed sweep over all epochs; ``suffixes`` (``grp, proof``) is
-    what each group's root starts with."""
-    named = suffixes.select(F.col("grp").alias("of"), "proof")
+    what each group's root starts with (None: nothing)."""
+    named = None if suffixes is None else suffixes.select(F.col("grp").alias("of"), "proof")
     below = None
     for k in range(len(levels) - 1, -1, -1):
-        ends = roots[k].join(named, F.col("grp").eqNullSafe(F.col("of")))
+        ends = roots[k].withColumn("proof", F.array().cast(PROOF)) if named is None else roots[k].join(
+            named, F.col("grp").eqNullSafe(F.col("of")))
         above = ends.select("grp", F.lit(0).cast("long").alias("idx"), F.col("digest").alias("subroot"), "proof")
         if below is not None:
             above = above.unionByName(below.select("grp", "idx", "subroot", "proof"))
@@ -276,8 +277,7 @@ def manifest(records: DataFrame, group_col: str, order_cols: list[str], digest_c
     top = running(subroots.withColumnRenamed("grp", "of"), [], ["of"])
     top = materialize(top.select(F.lit(0).alias("grp"), F.col("before").alias("idx"), F.col("whole").alias("size"), "digest", "of"))
     top_levels, top_roots = _rise(top, fanout, epoch)
-    begin = leaves.sparkSession.range(1).select(F.lit(0).alias("grp"), F.array().cast(PROOF).alias("proof"))
-    whole = materialize(_fall(top_levels, top_roots, begin, ["of"], fanout, epoch))
+    whole = materialize(_fall(top_levels, top_roots, None, ["of"], fanout, epoch))
     found = _fall(levels, roots, whole.select(F.col("of").alias("grp"), "proof"), kept, fanout, epoch)
     root = top_roots[-1].first()
     return found.select("grp", "idx", "digest", *[F.col(n).alias(c) for c, n in zip(carry, kept)], "subroot", "proof",

@@ -25,7 +25,7 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = chat.rotate(table(spark, sf_dir, "conversations"))
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
-    return found.select("conv_id", "segment", "speaker", "n_turns", "text", spans.alias("mask_spans"))
+    return found.select("conv_id", "segment", "speaker", "n_turns", "context", "offset", "text", spans.alias("mask_spans"))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,26 +282,33 @@ select part, filter_order, cast(step as int) as step, cast(kept as bigint) as ke
 from counted
 """,
     "op10_quality_rules": _rules_sql(),
-    "op2_chat_formatting": """
-with rows as (
-    select distinct conv_id, turn, coalesce(role, 'unknown') as role, coalesce(text, '') as said,
-           coalesce(cast(floor(turn / 512) as bigint), 0) as segment
-    from conversations),
-speakers as (select distinct conv_id, segment, role as speaker from rows where role <> 'system'),
+    "op2_chat_formatting": f"""
+with known as (
+    select conv_id, turn, coalesce(role, 'unknown') as role, coalesce(text, '') as said from conversations),
+rows as (select distinct * from known where turn is not null union all select * from known where turn is null),
+numbered as (select *, row_number() over (partition by conv_id order by turn nulls first, role, said) as nth from rows),
+sized as (
+    select *, length('<|im_start|>' || case when role = 'system' then 'system' else 'user name=' || role end || chr(10)
+                     || said || '<|im_end|>' || chr(10)) as size from numbered),
+cut as (select *, cast(floor((sum(size) over (partition by conv_id order by nth) - size) / {chat.SEGMENT_CHARS}) as bigint) as segment from sized),
+speakers as (select distinct conv_id, role as speaker from rows where role <> 'system'),
 pieces as (
-    select r.conv_id, r.segment, s.speaker, r.turn, r.role, r.said, r.role = s.speaker as own,
+    select r.conv_id, r.segment, s.speaker, r.nth, r.role, r.said, r.role = s.speaker as own,
            '<|im_start|>' || case when r.role = s.speaker then 'assistant' when r.role = 'system' then 'system'
                else 'user name=' || r.role end || chr(10) as head,
            r.said || '<|im_end|>' || chr(10) as tail
-    from rows r join speakers s on r.conv_id is not distinct from s.conv_id and r.segment = s.segment),
+    from cut r join speakers s on r.conv_id is not distinct from s.conv_id),
 placed as (
-    select *, sum(length(head) + length(tail)) over (
-        partition by conv_id, segment, speaker order by turn nulls first, role, said) as ends
-    from pieces)
-select conv_id, segment, speaker, count(*) as n_turns,
-       string_agg(head || tail, '' order by turn nulls first, role, said) as text,
-       coalesce(string_agg((ends - length(tail)) || '-' || ends, ',' order by turn nulls first, role, said)
-                filter (where own), '') as mask_spans
-from placed group by conv_id, segment, speaker
+    select *, sum(length(head) + length(tail)) over (partition by conv_id, speaker order by nth) as ends from pieces),
+told as (
+    select conv_id, segment, '<|im_start|>system' || chr(10) || said || '<|im_end|>' || chr(10) as context
+    from cut where role = 'system' qualify row_number() over (partition by conv_id order by nth) = 1),
+whole as (
+    select conv_id, segment, speaker, count(*) as n_turns, cast(min(ends - length(head) - length(tail)) as bigint) as "offset",
+           string_agg(head || tail, '' order by nth) as text,
+           coalesce(string_agg((ends - length(tail)) || '-' || ends, ',' order by nth) filter (where own), '') as mask_spans
+    from placed group by conv_id, segment, speaker)
+select whole.*, case when told.segment < whole.segment then context else '' end as context
+from whole left join told on whole.conv_id is not distinct from told.conv_id
 """,
 }

@@ -23,11 +23,13 @@ def rows(spark, data):
 def docs(spark):
     some = "river stone bright window garden music paper silver forest summer winter yellow market".split()
     long_text = " ".join(some[(i * i * 7 + i // 31) % 13] for i in range(25_000)) + " " + SAY
-    return rows(spark, [
+    held = rows(spark, [
         (1, SAY, "en", "a", 90), (1, SAY, "en", "a", 90), (2, SAY, "en", "b", 90), (None, SAY, None, None, None),
         (3, None, "en", "a", None), (4, "", None, "a", 0), (5, " \n\t ", "de", "a", 4), (6, DIRE, "de", "a", 90),
         (None, None, None, None, None), (7, long_text, "en", "c", 9), (8, "123 456 !!", "en", "c", 9),
         (9, "ein Wort", "de", "c", 9)]).cache()
+    yield held
+    held.unpersist()
 
 
 @pytest.fixture(scope="module")

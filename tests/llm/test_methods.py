@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from sqlkiln.llm import components, decontam, langid, mixing, ppm, quality_rules, queries, sharding, simhash, toxicity, weak_quality
 from sqlkiln.llm.common import fold, table
+from sqlkiln.session import materialize
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
@@ -365,23 +366,23 @@ def test_cutoffs_hold_their_risk(spark):
 def test_pipeline(spark, texts):
     """Each stage against its own brute force, on what the one before kept."""
     items = {r["item_id"]: r["text"] for r in table(spark, SF, "benchmark").collect()}
-    docs = table(spark, SF, "documents").cache()
+    docs = table(spark, SF, "documents")
     steps = dict(corpus_pipeline.STAGES)
-    kept = steps["language_id"](spark, docs, SF).cache()
+    kept = materialize(steps["language_id"](spark, docs, SF))
     model = langid.fit(docs)
     sure = langid.predict(docs, model).where(f"score >= {corpus_pipeline.LANGUAGE_SHARE}")
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r["id"] for r in sure.collect())
     left = {r["doc_id"]: r["text"] for r in kept.collect()}
     _, groups = plain_simhash(left)
-    kept = steps["simhash_near_dedup"](spark, kept, SF).cache()
+    kept = materialize(steps["simhash_near_dedup"](spark, kept, SF))
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(groups.values()))
     left = {r["doc_id"]: r["text"] for r in kept.collect()}
     bad = {i for i, _ in plain_leaks(left, items)}
-    kept = steps["decontamination"](spark, kept, SF).cache()
+    kept = materialize(steps["decontamination"](spark, kept, SF))
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(left) - bad)
     rated, _ = mixing.rates(kept, table(spark, SF, "labels"), queries.MIX_TARGETS, keep_whole="good")
     want = sorted(r["id"] for r in rated.collect() for _ in range(r["copies"]))
-    kept = steps["mixing"](spark, kept, SF).cache()
+    kept = materialize(steps["mixing"](spark, kept, SF))
     assert sorted(r["doc_id"] for r in kept.collect()) == want
     done = steps["sharding"](spark, kept, SF)
     assert sorted(r["doc_id"] for r in done.collect()) == want
