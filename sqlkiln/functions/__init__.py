@@ -2,7 +2,6 @@
 
 from .text import clean_question, postprocess_generated_sql, py_strip
 from .arrays import (
-    codepoints,
     entropy,
     pad_ids,
     pad_mask,
@@ -13,7 +12,6 @@ __all__ = [
     "clean_question",
     "postprocess_generated_sql",
     "py_strip",
-    "codepoints",
     "entropy",
     "pad_ids",
     "pad_mask",

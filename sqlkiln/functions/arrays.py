@@ -1,18 +1,10 @@
-"""Array expressions: code points, padding, entropy, EOS truncation."""
+"""Array expressions: padding, entropy, EOS truncation."""
 
 from pyspark.sql import Column, functions as F
 
 from ._col import as_col
 
 
-def codepoints(text) -> Column:
-    """Built-in tokenizer: one id per Unicode code point (emoji stay whole)."""
-    t = as_col(text)
-    return F.when(t == "", F.array().cast("array<int>")).otherwise(
-        F.transform(F.split(t, ""), lambda ch: F.ascii(ch))
-    )
-
-
 def pad_ids(ids, length, pad_id: int, side: str = "right") -> Column:
     ids = as_col(ids)
     fill = F.array_repeat(F.lit(pad_id), as_col(length) - F.size(ids))

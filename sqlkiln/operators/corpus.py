@@ -62,9 +62,3 @@ def normalize_sql(df: DataFrame, col: str = "query", out: str | None = None, upt
         if name == upto:
             break
     return cur.withColumn(out, F.col(tmp)).drop(tmp) if out != tmp else cur
-
-
-def normalize_stage(df: DataFrame, stage: str, col: str, out: str | None = None) -> DataFrame:
-    """Apply one named stage on its own (for stage-level checks)."""
-    fn = dict(sqlnorm.NORMALIZE_STAGES)[stage]
-    return df.withColumn(out or col, fn(col))

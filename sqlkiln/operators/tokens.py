@@ -255,23 +255,6 @@ def roundtrip_failures(df: DataFrame, text_col: str, max_len: int, spec: Tokeniz
     )
 
 
-def _labels_numpy(ids: np.ndarray, hdr: np.ndarray, pad_id: int | None) -> np.ndarray:
-    ids = np.asarray(ids, dtype=np.int64)
-    k = hdr.size
-    lab = ids.astype(np.int32, copy=True)
-    end = ids.size
-    if ids.size >= k:
-        cand = np.flatnonzero(ids[: ids.size - k + 1] == hdr[0])
-        for c in cand[::-1]:
-            if np.array_equal(ids[c:c + k], hdr):
-                end = c + k
-                break
-    lab[:end] = fixed.IGNORE_INDEX
-    if pad_id is not None:
-        lab[ids == pad_id] = fixed.IGNORE_INDEX
-    return lab
-
-
 def completion_labels(df: DataFrame, ids_col: str, header_ids: list[int], out: str = "labels",
                       pad_id: int | None = None) -> DataFrame:
     """Loss labels for completion-only training: every position up to the

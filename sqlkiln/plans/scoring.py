@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..operators.confidence import results
 from ..operators.inference import ModelSpec, generate
 from ..operators.tokens import CODEPOINT, TokenizerSpec
 from ..sources.sinks import output_name, write_predictions, write_results
@@ -27,7 +26,3 @@ def infer_and_write(prompts: DataFrame, model: ModelSpec, out_dir: str, test_pat
     write_results(scored, f"{out_dir.rstrip('/')}/{output_name(test_path, one_batch, 'results')}")
     write_predictions(scored, f"{out_dir.rstrip('/')}/{output_name(test_path, one_batch, 'predictions')}")
     return scored
-
-
-def final_results(scored: DataFrame) -> DataFrame:
-    return results(scored).select("id", "sql", "score")
