@@ -52,6 +52,19 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, li
         yield at, piece
 
 
+def row_pieces(batch: pa.RecordBatch, weight: str, most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of a batch whose ``weight`` column (a count) sums to at
+    most ``most``; a heavier row is a piece of its own."""
+    at, held = 0, 0
+    for i, n in enumerate(batch.column(batch.schema.get_field_index(weight)).to_pylist()):
+        if i > at and held + (n or 0) > most:
+            yield batch.slice(at, i - at)
+            at, held = i, 0
+        held += n or 0
+    if batch.num_rows > at:
+        yield batch.slice(at)
+
+
 def spark_type(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sqlkiln.llm.common import chunks, spark_type
+from sqlkiln.llm.common import chunks, row_pieces, spark_type
 from sqlkiln.session import DEFAULT_BROADCAST_BYTES, broadcast_if_small, materialize, measured_bytes, shared_dir
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -139,7 +139,7 @@ def scan(texts: DataFrame, model: Model, text_col: str) -> DataFrame:
         *others, "size", "at", "odds", "known", "open_at", "open_nth", "met")
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for b in batches for piece in row_pieces(b, "size")):
             size, at, odds, known, open_at, open_nth, met = (
                 batch.column(len(others) + k).to_pylist() for k in range(7))
             for r in range(batch.num_rows):
@@ -253,7 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     unit = F.pmod(F.xxhash64("text", F.lit("toxicity")), F.lit(1 << 30)) / float(1 << 30)
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for b in batches for piece in row_pieces(b, "size")):
             size, at, odds = (batch.column(k).to_pylist() for k in (1, 2, 3))
             scores = [[s for s, _, _ in segments_of(*x)] for x in zip(size, at, odds)]
             yield pa.RecordBatch.from_arrays(
@@ -261,12 +261,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 names=["toxic", "scores", "size"])
 
     drawn = scan(other.where(unit < share).select("toxic", "text"), half, "text")
-    got = drawn.mapInArrow(segments, "toxic boolean, scores array<double>, size long").collect()
-    clean = np.array([max(r["scores"], default=0.0) - math.log(max(r["size"], 1)) for r in got if not r["toxic"]])
+    drawn = materialize(drawn.mapInArrow(segments, "toxic boolean, scores array<double>, size long"))
+    # The driver gets one number a text, then the summary of each.
+    best = drawn.where("not toxic").select(F.coalesce(F.array_max("scores"), F.lit(0.0)).alias("s"), "size").collect()
+    clean = np.array([r["s"] - math.log(max(r["size"], 1)) for r in best])
     if len(clean):
         model.spread = max(0.25, float(clean.std()) * math.sqrt(6) / math.pi)
         model.location = float(clean.mean()) - 0.5772156649 * model.spread
-    facts = np.array([summary(model, [(s, 0, 0) for s in r["scores"]], r["size"]) for r in got])
+    law = Model(location=model.location, spread=model.spread)
+
+    def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (piece for b in batches for piece in row_pieces(b, "size")):
+            scores, size = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            found = [summary(law, [(s, 0, 0) for s in x], n) for x, n in zip(scores, size)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([list(f) for f in found], pa.list_(pa.float64()))],
+                                             names=["toxic", "facts"])
+
+    got = drawn.mapInArrow(summaries, "toxic boolean, facts array<double>").collect()
+    facts = np.array([r["facts"] for r in got])
     truth = np.array([bool(r["toxic"]) for r in got])
     model.weights = _logistic(facts, truth)
     return model
@@ -294,8 +306,11 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     ``passages`` lists every significant toxic passage (p-value under
     ``SIGNIFICANCE`` by the extreme-value law for the text's length) as first
     word, end word and segment score; words are runs of letters. Null and
-    empty texts have no segment and the lowest score. Without a model every
-    score is 0. Rows are kept one for one."""
+    empty texts have no segment and the lowest score; a text of any length is
+    scored whole, by itself. Without a model every score is 0. Rows are kept
+    one for one, so repeated and null ids and empty tables pass through, and
+    columns of ``docs`` besides id and text play no part, whatever their
+    names."""
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = f"id {spark_type(narrow, 'id')}"
     if model is None:
@@ -308,7 +323,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         location, spread, weights = shared.value
         net = Model(location=location, spread=spread, weights=weights)
-        for batch in batches:
+        for batch in (piece for b in batches for piece in row_pieces(b, "size")):
             value, found = np.zeros(batch.num_rows), [[]] * batch.num_rows
             size, at, odds = (batch.column(k).to_pylist() for k in (1, 2, 3))
             for i, n in enumerate(size):

@@ -235,8 +235,11 @@ def _train(offsets: np.ndarray, at: np.ndarray, value: np.ndarray, truth: np.nda
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, score, weak, ballot)`` per document of the whole text: the
     linear score of good quality (0 to 1), the labellers' posterior, and the
-    votes as one digit each (0 bad, 1 none, 2 good). Null is the empty text.
-    Rows are kept one for one; without a model the scores are null."""
+    votes as one digit each (0 bad, 1 none, 2 good). Null is the empty text,
+    and a text of any length counts whole, one at a time. Rows are kept one
+    for one, so repeated and null ids and empty tables pass through; other
+    columns play no part, whatever their names. Without a model the scores
+    are null."""
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
