@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import broadcast_if_small, materialize
+from ..session import DEFAULT_BROADCAST_BYTES, materialize
 
 STRING = re.compile(r'"[^"\\]*(?:\\.[^"\\]*)*"', re.S)
 STRING_REST = re.compile(r'[^"\\]*(?:\\.[^"\\]*)*"', re.S)
@@ -414,5 +414,7 @@ def read_elements(spark: SparkSession, path: str, kind: str, what: str) -> DataF
     rows = rows.where(~((F.col("text") == "") & (F.col("comma") == "") & F.coalesce(F.col("pos") == last, F.lit(False))))
     good = (F.col("comma") == due) & (F.col("pos") < F.col("total")) & F.col("text").startswith("{" if kind == "array" else '"')
     error = F.concat(F.lit(f"no JSON {kind} of {what}s in "), F.col("file"), F.lit(": malformed at element "), F.col("pos").cast("string"))
-    ranks = broadcast_if_small(spark.createDataFrame(list(zip(files, range(len(files)))), "file string, file_rank int"))
+    ranks = spark.createDataFrame(list(zip(files, range(len(files)))), "file string, file_rank int")
+    if sum(len(f) + 8 for f in files) <= DEFAULT_BROADCAST_BYTES:
+        ranks = F.broadcast(ranks)
     return rows.join(ranks, "file").select("file", "file_rank", "pos", F.when(good, F.col("text")).otherwise(F.raise_error(error)).alias("text"))
