@@ -155,7 +155,7 @@ def cutoffs(counts: DataFrame, labels: DataFrame, label_id: str = "doc_id", labe
     gain = F.col("hits") / F.greatest("bad", F.lit(1)) - GOOD_WEIGHT * F.col("k") / F.greatest("good", F.lit(1))
     stop = table.groupBy("stratum", "rule").agg(
         F.coalesce(F.min(F.when(~F.col("safe"), F.col("nth"))), F.lit(1 << 30)).alias("stop"))
-    best = table.withColumn("gain", gain).join(F.broadcast(stop), ["stratum", "rule"]).where("nth < stop and gain > 0")
+    best = table.withColumn("gain", gain).join(stop, ["stratum", "rule"]).where("nth < stop and gain > 0")
     best = best.groupBy("stratum", "rule").agg(F.max(F.struct("gain", "cutoff")).alias("best"))
     wide = best.groupBy("stratum").agg(*[
         F.max(F.when(F.col("rule") == r.name, F.col("best.cutoff"))).alias(f"cut_{r.name}") for r in rules])
