@@ -32,8 +32,8 @@ from sqlkiln.session import materialize
 SEQ_LEN = 2048
 SEQUENCES = 512  # rows of a record batch
 END_ID = 0
-# The ids of about so many pieces are remembered by a Python worker (100 MB).
-REMEMBERED = 1 << 19
+# The ids of about so many pieces are remembered by a Python worker (200 MB).
+REMEMBERED = 1 << 20
 PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s")
 PART = "part long, file string, documents long, tokens long, sequences long"
 
