@@ -308,3 +308,9 @@ def _alias_token(e: str) -> str:
 
 _ctes, _last = O.normalize_ctes("part_sql", "sql", "id", upto="asc")
 ORACLE["norm_alias_token"] = _with(O.PART_SQL, _ctes) + f"SELECT id, {_alias_token('sql')} AS sql FROM {_last}"
+ORACLE["score_logits"] = (
+    f"WITH {_STEPS}, made AS (SELECT vec_id, ent, array_to_string(list_transform(seq[4:], lambda i: substr(';abcdefg', i + 1, 1)), '') AS said, "
+    "coalesce(list_position(seq[4:], 0), 0) AS p FROM ve), "
+    "one AS (SELECT vec_id, CAST(vec_id % 97 AS VARCHAR) AS id, split_part(said, ';', 1) AS sql, "
+    "round(list_max(CASE WHEN p = 0 THEN ent ELSE ent[1:p] END), 6) AS score FROM made) "
+    "SELECT id, arg_max(sql, vec_id) AS sql, arg_max(score, vec_id) AS score FROM one GROUP BY id")

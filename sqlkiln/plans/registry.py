@@ -689,3 +689,17 @@ def stream_last_by_id(spark, sf):
     for _ in range(2):
         stream_last_by_id(ev, out, shared_dir(spark, "stream-ckpt"), "user_id", "event_id", ["event_type", "value"])
     return read_last(spark, out, "user_id", "event_id").select("user_id", "event_id", "event_type", "value")
+
+
+@query
+def score_logits_q(spark, sf):
+    """INF-2, SCR-1..4, TXT-2, AGG-7 over a table of logits: embeddings as
+    steps, their likeliest words spelled in letters, ``;`` as the end."""
+    from .scoring import score_logits
+
+    letters = F.array(*[F.lit(ord(c)) for c in ";abcdefg"])
+    steps = _vec_steps(spark, sf)
+    spelled = F.transform("seq", lambda i: F.element_at(letters, i + 1))
+    x = steps.select(F.col("vec_id").alias("ord"), (F.col("vec_id") % 97).cast("string").alias("id"), spelled.alias("seq"),
+                     "input_len", "step_logits")
+    return score_logits(x, ord(";")).select("id", "sql", F.round("score", 6).alias("score"))

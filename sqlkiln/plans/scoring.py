@@ -5,8 +5,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..operators.inference import ModelSpec, generate
-from ..operators.tokens import CODEPOINT, TokenizerSpec
+from ..operators.confidence import confidence, results, step_entropies, truncate_scores
+from ..operators.corpus import postprocess_sql
+from ..operators.inference import ModelSpec, generate, strip_prompt
+from ..operators.tokens import CODEPOINT, TokenizerSpec, decode
 from ..sources.sinks import output_name, write_predictions, write_results
 
 
@@ -15,6 +17,18 @@ def score_prompts(prompts: DataFrame, model: ModelSpec, tokenizer: TokenizerSpec
     return generate(prompts, model, tokenizer, **kw)
 
 
+def score_logits(steps: DataFrame, eos_id: int, tokenizer: TokenizerSpec = CODEPOINT, mode: str = "aligned") -> DataFrame:
+    """Generations that are already there, scored: ``(ord, id, seq, input_len,
+    step_logits)``, ids of prompt and output and the logits of every output
+    step, to ``(id, sql, score)``, last id wins.  Entropies, the cut at the
+    end of sequence and the maximum are column expressions; only decoding
+    runs in Python."""
+    scored = truncate_scores(step_entropies(steps, "step_logits", "scores"), "seq", "scores", eos_id, mode)
+    scored = strip_prompt(confidence(scored, "scores", "score"), "seq", "input_len", "gen_ids")
+    said = decode(scored.select("ord", "id", "gen_ids", "score"), "gen_ids", "raw_sql", tokenizer, skip_special_tokens=True)
+    return results(postprocess_sql(said, "raw_sql", "sql")).select("id", "sql", "score")
+
+
 def infer_and_write(prompts: DataFrame, model: ModelSpec, out_dir: str, test_path: str, *, one_batch: bool = False,
                     tokenizer: TokenizerSpec = CODEPOINT, **kw) -> DataFrame:
     """Run generation once, persist it in the shared folder, then write the
