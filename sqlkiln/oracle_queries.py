@@ -263,8 +263,8 @@ ORACLE["snk_names"] = (
 ORACLE["zip_outputs"] = ("SELECT event_id AS ord, CAST(user_id AS VARCHAR) AS id, 'select ' || event_type AS sql, value AS score "
                          "FROM events")
 ORACLE["labels_copartitioned"] = ORACLE["attach_labels"]
-ORACLE["src_one_file"] = _with(O.SAMPLES) + (
-    "SELECT row_number() OVER (ORDER BY ord) - 1 AS ord, id, db_id, question, query FROM samples")
+ORACLE["src_split_arrays"] = _with(O.SAMPLES) + (
+    "SELECT row_number() OVER (ORDER BY ord) - 1 AS nth, id, db_id, question, query FROM samples")
 ORACLE["src_corpus"] = f"SELECT id, text FROM ({ORACLE['build_prompts_test']})"
 ORACLE["src_train_eval"] = (
     f"SELECT CASE WHEN d.lang = 'en' THEN 'eval' ELSE 'train' END AS split, p.id, p.text FROM ({ORACLE['build_prompts_train']}) p "

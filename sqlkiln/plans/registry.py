@@ -601,25 +601,14 @@ def labels_copartitioned(spark, sf):
     return attach_labels(q, lab, on_missing="drop")
 
 
-def _array_file(rows, path):
-    """One JSON array of all rows in order, in one file: the lines of a single
-    part, with brackets and commas."""
-    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), {"ignoreNullFields": "false"})
-    placed = dense_positions(rows.select("ord", row.alias("__row")), "ord", "__at")
-    last = placed.agg(F.max("__at").alias("n")).first()["n"]
-    lead, end = F.when(F.col("__at") == 0, "[").otherwise(","), F.when(F.col("__at") == last, "]").otherwise("")
-    lines = placed.select("__at", F.concat(lead, "__row", end).alias("value"))
-    lines.coalesce(1).sortWithinPartitions("__at").select("value").write.text(path)
-
-
 @query
-def src_one_file(spark, sf):
-    """SRC-2 over one array file of all samples, read in many tasks: ``ord``
-    is the place in the file."""
-    from ..sources import json_sources
+def src_split_arrays(spark, sf):
+    """SRC-2 over array files as large as their tasks made them, each read in
+    many tasks; ``nth`` is the place by ``ord`` among all samples."""
+    from ..sources import json_sources, sinks
 
-    path = _written(spark, "src-one-file", lambda p: _array_file(_samples(spark, sf), p))
-    return json_sources.read_pauq(spark, path)
+    path = _written(spark, "src-split", lambda p: sinks.write_json_parts(_samples(spark, sf), p))
+    return dense_positions(json_sources.read_pauq(spark, path), "ord", "nth").drop("ord")
 
 
 def _input_files(spark, sf):

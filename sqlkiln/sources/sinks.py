@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 
 from ..operators.confidence import results as last_results
@@ -29,6 +33,28 @@ def write_json_arrays(df: DataFrame, path: str, per_file: int = 5000, key: str =
     made.write.option("maxRecordsPerFile", 1).mode("overwrite").text(path)
 
 
+def write_json_parts(df: DataFrame, path: str, key: str = "ord") -> None:
+    """Rows in the order of ``key`` as a folder of JSON arrays, one per range
+    of it, of any size: a task streams its rows into its file, so nothing is
+    gathered.  The readers split such files again."""
+    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
+    lines = df.orderBy(key).select(row.alias("value"))
+
+    def bracketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = "["
+        for batch in batches:
+            if batch.num_rows:
+                found = pa.array([lead, *[","] * (batch.num_rows - 1)])
+                yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(found, batch.column(0), "")], names=["value"])
+                lead = ","
+        if lead == ",":
+            yield pa.RecordBatch.from_pydict({"value": ["]"]})
+        elif TaskContext.get().partitionId() == 0:
+            yield pa.RecordBatch.from_pydict({"value": ["[]"]})
+
+    lines.mapInArrow(bracketed, "value string").write.mode("overwrite").text(path)
+
+
 def write_json_objects(df: DataFrame, path: str, key: str, value: str, per_file: int = 5000) -> None:
     """Rows as a folder of JSON objects ``key -> value``, one per file."""
     files = max(1, -(-df.count() // per_file))
