@@ -57,32 +57,33 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
         F.coalesce(F.col(role_col).cast("string"), F.lit(UNKNOWN)).alias("role"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("said"))
     rows = rows.where("turn is not null").distinct().unionByName(rows.where("turn is null"))
+    # A key that is never null: what is grouped by it joins by it as it lies.
+    rows = rows.withColumn("key", F.coalesce(F.concat(F.lit("k"), F.col("conv_id").cast("string")), F.lit("")))
     size = F.length(_header(F.col("role"), F.lit(None).cast("string"))) + F.length("said") + len(CLOSE)
-    placed = running(rows.withColumn("size", size.cast("long")), ["conv_id"], ["turn", "role", "said"], "size")
-    placed = materialize(placed.select("conv_id", "role", "said", F.col("before").alias("at"),
-                                       F.floor(F.col("before") / segment_chars).cast("long").alias("segment")))
-    talks = placed.groupBy("conv_id", "segment").agg(
-        F.array_sort(F.collect_list(F.struct("at", "role", "said"))).alias("messages"))
-    speakers = placed.where(~F.col("role").isin(*CONTEXT_ROLES)).groupBy(
-        F.col("conv_id").alias("of"), F.col("role").alias("speaker")).agg(F.lit(1).alias("one"))
-    segments = placed.groupBy("conv_id", "segment").agg(F.min("at").alias("begin"))
-    own = placed.groupBy(F.col("conv_id").alias("own_of"), F.col("segment").alias("own_in"), F.col("role").alias("own_by")).agg(
-        F.count(F.lit(1)).alias("said_here"))
-    lines = segments.join(speakers, F.col("conv_id").eqNullSafe(F.col("of")))
-    lines = lines.join(own, F.col("conv_id").eqNullSafe(F.col("own_of")) & (F.col("segment") == F.col("own_in"))
-                       & (F.col("speaker") == F.col("own_by")), "left")
-    lines = lines.select("conv_id", "segment", "speaker", "begin", F.coalesce("said_here", F.lit(0)).alias("said_here"))
+    placed = running(rows.withColumn("size", size.cast("long")), ["key"], ["turn", "role", "said"], "size")
+    placed = placed.withColumnRenamed("before", "at").withColumn("segment", F.floor(F.col("at") / segment_chars).cast("long"))
+    talks = placed.groupBy("key", "segment").agg(
+        F.array_sort(F.collect_list(F.struct("at", "role", "said"))).alias("messages"), F.min("conv_id").alias("conv_id"))
+    spoken = ~F.col("role").isin(*CONTEXT_ROLES)
+    # Who says how much where: all that follows is as long as the segments.
+    shares = materialize(placed.groupBy("key", "segment", "role").agg(
+        F.count(F.lit(1)).alias("said_here"), F.min("at").alias("at"),
+        F.min_by(F.when(~spoken, F.col("said")), "at").alias("told")))
+    speakers = shares.where(spoken).groupBy("key", F.col("role").alias("speaker")).agg(F.lit(1).alias("one"))
+    lines = shares.groupBy("key", "segment").agg(F.min("at").alias("begin")).join(speakers, "key")
+    own = shares.where(spoken).select("key", "segment", F.col("role").alias("speaker"), "said_here")
+    lines = lines.join(own, ["key", "segment", "speaker"], "left").select(
+        "key", "segment", "speaker", "begin", F.coalesce("said_here", F.lit(0)).alias("said_here"))
     # The speaker's own earlier messages have the other header.
-    lines = running(lines, ["conv_id", "speaker"], ["segment"], "said_here")
+    lines = running(lines, ["key", "speaker"], ["segment"], "said_here")
     shorter = F.length(_header(F.col("speaker"), F.col("speaker"))) - F.length(_header(F.col("speaker"), F.lit(None).cast("string")))
     lines = lines.withColumn("offset", F.col("begin") + F.col("before") * shorter)
-    first = placed.where(F.col("role").isin(*CONTEXT_ROLES)).groupBy(F.col("conv_id").alias("of")).agg(
-        F.min_by(F.struct("segment", "role", "said"), "at").alias("first"))
-    lines = lines.join(first, F.col("conv_id").eqNullSafe(F.col("of")), "left")
-    told = F.concat(_header(F.col("first.role"), F.lit(None).cast("string")), F.col("first.said"), F.lit(CLOSE))
-    lines = lines.select(F.col("conv_id").alias("line_of"), F.col("segment").alias("line_in"), "speaker", "offset",
+    first = shares.where(~spoken).groupBy("key").agg(F.min_by(F.struct("segment", "role", "told"), "at").alias("first"))
+    lines = lines.join(first, "key", "left")
+    told = F.concat(_header(F.col("first.role"), F.lit(None).cast("string")), F.col("first.told"), F.lit(CLOSE))
+    lines = lines.select("key", "segment", "speaker", "offset",
                          F.when(F.col("first.segment") < F.col("segment"), told).otherwise("").alias("context"))
-    each = talks.join(lines, F.col("conv_id").eqNullSafe(F.col("line_of")) & (F.col("segment") == F.col("line_in")))
+    each = talks.join(lines, ["key", "segment"])
     speaker = F.col("speaker")
     parts = each.withColumn("parts", F.transform("messages", lambda m: F.struct(
         _header(m["role"], speaker).alias("head"), F.concat(m["said"], F.lit(CLOSE)).alias("tail"),

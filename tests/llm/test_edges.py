@@ -162,7 +162,7 @@ def test_chat(spark):
     got = {(r["conv_id"], r["speaker"]): r for r in chat.rotate(turns).collect()}
     assert set(got) == {(1, "ann"), (1, "bob"), (1, "unknown"), (None, "ann"), (3, "ann")}
     ann = got[1, "ann"]
-    assert ann["n_turns"] == 4 and got[3, "ann"]["segment"] == 1
+    assert ann["n_turns"] == 4 and got[3, "ann"]["segment"] == 0
     assert [ann["text"][s["start"]: s["end"]] for s in ann["spans"]] == ["hi<|im_end|>\n"]
     assert ann["text"].startswith("<|im_start|>user name=unknown\nfirst<|im_end|>\n<|im_start|>system\nbe brief")
     assert [got[1, "bob"]["text"][s["start"]: s["end"]] for s in got[1, "bob"]["spans"]] == ["<|im_end|>\n"]
