@@ -8,7 +8,6 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 
 from ..operators.confidence import results as last_results
@@ -49,10 +48,11 @@ def write_json_parts(df: DataFrame, path: str, key: str = "ord") -> None:
                 lead = ","
         if lead == ",":
             yield pa.RecordBatch.from_pydict({"value": ["]"]})
-        elif TaskContext.get().partitionId() == 0:
-            yield pa.RecordBatch.from_pydict({"value": ["[]"]})
 
-    lines.mapInArrow(bracketed, "value string").write.mode("overwrite").text(path)
+    made = lines.mapInArrow(bracketed, "value string")
+    if df.isEmpty():  # else Spark writes a file without a byte
+        made = df.sparkSession.createDataFrame([("[]",)], "value string")
+    made.write.mode("overwrite").text(path)
 
 
 def write_json_objects(df: DataFrame, path: str, key: str, value: str, per_file: int = 5000) -> None:
