@@ -81,7 +81,7 @@ def test_every_grouping_of_fragments(seed):
 def small_splits(spark):
     """Sets the bytes of a split; the default comes back afterwards."""
     names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
-    yield lambda n: (spark.conf.set(names[0], str(n)), spark.conf.set(names[1], "0"))
+    yield lambda n: (spark.conf.set(names[0], str(n)), spark.conf.set(names[1], "1"))
     for name in names:
         spark.conf.unset(name)
 
