@@ -51,7 +51,7 @@ def write_json_parts(df: DataFrame, path: str, key: str = "ord") -> None:
 
     made = lines.mapInArrow(bracketed, "value string")
     if df.isEmpty():  # else Spark writes a file without a byte
-        made = df.sparkSession.createDataFrame([("[]",)], "value string")
+        made = df.sparkSession.createDataFrame([("[]",)], "value string").coalesce(1)
     made.write.mode("overwrite").text(path)
 
 
