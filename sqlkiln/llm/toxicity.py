@@ -124,7 +124,7 @@ def scan(texts: DataFrame, model: Model, text_col: str) -> DataFrame:
     if not joins:
         return rows.select(*others, "size", "at", "odds")
     path = shared_dir(texts.sparkSession, "toxicity")  # compressed, unlike a checkpoint
-    rows.withColumn("row", F.monotonically_increasing_id()).write.parquet(path)
+    rows.withColumn("row", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(path)
     rows = texts.sparkSession.read.parquet(path)
     asked = rows.select("row", F.posexplode(F.arrays_zip("rare", "known")).alias("nth", "ask"))
     stem = F.when(F.col("ask.known").isNull(), F.concat(F.lit("s"), F.substring("ask.rare", 1, STEM)))
@@ -134,7 +134,8 @@ def scan(texts: DataFrame, model: Model, text_col: str) -> DataFrame:
     met = asked.join(rest, F.col("asked") == F.col("key"))
     met = met.groupBy("row").agg(F.collect_list(F.struct(
         "nth", F.col("key").startswith("w").alias("own"), F.col("odds").alias("value"))).alias("met"))
-    met = broadcast_if_small(met.withColumnRenamed("row", "of_row"))
+    # As long as the table: no broadcast, whatever its size now.
+    met = met.withColumnRenamed("row", "of_row")
     rows = rows.join(met, F.col("row") == F.col("of_row"), "left").select(
         *others, "size", "at", "odds", "known", "open_at", "open_nth", "met")
 
