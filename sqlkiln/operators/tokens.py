@@ -8,7 +8,7 @@ code point) as one zero-copy buffer per batch, any other as a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .. import fixed
+from ..batches import in_pieces, piece_bounds, sizes
 from ..functions.arrays import pad_ids, pad_mask
 
 
@@ -94,6 +95,9 @@ class TokenizerSpec:
 
 CODEPOINT = TokenizerSpec()
 _LOADED: dict = {}
+# A worker makes about so many ids at a time: an Arrow batch holds up to 10,000
+# texts, whose ids, labels and masks take 30 times its bytes at once.
+PIECE_IDS = 1 << 18
 
 
 def load_once(spec):
@@ -106,6 +110,13 @@ def load_once(spec):
 
 # --- operators ---------------------------------------------------------------
 
+def _series_pieces(texts: pd.Series) -> Iterator[pd.Series]:
+    if texts.empty:
+        yield texts
+    for a, b in piece_bounds(np.array([0 if t is None else len(t) for t in texts], np.int64), PIECE_IDS):
+        yield texts.iloc[a:b]
+
+
 def codepoint_lists(texts: pa.Array, max_len: int | None = None) -> pa.Array:
     """Code points of a string column as an Arrow list column: one buffer of
     32-bit units is the values, the text lengths are the offsets."""
@@ -128,8 +139,12 @@ def tokenize(df: DataFrame, text_col: str = "text", out: str = "input_ids", spec
     if spec.kind.startswith("codepoint"):
         text = F.col(text_col) if max_len is None else F.substring(F.col(text_col), 1, max_len)
 
+        @F.arrow_udf("array<int>")
+        def points(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+            for texts, _ in batches:
+                yield from in_pieces(lambda t: codepoint_lists(t, max_len), texts, PIECE_IDS)
+
         # Two arguments, see ``tokenize_with_labels``.
-        points = F.arrow_udf(lambda texts, _: codepoint_lists(texts, max_len), "array<int>")
         x = df.withColumn("__text", text)
         return x.withColumn(out, points(F.col("__text"), F.length("__text"))).drop("__text")
 
@@ -137,7 +152,8 @@ def tokenize(df: DataFrame, text_col: str = "text", out: str = "input_ids", spec
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tok = load_once(spec)
         for s in batches:
-            yield pd.Series([None if e is None else e[:max_len] for e in tok.encode_batch(s.tolist())])
+            for part in _series_pieces(s):
+                yield pd.Series([None if e is None else e[:max_len] for e in tok.encode_batch(part.tolist())])
 
     return df.withColumn(out, encode(F.col(text_col)))
 
@@ -153,7 +169,8 @@ def count_tokens(df: DataFrame, text_col: str = "text", out: str = "n_tokens", s
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tok = load_once(spec)
         for s in batches:
-            yield pd.Series([None if e is None else len(e) for e in tok.encode_batch(s.tolist())], dtype="Int32")
+            for part in _series_pieces(s):
+                yield pd.Series([None if e is None else len(e) for e in tok.encode_batch(part.tolist())], dtype="Int32")
 
     return df.withColumn(out, count(F.col(text_col)))
 
@@ -264,18 +281,20 @@ def completion_labels(df: DataFrame, ids_col: str, header_ids: list[int], out: s
         raise ValueError("header_ids must not be empty")
     hdr = np.asarray(header_ids, dtype=np.int64)
 
-    def labels(ids: pa.Array) -> pa.Array:
-        return _label_lists(ids, hdr, pad_id)
+    @F.arrow_udf("array<int>")
+    def labels(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for ids in batches:
+            yield from in_pieces(lambda i: _label_lists(i, hdr, pad_id), ids, PIECE_IDS)
 
-    return df.withColumn(out, F.arrow_udf(labels, "array<int>")(F.col(ids_col)))
+    return df.withColumn(out, labels(F.col(ids_col)))
 
 
 def _label_lists(ids: pa.Array, hdr: np.ndarray, pad_id: int | None) -> pa.Array:
     """Labels of a list column, written over one copy of its values.  Only
     places where the header's first id stands are compared with it."""
     values = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
-    sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    ends = np.cumsum(sizes)
+    lengths = sizes(ids)
+    ends = np.cumsum(lengths)
     k, hit = hdr.size, np.flatnonzero(values[: max(0, values.size - hdr.size + 1)] == hdr[0])
     for j in range(1, k):
         hit = hit[values[hit + j] == hdr[j]]
@@ -283,7 +302,7 @@ def _label_lists(ids: pa.Array, hdr: np.ndarray, pad_id: int | None) -> pa.Array
     inside = hit + k <= ends[row] if len(hit) else np.zeros(0, bool)
     cut = ends.copy()
     cut[row[inside]] = hit[inside] + k  # hits are in order: the last of a row stays
-    masked = np.arange(values.size) < np.repeat(cut, sizes)
+    masked = np.arange(values.size) < np.repeat(cut, lengths)
     if pad_id is not None:
         masked |= values == pad_id
     out = np.where(masked, np.int32(fixed.IGNORE_INDEX), values)
@@ -294,16 +313,37 @@ def _label_lists(ids: pa.Array, hdr: np.ndarray, pad_id: int | None) -> pa.Array
 
 def _padded(ids: pa.Array, length: int, pad_id: int) -> pa.Array:
     """A list column filled up on the right to ``length``; nulls stay null."""
-    sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    if len(sizes) and sizes.max() > length:
-        raise ValueError(f"a text of {sizes.max()} tokens does not fit {length}; give max_len")
-    out = np.full((len(sizes), length), pad_id, np.int32)
-    out[np.arange(length) < sizes[:, None]] = ids.flatten().to_numpy(zero_copy_only=False)
-    offsets = pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * length)
+    lengths = sizes(ids)
+    if len(lengths) and lengths.max() > length:
+        raise ValueError(f"a text of {lengths.max()} tokens does not fit {length}; give max_len")
+    out = np.full((len(lengths), length), pad_id, np.int32)
+    out[np.arange(length) < lengths[:, None]] = ids.flatten().to_numpy(zero_copy_only=False)
+    offsets = pa.array(np.arange(len(lengths) + 1, dtype=np.int32) * length)
     lists = pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))
     return pc.if_else(ids.is_valid(), lists, pa.scalar(None, lists.type)) if ids.null_count else lists
 
 
+def _ids_and_labels(batches: Iterator[pa.Array], header_text: str, spec: TokenizerSpec, pad_id: int | None,
+                    max_len: int | None, pad_to: int | None) -> Iterator[pa.Array]:
+    """(ids, labels) of text columns, in pieces of ``PIECE_IDS``; a padded
+    row counts as long as it gets."""
+    tok = load_once(spec)
+    hdr = np.asarray(tok.encode_batch([header_text])[0], dtype=np.int64)
+
+    def both(texts: pa.Array) -> pa.Array:
+        if spec.kind.startswith("codepoint"):
+            ids = codepoint_lists(texts, max_len)
+        else:
+            ids = pa.array([None if e is None else list(e[:max_len]) for e in tok.encode_batch(texts.to_pylist())],
+                           pa.list_(pa.int32()))
+        if pad_to is not None:
+            ids = _padded(ids, pad_to, pad_id)
+        return pa.StructArray.from_arrays([ids, _label_lists(ids, hdr, pad_id)], names=["ids", "labels"])
+
+    for texts in batches:
+        yield from in_pieces(both, texts, PIECE_IDS, pad_to or 0)
+
+
 def tokenize_with_labels(df: DataFrame, text_col: str, header_text: str, spec: TokenizerSpec | None = None,
                          ids_out: str = "input_ids", labels_out: str = "labels", pad_id: int | None = None,
                          max_len: int | None = None, pad_to: int | None = None) -> DataFrame:
@@ -320,22 +360,13 @@ def tokenize_with_labels(df: DataFrame, text_col: str, header_text: str, spec: T
     if spec.kind.startswith("codepoint") and max_len is not None:
         text = F.substring(text, 1, max_len)
 
-    def both(texts: pa.Array) -> pa.Array:
-        tok = load_once(spec)
-        hdr = np.asarray(tok.encode_batch([header_text])[0], dtype=np.int64)
-        if spec.kind.startswith("codepoint"):
-            ids = codepoint_lists(texts, max_len)
-        else:
-            ids = pa.array([None if e is None else list(e[:max_len]) for e in tok.encode_batch(texts.to_pylist())],
-                           pa.list_(pa.int32()))
-        if pad_to is not None:
-            ids = _padded(ids, pad_to, pad_id)
-        return pa.StructArray.from_arrays([ids, _label_lists(ids, hdr, pad_id)], names=["ids", "labels"])
-
     # The text is named in two arguments, so the optimizer keeps it as a column
     # of its own below the UDF: a UDF over an expression with lambdas (SQL
     # normalisation has some) cannot be planned.
-    made = F.arrow_udf(lambda texts, _: both(texts), "ids array<int>, labels array<int>")
+    @F.arrow_udf("ids array<int>, labels array<int>")
+    def made(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        return _ids_and_labels((texts for texts, _ in batches), header_text, spec, pad_id, max_len, pad_to)
+
     x = df.withColumn("__text", text)
     x = x.withColumn("__tl", made(F.col("__text"), F.length("__text"))).drop("__text")
     return x.withColumn(ids_out, F.col("__tl.ids")).withColumn(labels_out, F.col("__tl.labels")).drop("__tl")

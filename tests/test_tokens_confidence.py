@@ -181,3 +181,28 @@ def test_completion_label_methods_agree(spark):
     assert [r.input_ids for r in native] == [r.input_ids for r in arrow]
     assert native[1].labels[-1] == ord("y") and sum(x != -100 for x in native[1].labels) == 1
     assert all(x == -100 for x in native[2].labels)
+
+
+def test_long_texts_become_ids_in_pieces():
+    """A batch of long texts is never ids and labels at once."""
+    import pyarrow as pa
+
+    header = "<|h|>"
+    texts = pa.array([None, ""] + [f"{i}{header}" + "é" * 3000 for i in range(400)])
+    for max_len, pad_to in ((None, None), (2000, 2000)):
+        made = list(TK._ids_and_labels(iter([texts, texts.slice(0, 0)]), header, TK.CODEPOINT, 0, max_len, pad_to))
+        rows = [r for piece in made for r in piece.to_pylist()]
+        assert max(len(piece.field("ids").flatten()) for piece in made) < TK.PIECE_IDS + 3100
+        assert len(rows) == 402 and rows[0]["ids"] is None
+        assert all(len(r["ids"]) == len(r["labels"]) == (pad_to or 3000 + len(f"{i}{header}")) for i, r in enumerate(rows[2:]))
+        assert all(r["labels"][: len(f"{i}{header}") + 1] == [-100] * len(f"{i}{header}") + [233] for i, r in enumerate(rows[2:]))
+
+
+def test_pieces_of_a_batch_are_whole_columns(spark):
+    df = spark.createDataFrame([(i, None if i % 97 == 0 else f"{i}<h>" + "x" * (i % 3) * 500) for i in range(1500)], "i int, text string").coalesce(1)
+    rows = TK.completion_labels(TK.tokenize(df, "text", "ids"), "ids", [ord(c) for c in "<h>"]).orderBy("i").collect()
+    assert len(rows) == 1500 and sum(len(r.text or "") for r in rows) > 2 * TK.PIECE_IDS
+    for r in rows:
+        assert r.ids == (None if r.text is None else [ord(c) for c in r.text])
+        n = len(f"{r.i}<h>")
+        assert r.labels == (None if r.text is None else [-100] * n + [120] * (len(r.text) - n))
