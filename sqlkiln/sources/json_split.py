@@ -26,11 +26,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..batches import piece_bounds, sizes
 from ..session import DEFAULT_BROADCAST_BYTES, materialize
 
 STRING = re.compile(r'"[^"\\]*(?:\\.[^"\\]*)*"', re.S)
@@ -41,6 +43,7 @@ KEY_BEFORE = re.compile(r'"([^"\\]*(?:\\.[^"\\]*)*)"\s*:\s*$', re.S)
 SEPARATOR = {"array": "}", "object": ","}
 WRAPPED_KEY = "data"
 OUT_ROWS = 4096
+PIECE_BYTES = 1 << 20  # of texts, in Python and in a batch handed out, besides one
 TRIES = 3
 CHANGED = "splits changed between two passes"
 
@@ -175,18 +178,21 @@ def _splits(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int]
     """((file, start), is it new, rows of it) runs of a task's batches."""
     last = None
     for batch in batches:
-        files, starts = batch.column("file").to_pylist(), batch.column("start").to_pylist()
-        at = 0
-        for i in range(1, batch.num_rows + 1):
-            if i == batch.num_rows or files[i] != files[at] or starts[i] != starts[at]:
-                key = (files[at], starts[at])
-                yield key, key != last, batch.slice(at, i - at)
-                last, at = key, i
+        if not batch.num_rows:
+            continue
+        files, starts = batch.column("file"), batch.column("start")
+        other = pc.or_(pc.not_equal(files[1:], files[:-1]), pc.not_equal(starts[1:], starts[:-1]))
+        ends = [*(np.flatnonzero(other.to_numpy(zero_copy_only=False)) + 1).tolist(), batch.num_rows]
+        for at, end in zip([0, *ends], ends):
+            key = (files[at].as_py(), starts[at].as_py())
+            yield key, key != last, batch.slice(at, end - at)
+            last = key
 
 
 def _texts(rows: pa.RecordBatch, separator: str) -> Iterator[str]:
-    for at in range(0, rows.num_rows, OUT_ROWS):
-        for text in rows.column("value").slice(at, OUT_ROWS).to_pylist():
+    values = rows.column("value")
+    for at, end in piece_bounds(sizes(values), PIECE_BYTES):
+        for text in values.slice(at, end - at).to_pylist():
             yield text + separator
 
 
@@ -329,45 +335,49 @@ def _placed(starts: dict[tuple[str, int], Start], reports: list, what: str) -> d
 PIECES = "file string, start long, pos long, total long, whole boolean, text string"
 
 
-def _pieces(fragments: DataFrame, kind: str, starts: dict[tuple[str, int], Start], targets: dict[str, int]) -> DataFrame:
-    """``(file, start, pos, total, whole, text)``: the elements that lie in a
-    split, and the parts of those that cross its borders."""
+def _found(batches: Iterator[pa.RecordBatch], kind: str, starts: dict[tuple[str, int], Start],
+           targets: dict[str, int]) -> Iterator[pa.RecordBatch]:
+    """The rows of ``_pieces`` of a task, in batches of ``PIECE_BYTES``."""
     names = ["file", "start", "pos", "total", "whole", "text"]
+    out: list[tuple] = []
+    held = 0
+    key, scan, begin = None, None, None
+
+    def batch() -> pa.RecordBatch:
+        types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+
+    def rest() -> None:
+        left = "".join(scan.held)
+        if left:
+            out.append((*key, scan.position, begin.total, False, left))
+
+    for at, new, rows in _splits(batches):
+        if new:
+            if scan is not None:
+                rest()
+            if at not in starts:
+                raise ValueError(f"{CHANGED} over {at[0]}")
+            key, begin = at, starts[at]
+            scan = Elements(kind, targets[at[0]], begin)
+            open_ = begin.active  # the first element may have begun earlier
+        for text in _texts(rows, SEPARATOR[kind]):
+            for position, found in scan.take(text):
+                out.append((*key, position, begin.total, not (open_ and position == begin.position), found))
+                held += len(found)
+            if len(out) >= OUT_ROWS or held >= PIECE_BYTES:
+                yield batch()
+                out, held = [], 0
+    if scan is not None:
+        rest()
+    if out:
+        yield batch()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        key, scan, begin = None, None, None
-
-        def batch() -> pa.RecordBatch:
-            types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
-
-        def rest() -> None:
-            left = "".join(scan.held)
-            if left:
-                out.append((*key, scan.position, begin.total, False, left))
-
-        for at, new, rows in _splits(batches):
-            if new:
-                if scan is not None:
-                    rest()
-                if at not in starts:
-                    raise ValueError(f"{CHANGED} over {at[0]}")
-                key, begin = at, starts[at]
-                scan = Elements(kind, targets[at[0]], begin)
-                open_ = begin.active  # the first element may have begun earlier
-            for text in _texts(rows, SEPARATOR[kind]):
-                for position, found in scan.take(text):
-                    out.append((*key, position, begin.total, not (open_ and position == begin.position), found))
-                if len(out) >= OUT_ROWS:
-                    yield batch()
-                    out = []
-        if scan is not None:
-            rest()
-        if out:
-            yield batch()
 
-    return fragments.mapInArrow(run, PIECES)
+def _pieces(fragments: DataFrame, kind: str, starts: dict[tuple[str, int], Start], targets: dict[str, int]) -> DataFrame:
+    """``(file, start, pos, total, whole, text)``: the elements that lie in a
+    split, and the parts of those that cross its borders."""
+    return fragments.mapInArrow(lambda batches: _found(batches, kind, starts, targets), PIECES)
 
 
 def _elements(fragments: DataFrame, kind: str, what: str) -> tuple[DataFrame, list[str]]:
@@ -414,7 +424,8 @@ def read_elements(spark: SparkSession, path: str, kind: str, what: str) -> DataF
     rows = rows.where(~((F.col("text") == "") & (F.col("comma") == "") & F.coalesce(F.col("pos") == last, F.lit(False))))
     good = (F.col("comma") == due) & (F.col("pos") < F.col("total")) & F.col("text").startswith("{" if kind == "array" else '"')
     error = F.concat(F.lit(f"no JSON {kind} of {what}s in "), F.col("file"), F.lit(": malformed at element "), F.col("pos").cast("string"))
-    ranks = spark.createDataFrame(list(zip(files, range(len(files)))), "file string, file_rank int")
+    # From Arrow, as rows of a list would go through Python workers of their own.
+    ranks = spark.createDataFrame(pa.table({"file": pa.array(files, pa.string()), "file_rank": pa.array(range(len(files)), pa.int32())}))
     if sum(len(f) + 8 for f in files) <= DEFAULT_BROADCAST_BYTES:
         ranks = F.broadcast(ranks)
     return rows.join(ranks, "file").select("file", "file_rank", "pos", F.when(good, F.col("text")).otherwise(F.raise_error(error)).alias("text"))

@@ -10,8 +10,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 
+from ..batches import piece_bounds, sizes
 from ..operators.confidence import results as last_results
 from ..session import broadcast_if_small
+from .json_split import PIECE_BYTES
 
 
 def write_prompts(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -32,6 +34,19 @@ def write_json_arrays(df: DataFrame, path: str, per_file: int = 5000, key: str =
     made.write.option("maxRecordsPerFile", 1).mode("overwrite").text(path)
 
 
+def _bracketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a task as one array, in batches of ``PIECE_BYTES``."""
+    lead = "["
+    for batch in batches:
+        for at, end in piece_bounds(sizes(batch.column(0)), PIECE_BYTES):
+            found = pa.array([lead, *[","] * (end - at - 1)])
+            rows = batch.column(0).slice(at, end - at)
+            yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(found, rows, "")], names=["value"])
+            lead = ","
+    if lead == ",":
+        yield pa.RecordBatch.from_pydict({"value": ["]"]})
+
+
 def write_json_parts(df: DataFrame, path: str, key: str = "ord") -> None:
     """Rows in the order of ``key`` as a folder of JSON arrays, one per range
     of it, of any size: a task streams its rows into its file, so nothing is
@@ -39,17 +54,7 @@ def write_json_parts(df: DataFrame, path: str, key: str = "ord") -> None:
     row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
     lines = df.orderBy(key).select(row.alias("value"))
 
-    def bracketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead = "["
-        for batch in batches:
-            if batch.num_rows:
-                found = pa.array([lead, *[","] * (batch.num_rows - 1)])
-                yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(found, batch.column(0), "")], names=["value"])
-                lead = ","
-        if lead == ",":
-            yield pa.RecordBatch.from_pydict({"value": ["]"]})
-
-    made = lines.mapInArrow(bracketed, "value string")
+    made = lines.mapInArrow(_bracketed, "value string")
     if df.isEmpty():  # else Spark writes a file without a byte
         made = df.sparkSession.createDataFrame([("[]",)], "value string").coalesce(1)
     made.write.mode("overwrite").text(path)

@@ -178,3 +178,23 @@ def test_arrays_written_by_tasks_read_back(spark, tmp_path, small_splits):
     assert [(r["id"], r["question"]) for r in got] == [(r[1], r[3]) for r in rows]
     write_json_parts(frame.where("false"), f"{tmp_path}/none")
     assert src.read_pauq(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_batches_of_long_elements_are_bounded():
+    """Elements are handed out, and written, by bytes and not by thousands."""
+    import pyarrow as pa
+
+    from sqlkiln.sources.sinks import _bracketed
+
+    rows = [json.dumps({"k": k, "v": "x" * 20_000}) for k in range(400)]
+    written = list(_bracketed(iter([pa.RecordBatch.from_pydict({"value": rows})])))
+    assert max(b.nbytes for b in written) < 2 * J.PIECE_BYTES
+    text = "".join(v for b in written for v in b.column(0).to_pylist())
+    assert json.loads(text) == [json.loads(r) for r in rows]
+    fragments = text.split("}")
+    batch = pa.RecordBatch.from_pydict({"file": ["f"] * len(fragments), "start": [0] * len(fragments), "value": fragments})
+    start = J.Start(False, 0, False, 0, len(rows))
+    found = list(J._found(iter([batch, batch.slice(0, 0)]), "array", {("f", 0): start}, {"f": 1}))
+    assert max(b.nbytes for b in found) < 2 * J.PIECE_BYTES
+    elements = [t.lstrip(",") for b in found for t in b.column("text").to_pylist()]
+    assert [json.loads(t) for t in elements] == [json.loads(r) for r in rows]
