@@ -17,6 +17,7 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,40 @@ END_ID = 0
 # The ids of about so many pieces are remembered by a Python worker (100 MB).
 REMEMBERED = 1 << 19
 PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s")
+ENCODED_BYTES = 8 << 20  # of texts encoded at once: the more, the fewer pieces are looked up
+LINES = 1000  # words encoded as one text; in longer texts a word takes more time
+# Kinds of UTF-8 bytes: white space but the blank, the blank, letters, digits
+# and symbols of ASCII, and bytes with which the white space beyond ASCII
+# begins (two to match, or three).
+SPACE, BLANK, LETTER, DIGIT, SYMBOL, LEAD = 1, 2, 3, 4, 5, 6
+KINDS = np.zeros(256, np.uint8)
+for _kind, _bytes in ((SYMBOL, range(33, 127)), (SPACE, b"\t\n\x0b\x0c\r"), (BLANK, b" "), (DIGIT, b"0123456789"),
+                      (LETTER, range(65, 91)), (LETTER, range(97, 123)), (LEAD, b"\xc2\xe1\xe2\xe3")):
+    KINDS[list(_bytes)] = _kind
+WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def piece_starts(raw: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Where the ``PIECES`` begin of texts that stand back to back, as UTF-8,
+    and their words' parts: runs of Latin letters, digits and symbols, but an
+    apostrophe stays with the letters after it, and no part begins or ends
+    beside any other character. ``begins`` are the texts' own (the last: the
+    end)."""
+    kind = KINDS[raw]
+    lead = (raw[:-1] >= 0xC3) & (raw[:-1] <= 0xC8)  # U+00C0 to U+023F: letters but two
+    lead &= (raw[:-1] != 0xC3) | ((raw[1:] != 0x97) & (raw[1:] != 0xB7))
+    kind[:-1][lead] = LETTER
+    kind[1:][lead] = LETTER
+    space = (kind == SPACE) | (kind == BLANK)
+    part = (kind >= LETTER) & (kind <= SYMBOL)
+    starts = np.zeros(len(kind), bool)
+    starts[1:] = (space[1:] & ~space[:-1]) | (~space[1:] & (kind[:-1] == SPACE))
+    starts[1:] |= part[1:] & part[:-1] & (kind[1:] != kind[:-1]) & ~((raw[:-1] == ord("'")) & (kind[1:] == LETTER))
+    before_word = space[:-1] & ~space[1:]
+    before_word[begins[(begins > 0) & (begins < len(kind))] - 1] = False
+    starts[:-1] |= before_word
+    starts[begins[begins < len(kind)]] = True
+    return np.flatnonzero(starts)
 PART = "part long, file string, documents long, tokens long, sequences long"
 
 
@@ -51,7 +86,7 @@ class Encoder:
 
     Byte-level tokenizers without a normalizer cut a text into words with the
     blank before them, and runs of white space, before they merge anything
-    (``PIECES`` cuts no finer), so such pieces are encoded once and
+    (``piece_starts`` cuts no finer), so such pieces are encoded once and
     remembered, the first ``remembered`` of them; any other tokenizer, and a
     text with an added token or one of the separators that Python alone counts
     as white space, goes through whole. Ids are the same either way."""
@@ -68,45 +103,83 @@ class Encoder:
             pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
             and not said.get("normalizer") and not said.get("truncation") and not said.get("padding")
             and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or len(t["content"].split()) != 1 for t in added))
-        self.whole = ["\x1c", "\x1d", "\x1e", "\x1f", *(t["content"] for t in added)]
+        self.whole = [c.encode() for c in ("\x1c", "\x1d", "\x1e", "\x1f", *(t["content"] for t in added))]
         line = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.by_piece = self.by_piece and len(line) == 1
         self.line = line[0] if line else None
-        self.known: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
         self.remembered = remembered
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.dtype).tobytes() for e in found]
 
-    def _pieces(self, pieces: list[str]) -> dict[str, bytes]:
-        """The ids of pieces; words go to the tokenizer as lines of one text,
+    def _pieces(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of pieces; words go to the tokenizer as lines of a text,
         as a line break is always a token of its own there."""
         spaces = [p for p in pieces if p.isspace()]
-        found = dict(zip(spaces, self._ids(spaces)))
-        lines = [p for p in pieces if not p.isspace()]
-        if lines:
-            ids = np.frombuffer(self._ids(["\n".join([*lines, ""])])[0], self.dtype)
+        found = dict(zip(spaces, self._ids([p.decode() for p in spaces])))
+        words = [p for p in pieces if not p.isspace()]
+        for at in range(0, len(words), LINES):
+            lines = words[at : at + LINES]
+            ids = np.frombuffer(self._ids([b"\n".join([*lines, b""]).decode()])[0], self.dtype)
             ends = (np.flatnonzero(ids == self.line) * ids.itemsize).tolist()
             starts = [0, *(e + ids.itemsize for e in ends)]
             raw = ids.tobytes()
             found.update({p: raw[a:b] for p, a, b in zip(lines, starts, ends)})
         return found
 
+    def _looked_up(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each of some different pieces."""
+        known = self.known
+        found = list(map(known.get, pieces))
+        gaps = [i for i, ids in enumerate(found) if ids is None]
+        fresh = self._pieces([pieces[i] for i in gaps])
+        for i in gaps:
+            found[i] = fresh[pieces[i]]
+        known.update(islice(fresh.items(), max(0, self.remembered - len(known))))
+        return found
+
+    def _by_rule(self, text: str) -> bytes:
+        """A text with white space beyond ASCII, cut by the expression."""
+        pieces = [p.encode() for p in PIECES.findall(text)]
+        # Python's bytes know no such space, so runs of it go by themselves.
+        wide = {p: self._ids([p.decode()])[0] for p in set(pieces) if p.decode().isspace()}
+        words = [p for p in dict.fromkeys(pieces) if p not in wide]
+        ids = wide | dict(zip(words, self._looked_up(words)))
+        return b"".join(map(ids.__getitem__, pieces))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian bytes of ``dtype``."""
+        return self.encode_utf8([t.encode() for t in texts])
+
+    def encode_utf8(self, texts: list[bytes]) -> list[bytes]:
+        """The same of texts as UTF-8 bytes. The pieces of all texts are cut
+        and told apart as one Arrow column, so Python sees each once."""
         if not self.by_piece:
-            return self._ids(texts)
-        cut = [None if any(c in t for c in self.whole) else PIECES.findall(t) for t in texts]
-        known = self.known
-        fresh = self._pieces(list(set().union(*filter(None, cut)) - known.keys()))
-        known.update(fresh)
-        of = known.__getitem__
-        found = [self._ids([t])[0] if pieces is None else b"".join(map(of, pieces)) for t, pieces in zip(texts, cut)]
-        if len(known) > self.remembered:
-            for piece in fresh:
-                del known[piece]
-        return found
+            return self._ids([t.decode() for t in texts])
+        raw, begins = b"".join(texts), np.cumsum([0, *map(len, texts)])
+        kind = KINDS[np.frombuffer(raw, np.uint8)]
+        lead = np.unique(np.searchsorted(begins, np.flatnonzero(kind == LEAD), side="right") - 1).tolist()
+        odd = {k: self._by_rule for k in lead if WIDE_SPACE.search(texts[k].decode())}
+        odd |= {k: lambda t: self._ids([t])[0] for k, t in enumerate(texts) if any(c in t for c in self.whole)}
+        if odd:
+            plain = self._of_plain([b"" if k in odd else t for k, t in enumerate(texts)])
+            return [odd[k](texts[k].decode()) if k in odd else ids for k, ids in enumerate(plain)]
+        return self._of_plain(texts)
+
+    def _of_plain(self, texts: list[bytes]) -> list[bytes]:
+        raw, begins = b"".join(texts), np.cumsum([0, *map(len, texts)])
+        if not raw:
+            return [b""] * len(texts)
+        starts = piece_starts(np.frombuffer(raw, np.uint8), begins)
+        offsets = pa.array(np.append(starts, len(raw)), pa.int32())
+        column = pa.Array.from_buffers(pa.binary(), len(starts), [None, offsets.buffers()[1], pa.py_buffer(raw)]).dictionary_encode()
+        ids = pa.array(self._looked_up(column.dictionary.to_pylist()), pa.binary()).take(column.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int32)
+        cuts = ends[np.searchsorted(starts, begins)].tolist()
+        data = ids.buffers()[2].to_pybytes()
+        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 @lru_cache(maxsize=2)
@@ -202,8 +275,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
         last = np.array([end_id], enc.dtype)
         for batch in batches:
             ids = batch.column(0)
-            for at, texts in chunks(batch.column(1)):
-                found = enc.encode([t.decode() for t in texts])
+            for at, texts in chunks(batch.column(1), ENCODED_BYTES):
+                found = enc.encode_utf8(texts)
                 for doc_id, mine in zip(ids.slice(at, len(texts)).to_pylist(), found):
                     if writer is None:
                         name = f"tokens-{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}"

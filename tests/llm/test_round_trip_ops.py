@@ -90,6 +90,20 @@ def test_pieces_give_the_ids_of_whole_texts():
         assert [np.frombuffer(g, enc.dtype).tolist() for g in got] == want
 
 
+def test_words_are_cut_where_the_tokenizer_cuts_them():
+    """Letters, symbols and digits are remembered apart, so a word with other
+    symbols beside it is not encoded again; the ids are those of the text."""
+    enc = token_files.Encoder(tokenizer_path())
+    assert len(enc.encode(["Zürich Zürich, Zürich%%% Zürich12."])) == 1
+    assert set(enc.known) == {p.encode() for p in ("Zürich", " Zürich", ",", "%%%", "12", ".")}
+    draw = random.Random(5)
+    some = ["a", "É", "ß", "ſ", "×", "÷", "Ȁ", "ɏ", "ʰ", "é", "'", "'s", "'re", "'soup", "%'s", "''", "1", "²", "Ⅷ", "٣",
+            "-", "%%%", ",", "中", "Ж", "\x00", "\x7f", "\u200b", " ", "  ", "\n", "\u3000", "\xa0", ""]
+    texts = ["".join(draw.choice(some) for _ in range(draw.randint(0, 14))) for _ in range(6000)]
+    for at in range(0, len(texts), 60):
+        assert enc.encode(texts[at : at + 60]) == enc._ids(texts[at : at + 60])
+
+
 def test_other_tokenizers_get_whole_texts():
     pytest.importorskip("public_tokenizers")
     import public_tokenizers
