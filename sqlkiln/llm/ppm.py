@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.taskcontext import TaskContext
@@ -30,6 +31,12 @@ BITS = 9
 # bounds the number of shared tokens by the same figure.
 MOST_SHARED, TOKEN_SHARE = 1_300_000, 4_000_000
 PIECE_BYTES = 1024 * 1024
+# Positions at a time (their arrays stay in the processor's cache), positions
+# that are sorted together, and counted keys that a task holds: it sums them
+# when there are so many, and gives them away if so many are left.
+BLOCK, SORTED_AT_ONCE = 1 << 17, 1 << 21
+MOST_COUNTED, SUM_AT = 1 << 20, 3 << 19
+ROWS_A_BATCH = 1 << 16
 SMOOTHING = 0.1
 _BLANKS = re.compile(rb"[\x20\x09-\x0d]+")
 
@@ -105,30 +112,38 @@ def grams(texts: list[bytes], order: int) -> Iterator[tuple[np.ndarray, np.ndarr
         symbols[at + order : at + order + len(t)] = np.frombuffer(t, np.uint8)
         symbols[at + order + len(t)] = END
         at += order + len(t) + 1
-    owner = np.repeat(np.arange(len(texts)), size)
-    for first in range(0, len(symbols) - order, PIECE_BYTES):
-        part = symbols[first : first + PIECE_BYTES + order].astype(np.int64)
+    stop = np.cumsum(size)
+    for first in range(0, len(symbols) - order, BLOCK):
+        part = symbols[first : first + BLOCK + order].astype(np.int64)
         n = len(part) - order
         packed = part[:n].copy()
         for k in range(1, order + 1):
             packed <<= BITS
             packed |= part[k : n + k]
         real = part[order:] != START
-        yield owner[first + order : first + order + n][real], packed[real]
+        low, high = first + order, first + order + n
+        a, b = np.searchsorted(stop, (low, high - 1), "right")
+        held = np.minimum(stop[a : b + 1], high) - np.maximum(stop[a : b + 1] - size[a : b + 1], low)
+        yield np.repeat(np.arange(a, b + 1), held)[real], packed[real]
 
 
-def token_key(token: bytes) -> int:
+def token_keys(tokens: list[bytes]) -> np.ndarray:
     """Tokens are told apart by 64 bits (XXH64) as a signed number."""
-    h = xxhash.xxh64_intdigest(token)
-    return h - (1 << 64) if h >> 63 else h
+    return np.fromiter(map(xxhash.xxh64_intdigest, tokens), np.uint64, len(tokens)).view(np.int64)
 
 
-def token_counts(texts: list[bytes]) -> Counter:
-    seen: Counter = Counter()
-    for t in texts:
-        for first in _cuts(t):
-            seen.update(t[first[0] : first[1]].split())
-    return seen
+def token_places(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(key of each distinct token, place there of every token, text of every
+    token) of normal texts, in pieces of bounded size."""
+    for part in [texts] if len(texts) > 1 else [[texts[0][a:b]] for a, b in _cuts(texts[0])]:
+        split = pc.split_pattern(pa.array(part, pa.large_binary()), " ")
+        found = split.flatten().dictionary_encode()
+        place = found.indices.to_numpy()
+        owner = np.repeat(np.arange(len(part)), pc.list_value_length(split).to_numpy())
+        blank = (pc.binary_length(found.dictionary).to_numpy() == 0)[place]
+        # No token holds a blank: one split makes all of them.
+        whole = pc.binary_join(pa.ListArray.from_arrays([0, len(found.dictionary)], found.dictionary), pa.scalar(b" ", pa.large_binary()))
+        yield token_keys(whole[0].as_py().split(b" ")), place[~blank], owner[~blank]
 
 
 def _cuts(text: bytes) -> Iterator[tuple[int, int]]:
@@ -144,22 +159,27 @@ def _cuts(text: bytes) -> Iterator[tuple[int, int]]:
 @dataclass
 class Shared:
     """An exact map from 64-bit keys to numbers as an open-addressing table,
-    looked up a whole array at a time."""
+    looked up a whole array at a time; ``empty``, which is no key, marks free
+    slots."""
 
     keys: np.ndarray
     values: np.ndarray
-    used: np.ndarray
+    empty: int
 
     @staticmethod
     def of(keys: np.ndarray, values: np.ndarray) -> Shared:
         size = 1 << max(4, int(1.5 * len(keys)).bit_length())
-        table = Shared(np.zeros(size, np.int64), np.zeros(size), np.zeros(size, bool))
+        empty = -1
+        while (keys == empty).any():
+            empty -= 1
+        table = Shared(np.full(size, empty, np.int64), np.zeros(size), empty)
         left, slot = np.arange(len(keys)), table._slot(keys)
         while len(left):
-            free = left[~table.used[slot]]
-            where, first = np.unique(slot[~table.used[slot]], return_index=True)
+            open_ = table.keys[slot] == empty
+            free = left[open_]
+            where, first = np.unique(slot[open_], return_index=True)
             winner = free[first]
-            table.keys[where], table.values[where], table.used[where] = keys[winner], values[winner], True
+            table.keys[where], table.values[where] = keys[winner], values[winner]
             lost = ~np.isin(left, winner)
             left, slot = left[lost], (slot[lost] + 1) & (size - 1)
         return table
@@ -171,49 +191,120 @@ class Shared:
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(found, value) of every key."""
         slot = self._slot(keys)
-        hit = self.used[slot] & (self.keys[slot] == keys)
-        value = np.where(hit, self.values[slot], 0.0)
-        left = np.flatnonzero(~hit & self.used[slot])
-        slot = slot[left]
+        there = self.keys.take(slot)
+        hit, value = there == keys, self.values.take(slot)
+        left = np.flatnonzero(~hit & (there != self.empty))
+        slot, asked = slot[left], keys[left]
         while len(left):
             slot = (slot + 1) & (len(self.keys) - 1)
-            same = self.used[slot] & (self.keys[slot] == keys[left])
-            hit[left[same]], value[left[same]] = True, self.values[slot[same]]
-            more = ~same & self.used[slot]
-            left, slot = left[more], slot[more]
+            there = self.keys.take(slot)
+            same = there == asked
+            hit[left[same]], value[left[same]] = True, self.values.take(slot[same])
+            more = ~same & (there != self.empty)
+            left, slot, asked = left[more], slot[more], asked[more]
+        hit &= keys != self.empty
+        value[~hit] = 0.0
         return hit, value
 
 
+class Tally:
+    """Occurrences of keys in training texts and in all, summed within a task
+    as long as it holds at most ``MOST_COUNTED`` keys."""
+
+    def __init__(self, kind: str):
+        self.kind, self.parts, self.held = kind, [], 0
+
+    def put(self, key: np.ndarray, n: np.ndarray, seen: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.parts.append((key, n, seen))
+        self.held += len(key)
+        if self.held > SUM_AT:
+            self._sum()
+            if self.held > MOST_COUNTED:
+                yield from self.rest()
+
+    def _sum(self) -> None:
+        key, n, seen = (np.concatenate(c) for c in zip(*self.parts))
+        order = np.argsort(key, kind="stable")
+        key, n, seen = key[order], n[order], seen[order]
+        first = _firsts(key)
+        self.parts = [(key[first], np.add.reduceat(n, first), np.add.reduceat(seen, first))]
+        self.held = len(first)
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        """What is held, which is given away."""
+        if self.held:
+            self._sum()
+            (key, n, seen), = self.parts
+            self.parts, self.held = [], 0
+            for at in range(0, len(key), ROWS_A_BATCH):
+                to = at + ROWS_A_BATCH
+                yield _counted(key[at:to], n[at:to], seen[at:to], self.kind)
+
+
+def _firsts(ordered: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+
+
+class GramTally(Tally):
+    """A tally that is given the gram of every position."""
+
+    def __init__(self):
+        super().__init__("gram")
+        self.raw, self.waiting = [], 0
+
+    def add(self, packed: np.ndarray, learned: bool) -> Iterator[pa.RecordBatch]:
+        # The lowest bit tells whether the position is learned.
+        self.raw.append((packed.view(np.uint64) << np.uint64(1)) | np.uint64(learned))
+        self.waiting += len(packed)
+        if self.waiting >= SORTED_AT_ONCE:
+            yield from self._count()
+
+    def _count(self) -> Iterator[pa.RecordBatch]:
+        every = np.concatenate(self.raw)
+        self.raw, self.waiting = [], 0
+        every.sort()
+        gram = (every >> np.uint64(1)).view(np.int64)
+        first = _firsts(gram)
+        n = np.add.reduceat((every & np.uint64(1)).view(np.int64), first)
+        yield from self.put(gram[first], n, np.diff(first, append=len(every)))
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.waiting:
+            yield from self._count()
+        yield from super().rest()
+
+
 def gathered(docs: DataFrame, training: Column, id_col: str, text_col: str, order: int) -> DataFrame:
     """``(gram, token, n, seen)``: one row per distinct gram (token null) or
     token key (gram null): occurrences in training texts, and in all. Summed
-    per piece, per task and then by key; it covers every text."""
+    within a task and then by key; it covers every text."""
     narrow = docs.select(training.alias("training"), F.col(text_col).cast("string").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_gram, by_token = GramTally(), Tally("token")
         for batch in batches:
             learn = batch.column(0).to_pylist()
             for at, piece in chunks(batch.column(1), PIECE_BYTES):
                 for wanted in (True, False):
                     texts = [normal(t) for i, t in enumerate(piece, at) if bool(learn[i]) is wanted]
                     for _, packed in grams(texts, order) if texts else ():
-                        key, n = np.unique(packed, return_counts=True)
-                        yield _counted(key, n, wanted, "gram")
-                    if wanted and texts:
-                        seen = token_counts(texts)
-                        key = np.fromiter(map(token_key, seen), np.int64, len(seen))
-                        yield _counted(key, np.fromiter(seen.values(), np.int64, len(seen)), True, "token")
+                        yield from by_gram.add(packed, wanted)
+                    for keys, place, _ in token_places(texts) if wanted and texts else ():
+                        n = np.bincount(place, minlength=len(keys))
+                        yield from by_token.put(keys[n > 0], n[n > 0], n[n > 0])
+        yield from by_gram.rest()
+        yield from by_token.rest()
 
     rows = narrow.mapInArrow(count, "gram long, token long, n long, seen long")
     return rows.groupBy("gram", "token").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
 
 
-def _counted(key: np.ndarray, n: np.ndarray, learned: bool, kind: str) -> pa.RecordBatch:
+def _counted(key: np.ndarray, n: np.ndarray, seen: np.ndarray, kind: str) -> pa.RecordBatch:
     keys, none = pa.array(key, pa.int64()), pa.nulls(len(key), pa.int64())
     return pa.RecordBatch.from_arrays(
-        [keys if kind == "gram" else none, keys if kind == "token" else none,
-         pa.array(n if learned else np.zeros_like(n), pa.int64()), pa.array(n, pa.int64())],
-        names=["gram", "token", "n", "seen"])
+        [keys if kind == "gram" else none, keys if kind == "token" else none, pa.array(n, pa.int64()),
+         pa.array(seen, pa.int64())], names=["gram", "token", "n", "seen"])
 
 
 def _suffix(gram: Column, order: int) -> Column:
@@ -335,16 +426,20 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
                     hit, p = gram_table.find(packed)
                     model += np.bincount(owner, p, len(texts))
                     rare.append((owner[~hit], packed[~hit], "gram"))
-                for owner, keys in _token_pieces(texts):
+                for keys, place, owner in token_places(texts):
                     hit, n = token_table.find(keys)
-                    base += np.bincount(owner[hit], np.log10(n[hit] + SMOOTHING), len(texts))
+                    value = np.where(hit, np.log10(n + SMOOTHING), 0.0)[place]
+                    hit = hit[place]
+                    base += np.bincount(owner, value, len(texts))
                     known += np.bincount(owner[hit], minlength=len(texts))
-                    rare.append((owner[~hit], keys[~hit], "token"))
+                    rare.append((owner[~hit], keys[place[~hit]], "token"))
                 ids = row_id + np.arange(len(texts))
                 row_id += len(texts)
                 yield _scored(ids, batch.column(0).slice(at, len(texts)), size + 1, known, base, model)
-                for owner, keys, what in rare:
-                    if len(keys):
+                for what in ("gram", "token"):
+                    found = [(owner, keys) for owner, keys, kept in rare if kept == what and len(keys)]
+                    if found:
+                        owner, keys = (np.concatenate(c) for c in zip(*found))
                         yield _rare(ids[owner], keys, what, batch.column(0).type)
 
     schema = (f"row long, id {kind}, size long, known long, base double, model double, gram long, token long, n long")
@@ -375,24 +470,6 @@ def _shared(table: DataFrame, key: str, value: str) -> Shared:
     return Shared.of(rows.column("k").to_numpy().astype(np.int64), rows.column("v").to_numpy().astype(np.float64))
 
 
-def _token_pieces(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(text, key) of every token."""
-    index: dict[bytes, int] = {}
-    if len(texts) == 1:
-        for a, b in _cuts(texts[0]):
-            keys = np.fromiter(map(token_key, texts[0][a:b].split()), np.int64)
-            yield np.zeros(len(keys), np.int64), keys
-        return
-    ids, size = [], []
-    for t in texts:
-        found = t.split()
-        ids.extend([index.setdefault(w, len(index)) for w in found])
-        size.append(len(found))
-    if ids:
-        keys = np.fromiter(map(token_key, index), np.int64, len(index))
-        yield np.repeat(np.arange(len(texts)), size), keys[np.array(ids, np.int64)]
-
-
 def _scored(ids: np.ndarray, doc_ids: pa.Array, size: np.ndarray, known: np.ndarray, base: np.ndarray,
             model: np.ndarray) -> pa.RecordBatch:
     none = pa.nulls(len(ids), pa.int64())
@@ -402,10 +479,13 @@ def _scored(ids: np.ndarray, doc_ids: pa.Array, size: np.ndarray, known: np.ndar
 
 
 def _rare(rows: np.ndarray, keys: np.ndarray, what: str, id_type: pa.DataType) -> pa.RecordBatch:
-    pair, n = np.unique(np.stack([rows, keys], axis=1), axis=0, return_counts=True)
+    order = np.lexsort((keys, rows))
+    rows, keys = rows[order], keys[order]
+    first = np.union1d(_firsts(rows), _firsts(keys))
+    n = np.diff(first, append=len(rows))
     none, number = pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.float64())
-    key = pa.array(pair[:, 1])
+    key = pa.array(keys[first])
     return pa.RecordBatch.from_arrays(
-        [pa.array(pair[:, 0]), pa.nulls(len(n), id_type), none, none, number, number,
+        [pa.array(rows[first]), pa.nulls(len(n), id_type), none, none, number, number,
          key if what == "gram" else none, key if what == "token" else none, pa.array(n, pa.int64())],
         names=["row", "id", "size", "known", "base", "model", "gram", "token", "n"])

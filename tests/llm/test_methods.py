@@ -3,6 +3,7 @@
 import collections
 import itertools
 import math
+import random
 import re
 import zlib
 
@@ -320,6 +321,51 @@ def test_op9_equals_a_trie(spark, shared):
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(tokens), sum(w in seen for w in tokens), total)
 
 
+def test_op9_a_task_gives_each_gram_once(monkeypatch):
+    """However many pieces its texts are cut into; past the bound it gives
+    away what it holds, and nothing is lost."""
+    draw = random.Random(3)
+    learned, other = ([bytes(draw.choices(b"ab c", k=draw.randint(0, 90))) for _ in range(60)] for _ in range(2))
+    for at_once, sum_at, most in [(1 << 21, 1 << 20, 1 << 20), (50, 300, 10**6), (50, 300, 100)]:
+        monkeypatch.setattr(ppm, "SORTED_AT_ONCE", at_once)
+        monkeypatch.setattr(ppm, "SUM_AT", sum_at)
+        monkeypatch.setattr(ppm, "MOST_COUNTED", most)
+        monkeypatch.setattr(ppm, "BLOCK", 37)
+        tally, batches = ppm.GramTally(), []
+        n, seen = collections.Counter(), collections.Counter()
+        for k in range(0, 60, 4):
+            for wanted, texts in ((True, learned[k : k + 4]), (False, other[k : k + 4])):
+                for owner, packed in ppm.grams(texts, 2):
+                    batches += tally.add(packed, wanted)
+                for t in texts:
+                    for a, b, c in zip([ppm.START] * 2 + [*t], [ppm.START, *t, ppm.END], [*t, ppm.END]):
+                        gram = a << 18 | b << 9 | c
+                        n[gram] += wanted
+                        seen[gram] += 1
+        batches += tally.rest()
+        rows = [r for b in batches for r in b.to_pylist()]
+        got_n, got_seen = collections.Counter(), collections.Counter()
+        for r in rows:
+            got_n[r["gram"]] += r["n"]
+            got_seen[r["gram"]] += r["seen"]
+        assert got_seen == seen and +got_n == +n
+        assert len(rows) == len(seen) or most == 100
+
+
+def test_op9_tokens_and_shared_keys(monkeypatch):
+    monkeypatch.setattr(ppm, "PIECE_BYTES", 20)
+    texts = [b"", "one é two one".encode(), b"", b"two x"]
+    for part in (texts, [b""], [b"a bb " * 30 + b"a"]):
+        got = [(int(o), int(k[p])) for k, place, owner in ppm.token_places(part) for p, o in zip(place, owner)]
+        h = [(i, xxhash.xxh64_intdigest(w)) for i, t in enumerate(part) for w in t.split()]
+        assert got == [(i, x - (1 << 64) if x >> 63 else x) for i, x in h]
+    keys = np.array([-1, 5, -(1 << 63), -2, 7], np.int64)
+    table = ppm.Shared.of(keys, np.arange(1.0, 6.0))
+    hit, value = table.find(np.array([7, 6, -1, -2, -3, -4, 5, -(1 << 63)], np.int64))
+    assert hit.tolist() == [True, False, True, True, False, False, True, True]
+    assert value.tolist() == [5.0, 0.0, 1.0, 4.0, 0.0, 0.0, 2.0, 3.0]
+
+
 def test_trie_probabilities_sum_to_one():
     trie = ppm.Trie(3)
     trie.code(b"abracadabra cadabra", True)
