@@ -9,15 +9,20 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from sqlkiln.batches import sizes
 from sqlkiln.llm.common import chunks, row_pieces, spark_type
 from sqlkiln.session import DEFAULT_BROADCAST_BYTES, broadcast_if_small, materialize, measured_bytes, shared_dir
 
 LETTERS = re.compile(r"[^\W\d_]+")
+_ASCII_WORDS = bytes(ord(chr(c).lower()) if c < 128 and chr(c).isalpha() else 32 for c in range(256))
 # A word's prior is that of the words that begin alike.
 STEM = 4
 # Pseudo-counts (documents) of a stem's and of a word's Dirichlet prior.
@@ -29,6 +34,8 @@ MOST_TOKENS = 200_000
 # that the expected score of ordinary text is negative.
 NEUTRAL, DRIFT = 1.0, 0.5
 CALIBRATION_DOCS = 20_000
+# A task counts words over so much text, or until it holds so many.
+COUNT_BYTES, COUNT_WORDS = 16 * 1024 * 1024, 1 << 17
 SIGNIFICANCE = 0.01
 
 
@@ -46,6 +53,36 @@ class Model:
     weights: tuple[float, ...] = (-20.0, 0.0, 0.0, 0.0)
 
 
+@cache
+def _letter_table() -> np.ndarray:
+    """Whether a code point is one of ``LETTERS``."""
+    table = np.zeros(0x110000, bool)
+    for m in LETTERS.finditer("".join(map(chr, range(len(table))))):
+        table[m.start() : m.end()] = True
+    return table
+
+
+def letter_words(data: bytes) -> list[str]:
+    """The runs of letters of a text in lower case, as ``LETTERS`` finds them."""
+    if data.isascii():
+        return data.translate(_ASCII_WORDS).decode("ascii").split()
+    points = np.frombuffer(data.decode("utf-8", "replace").lower().encode("utf-32-le"), "<u4")
+    return np.where(_letter_table()[points], points, np.uint32(32)).astype("<u4").tobytes().decode("utf-32-le").split()
+
+
+def _lists(counts: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), values)
+
+
+def _flat(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False)
+
+
+def _split(column: pa.Array) -> list[np.ndarray]:
+    """The lists of a column, one array a row."""
+    return np.split(_flat(column), np.cumsum(sizes(column))[:-1])
+
+
 def maximal_segments(scores: np.ndarray) -> list[tuple[float, int, int]]:
     """Every maximal scoring segment as (score, first, end), in order: the
     segments that no extension and no larger segment improves, found by one
@@ -53,9 +90,9 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[float, int, int]]:
     visited; what lies between enters through the running sums."""
     ends = np.cumsum(scores)
     stack: list[tuple[float, float, int, int]] = []  # sum before, sum after, first, end
-    for i in np.flatnonzero(scores > 0).tolist():
-        after = float(ends[i])
-        candidate = (after - float(scores[i]), after, i, i + 1)
+    gains = np.flatnonzero(scores > 0)
+    for i, after, own in zip(gains.tolist(), ends[gains].tolist(), scores[gains].tolist()):
+        candidate = (after - own, after, i, i + 1)
         while True:
             below = len(stack) - 1
             while below >= 0 and stack[below][0] >= candidate[0]:
@@ -95,28 +132,38 @@ def scan(texts: DataFrame, model: Model, text_col: str) -> DataFrame:
         words, stems = shared.value
         for batch in batches:
             for first, piece in chunks(batch.column(where)):
-                out: list[tuple] = []
-                for data in piece:
-                    found = LETTERS.findall(data.decode("utf-8", "replace").lower())
-                    at, odds, rare, open_at, open_nth = [], [], {}, [], []
-                    for i, w in enumerate(found):
-                        value = words.get(w)
-                        if value is None and joins:
-                            open_at.append(i)
-                            open_nth.append(rare.setdefault(w, len(rare)))
-                        elif value:
-                            at.append(i)
-                            odds.append(value)
-                    known = [stems.get(w[:STEM]) if len(w) > STEM else 0.0 for w in rare]
-                    out.append((len(found), at, odds, list(rare), known, open_at, open_nth))
-                cols = list(zip(*out))
+                found: list[str] = []
+                size = np.zeros(len(piece), np.int64)
+                for k, data in enumerate(piece):
+                    said = letter_words(data)
+                    size[k] = len(said)
+                    found += said
+                value = np.fromiter(map(words.get, found, repeat(math.nan if joins else 0.0)), np.float64, len(found))
+                text = np.repeat(np.arange(len(piece)), size)
+                place = (np.arange(len(found)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
+                unknown = np.isnan(value)
+                sure = ~unknown & (value != 0)
+                rare, rare_count, nth, at_text = [], np.zeros(len(piece), np.int64), [], -1
+                index: dict[str, int] = {}
+                for i, k in zip(np.flatnonzero(unknown).tolist(), text[unknown].tolist()):
+                    if k != at_text:
+                        index, at_text = {}, k
+                    w = found[i]
+                    at = index.setdefault(w, len(index))
+                    if at == rare_count[k]:
+                        rare.append(w)
+                        rare_count[k] += 1
+                    nth.append(at)
+                known = [stems.get(w[:STEM]) if len(w) > STEM else 0.0 for w in rare]
+                placed, opened = np.bincount(text[sure], minlength=len(piece)), np.bincount(text[unknown], minlength=len(piece))
                 yield pa.RecordBatch.from_arrays(
                     [*[batch.column(batch.schema.get_field_index(c)).slice(first, len(piece)) for c in others],
-                     *[pa.array(c, t) for c, t in zip(cols, kinds)]], names=[*others, *names])
+                     pa.array(size), _lists(placed, pa.array(place[sure])), _lists(placed, pa.array(value[sure])),
+                     _lists(rare_count, pa.array(rare, pa.string())), _lists(rare_count, pa.array(known, pa.float64())),
+                     _lists(opened, pa.array(place[unknown])), _lists(opened, pa.array(nth, pa.int32()))],
+                    names=[*others, *names])
 
     names = ["size", "at", "odds", "rare", "known", "open_at", "open_nth"]
-    places = pa.list_(pa.int32())
-    kinds = [pa.int64(), places, pa.list_(pa.float64()), pa.list_(pa.string()), pa.list_(pa.float64()), places, places]
     head = [f"`{c}` {spark_type(texts, c)}" for c in others]
     rows = texts.mapInArrow(look, ", ".join([
         *head, "size long, at array<int>, odds array<double>, rare array<string>, known array<double>, "
@@ -141,28 +188,32 @@ def scan(texts: DataFrame, model: Model, text_col: str) -> DataFrame:
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (piece for b in batches for piece in row_pieces(b, "size")):
-            size, at, odds, known, open_at, open_nth, met = (
-                batch.column(len(others) + k).to_pylist() for k in range(7))
-            for r in range(batch.num_rows):
-                value = [k or 0.0 for k in known[r]]
-                for m in sorted(met[r] or (), key=lambda m: m["own"]):  # the word's own entry comes last
-                    value[m["nth"]] = m["value"]
-                for i, nth in zip(open_at[r], open_nth[r]):
-                    if value[nth]:
-                        at[r].append(i)
-                        odds[r].append(value[nth])
+            size, at, odds, known, open_at, open_nth, met = (batch.column(len(others) + k) for k in range(7))
+            row = np.arange(batch.num_rows)
+            value = pc.fill_null(known.flatten(), 0.0).to_numpy(zero_copy_only=False).copy()
+            begin = np.cumsum(sizes(known)) - sizes(known)
+            entry = met.flatten()
+            nth, own, entered = (entry.field(k).to_numpy(zero_copy_only=False) for k in ("nth", "own", "value"))
+            spot = np.repeat(begin, sizes(met)) + nth
+            for last in (False, True):  # the word's own entry comes last
+                value[spot[own == last]] = entered[own == last]
+            opened = value[np.repeat(begin, sizes(open_at)) + _flat(open_nth)]
+            text = np.concatenate([np.repeat(row, sizes(at)), np.repeat(row, sizes(open_at))[opened != 0]])
+            order = np.argsort(text, kind="stable")
+            count = np.bincount(text, minlength=len(row))
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(k) for k in range(len(others))], pa.array(size, pa.int64()),
-                 pa.array(at, places), pa.array(odds, pa.list_(pa.float64()))],
+                [*[batch.column(k) for k in range(len(others))], size,
+                 _lists(count, pa.array(np.concatenate([_flat(at), _flat(open_at)[opened != 0]])[order], pa.int32())),
+                 _lists(count, pa.array(np.concatenate([_flat(odds), opened[opened != 0]])[order], pa.float64()))],
                 names=[*others, "size", "at", "odds"])
 
     return rows.mapInArrow(fill, ", ".join([*head, "size long, at array<int>, odds array<double>"]))
 
 
-def segments_of(size: int, at: list[int], odds: list[float]) -> list[tuple[float, int, int]]:
+def segments_of(size: int, at: np.ndarray, odds: np.ndarray) -> list[tuple[float, int, int]]:
     """The maximal segments of a text from its words that are not neutral."""
     scores = np.full(size, -DRIFT)
-    scores[np.array(at, np.int64)] += np.array(odds, np.float64)
+    scores[at] += odds
     return maximal_segments(scores) if size else []
 
 
@@ -178,24 +229,32 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
 
 def incidences(rows: DataFrame) -> DataFrame:
     """``(word, t0, c0, t1, c1)``: toxic and clean documents with the word,
-    by half; counted per batch first, then summed."""
+    by half; counted within a task first, then summed."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, held = [Counter() for _ in range(4)], 0
         for batch in batches:
             toxic, half = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             for at, piece in chunks(batch.column(0)):
-                seen = [Counter() for _ in range(4)]
                 for i, data in enumerate(piece, at):
-                    found = set(LETTERS.findall(data.decode("utf-8", "replace").lower()))
-                    seen[2 * half[i] + (not toxic[i])].update(found)
-                every = list(set().union(*seen))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(every, pa.string()), *[pa.array([s[w] for w in every], pa.int64()) for s in seen]],
-                    names=["word", "t0", "c0", "t1", "c1"])
+                    seen[2 * half[i] + (not toxic[i])].update(set(letter_words(data)))
+                    held += len(data)
+                if held > COUNT_BYTES or sum(map(len, seen)) > COUNT_WORDS:
+                    yield _summed(seen)
+                    seen, held = [Counter() for _ in range(4)], 0
+        yield _summed(seen)
 
     counted = rows.mapInArrow(count, "word string, t0 long, c0 long, t1 long, c1 long")
     return counted.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("t0", "c0", "t1", "c1")])
 
 
+def _summed(seen: list[Counter]) -> pa.RecordBatch:
+    every = list(set().union(*seen))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(every, pa.string()),
+         *[pa.array(np.fromiter(map(s.get, every, repeat(0)), np.int64, len(every))) for s in seen]],
+        names=["word", "t0", "c0", "t1", "c1"])
+
+
 def log_odds(counts: DataFrame, halves: tuple[int, ...]) -> Model | None:
     """Log-odds of words and of stems, relative to all tokens. A stem's share
     of toxic incidences has a Dirichlet prior at the overall share, a word's
@@ -255,7 +314,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (piece for b in batches for piece in row_pieces(b, "size")):
-            size, at, odds = (batch.column(k).to_pylist() for k in (1, 2, 3))
+            size, at, odds = batch.column(1).to_pylist(), _split(batch.column(2)), _split(batch.column(3))
             scores = [[s for s, _, _ in segments_of(*x)] for x in zip(size, at, odds)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(scores, pa.list_(pa.float64())), batch.column(1)],
@@ -326,7 +385,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
         net = Model(location=location, spread=spread, weights=weights)
         for batch in (piece for b in batches for piece in row_pieces(b, "size")):
             value, found = np.zeros(batch.num_rows), [[]] * batch.num_rows
-            size, at, odds = (batch.column(k).to_pylist() for k in (1, 2, 3))
+            size, at, odds = batch.column(1).to_pylist(), _split(batch.column(2)), _split(batch.column(3))
             for i, n in enumerate(size):
                 segments = segments_of(n, at[i], odds[i])
                 facts = summary(net, segments, n)

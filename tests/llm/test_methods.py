@@ -216,6 +216,34 @@ def test_maximal_segments():
         assert [x[1:] for x in toxicity.maximal_segments(scores)] == plain_segments(scores)
 
 
+def test_op6_words_are_those_of_the_pattern():
+    draw = random.Random(7)
+    alphabet = "aZ 9_-\t\n\x1c\x85\u00a0éßİΣς½²٣中ḿ\u0301\u2003😀"
+    for _ in range(2000):
+        data = "".join(draw.choices(alphabet, k=draw.randint(0, 30))).encode()
+        data = data[: draw.randint(0, len(data))]
+        assert toxicity.letter_words(data) == toxicity.LETTERS.findall(data.decode("utf-8", "replace").lower())
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    assert toxicity.letter_words(every.encode()) == toxicity.LETTERS.findall(every.lower())
+
+
+def test_op6_a_task_gives_each_word_once(spark, monkeypatch):
+    """However many batches its texts come in; past the bound nothing is lost."""
+    rows = [(f"word{'abc'[i % 3]} Word {chr(97 + i % 5)}x", i % 4 == 0, i % 2) for i in range(60)]
+    frame = spark.createDataFrame(rows, "text string, toxic boolean, half int").coalesce(1)
+    want = collections.Counter((w, 2 * h + (not t)) for x, t, h in rows for w in set(x.lower().split()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for most in (1 << 17, 2):
+            monkeypatch.setattr(toxicity, "COUNT_WORDS", most)
+            got = toxicity.incidences(frame).collect()
+            assert len(got) == len({w for w, _ in want})
+            for r in got:
+                assert [r[c] for c in ("t0", "c0", "t1", "c1")] == [want[r["word"], k] for k in range(4)]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_op6_held_out(spark):
     sf = "/root/testdata/sf0.1"
     got = queries.op6_toxicity(spark, sf).join(table(spark, sf, "labels"), "doc_id").where("held_out")
